@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step handles; a longer text is a step of its own.
 STEP_BYTES = 4 << 20
+#: White space by the Unicode property, for a character class; str.isspace() holds four control characters more.
+WHITE_SPACE = r"\t-\r\x20\x85\xa0" + "".join(rf"\u{c:04x}" for c in (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
