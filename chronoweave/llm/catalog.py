@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, quality_rules, sequence_packing, simhash_dedup
+from . import bpe_codec, quality_rules, sequence_packing, simhash_dedup, warc_bundles
 
 QUERIES = {
+    "op1_warc_bundles": warc_bundles.op1_warc_bundles,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op5_sequence_packing": sequence_packing.op5_sequence_packing,
     "op6_simhash_dedup": simhash_dedup.op6_simhash_dedup,
     "op10_bpe_codec": bpe_codec.op10_bpe_codec,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_warc_bundles": warc_bundles.ORACLE_SQL,
+}
