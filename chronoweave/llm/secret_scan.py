@@ -207,8 +207,12 @@ def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return with_spans(docs, rules, id_col, text_col).withColumn(text_col, F.when(F.size("__spans") > 0, done).otherwise(text)).drop("__spans")
 
 
+def _has_rank(rank: int):
+    return lambda s: s["rank"] == rank
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(common.table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["rank"] < len(BASE_RULES))
-    counts = [F.size(F.filter("spans", lambda s, k=r.kind: s["kind"] == k)).cast("long").alias(f"n_{r.kind}") for r in BASE_RULES]
+    counts = [F.size(F.filter("spans", _has_rank(i))).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(BASE_RULES)]
     return found.select("doc_id", *counts, F.sha2(shown(base).cast("binary"), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
