@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, quality_rules, secret_scan, sequence_packing, simhash_dedup, warc_bundles
+from . import bpe_codec, language_crf, quality_rules, secret_scan, sequence_packing, simhash_dedup, warc_bundles
 
 QUERIES = {
     "op1_warc_bundles": warc_bundles.op1_warc_bundles,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op5_sequence_packing": sequence_packing.op5_sequence_packing,
     "op6_simhash_dedup": simhash_dedup.op6_simhash_dedup,
+    "op8_language_crf": language_crf.op8_language_crf,
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_bpe_codec": bpe_codec.op10_bpe_codec,
 }
