@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, language_crf, quality_rules, secret_scan, sequence_packing, simhash_dedup, warc_bundles
+from . import bpe_codec, language_crf, ppm_score, quality_rules, secret_scan, sequence_packing, simhash_dedup, warc_bundles
 
 QUERIES = {
     "op1_warc_bundles": warc_bundles.op1_warc_bundles,
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op3_ppm_score": ppm_score.op3_ppm_score,
     "op5_sequence_packing": sequence_packing.op5_sequence_packing,
     "op6_simhash_dedup": simhash_dedup.op6_simhash_dedup,
     "op8_language_crf": language_crf.op8_language_crf,
