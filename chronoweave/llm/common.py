@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -80,6 +81,27 @@ def map_texts(df: DataFrame, fn: Callable[[pa.Array, list], dict], schema: str,
     return slim.mapInArrow(run, target)
 
 
+class Recent:
+    """A bounded table of what was lately looked up, in two generations: a full one replaces the older, and what is asked for again moves on."""
+
+    def __init__(self, most: int):
+        self.most, self.now, self.old = most, {}, {}
+
+    def missing(self, lists: list[list]) -> list:
+        """The items of ``lists`` that aren't in ``now``, without those that ``old`` had; then ``put`` the rest."""
+        if len(self.now) > self.most:
+            self.now, self.old = {}, self.now
+        lack: set = set()
+        for items in lists:
+            lack.update(filterfalse(self.now.__contains__, items))
+        known = [x for x in lack if x in self.old]
+        self.now.update(zip(known, map(self.old.__getitem__, known), strict=True))
+        return list(lack.difference(known))
+
+    def put(self, items: list, values) -> None:
+        self.now.update(zip(items, values, strict=True))
+
+
 def crc32_mod(id_col: str, modulus: int) -> Column:
     """crc32 of the id as decimal text, modulo ``modulus``."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % F.lit(modulus)
