@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, language_crf, ppm_score, quality_rules, secret_scan, sequence_packing, simhash_dedup, warc_bundles
+from . import bpe_codec, language_crf, pii_pseudonyms, ppm_score, quality_rules, secret_scan, sequence_packing, simhash_dedup, warc_bundles
 
 QUERIES = {
     "op1_warc_bundles": warc_bundles.op1_warc_bundles,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_ppm_score": ppm_score.op3_ppm_score,
     "op5_sequence_packing": sequence_packing.op5_sequence_packing,
     "op6_simhash_dedup": simhash_dedup.op6_simhash_dedup,
+    "op7_pii_pseudonyms": pii_pseudonyms.op7_pii_pseudonyms,
     "op8_language_crf": language_crf.op8_language_crf,
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_bpe_codec": bpe_codec.op10_bpe_codec,
