@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, language_crf, pii_pseudonyms, ppm_score, quality_rules, secret_scan, sequence_packing, simhash_dedup, warc_bundles
+from . import bpe_codec, language_crf, pii_pseudonyms, ppm_score, quality_rules, secret_scan, sequence_packing, simhash_dedup, voronoi_knn, warc_bundles
 
 QUERIES = {
     "op1_warc_bundles": warc_bundles.op1_warc_bundles,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_ppm_score": ppm_score.op3_ppm_score,
+    "op4_voronoi_knn": voronoi_knn.op4_voronoi_knn,
     "op5_sequence_packing": sequence_packing.op5_sequence_packing,
     "op6_simhash_dedup": simhash_dedup.op6_simhash_dedup,
     "op7_pii_pseudonyms": pii_pseudonyms.op7_pii_pseudonyms,
@@ -17,4 +18,5 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op1_warc_bundles": warc_bundles.ORACLE_SQL,
+    "op4_voronoi_knn": voronoi_knn.ORACLE_SQL,
 }
