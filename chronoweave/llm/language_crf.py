@@ -29,6 +29,8 @@ RATE = 0.25
 #: A shrinking of weights each step, relative to the rate.
 DECAY = 1e-5
 UNKNOWN = "und"
+#: Mean marginal below which no learned language accounts for a text.
+LEAST_SCORE = 0.4
 KEPT_WORDS = 200_000
 HELD_OUT = 5
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, n_words long, n_switches long"
@@ -250,19 +252,14 @@ def label_words(model: Crf, texts: list, kept: Emissions | None = None) -> tuple
     return lists, model.marginals((kept or Emissions(model)).scores(lists), lengths), lengths
 
 
-def predict(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, held_out, lang_pred, score, n_words, n_switches) per row, from the text alone.
-
-    ``lang_pred`` has the highest mean marginal (ties: the first in order), ``score`` is that mean, ``n_switches`` how
-    often the words' best language changes. A null text, or one without a letter, is ``und`` with score 0; so is every
-    text if no language was learned. A null id isn't held out. Repeated rows each give a row, an empty table none.
-    """
+def judge(spark: SparkSession, model: Crf):
+    """A function of texts to their columns lang_pred, score, n_words and n_switches, for use in tasks."""
     kept: list[Emissions] = []
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: BUCKETS times the languages, MOST_LANGUAGES at most
+    shared = spark.sparkContext.broadcast(model)  # of fixed size: BUCKETS times the languages, MOST_LANGUAGES at most
 
-    def measure(ids, texts):
+    def judged(texts):
         model = shared.value
-        out = {"doc_id": ids, "lang_pred": [], "score": [], "n_words": [], "n_switches": []}
+        out = {"lang_pred": [], "score": [], "n_words": [], "n_switches": []}
         if model.languages:
             if not kept:
                 kept.append(Emissions(model))
@@ -280,9 +277,20 @@ def predict(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str =
             out["score"].append(min(1.0, max(0.0, float(mean[i][at]))) if known else 0.0)
             out["n_words"].append(int(lengths[i]) if model.languages else len(normal_words(text)))
             out["n_switches"].append(int(switches[i]) if known else 0)
-        return out | {"held_out": pa.array([False] * len(texts))}
+        return out
+
+    return judged
 
-    found = common.map_texts(docs, measure, SCHEMA, id_col, text_col)
+
+def predict(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, held_out, lang_pred, score, n_words, n_switches) per row, from the text alone.
+
+    ``lang_pred`` has the highest mean marginal (ties: the first in order), ``score`` is that mean, ``n_switches`` how
+    often the words' best language changes. A null text, or one without a letter, is ``und`` with score 0; so is every
+    text if no language was learned. A null id isn't held out. Repeated rows each give a row, an empty table none.
+    """
+    judged = judge(docs.sparkSession, model)
+    found = common.map_texts(docs, lambda ids, texts: judged(texts) | {"doc_id": ids, "held_out": pa.array([False] * len(texts))}, SCHEMA, id_col, text_col)
     return found.withColumn("held_out", F.coalesce(common.crc32_mod("doc_id", HELD_OUT) == 0, F.lit(False)))
 
 
@@ -292,5 +300,20 @@ def identify_languages(docs: DataFrame, labelled: DataFrame | None = None, id_co
     return predict(docs, train(training_windows(known, id_col, text_col, lang_col)), id_col, text_col)
 
 
+def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of ``docs``, with all their columns, in a learned language; null texts, texts without a letter and those scored below ``least`` go.
+
+    Learns as ``identify_languages`` does. If no language can be learned, every row goes.
+    """
+    known = docs.filter(F.coalesce(common.crc32_mod(id_col, HELD_OUT) != 0, F.lit(True)))
+    judged = judge(docs.sparkSession, train(training_windows(known, id_col, text_col, lang_col)))
+
+    def verdict(texts):
+        out = judged(texts)
+        return [p != UNKNOWN and s >= least for p, s in zip(out["lang_pred"], out["score"], strict=True)]
+
+    return common.keep_texts(docs, verdict, text_col)
+
+
 def op8_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(common.table(spark, sf_dir, "documents"))

@@ -13,19 +13,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import common
 
-#: (bytes at most, lowest ratio, highest ratio) of a whole text; natural prose rises from about 1 to 3 over these lengths.
+#: (bytes, lowest ratio, highest ratio) of a whole text, interpolated over the logarithm of the length. They lie about
+#: 10 to 25 % around the ratios of prose of that length, and widen where texts get rare.
 BANDS = (
-    (128, 0.0, 8.0),
-    (256, 0.9, 4.0),
-    (512, 1.1, 3.6),
-    (2048, 1.25, 3.6),
-    (8192, 1.35, 4.0),
-    (65536, 1.4, 4.5),
-    (float("inf"), 1.4, 6.0),
+    (32, 0.65, 1.1),
+    (64, 0.72, 1.25),
+    (128, 0.95, 1.5),
+    (256, 1.18, 1.7),
+    (512, 1.36, 1.86),
+    (1024, 1.56, 2.04),
+    (2048, 1.76, 2.2),
+    (4096, 1.89, 2.32),
+    (8192, 2.02, 2.43),
+    (16384, 2.1, 2.55),
+    (65536, 2.1, 3.2),
+    (1 << 20, 1.9, 5.0),
 )
 CHUNK_BYTES = 4096
 #: Band of a chunk, and the share of a text's chunks that may lie outside.
-CHUNK_BAND = (1.2, 4.5)
+CHUNK_BAND = (1.7, 2.7)
 CHUNK_SHARE = 0.25
 LEVEL = 3
 MIN_WORDS = 10
@@ -61,10 +67,11 @@ def repeat_words(word_lists: list[list[bytes]], window: int = 5) -> np.ndarray:
     return common.segment_sums((np.cumsum(edge)[:total] > 0).astype(np.int64), lengths)
 
 
-def band_verdict(n_bytes: int, ratio: float, n_chunks: int, n_odd: int) -> bool:
-    """True if the text lies within the band of its length and few enough of its chunks lie outside theirs."""
-    low, high = next((lo, hi) for most, lo, hi in BANDS if n_bytes <= most)
-    return low <= ratio <= high and n_odd <= CHUNK_SHARE * n_chunks
+def band_verdict(n_bytes: np.ndarray, ratio: np.ndarray, n_chunks: np.ndarray, n_odd: np.ndarray) -> np.ndarray:
+    """True where a text lies within the band of its length and few enough of its chunks lie outside theirs."""
+    at, low, high = np.log2(np.maximum(n_bytes, 1)), *zip(*((lo, hi) for _, lo, hi in BANDS), strict=True)
+    knots = np.log2([n for n, _, _ in BANDS])
+    return (ratio >= np.interp(at, knots, low)) & (ratio <= np.interp(at, knots, high)) & (n_odd <= CHUNK_SHARE * n_chunks)
 
 
 def measure(ids, texts: list) -> dict:
@@ -89,7 +96,7 @@ def measure(ids, texts: list) -> dict:
         out["n_odd_chunks"].append(sum(not CHUNK_BAND[0] <= r <= CHUNK_BAND[1] for r in ratios))
     repeated = repeat_words(words)
     failed = (n_words < MIN_WORDS) | (100 * repeated > REPEAT_PERCENT * n_words)
-    good = np.fromiter(map(band_verdict, out["n_bytes"], out["ratio"], out["n_chunks"], out["n_odd_chunks"]), bool, len(words))
+    good = band_verdict(*(np.array(out[k], float) for k in ("n_bytes", "ratio", "n_chunks", "n_odd_chunks")))
     return out | {"doc_id": ids, "n_words": n_words, "n_repeat_words": repeated, "base_failed": failed, "kept": ~failed & good}
 
 
@@ -103,5 +110,10 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return common.map_texts(docs, measure, SCHEMA, id_col, text_col)
 
 
+def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text passes, with all their columns; the same edge cases. One Arrow pass without shuffle."""
+    return common.keep_texts(docs, lambda texts: measure(None, texts)["kept"], text_col)
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(common.table(spark, sf_dir, "documents"))

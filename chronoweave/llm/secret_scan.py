@@ -195,8 +195,11 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return with_spans(docs, rules, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col("__spans").alias("spans"))
 
 
-def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES, mark: str = MARK) -> DataFrame:
-    """``docs`` with each secret's characters replaced by ``mark`` (overlapping secrets by one); rows and columns stay."""
+def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES, mark: str = MARK, length_col: str | None = None) -> DataFrame:
+    """``docs`` with each secret's characters replaced by ``mark`` (overlapping secrets by one); rows and columns stay.
+
+    ``length_col`` names a column that holds the text's length and follows a change.
+    """
     text = F.col(text_col)
 
     def step(acc, s):
@@ -204,7 +207,11 @@ def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))).otherwise(F.struct(s["end"].alias("at"), kept.alias("out")))
 
     done = F.aggregate("__spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return with_spans(docs, rules, id_col, text_col).withColumn(text_col, F.when(F.size("__spans") > 0, done).otherwise(text)).drop("__spans")
+    spanned = with_spans(docs, rules, id_col, text_col)
+    out = spanned.withColumn(text_col, F.when(F.size("__spans") > 0, done).otherwise(text))
+    if length_col in docs.columns:
+        out = out.withColumn(length_col, F.when(F.size("__spans") > 0, F.length(text_col).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col)))
+    return out.drop("__spans")
 
 
 def _has_rank(rank: int):

@@ -101,5 +101,18 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return marked.join(reach, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that represent their group: the one of smallest id.
+
+    A row that repeats an id counts as the same document, so one of such rows stays. Rows without an id take part
+    under a number made of their text, above all usual ids, so they stay only where no row with an id is close.
+    """
+    own = F.coalesce(F.col(id_col).cast("long"), F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(text_col), 2))
+    named = docs.withColumn("__own", own)
+    groups = near_duplicate_groups(named, "__own", text_col)
+    first = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("__own")).distinct()
+    return named.join(first, "__own", "left_semi").dropDuplicates(["__own"]).select(*docs.columns)
+
+
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(common.table(spark, sf_dir, "documents"))
