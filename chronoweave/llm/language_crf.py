@@ -32,6 +32,9 @@ UNKNOWN = "und"
 #: Mean marginal below which no learned language accounts for a text.
 LEAST_SCORE = 0.4
 KEPT_WORDS = 200_000
+#: Bytes of text and distinct words of one numpy step; memory bounds.
+SLICE_BYTES = 2 << 20
+STEP_WORDS = 8_000
 HELD_OUT = 5
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, n_words long, n_switches long"
 LETTER = regex.compile(r"\p{L}")
@@ -239,7 +242,7 @@ class Emissions:
         if len(self.rows) > KEPT_WORDS:
             self.rows, self.table = {}, self.table[:0]
         new = [w for w in set().union(*lists) if w not in self.rows]
-        self.table = np.concatenate([self.table, *(self.model.emissions(new[i : i + 50_000]) for i in range(0, len(new), 50_000))])
+        self.table = np.concatenate([self.table, *(self.model.emissions(new[i : i + STEP_WORDS]) for i in range(0, len(new), STEP_WORDS))])
         self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))
         at = np.fromiter((self.rows[w] for ws in lists for w in ws), np.int64, sum(map(len, lists)))
         return self.table[at]
@@ -290,7 +293,7 @@ def predict(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str =
     text if no language was learned. A null id isn't held out. Repeated rows each give a row, an empty table none.
     """
     judged = judge(docs.sparkSession, model)
-    found = common.map_texts(docs, lambda ids, texts: judged(texts) | {"doc_id": ids, "held_out": pa.array([False] * len(texts))}, SCHEMA, id_col, text_col)
+    found = common.map_texts(docs, lambda ids, texts: judged(texts) | {"doc_id": ids, "held_out": pa.array([False] * len(texts))}, SCHEMA, id_col, text_col, SLICE_BYTES)
     return found.withColumn("held_out", F.coalesce(common.crc32_mod("doc_id", HELD_OUT) == 0, F.lit(False)))
 
 
@@ -312,7 +315,7 @@ def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         out = judged(texts)
         return [p != UNKNOWN and s >= least for p, s in zip(out["lang_pred"], out["score"], strict=True)]
 
-    return common.keep_texts(docs, verdict, text_col)
+    return common.keep_texts(docs, verdict, text_col, SLICE_BYTES)
 
 
 def op8_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
