@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import aggregate_queries, interval_queries, ordered_queries, projection_queries, sequence_queries, set_queries, stream_queries  # noqa: F401
+from .base import ORACLES, QUERIES  # noqa: F401
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-FLAGSHIP = ""
+FLAGSHIP = "phrase_numbers"
