@@ -97,7 +97,7 @@ def asof(left: DataFrame, right: DataFrame, at: str, on: Sequence[str], values:
     w = Window.partitionBy(*on).orderBy(at, "__side")
     found = F.last("__value", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     if first_if_none:
-        found = F.coalesce(found, F.first("__value", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+        found = F.coalesce(found, F.min("__value").over(Window.partitionBy(*on)))
     done = both.withColumn("__found", found).filter("__side = 1")
     return done.select(*left.columns, *(F.col("__found")[v].alias(v) for v in values))
 
@@ -109,7 +109,8 @@ def asof_nearest(left: DataFrame, right: DataFrame, at: str, on: Sequence[str],
     w = Window.partitionBy(*on).orderBy(at, "__side")
     both = l.unionByName(r, allowMissingColumns=True).withColumns({
         "__before": F.last("__at", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-        "__after": F.first("__at", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)),
+        # from the other end: a frame that only grows is one pass, one that shrinks isn't
+        "__after": F.last("__at", ignorenulls=True).over(Window.partitionBy(*on).orderBy(F.desc(at), "__side").rowsBetween(Window.unboundedPreceding, 0)),
     })
     nearer = F.when(F.col("__before").isNull(), F.col("__after")).when(F.col("__after").isNull(), F.col("__before")).when(F.col(at) - F.col("__before") <= F.col("__after") - F.col(at), F.col("__before")).otherwise(F.col("__after"))
     return both.filter("__side = 1").select(*left.columns, nearer.alias(to))
@@ -160,9 +161,9 @@ def chord_lookup(notes: DataFrame, windows: DataFrame, tol: float = 12.0) -> Dat
 
 
 def contamination(notes: DataFrame, width: float, on: Sequence[str] = ("track_id",)) -> DataFrame:
-    """(note_id, contamination): the sum over overlapping notes of other pitches of the share of the note that they cover."""
+    """(note_id, contamination): the sum over overlapping notes of other pitches of the share of the note that they cover; null for a note without length."""
     pairs = overlap_pairs(notes, notes, width, on).filter(F.col("pitch_a") != F.col("pitch_b"))
-    share = (F.least("end_ms_a", "end_ms_b") - F.greatest("start_ms_a", "start_ms_b")) / F.col("dur_ms_a")
+    share = F.try_divide(F.least("end_ms_a", "end_ms_b") - F.greatest("start_ms_a", "start_ms_b"), F.col("dur_ms_a"))
     return pairs.groupBy(F.col("note_id_a").alias("note_id")).agg(F.round(F.sum(share), 6).alias("contamination"))
 
 
@@ -171,7 +172,8 @@ def guidance_scores(notes: DataFrame, melody: DataFrame, near: float = 120.0, fi
     left = notes.select("note_id", "pitch", "start_ms", end_ms().alias("end_ms"), "dur_ms").withColumns({"__lo": F.col("start_ms") - near, "__hi": F.col("start_ms") + near})
     right = melody.select("group_id", "pitch", F.col("start_ms").alias("m_start"), end_ms().alias("m_end"), F.col("dur_ms").alias("m_dur"), "confidence")
     found = range_join(left, right, ("__lo", "__hi"), ("m_start", "m_start"), 2 * near, ("pitch",))
-    overlap = F.greatest(F.lit(0.0), F.least("end_ms", "m_end") - F.greatest("start_ms", "m_start")) / F.least("dur_ms", "m_dur")
+    overlap = F.greatest(F.lit(0.0), F.least("end_ms", "m_end") - F.greatest("start_ms", "m_start"))
+    overlap = F.coalesce(F.try_divide(overlap, F.least("dur_ms", "m_dur")), F.lit(0.0))
     onset = F.greatest(F.lit(0.0), 1 - F.abs(F.col("start_ms") - F.col("m_start")) / fit)
     score = F.round(F.col("confidence") * (0.68 * overlap + 0.32 * onset), 6)
     return found.withColumn("score", score).filter(F.col("score") >= least).groupBy("note_id", "group_id").agg(F.max("score").alias("score"))

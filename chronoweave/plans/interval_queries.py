@@ -114,13 +114,13 @@ def chord_lookup(spark, sf):
     return I.chord_lookup(n, windows)
 
 
-@query(f"""WITH {{N8}} SELECT a.note_id, round(sum((least(a.start_ms + a.dur_ms, b.start_ms + b.dur_ms) - greatest(a.start_ms, b.start_ms)) / a.dur_ms), 6) AS contamination
+@query(f"""WITH {{N8}} SELECT a.note_id, round(sum((least(a.start_ms + a.dur_ms, b.start_ms + b.dur_ms) - greatest(a.start_ms, b.start_ms)) / nullif(a.dur_ms, 0)), 6) AS contamination
 FROM n a JOIN n b ON a.track_id = b.track_id AND a.pitch <> b.pitch AND {_PAIRS} GROUP BY 1""")
 def contamination(spark, sf):
     return I.contamination(notes(spark, sf, 8), 400.0)
 
 
-@query("""WITH {N8}, p AS (SELECT a.note_id, b.track_id AS group_id, round(((b.note_id % 100) / 100.0::DOUBLE) * (0.68::DOUBLE * (greatest(0.0::DOUBLE, least(a.start_ms + a.dur_ms, b.start_ms + b.dur_ms) - greatest(a.start_ms, b.start_ms)) / least(a.dur_ms, b.dur_ms))
+@query("""WITH {N8}, p AS (SELECT a.note_id, b.track_id AS group_id, round(((b.note_id % 100) / 100.0::DOUBLE) * (0.68::DOUBLE * coalesce(greatest(0.0::DOUBLE, least(a.start_ms + a.dur_ms, b.start_ms + b.dur_ms) - greatest(a.start_ms, b.start_ms)) / nullif(least(a.dur_ms, b.dur_ms), 0), 0)
 + 0.32::DOUBLE * greatest(0.0::DOUBLE, 1 - abs(a.start_ms - b.start_ms) / 180.0::DOUBLE)), 6) AS score
 FROM n a JOIN n b ON a.track_id % 2 = 0 AND b.track_id % 2 = 1 AND a.pitch = b.pitch AND abs(a.start_ms - b.start_ms) <= 120)
 SELECT note_id, group_id, max(score) AS score FROM p WHERE score >= 0.42 GROUP BY 1, 2""")
