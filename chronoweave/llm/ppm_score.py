@@ -4,17 +4,20 @@ The model is a byte-context trie of fixed order, pretrained on the training docu
 symbols of longer contexts excluded. The trie is a set of DataFrames, one row per context and symbol, and every
 probability follows from a row, its parent's and sums over the context, so it is computed level by level with joins and
 windows (a window holds the symbols of one context, 256 at most). Texts lie in blocks in a table bucketed by block:
-each block asks for the distinct grams and words it has, gets an answer for each, and scores its texts.
+each block asks for the distinct grams and words it has, gets an answer for each, and scores its texts. Questions and
+answers travel as packed arrays, a row for each block and bucket of grams and words.
 """
 
 from __future__ import annotations
 
 import math
 import uuid
+import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +32,10 @@ HELD_OUT = (7, 2)
 START, END = 0, 255
 ALPHABET = 256
 BLOCKED = "block long, doc_id long, training boolean, text string"
-ASKED = "block long, place int, gram long, word binary, n long"
+ASKED = "block long, bucket long, grams binary, gram_counts binary, words binary, word_counts binary"
+ANSWERED = "block long, bucket long, is_gram boolean, answers binary"
+#: Bytes of text for each bucket of grams and words; buckets grow with the input, so a bucket doesn't.
+BUCKET_BYTES = 16 << 20
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -87,11 +93,40 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return own, np.bincount(back, counts, len(own)).astype(np.int64)
 
 
-def asked(blocks: DataFrame, order: int) -> DataFrame:
-    """Each block's distinct grams and words (columns of ASKED) with their counts in its training texts.
+def packed(values: np.ndarray) -> bytes:
+    """Integers or floats as compressed byte planes."""
+    return zstandard.compress(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes(), 1) if len(values) else b""
+
+
+def unpacked(data: bytes | None, kind=np.int64) -> np.ndarray:
+    if not data:
+        return np.zeros(0, kind)
+    raw = np.frombuffer(zstandard.decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
+
+
+def packed_words(words: list[bytes]) -> bytes | None:
+    return zstandard.compress(b" ".join(words), 3) if words else None
+
+
+def unpacked_words(data: bytes | None) -> list[bytes]:
+    return zstandard.decompress(data).split(b" ") if data else []
 
-    ``place`` is the rank among the block's grams, or words; the end token is the empty word.
-    """
+
+def by_bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of sorted ``keys`` by bucket, then key; and the ends of the buckets in it. ``buckets`` is odd, so the last byte doesn't decide."""
+    own = keys % buckets
+    return np.argsort(own, kind="stable"), np.cumsum(np.bincount(own, minlength=buckets))
+
+
+def words_by_bucket(words, buckets: int) -> tuple[list[bytes], np.ndarray]:
+    """``words`` in order of bucket, then word; and the ends of the buckets."""
+    placed = sorted((zlib.crc32(w) % buckets, w) for w in words)
+    return [w for _, w in placed], np.cumsum(np.bincount(np.fromiter((b for b, _ in placed), np.int64, len(placed)), minlength=buckets))
+
+
+def asked(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
+    """Each block's distinct grams and words with their counts in its training texts, a row a bucket that has any (columns of ASKED); the end token is the empty word."""
 
     def count(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
@@ -113,21 +148,68 @@ def asked(blocks: DataFrame, order: int) -> DataFrame:
             if len(parts) >= 16:
                 parts = [_merged(parts)]
         own, n = _merged(parts)
-        listed = sorted(words)
-        a, b = len(own), len(listed)
-        return pa.table(
-            {
-                "block": pa.array(np.full(a + b, block)),
-                "place": pa.array(np.r_[np.arange(a), np.arange(b)].astype(np.int32)),
-                "gram": pa.concat_arrays([pa.array(own), pa.nulls(b, pa.int64())]),
-                "word": pa.concat_arrays([pa.nulls(a, pa.binary()), pa.array(listed, pa.binary())]),
-                "n": pa.array(np.r_[n, np.fromiter(map(words.__getitem__, listed), np.int64, b)]),
-            }
-        )
+        at, ends = by_bucket(own, buckets)
+        own, n = own[at], n[at]
+        listed, word_ends = words_by_bucket(words, buckets)
+        word_n = np.fromiter(map(words.__getitem__, listed), np.int64, len(listed))
+        rows, a, c = [], 0, 0
+        for bucket, (b, d) in enumerate(zip(ends.tolist(), word_ends.tolist(), strict=True)):
+            if b > a or d > c:
+                rows.append((block, bucket, packed(np.diff(own[a:b], prepend=0)), packed(n[a:b]), packed_words(listed[c:d]), packed(word_n[c:d])))
+            a, c = b, d
+        return pa.table([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), *[pa.binary()] * 4), strict=True)], names=[x.split()[0] for x in ASKED.split(", ")])
 
     return blocks.groupBy("block").applyInArrow(count, ASKED)
 
 
+def gram_counts(questions: DataFrame) -> DataFrame:
+    """(gram, c): the training count of every gram of any block."""
+
+    def merge(table: pa.Table) -> pa.Table:
+        parts = []
+        for g, n in zip(table.column("grams"), table.column("gram_counts"), strict=True):
+            parts.append((np.cumsum(unpacked(g.as_py())), unpacked(n.as_py())))
+            if len(parts) >= 64:
+                parts = [_merged(parts)]
+        own, n = _merged(parts)
+        return pa.table({"gram": pa.array(own), "c": pa.array(n)})
+
+    return questions.select("bucket", "grams", "gram_counts").groupBy("bucket").applyInArrow(merge, "gram long, c long")
+
+
+def gram_answers(questions: DataFrame, probabilities: DataFrame, buckets: int) -> DataFrame:
+    """For each block and bucket the logarithms of its grams' probabilities, in its order."""
+
+    def answer(asked_of: pa.Table, known: pa.Table) -> pa.Table:
+        gram, value = known.column("gram").to_numpy(), known.column("value").to_numpy()
+        at = np.argsort(gram)
+        gram, value = gram[at], value[at].astype(np.float32)
+        out = [packed(value[np.searchsorted(gram, np.cumsum(unpacked(g.as_py())))]) for g in asked_of.column("grams")]
+        return pa.table({"block": asked_of.column("block"), "bucket": asked_of.column("bucket"), "is_gram": pa.array([True] * len(out), pa.bool_()), "answers": pa.array(out, pa.binary())})
+
+    keyed = probabilities.select(F.pmod("gram", F.lit(buckets)).alias("bucket"), "gram", F.log10("prob").alias("value"))
+    return questions.select("block", "bucket", "grams").groupBy("bucket").cogroup(keyed.groupBy("bucket")).applyInArrow(answer, ANSWERED)
+
+
+def word_answers(questions: DataFrame) -> DataFrame:
+    """For each block and bucket the training counts of its words; the bucket's sum of counts and number of trained words stand in one of its rows."""
+
+    def answer(table: pa.Table) -> pa.Table:
+        total: Counter = Counter()
+        for w, n in zip(table.column("words"), table.column("word_counts"), strict=True):
+            for word, k in zip(unpacked_words(w.as_py()), unpacked(n.as_py()).tolist(), strict=True):
+                total[word] += k
+        out = []
+        for w in table.column("words"):
+            own = unpacked_words(w.as_py())
+            out.append(packed(np.fromiter(map(total.__getitem__, own), np.int64, len(own))))
+        rest = [0] * (len(out) - 1)
+        sums = {"tokens": [sum(total.values()), *rest], "trained": [sum(k > 0 for k in total.values()), *rest]}
+        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "is_gram": pa.array([False] * len(out), pa.bool_()), "answers": pa.array(out, pa.binary())} | {k: pa.array(v, pa.int64()) for k, v in sums.items()})
+
+    return questions.select("block", "bucket", "words", "word_counts").groupBy("bucket").applyInArrow(answer, f"{ANSWERED}, tokens long, trained long")
+
+
 def gram_probabilities(counts: DataFrame, order: int) -> DataFrame:
     """(gram, prob) for every row of ``counts`` (gram, c): the model's probability of its symbol after its context.
 
@@ -163,40 +245,41 @@ def ppm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are learned from and scored each; an empty table gives no rows; other columns are ignored.
     """
     blocks = blocked(docs, id_col, text_col, block_bytes)
-    wanted = common.written(asked(blocks, order), "ppm-asked")
-    own = wanted.filter("gram IS NOT NULL")
-    probabilities = gram_probabilities(own.groupBy("gram").agg(F.sum("n").alias("c")), order)
-    gram_answers = own.join(probabilities, "gram").select("block", "place", F.lit(True).alias("is_gram"), F.log10("prob").cast("float").alias("value"))
-    by_word = Window.partitionBy("word")
-    words = wanted.filter("word IS NOT NULL").select("block", "place", F.sum("n").over(by_word).alias("c"), F.row_number().over(by_word.orderBy("block")).alias("r"))
-    words = common.written(words, "ppm-words")
-    total, distinct = words.filter("r = 1").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    answers = gram_answers.unionByName(words.select("block", "place", F.lit(False).alias("is_gram"), F.col("c").cast("double").alias("value")))
+    size = blocks.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES) | 1
+    questions = common.written(asked(blocks, order, buckets), "ppm-asked")
+    counts = common.written(gram_counts(questions), "ppm-counts")
+    words = common.written(word_answers(questions), "ppm-words")
+    total, distinct = words.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("trained"), F.lit(0))).first()
+    answers = gram_answers(questions, gram_probabilities(counts, order), buckets).unionByName(words.drop("tokens", "trained"))
 
     def score(texts_of: pa.Table, answers_of: pa.Table) -> pa.Table:
-        is_gram, place, value = (answers_of.column(n).to_numpy() for n in ("is_gram", "place", "value"))
-        gram_value = np.empty(int(is_gram.sum()))
-        gram_value[place[is_gram]] = value[is_gram]
-        word_count = np.empty(int((~is_gram).sum()))
-        word_count[place[~is_gram]] = value[~is_gram]
+        found = {True: {}, False: {}}
+        for bucket, is_gram, data in zip(*(answers_of.column(n).to_pylist() for n in ("bucket", "is_gram", "answers")), strict=True):
+            found[is_gram][bucket] = unpacked(data, np.float32 if is_gram else np.int64)
+        gram_value, word_count = (np.concatenate([own[b] for b in sorted(own)]) for own in (found[True], found[False]))
         keys_of, listed, slices = [], {b""}, list(_steps(texts_of))
         for _, _, texts in slices:
             own = np.sort(grams(texts, order)[0])
             keys_of.append(own[np.flatnonzero(np.r_[True, own[1:] != own[:-1]][: len(own)])])
             listed.update(*(t.split() for t in texts))
         keys = np.unique(np.concatenate(keys_of))
-        at = {w: i for i, w in enumerate(sorted(listed))}
+        value = np.empty(len(keys))
+        value[by_bucket(keys, buckets)[0]] = gram_value
+        at = {w: i for i, w in enumerate(words_by_bucket(listed, buckets)[0])}
+        end = at[b""]
         word_score = np.log10((word_count + 1) / (total + distinct + 1))
         out = []
         for ids, training, texts in slices:
             position, lengths = grams(texts, order)
-            scores = common.segment_sums(gram_value[np.searchsorted(keys, position)], lengths)
+            own, back = np.unique(position, return_inverse=True)
+            scores = common.segment_sums(value[np.searchsorted(keys, own)][back], lengths)
             base, n_tokens, n_known = [], [], []
             for t in texts:
                 i = np.fromiter(map(at.__getitem__, t.split()), np.int64)
-                base.append(math.fsum(word_score[i]) + word_score[0])
+                base.append(math.fsum(word_score[i]) + word_score[end])
                 n_tokens.append(len(i) + 1)
-                n_known.append(int((word_count[i] > 0).sum()) + int(word_count[0] > 0))
+                n_known.append(int((word_count[i] > 0).sum()) + int(word_count[end] > 0))
             n = len(texts)
             out.append(pa.table({"doc_id": ids, "held_out": pa.array(~training), "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array([int(total)] * n, pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(scores)}))
         return pa.concat_tables(out)
