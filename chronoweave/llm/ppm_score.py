@@ -33,7 +33,7 @@ START, END = 0, 255
 ALPHABET = 256
 BLOCKED = "block long, doc_id long, training boolean, text string"
 ASKED = "block long, bucket long, grams binary, gram_counts binary, words binary, word_counts binary"
-ANSWERED = "block long, bucket long, is_gram boolean, answers binary"
+ANSWERED = "block long, bucket long, is_gram boolean, asked binary, answers binary"
 #: Bytes of text for each bucket of grams and words; buckets grow with the input, so a bucket doesn't.
 BUCKET_BYTES = 16 << 20
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -43,14 +43,20 @@ def text_bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").lower()
 
 
+def _windows(data: np.ndarray, n: int) -> np.ndarray:
+    """Every ``n`` neighbouring bytes as one integer."""
+    if n == 1:
+        return data.astype(np.int64)
+    half = _windows(data, n // 2)
+    own = (half[: len(half) - n // 2] << 8 * (n // 2)) | half[n // 2 :]
+    return (own[: len(data) - n + 1] << 8) | data[n - 1 :] if n % 2 else own
+
+
 def grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     """Context and symbol of every position of the texts and their ends, packed into integers; and each text's positions."""
     data = np.frombuffer(b"".join(bytes([START]) * order + t + bytes([END]) for t in texts), np.uint8)
     lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-    keys = np.zeros(len(data) - order, np.int64)
-    for i in range(order + 1):
-        keys <<= 8
-        keys |= data[i : len(data) - order + i]
+    keys = _windows(data, order + 1)
     whole = lengths + order  # positions that span two texts are left out
     begins = np.cumsum(whole) - whole
     inside = np.ones(len(data), bool)
@@ -125,6 +131,35 @@ def words_by_bucket(words, buckets: int) -> tuple[list[bytes], np.ndarray]:
     return [w for _, w in placed], np.cumsum(np.bincount(np.fromiter((b for b, _ in placed), np.int64, len(placed)), minlength=buckets))
 
 
+class Places:
+    """Where each of distinct integers stands: a table of hashed places, looked up for whole arrays at once."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(8, len(keys).bit_length() + 2)
+        self.keys, self.shift, self.mask = keys, np.uint64(64 - bits), (1 << bits) - 1
+        self.table = np.full(1 << bits, -1, np.int32)
+        at, todo = self._hash(keys), np.arange(len(keys), dtype=np.int32)
+        while len(todo):
+            free = self.table[at] < 0
+            self.table[at[free]] = todo[free]
+            lost = self.table[at] != todo
+            at, todo = (at[lost] + 1) & self.mask, todo[lost]
+
+    def _hash(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def of(self, sought: np.ndarray) -> np.ndarray:
+        """The places of ``sought``, all of which are there."""
+        at = self._hash(sought)
+        found = self.table[at]
+        wrong = np.flatnonzero(self.keys[found] != sought)
+        while len(wrong):
+            at[wrong] = (at[wrong] + 1) & self.mask
+            found[wrong] = self.table[at[wrong]]
+            wrong = wrong[self.keys[found[wrong]] != sought[wrong]]
+        return found
+
+
 def asked(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
     """Each block's distinct grams and words with their counts in its training texts, a row a bucket that has any (columns of ASKED); the end token is the empty word."""
 
@@ -185,7 +220,7 @@ def gram_answers(questions: DataFrame, probabilities: DataFrame, buckets: int) -
         at = np.argsort(gram)
         gram, value = gram[at], value[at].astype(np.float32)
         out = [packed(value[np.searchsorted(gram, np.cumsum(unpacked(g.as_py())))]) for g in asked_of.column("grams")]
-        return pa.table({"block": asked_of.column("block"), "bucket": asked_of.column("bucket"), "is_gram": pa.array([True] * len(out), pa.bool_()), "answers": pa.array(out, pa.binary())})
+        return pa.table({"block": asked_of.column("block"), "bucket": asked_of.column("bucket"), "is_gram": pa.array([True] * len(out), pa.bool_()), "asked": asked_of.column("grams"), "answers": pa.array(out, pa.binary())})
 
     keyed = probabilities.select(F.pmod("gram", F.lit(buckets)).alias("bucket"), "gram", F.log10("prob").alias("value"))
     return questions.select("block", "bucket", "grams").groupBy("bucket").cogroup(keyed.groupBy("bucket")).applyInArrow(answer, ANSWERED)
@@ -205,7 +240,7 @@ def word_answers(questions: DataFrame) -> DataFrame:
             out.append(packed(np.fromiter(map(total.__getitem__, own), np.int64, len(own))))
         rest = [0] * (len(out) - 1)
         sums = {"tokens": [sum(total.values()), *rest], "trained": [sum(k > 0 for k in total.values()), *rest]}
-        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "is_gram": pa.array([False] * len(out), pa.bool_()), "answers": pa.array(out, pa.binary())} | {k: pa.array(v, pa.int64()) for k, v in sums.items()})
+        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "is_gram": pa.array([False] * len(out), pa.bool_()), "asked": table.column("words"), "answers": pa.array(out, pa.binary())} | {k: pa.array(v, pa.int64()) for k, v in sums.items()})
 
     return questions.select("block", "bucket", "words", "word_counts").groupBy("bucket").applyInArrow(answer, f"{ANSWERED}, tokens long, trained long")
 
@@ -254,26 +289,22 @@ def ppm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     answers = gram_answers(questions, gram_probabilities(counts, order), buckets).unionByName(words.drop("tokens", "trained"))
 
     def score(texts_of: pa.Table, answers_of: pa.Table) -> pa.Table:
-        found = {True: {}, False: {}}
-        for bucket, is_gram, data in zip(*(answers_of.column(n).to_pylist() for n in ("bucket", "is_gram", "answers")), strict=True):
-            found[is_gram][bucket] = unpacked(data, np.float32 if is_gram else np.int64)
-        gram_value, word_count = (np.concatenate([own[b] for b in sorted(own)]) for own in (found[True], found[False]))
-        keys_of, listed, slices = [], {b""}, list(_steps(texts_of))
-        for _, _, texts in slices:
-            own = np.sort(grams(texts, order)[0])
-            keys_of.append(own[np.flatnonzero(np.r_[True, own[1:] != own[:-1]][: len(own)])])
-            listed.update(*(t.split() for t in texts))
-        keys = np.unique(np.concatenate(keys_of))
-        value = np.empty(len(keys))
-        value[by_bucket(keys, buckets)[0]] = gram_value
-        at = {w: i for i, w in enumerate(words_by_bucket(listed, buckets)[0])}
+        keys, values, words, counts = [], [], [], []
+        for is_gram, sought, data in zip(*(answers_of.column(n).to_pylist() for n in ("is_gram", "asked", "answers")), strict=True):
+            if is_gram:
+                keys.append(np.cumsum(unpacked(sought)))
+                values.append(unpacked(data, np.float32))
+            else:
+                words += unpacked_words(sought)
+                counts.append(unpacked(data))
+        places, value, word_count = Places(np.concatenate(keys)), np.concatenate(values).astype(np.float64), np.concatenate(counts)
+        at = dict(zip(words, range(len(words)), strict=True))
         end = at[b""]
         word_score = np.log10((word_count + 1) / (total + distinct + 1))
         out = []
-        for ids, training, texts in slices:
+        for ids, training, texts in _steps(texts_of):
             position, lengths = grams(texts, order)
-            own, back = np.unique(position, return_inverse=True)
-            scores = common.segment_sums(value[np.searchsorted(keys, own)][back], lengths)
+            scores = common.segment_sums(value[places.of(position)], lengths)
             base, n_tokens, n_known = [], [], []
             for t in texts:
                 i = np.fromiter(map(at.__getitem__, t.split()), np.int64)
