@@ -21,8 +21,8 @@ from . import common
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 TEXT_SCHEMA = "doc_id long, ids array<int>, decoded string"
-#: Distinct words whose encodings a task keeps between slices; the memory bound, not a bound on the vocabulary.
-KEPT_WORDS = 250_000
+#: Distinct words whose encodings a Python worker keeps in each of two generations; a memory bound, not one on the vocabulary.
+KEPT_WORDS = 300_000
 #: str.split() also parts at these four, which are no white space to the tokenizer's patterns.
 SEPARATORS = regex.compile("[\x1c-\x1f]")
 SPACE = regex.compile(f"[{common.WHITE_SPACE}]+")
@@ -140,13 +140,17 @@ def words_of(text: str | None) -> list[str]:
     return [w for w in SPACE.split(text) if w] if SEPARATORS.search(text) else text.split()
 
 
-def _looked_up(path: str, kept: dict, texts: list, make) -> list[list[str]]:
-    """The words of each text, with every word in ``kept``."""
+@lru_cache(maxsize=4)
+def recent(path: str, what: str) -> common.Recent:
+    """Words encoded lately by this Python worker, over the tasks that it runs."""
+    return common.Recent(KEPT_WORDS)
+
+
+def _looked_up(path: str, kept: common.Recent, texts: list, make) -> list[list[str]]:
+    """The words of each text, with every word in ``kept.now``."""
     lists = [words_of(t) for t in texts]
-    if len(kept) > KEPT_WORDS:
-        kept.clear()
-    new = [w for w in set().union(*lists) if w not in kept]
-    kept.update(zip(new, map(make, tables(path).encode_words(new)), strict=True))
+    new = kept.missing(lists)
+    kept.put(new, map(make, tables(path).encode_words(new)))
     return lists
 
 
@@ -157,19 +161,20 @@ def bpe_digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id"
     none; other columns are ignored. ``path`` names a tokenizers JSON file with word ends that all executors can open.
     """
     path = path or public_tokenizers.path("word_bpe_49k.json")
-    kept: dict[str, tuple[int, str, str]] = {}
 
-    def shown(ids: np.ndarray) -> tuple[int, str, str]:
+    def shown(ids: np.ndarray) -> tuple[str, str]:
         own = ids.tolist()
-        return len(own), " ".join(map(str, own)), tables(path).decode(own)
+        return " ".join(map(str, own)), tables(path).decode(own)
 
     def measure(ids, texts):
+        kept = recent(path, "shown")
         out = {"doc_id": ids, "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
         for words in _looked_up(path, kept, texts, shown):
-            found = [kept[w] for w in words]
-            out["n_tokens"].append(sum(x[0] for x in found))
-            out["ids_sha256"].append(hashlib.sha256(" ".join([x[1] for x in found if x[0]]).encode()).hexdigest())
-            out["decoded_sha256"].append(hashlib.sha256(" ".join([x[2] for x in found if x[0]]).encode()).hexdigest())
+            codes, decoded = zip(*map(kept.now.__getitem__, words), strict=True) if words else ((), ())
+            line = " ".join(filter(None, codes)).encode()
+            out["n_tokens"].append(line.count(b" ") + 1 if line else 0)
+            out["ids_sha256"].append(hashlib.sha256(line).hexdigest())
+            out["decoded_sha256"].append(hashlib.sha256(" ".join(filter(None, decoded)).encode()).hexdigest())
         return out
 
     return common.map_texts(docs, measure, SCHEMA, id_col, text_col)
@@ -178,11 +183,11 @@ def bpe_digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id"
 def bpe_encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids, decoded) per document: the token ids themselves and the text decoded from them. Edge cases as in bpe_digests."""
     path = path or public_tokenizers.path("word_bpe_49k.json")
-    kept: dict[str, np.ndarray] = {}
 
     def encode(ids, texts):
+        kept = recent(path, "ids")
         lists = _looked_up(path, kept, texts, lambda x: x)
-        codes = [[int(i) for w in words for i in kept[w]] for words in lists]
+        codes = [[int(i) for w in words for i in kept.now[w]] for words in lists]
         return {"doc_id": ids, "ids": codes, "decoded": [tables(path).decode(x) for x in codes]}
 
     return common.map_texts(docs, lambda i, t: _typed(encode(i, t)), TEXT_SCHEMA, id_col, text_col)
