@@ -39,8 +39,19 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", r"[0-9a-f]{24,}"),  # a run of 24 or more is the same match as [0-9a-f]+ of that length
 )
+#: A private key goes to its END line. Without one it goes as far as what can only be its body: header lines, lines of
+#: base64 alone, and long runs of base64 with what ends their line; line breaks may be escaped, lines quoted or indented.
+#: Repeats are possessive, so a long text costs neither stack nor backtracking.
+_BREAK = r"""[\x20\t"',;]*+(?:[\r\n]|\\[nr])(?:[\x20\t\r\n>|"'#*]|\\[nrt])*+"""
+_LINE_ENDS = r"""(?=[\x20\t"',;]*+(?![^\r\n\\]))"""
+_BODY = (
+    rf"""(?:{_BREAK}(?:Proc-Type|DEK-Info|Content-Domain):[^\r\n\\"]*+"""
+    rf"""|{_BREAK}[A-Za-z0-9+/=]++{_LINE_ENDS}"""
+    r"""|(?:[\x20\t\r\n>|"',;#*]|\\[nrt])*+[A-Za-z0-9+/=]{24,}+"""
+    rf"""(?:[\x20\t]++[A-Za-z0-9+/=]++{_LINE_ENDS})?+)*+"""
+)
 MORE_RULES = (
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("private_key", rf"-----BEGIN [A-Z ]{{0,40}}PRIVATE KEY-----(?:[^-]*+(?:-{{1,4}}+[^-]++)*+-----END [A-Z ]{{0,40}}PRIVATE KEY-----|{_BODY})"),
     Rule("code_host", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("cloud_api", r"AIza[A-Za-z0-9_-]{35}"),

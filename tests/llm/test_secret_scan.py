@@ -60,6 +60,43 @@ def test_redaction_keeps_rows_and_columns(spark):
     assert rows[6].count(S.MARK) == 3 and rows[7] == DOCS[6][1] and len(rows[9]) < 301_100
 
 
+B64 = "".join(chr(65 + i * 7 % 26) + "q9+/xZ"[i % 6] for i in range(400))
+LINES = [B64[i : i + 64] for i in range(0, len(B64), 64)]
+LINES[-1] = LINES[-1][:11] + "="
+END = "-----END RSA PRIVATE KEY-----"
+HEAD = "-----BEGIN RSA PRIVATE KEY-----"
+KEYS = [
+    "\n".join([HEAD, *LINES, END]),
+    "\r\n".join([HEAD, *LINES, END]),
+    "\\n".join([HEAD, *LINES, END]),
+    " ".join([HEAD, *LINES, END]),
+    "\n".join([HEAD, "Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-256-CBC,00FF00FF00FF00FF", "", *LINES, END]),
+    "\n    ".join([HEAD, *LINES, END]),
+    " +\n".join(f'"{x}\\n"' for x in [HEAD, *LINES, END])[1:-3],
+    "\n".join([HEAD, *(B64[i : i + 10] for i in range(0, len(B64), 10)), END]),
+    # without END
+    "\n".join([HEAD, *LINES]),
+    "\\n".join([HEAD, *LINES]),
+    " ".join([HEAD, *LINES]),
+    "\n> ".join([HEAD, *LINES]),
+    "\n".join([HEAD, "Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-256-CBC,00FF00FF00FF00FF", "", *LINES]),
+]
+
+
+def test_no_part_of_a_private_key_survives(spark):
+    docs = [(i, f"before it\n{k}\nand after it, é. Words stay here.") for i, k in enumerate(KEYS)]
+    docs += [(100, f"two: {KEYS[0]}\nbetween the two\n{KEYS[1]} end"), (101, HEAD + " opens a key. It is long."), (102, f"{HEAD}\nThen come lines of text.")]
+    docs += [(103, f"{HEAD}\n" + "\n".join(LINES * 4000)), (104, f"{HEAD}\n" + "\n".join(LINES * 4000) + f"\n{END} tail"), (105, HEAD + "\n" + "a-b " * 100_000)]
+    rows = {r["doc_id"]: r["text"] for r in S.redact_secrets(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for i, _ in enumerate(KEYS):
+        assert rows[i] == f"before it\n{S.MARK}\nand after it, é. Words stay here.", (i, rows[i])
+    assert rows[100] == f"two: {S.MARK}\nbetween the two\n{S.MARK} end"
+    assert rows[101] == S.MARK + " opens a key. It is long." and rows[102] == S.MARK + "\nThen come lines of text."
+    assert rows[103] == S.MARK and rows[104] == S.MARK + " tail" and rows[105] == S.MARK + "\n" + "a-b " * 100_000
+    got = S.find_secrets(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {r[0]: [tuple(s) for s in r[1]] for r in got.collect()} == {i: brute(t) for i, t in docs}
+
+
 def test_empty_table_and_digest(spark, tmp_path):
     assert S.find_secrets(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     (tmp_path / "d").mkdir()
