@@ -125,6 +125,36 @@ def snap_nearest(rows: DataFrame, targets: DataFrame, tol: float) -> DataFrame:
     return found.groupBy("note_id").agg(best.alias("b")).select("note_id", "b.target_ms", "b.shift")
 
 
+def snap_nearest_within(rows: DataFrame, targets: DataFrame, tol: float, kinds: Sequence[int], on: Sequence[str] = ("track_id",)) -> DataFrame:
+    """As ``snap_nearest``, but each row only meets the targets (*on, kind_rank, target_id, target_ms) of its key, and never the target of its own note_id.
+
+    Targets are dealt to the time buckets that they can be reached from, edges to their own; in a bucket the nearest
+    target on either side comes from windows whose frames only grow. No pairs are made, and a hot key is many buckets.
+    A note has one target of a kind at most, so beside the nearest the one next to it is carried.
+    """
+    width, reach = 2 * tol, tol * 1.001
+    bucket = lambda at: F.floor(at / width)
+    edges = rows.select(*on, "note_id", F.explode(F.array("start_ms", end_ms())).alias("at"), F.lit(1).alias("__side"))
+    edges = edges.withColumn("kind_rank", F.explode(F.array(*map(F.lit, kinds)))).withColumn("__bucket", bucket(F.col("at")))
+    t = F.col("target_ms")
+    dealt = targets.select(*on, "kind_rank", t.alias("at"), F.col("target_id").alias("note_id"), F.explode(F.sequence(bucket(t - reach), bucket(t + reach))).alias("__bucket"))
+    both = dealt.withColumn("__side", F.lit(0)).unionByName(edges)
+    group = [*on, "kind_rank", "__bucket"]
+    one = F.when(F.col("__side") == 0, F.struct("at", "note_id"))
+    found = {}
+    for name, order in (("before", F.col("at")), ("after", F.desc("at"))):
+        w = Window.partitionBy(*group).orderBy(order, "__side", "note_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        beside = Window.partitionBy(*group, "__side").orderBy(order, "note_id")
+        both = both.withColumn(f"__one_{name}", F.when(F.col("__side") == 0, F.struct(one.alias("own"), F.lag("at").over(beside).alias("next"))))
+        found[name] = F.last(f"__one_{name}", ignorenulls=True).over(w)
+    both = both.withColumns({f"__{k}": v for k, v in found.items()}).filter("__side = 1")
+    picked = F.array(*(F.when(F.col(f"__{k}.own.note_id") == F.col("note_id"), F.col(f"__{k}.next")).otherwise(F.col(f"__{k}.own.at")) for k in found))
+    close = both.select("note_id", "kind_rank", F.col("at").alias("edge"), F.explode(picked).alias("target_ms")).filter((t >= F.col("edge") - tol) & (t <= F.col("edge") + tol))
+    shift = t - F.col("edge")
+    best = F.min(F.struct("kind_rank", F.abs(shift).alias("distance"), shift.alias("shift"), t.alias("target_ms")))
+    return close.groupBy("note_id").agg(best.alias("b")).select("note_id", "b.target_ms", "b.shift")
+
+
 def fragment_assign(estimates: DataFrame, references: DataFrame, width: float, on: Sequence[str] = ("pitch",)) -> DataFrame:
     """(note_id_a, note_id_b): each estimate's reference by largest overlap, then nearest start, then id."""
     pairs = overlap_pairs(estimates, references, width, on)
@@ -136,12 +166,15 @@ def fragment_assign(estimates: DataFrame, references: DataFrame, width: float, o
 def zone_lookup(notes: DataFrame, zones: DataFrame) -> DataFrame:
     """(note_id, zone_id): the zone whose pitch and velocity ranges hold the note: nearest root, then nearest middle velocity, then id.
 
-    ``zones`` is exploded over its pitches (128 at most a zone), so the join is an equi-join on pitch.
+    A note's zone depends on its pitch and velocity alone. ``zones`` is exploded over both, its best row a pair is kept
+    (128 x 128 at most), and notes look theirs up, so work grows with notes plus zones and not with their pairs.
     """
-    keyed = zones.withColumn("pitch", F.explode(F.sequence("low_pitch", "high_pitch")))
+    ranges = zones.filter("low_pitch <= high_pitch AND low_vel <= high_vel")
+    keyed = ranges.withColumn("pitch", F.explode(F.sequence("low_pitch", "high_pitch"))).withColumn("vel", F.explode(F.sequence("low_vel", "high_vel")))
     middle = (F.col("low_vel") + F.col("high_vel")) / 2
     key = F.struct(F.abs(F.col("pitch") - F.col("root")), F.abs(F.col("vel") - middle), F.col("zone_id"))
-    return notes.join(keyed, "pitch").filter(F.col("vel").between(F.col("low_vel"), F.col("high_vel"))).groupBy("note_id").agg(F.min_by("zone_id", key).alias("zone_id"))
+    best = keyed.groupBy("pitch", "vel").agg(F.min_by("zone_id", key).alias("zone_id"))
+    return notes.join(best, ["pitch", "vel"]).select("note_id", "zone_id")
 
 
 def event_window_join(notes: DataFrame, window_ms: float) -> DataFrame:

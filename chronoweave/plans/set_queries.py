@@ -20,6 +20,13 @@ def union_tracks(spark, sf):
     return a.unionByName(table(spark, sf, "part").filter("p_partkey < 50").select(F.col("p_partkey").alias("k"), F.col("p_size").cast("double").alias("v")))
 
 
+@query("SELECT l_suppkey AS k, l_quantity AS v FROM lineitem UNION ALL SELECT p_partkey, CAST(p_size AS DOUBLE) FROM part")
+def union_tracks_whole(spark, sf):
+    """``union_tracks`` over all rows."""
+    a = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("k"), F.col("l_quantity").alias("v"))
+    return a.unionByName(table(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").cast("double").alias("v")))
+
+
 @query("SELECT l_partkey, l_quantity FROM lineitem WHERE l_linenumber <= 3 INTERSECT ALL SELECT l_partkey, l_quantity FROM lineitem WHERE l_linenumber > 3")
 def intersect_all(spark, sf):
     rows = table(spark, sf, "lineitem").select("l_partkey", "l_quantity", "l_linenumber")
