@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step handles; a longer text is a step of its own.
 STEP_BYTES = 4 << 20
+#: Rows of one join key from which it may be joined by broadcast.
+HOT_ROWS = 10_000
 #: White space by the Unicode property, for a character class; str.isspace() holds four control characters more.
 WHITE_SPACE = r"\t-\r\x20\x85\xa0" + "".join(rf"\u{c:04x}" for c in (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 
@@ -24,23 +26,69 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``, or the session's own checkpoint folder.
+
+    Where neither is set, a local master gets a temporary folder; on a cluster that is an error, as executors wouldn't
+    see each other's files.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if (found := spark.sparkContext.getCheckpointDir()) is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             found = "file://" + tempfile.mkdtemp(prefix="spark-")
             spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def new_path(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back: later uses and lost executors don't recompute it."""
+    """``df`` written once to the shared folder and read back: later uses and lost executors don't recompute it.
+
+    Results are lazy and read these files when they run, so the files stay as long as the shared folder keeps them;
+    what an operator has itself finished reading it ``remove``s.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = new_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(df: DataFrame) -> None:
+    """Deletes the files that ``df``, a result of ``written``, reads."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """``wanted``, with underscores added until no column of ``df`` has that name."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
+def join_counted(big: DataFrame, small: DataFrame, key: str, rows: str, how: str = "inner", least: int = HOT_ROWS) -> DataFrame:
+    """``big`` joined on ``key`` with ``small``, which has a row a key and in ``rows`` the number of its rows in ``big``.
+
+    Keys of ``least`` rows and a thousandth of all rows, so 1,000 keys at most, are joined by broadcast and their rows
+    of ``big`` stay where they are; the others by a shuffle, in which no key holds more than that.
+    """
+    total = small.agg(F.coalesce(F.sum(rows), F.lit(0))).first()[0]
+    is_hot = F.col(rows) >= max(least, total / 1000)
+    hot, rest = small.filter(is_hot).drop(rows), small.filter(~is_hot).drop(rows)
+    if hot.isEmpty():
+        return big.join(rest, key, how)
+    cold = big.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return big.join(F.broadcast(hot), key).unionByName(cold.join(rest, key, how))
+
+
 def word_bytes(text: str | None, lower: bool = False) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` as UTF-8; ``lower`` changes A-Z alone. bytes.split() parts at just these six characters."""
     if not text:

@@ -3,11 +3,15 @@
 Vectors are grouped by their nearest pivot and packed into blocks of a group. From small summaries of the groups
 (radius, norms, the distances of the members nearest to the pivot) follow, for each block of queries, a score that its
 k-th result reaches at least and the score that no member of a group can exceed; the query block goes only to groups
-that can reach the former. Blocks are solved by matrix products, and results of all groups meet in a top-k a query.
+that can reach the former, once for each of a group's data blocks. Blocks are solved by matrix products, and results
+of all groups meet in a top-k a query.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,9 +19,15 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Bounds: pivots (they and the summaries of their groups are all that reaches the driver), rows of a block of data and of queries.
-MOST_PIVOTS = 64
+#: A vector length gets a pivot for each PIVOT_STEP of the square root of its rows, if it has PIVOT_ROWS rows at all.
+PIVOT_STEP = 4
 PIVOT_ROWS = 1000
+#: Bounds of what reaches the driver and is broadcast: bytes of all pivots, and lengths that have any; other lengths are one group each.
+PIVOT_BYTES = 64 << 20
+PIVOT_LENGTHS = 256
+#: Summaries of a group meet in parts of so many blocks first.
+PART_BLOCKS = 1024
+#: Rows of a block of data and of queries.
 DATA_ROWS = 4096
 QUERY_ROWS = 512
 SCALE = 256
@@ -25,14 +35,26 @@ TOP = 5
 EVERY = 50
 #: Integers that a double holds exactly.
 EXACT = 1 << 53
-BLOCK = "is_query boolean, dim int, g int, salt long, ids binary, rows binary, wide boolean, radius double, low2 double, high2 double, near array<double>, near2 array<double>"
+#: Quantised components are smaller than this; larger ones are an error.
+MOST_COMPONENT = 1 << 62
+BLOCK = "dim int, g int, salt long, ids binary, rows binary, wide boolean, radius double, low2 double, high2 double, near array<struct<away:double,norm2:double,id:long>>"
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
-    """(vec_id, v): floor(scale * x) of each component as integers; rows without an id, null, or with null or non-finite components are left out."""
+    """(vec_id, v): floor(scale * x) of each component as integers.
+
+    Rows without an id, vectors that are null or empty, and those that hold null or non-finite components are left out;
+    equal rows count once. A finite component whose product reaches 2^62 fits no integer here and is an error.
+    """
     x = F.col(vector_col).cast("array<double>")
-    whole = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float(1 << 40))))
-    return vectors.filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & (F.size(x) > 0) & whole).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(F.lit(float(scale)) * c)).alias("v")).distinct()
+    finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != F.lit(float("inf"))))
+
+    def whole(c):
+        scaled = F.lit(float(scale)) * c
+        return F.when(F.abs(scaled) < float(MOST_COMPONENT), F.floor(scaled)).otherwise(F.raise_error(F.concat(F.lit("component too large: "), c.cast("string"))).cast("long"))
+
+    kept = vectors.filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & (F.size(x) > 0) & finite)
+    return kept.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, whole).alias("v")).distinct()
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
@@ -40,22 +62,38 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, dim)
 
 
-def pivots_of(vectors: DataFrame, most: int = MOST_PIVOTS) -> dict[int, np.ndarray]:
-    """For each dimension its pivots: about a row in PIVOT_ROWS, 1 to ``most``, chosen by hash."""
-    out = {}
-    for r in vectors.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(256).collect():
-        own = vectors.filter(F.size("v") == r["dim"])
-        n = max(1, min(most, r["count"] // PIVOT_ROWS))
-        share = min(1.0, 20 * n / r["count"])  # far more than n rows with near certainty, so few are sorted
-        near = own.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < max(1, round(share * (1 << 20)))) if share < 1 else own
-        found = near.orderBy(F.xxhash64("vec_id"), "vec_id").limit(n).collect() or own.limit(1).collect()
-        out[r["dim"]] = np.array([x["v"] for x in found], float)
-    return out
+def pivots_of(vectors: DataFrame, step: float = PIVOT_STEP, rows: int = PIVOT_ROWS, most_bytes: int = PIVOT_BYTES) -> dict[int, np.ndarray]:
+    """The pivots of each vector length that has several, chosen by hash in one pass; ``most_bytes`` at most.
+
+    Their number grows with the square root of the length's rows. Lengths without pivots are one group around zero.
+    """
+    counts = vectors.groupBy(F.size("v").alias("dim")).count().filter(F.col("count") >= rows).orderBy(F.desc("count"), "dim").limit(PIVOT_LENGTHS).collect()
+    wanted = {r["dim"]: min(math.ceil(math.sqrt(r["count"]) / step), most_bytes // (8 * r["dim"] * len(counts))) for r in counts}
+    wanted = {dim: n for dim, n in wanted.items() if n > 1}
+    if not wanted:
+        return {}
+    # a few times as many as are wanted are drawn, so that a sort of few rows gives the number
+    share = {r["dim"]: min(1.0, (4 * wanted[r["dim"]] + 40) / r["count"]) for r in counts if r["dim"] in wanted}
+    spec = vectors.sparkSession.createDataFrame([(dim, n, share[dim]) for dim, n in wanted.items()], "dim int, wanted long, share double")
+    hashed = vectors.withColumns({"dim": F.size("v"), "h": F.xxhash64("vec_id", "v")})
+    drawn = hashed.join(F.broadcast(spec), "dim").filter(F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53)) < F.col("share"))
+    place = F.row_number().over(Window.partitionBy("dim").orderBy("h", "vec_id", "v"))
+    out: dict[int, list] = {}
+    for r in drawn.withColumn("place", place).filter("place <= wanted").select("dim", "v").collect():
+        out.setdefault(r["dim"], []).append(r["v"])
+    return {dim: np.array(sorted(own), float) for dim, own in out.items()}
+
+
+def _centres(pivots: dict[int, np.ndarray], dim: int) -> np.ndarray:
+    return pivots[dim] if dim in pivots else np.zeros((1, dim))
+
 
+def blocks_of(vectors: DataFrame, pivots: dict[int, np.ndarray], rows: int, keep: int) -> DataFrame:
+    """``vectors`` in blocks of about ``rows`` of one pivot's group, with each block's summary (columns of BLOCK).
 
-def blocks_of(vectors: DataFrame, pivots: dict[int, np.ndarray], rows: int, is_query: bool, keep: int) -> DataFrame:
-    """``vectors`` in blocks of about ``rows`` of one pivot's group, with each block's summary (columns of BLOCK)."""
-    centres = vectors.sparkSession.sparkContext.broadcast(pivots)  # MOST_PIVOTS vectors a dimension
+    ``near`` has the ``keep`` distinct ids nearest to the pivot, each with its nearest vector.
+    """
+    shared = vectors.sparkSession.sparkContext.broadcast(pivots)  # PIVOT_BYTES at most
 
     def nearest(batches):
         for batch in batches:
@@ -63,27 +101,28 @@ def blocks_of(vectors: DataFrame, pivots: dict[int, np.ndarray], rows: int, is_q
             for dim in np.unique(dims):
                 own = batch.take(pa.array(np.flatnonzero(dims == dim)))
                 x = _matrix(own.column(1), dim).astype(float)
-                p = centres.value.get(int(dim), np.zeros((1, int(dim))))
-                g = ((p**2).sum(1) - 2 * (x @ p.T)).argmin(1)
+                p = _centres(shared.value, int(dim))
+                g = np.concatenate([((p**2).sum(1) - 2 * (x[i : i + 512] @ p.T)).argmin(1) for i in range(0, len(x), 512)])
                 yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(np.full(len(x), dim, np.int32)), pa.array(g.astype(np.int32))], names=["vec_id", "v", "dim", "g"])
 
     grouped = common.written(vectors.mapInArrow(nearest, "vec_id long, v array<long>, dim int, g int"), "voronoi-groups")
     sizes = grouped.groupBy("dim", "g").agg(F.ceil(F.count("*") / rows).alias("salts"))
-    salted = grouped.join(F.broadcast(sizes), ["dim", "g"]).withColumn("salt", F.pmod(F.xxhash64("vec_id", "v"), F.col("salts"))).select("dim", "g", "salt", "vec_id", "v")  # sizes has a row a pivot
+    salted = grouped.join(sizes, ["dim", "g"]).withColumn("salt", F.pmod(F.xxhash64("vec_id", "v"), F.col("salts"))).select("dim", "g", "salt", "vec_id", "v")
+    fields = ["dim", "g", "salt", "ids", "rows", "wide", "radius", "low2", "high2", "near"]
+    near_type = pa.list_(pa.struct([("away", pa.float64()), ("norm2", pa.float64()), ("id", pa.int64())]))
+    types = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.bool_(), pa.float64(), pa.float64(), pa.float64(), near_type]
 
     def packed(table: pa.Table) -> pa.Table:
         dim, g, salt = (table.column(n)[0].as_py() for n in ("dim", "g", "salt"))
-        x = _matrix(table.column("v"), dim)
-        centre = centres.value.get(dim, np.zeros((1, dim)))[g]
-        away = np.sqrt(((x - centre) ** 2).sum(1))
+        x, ids = _matrix(table.column("v"), dim), table.column("vec_id").combine_chunks().to_numpy()
+        away = np.sqrt(((x - _centres(shared.value, dim)[g]) ** 2).sum(1))
         norm2 = (x.astype(float) ** 2).sum(1)
-        first = np.argsort(away, kind="stable")[:keep]
+        order = np.argsort(away, kind="stable")
+        first = order[np.sort(np.unique(ids[order], return_index=True)[1])][:keep]
+        near = [{"away": float(away[i]), "norm2": float(norm2[i]), "id": int(ids[i])} for i in first]
         wide = bool(np.abs(x).max() >= 1 << 15)
-        row = {
-            "is_query": is_query, "dim": dim, "g": g, "salt": salt, "ids": table.column("vec_id").combine_chunks().to_numpy().tobytes(), "rows": x.astype(np.int64 if wide else np.int16).tobytes(), "wide": wide,
-            "radius": float(away.max()), "low2": float(norm2.min()), "high2": float(norm2.max()), "near": away[first].tolist(), "near2": norm2[first].tolist(),
-        }
-        return pa.Table.from_pylist([row], schema=pa.schema([("is_query", pa.bool_()), ("dim", pa.int32()), ("g", pa.int32()), ("salt", pa.int64()), ("ids", pa.binary()), ("rows", pa.binary()), ("wide", pa.bool_()), ("radius", pa.float64()), ("low2", pa.float64()), ("high2", pa.float64()), ("near", pa.list_(pa.float64())), ("near2", pa.list_(pa.float64()))]))
+        row = (dim, g, salt, ids.tobytes(), x.astype(np.int64 if wide else np.int16).tobytes(), wide, float(away.max()), float(norm2.min()), float(norm2.max()), near)
+        return pa.table([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=fields)
 
     return common.written(salted.groupBy("dim", "g", "salt").applyInArrow(packed, BLOCK), "voronoi-blocks")
 
@@ -92,14 +131,71 @@ def reachable(centre: np.ndarray, radius: float, low2: float, high2: float, grou
     """For queries within ``radius`` of ``centre`` and squared norms in [low2, high2]: a score that the k-th result reaches, and the groups that can reach it.
 
     2 q.x = |q|^2 + |x|^2 - |q - x|^2, and the distance lies within the triangle's bounds around the pivots. One more
-    than k members count, as a query may be one of them. Bounds are widened a little against rounding.
+    than k distinct ids count, as a query's own may be one of them. Bounds are widened by far more than rounding takes.
     """
     apart = np.sqrt(((pivots - centre) ** 2).sum(1))
-    sure = np.concatenate([low2 + np.array(s["near2"]) - (radius + apart[s["g"]] + np.array(s["near"])) ** 2 for s in groups])
-    floor = np.sort(sure)[-(k + 1)] / 2 if len(sure) > k else -np.inf
-    floor -= 1 + 1e-9 * abs(floor) if np.isfinite(floor) else 0
-    best = [(s["g"], (high2 + s["high2"] - max(0.0, apart[s["g"]] - radius - s["radius"]) ** 2) / 2) for s in groups]
-    return float(floor), [g for g, most in best if most + 1e-9 * abs(most) >= floor]
+    sure: dict[int, float] = {}
+    for s in groups:
+        for away, norm2, vec_id in s["near"]:
+            far2 = (radius + apart[s["g"]] + away) ** 2
+            least = low2 + norm2 - far2 - 1e-9 * (low2 + norm2 + far2)
+            sure[vec_id] = max(sure.get(vec_id, -np.inf), least)
+    floor = heapq.nlargest(k + 1, sure.values())[-1] / 2 - 1 if len(sure) > k else -np.inf
+    best = []
+    for s in groups:
+        gap2 = max(0.0, apart[s["g"]] - radius - s["radius"]) ** 2
+        best.append((s["g"], (high2 + s["high2"] - gap2 + 1e-9 * (high2 + s["high2"] + gap2)) / 2 + 1))
+    return float(floor), [g for g, most in best if most >= floor]
+
+
+def _nearest_ids(blocks: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """(keys, near): the ``most`` distinct ids nearest to the pivot over the summaries ``near`` of the rows of each key."""
+    one = blocks.select(*keys, F.explode("near").alias("x")).groupBy(*keys, "x.id").agg(F.min("x").alias("x"))
+    return one.groupBy(*keys).agg(F.slice(F.array_sort(F.collect_list("x")), 1, most).alias("near"))
+
+
+def _product(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    top = max(int(np.abs(q).max(initial=0)) * int(np.abs(x).max(initial=0)) * q.shape[1], 1)
+    if top < EXACT:
+        return (q.astype(float) @ x.astype(float).T).astype(np.int64)
+    return q @ x.T if top < 1 << 63 else q.astype(object) @ x.astype(object).T
+
+
+def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Exact inner products of the rows (int64): integers, or objects where they may not fit; only rows of large components pay for these."""
+    whole = max(int(np.abs(q).max(initial=0)) * int(np.abs(x).max(initial=0)) * q.shape[1], 1)
+    if whole < EXACT:
+        return _product(q, x)
+    most = math.isqrt((EXACT - 1) // q.shape[1])
+    out = np.empty((len(q), len(x)), np.int64 if whole < 1 << 63 else object)
+    q_small, x_small = (np.abs(m).max(axis=1) <= most for m in (q, x))
+    for a in (np.flatnonzero(q_small), np.flatnonzero(~q_small)):
+        for b in (np.flatnonzero(x_small), np.flatnonzero(~x_small)):
+            if len(a) and len(b):
+                out[np.ix_(a, b)] = _product(q[a], x[b])
+    return out
+
+
+def best_of_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query's row, id, score) of each query's ``k`` best other ids in one block; an id's best vector counts."""
+    order = np.argsort(ids, kind="stable")
+    ids, starts = np.unique(ids[order], return_index=True)
+    score = np.maximum.reduceat(products(q, x[order]), starts, axis=1)
+    if score.dtype == object:
+        rows = [(i, int(d), s) for i, own in enumerate(score) for s, d in heapq.nsmallest(k, ((-s, d) for s, d in zip(own, ids, strict=True) if d != q_ids[i] and s >= least))]
+        if any(abs(s) >= 1 << 63 for _, _, s in rows):
+            raise OverflowError("an inner product among the best of a block doesn't fit a long")
+        return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), np.array([-r[2] for r in rows], np.int64)
+    low = np.iinfo(np.int64).min  # below every score: these are under 2^63 in size
+    score[q_ids[:, None] == ids[None, :]] = low
+    n = min(k, len(ids))
+    edge = np.partition(score, len(ids) - n, axis=1)[:, len(ids) - n]
+    a, b = np.nonzero((score >= np.maximum(edge, low + 1)[:, None]) & (score >= least))
+    own = score[a, b]
+    order = np.lexsort((ids[b], -own, a))  # ties beyond the k-th go by id, so few rows remain a query
+    a, b, own = a[order], b[order], own[order]
+    some = np.arange(len(a)) - np.searchsorted(a, a) < n
+    return a[some], ids[b[some]], own[some]
 
 
 def voronoi_top_k(queries: DataFrame, data: DataFrame, k: int = TOP, query_rows: int = QUERY_ROWS, data_rows: int = DATA_ROWS, pivots: dict | None = None) -> DataFrame:
@@ -107,56 +203,59 @@ def voronoi_top_k(queries: DataFrame, data: DataFrame, k: int = TOP, query_rows:
 
     Both are (vec_id, v) as of ``quantised``: equal rows count once, vectors meet only those of their length. A row
     with the query's id isn't its result; fewer than ``k`` others give fewer rows; no queries or data give none. An id
-    with several vectors is a query, and a candidate, with each; as a candidate its best score counts once.
+    with several vectors is a query, and a candidate, with each; as a candidate its best score counts once. A score
+    that doesn't fit a long, where it is among the best of a block, is an error.
     """
-    pivots = pivots or pivots_of(data)
-    found = blocks_of(data, pivots, data_rows, False, k + 1)
-    asked = blocks_of(queries, pivots, query_rows, True, 0)
-    order = F.slice(F.array_sort(F.flatten(F.collect_list(F.arrays_zip("near", "near2")))), 1, k + 1)
-    summary = found.groupBy("dim", "g").agg(F.max("radius").alias("radius"), F.max("high2").alias("high2"), order.alias("near")).collect()  # a row a pivot
+    pivots = pivots_of(data) if pivots is None else pivots
+    found = blocks_of(data, pivots, data_rows, k + 1)
+    asked = blocks_of(queries, pivots, query_rows, 0)
+    several = F.col("dim").isin([dim for dim, own in pivots.items() if len(own) > 1])
+    own = found.filter(several).withColumn("part", F.floor(F.col("salt") / PART_BLOCKS))
+    near = _nearest_ids(_nearest_ids(own, ["dim", "g", "part"], k + 1), ["dim", "g"], k + 1)
+    extent = own.groupBy("dim", "g").agg(F.max("radius").alias("radius"), F.max("high2").alias("high2"))
     groups: dict[int, list[dict]] = {}
-    for s in summary:
-        groups.setdefault(s["dim"], []).append({"g": s["g"], "radius": s["radius"], "high2": s["high2"], "near": [x["near"] for x in s["near"]], "near2": [x["near2"] for x in s["near"]]})
+    for s in extent.join(near, ["dim", "g"]).collect():  # a row a pivot
+        groups.setdefault(s["dim"], []).append({"g": s["g"], "radius": s["radius"], "high2": s["high2"], "near": [tuple(x) for x in s["near"]]})
+    shared = data.sparkSession.sparkContext.broadcast((pivots, groups))  # PIVOT_BYTES at most, and a summary a pivot
 
     def routed(batches):
+        pivots, groups = shared.value
         for batch in batches:
-            cols = batch.to_pydict()
+            cols = batch.select(["dim", "g", "radius", "low2", "high2"]).to_pydict()
             at, to, floors = [], [], []
             for i, (dim, g) in enumerate(zip(cols["dim"], cols["g"], strict=True)):
-                if dim in groups:
-                    floor, own = reachable(pivots[dim][g], cols["radius"][i], cols["low2"][i], cols["high2"][i], groups[dim], pivots[dim], k)
-                    at += [i] * len(own)
-                    to += own
-                    floors += [floor] * len(own)
+                floor, own = reachable(pivots[dim][g], cols["radius"][i], cols["low2"][i], cols["high2"][i], groups[dim], pivots[dim], k) if dim in groups else (-np.inf, [0])
+                at += [i] * len(own)
+                to += own
+                floors += [floor] * len(own)
             taken = batch.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([taken.column("dim"), pa.array(to, pa.int32()), pa.array(floors, pa.float64()), *(taken.column(n) for n in ("ids", "rows", "wide"))], names=["dim", "g", "least", "q_ids", "q_rows", "q_wide"])
+            yield pa.RecordBatch.from_arrays(
+                [taken.column("dim"), pa.array(to, pa.int32()), pa.array(floors, pa.float64()), *(taken.column(n) for n in ("g", "salt", "ids", "rows", "wide"))],
+                names=["dim", "g", "least", "q_g", "q_salt", "q_ids", "q_rows", "q_wide"],
+            )
 
-    sent = asked.mapInArrow(routed, "dim int, g int, least double, q_ids binary, q_rows binary, q_wide boolean")
-    pairs = found.select("dim", "g", "ids", "rows", "wide").join(sent, ["dim", "g"])
+    sent = asked.mapInArrow(routed, "dim int, g int, least double, q_g int, q_salt long, q_ids binary, q_rows binary, q_wide boolean")
+    salts = found.groupBy("dim", "g").agg(F.collect_list("salt").alias("salts"))  # numbers of a group's blocks
+    dealt = sent.join(salts, ["dim", "g"]).withColumn("salt", F.explode("salts")).drop("salts")
+    pairs = found.select("dim", "g", "salt", "ids", "rows", "wide").join(dealt, ["dim", "g", "salt"])
 
     def solved(batches):
         for batch in batches:
-            for dim, _, ids, rows, wide, least, q_ids, q_rows, q_wide in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x, q = (np.frombuffer(r, np.int64 if w else np.int16).reshape(-1, dim) for r, w in ((rows, wide), (q_rows, q_wide)))
-                ids, q_ids = np.frombuffer(ids, np.int64), np.frombuffer(q_ids, np.int64)
-                top = int(np.abs(x).max()) * int(np.abs(q).max()) * dim
-                kind = float if top < EXACT else np.int64 if top < 1 << 63 else object
-                score = (q.astype(kind) @ x.astype(kind).T).astype(np.int64)
-                low = np.iinfo(np.int64).min
-                score[q_ids[:, None] == ids[None, :]] = low
-                n = min(k, len(ids))
-                edge = np.partition(score, len(ids) - n, axis=1)[:, len(ids) - n]
-                a, b = np.nonzero((score >= np.maximum(edge, low + 1)[:, None]) & (score >= least))
-                own = score[a, b]
-                order = np.lexsort((ids[b], -own, a))  # ties beyond the k-th go by id, so few rows remain a query
-                a, b, own = a[order], b[order], own[order]
-                place = np.arange(len(a)) - np.searchsorted(a, a)
-                some = place < n
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[a[some]]), pa.array(np.frombuffer(q_rows, np.uint8).reshape(len(q), -1)[a[some]].astype(np.int64) @ (np.arange(1, len(q_rows) // len(q) + 1) ** 2)), pa.array(ids[b[some]]), pa.array(own[some])], names=["query_id", "query_key", "vec_id", "score"])
-
-    near = pairs.mapInArrow(solved, "query_id long, query_key long, vec_id long, score long")
-    best = near.groupBy("query_id", "query_key", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id")).cast("int")
+            for row in range(batch.num_rows):
+                dim, ids, rows, wide, least, q_g, q_salt, q_ids, q_rows, q_wide = (batch.column(n)[row].as_py() for n in ("dim", "ids", "rows", "wide", "least", "q_g", "q_salt", "q_ids", "q_rows", "q_wide"))
+                x, q = (np.frombuffer(r, np.int64 if w else np.int16).reshape(-1, dim).astype(np.int64) for r, w in ((rows, wide), (q_rows, q_wide)))
+                q_ids = np.frombuffer(q_ids, np.int64)
+                place, vec_id, score = best_of_block(q_ids, q, np.frombuffer(ids, np.int64), x, k, least)
+                n = len(place)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(v, t) for v, t in ((np.full(n, dim), pa.int32()), (np.full(n, q_g), pa.int32()), (np.full(n, q_salt), pa.int64()), (place, pa.int32()), (q_ids[place], pa.int64()), (vec_id, pa.int64()), (score, pa.int64()))],
+                    names=["dim", "q_g", "q_salt", "place", "query_id", "vec_id", "score"],
+                )
+
+    near = pairs.mapInArrow(solved, "dim int, q_g int, q_salt long, place int, query_id long, vec_id long, score long")
+    query = ["dim", "q_g", "q_salt", "place", "query_id"]  # a query vector's own key: its block and its place there
+    best = near.groupBy(*query, "vec_id").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy(*query).orderBy(F.desc("score"), "vec_id")).cast("int")
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
