@@ -1,15 +1,15 @@
 """Byte-pair encoding and decoding by batched numpy merge rounds.
 
 No token spans white space, so a text's words encode apart; each distinct word of a slice is normalised, split and
-merged once. Merging works on the symbols of all those words in one flat array: each round looks every neighbouring
-pair up by binary search over sorted pair keys, takes each word's lowest rank and merges it, until no word has a pair.
+merged once. Where Unicode tables matter, the file's own normaliser and splitter do the first two. Merging works on the
+symbols of all those words in one flat array: each round looks every neighbouring pair up by binary search over sorted
+pair keys, takes each word's lowest rank and merges it, until no word has a pair.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -26,6 +26,8 @@ KEPT_WORDS = 300_000
 #: str.split() also parts at these four, which are no white space to the tokenizer's patterns.
 SEPARATORS = regex.compile("[\x1c-\x1f]")
 SPACE = regex.compile(f"[{common.WHITE_SPACE}]+")
+#: Words of these alone are lowered and split alike by Python and the file's own steps (a test holds this), and compose no further.
+PLAIN = regex.compile("[\x00-\x7f\u00c0-\u017f]*")
 NO_RANK = np.iinfo(np.int64).max
 
 
@@ -42,6 +44,10 @@ class WordMerges:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        from tokenizers import Tokenizer
+
+        own = Tokenizer.from_file(path)
+        self.normalizer, self.splitter = own.normalizer, own.pre_tokenizer
         vocab: dict[str, int] = spec["model"]["vocab"]
         suffix = spec["model"]["end_of_word_suffix"]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
@@ -107,11 +113,14 @@ class WordMerges:
             if part in self.special:
                 out.append(self.special[part])
             elif part:
-                if not part.isascii():
-                    part = unicodedata.normalize("NFC", part).replace("Σ", "σ")  # letters are lowered one by one, without regard to the word's end
-                out.extend(self.pattern.findall(part.lower()))
+                out.extend(self.pattern.findall(part.lower()) if PLAIN.fullmatch(part) else self.by_file(part))
         return out
 
+    def by_file(self, part: str) -> list[str]:
+        """``part`` normalised and split by the file's own two steps, whose Unicode tables may differ from Python's."""
+        part = self.normalizer.normalize_str(part)
+        return [part[a:b] for _, (a, b) in self.splitter.pre_tokenize_str(part)]
+
     def encode_words(self, raws: list[str]) -> list[np.ndarray]:
         split = [self.pieces(r) for r in raws]
         number: dict[str, int] = {}
