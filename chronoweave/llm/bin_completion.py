@@ -1,31 +1,44 @@
 """Bin completion over a histogram of lengths.
 
 A plan says how many bins get which filling; it depends on the counts of each length alone, so its size is bounded by
-the capacity and not by the number of items.
+the capacity and not by the number of items. Around the largest item left, fillings of any number of items are made
+lazily, least waste first; dominated ones are passed over, and branches go that can't beat the best plan so far.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections import Counter
+from collections.abc import Iterator
 
-#: Search nodes (bins filled, each for as many equal bins as the counts allow) before the best plan so far is taken.
+import numpy as np
+
+#: Fillings looked at before the best plan so far is taken; the search's only limit.
 NODE_BUDGET = 3000
-#: Fillings tried around the largest item at a node, least waste first.
-MOST_FILLINGS = 6
 
 Plan = list[tuple[tuple[int, ...], int]]
 
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
-    """The least number of bins by the larger of the volume bound and the bound by items that can't share a bin."""
-    volume = sum(k * n for k, n in counts.items())
-    best = -(-volume // capacity)
-    for k in sorted({0, *(k for k in counts if 2 * k <= capacity)}):
-        big = sum(n for x, n in counts.items() if x > capacity - k)
-        mid = [(x, n) for x, n in counts.items() if capacity - k >= x > capacity // 2 and 2 * x > capacity]
-        small = sum(x * n for x, n in counts.items() if k <= x and 2 * x <= capacity)
-        alone = big + sum(n for _, n in mid)
-        room = sum((capacity - x) * n for x, n in mid)
+    """The least number of bins by the volume, and by the items of more than half a bin, of which no two share one.
+
+    For each k up to half a bin: items above capacity - k are alone among those of k and more, and what the other
+    large ones leave free must hold the rest of these.
+    """
+    number = np.zeros(capacity + 1, object)
+    for length, n in counts.items():
+        number[length] += n
+    sizes = np.arange(capacity + 1, dtype=object) * number
+    half = capacity // 2
+    n_from = np.cumsum(number[::-1])[::-1]  # items of k and more
+    volume_from = np.cumsum(sizes[::-1])[::-1]
+    best = -(-int(volume_from[0]) // capacity)
+    alone, large_volume = (int(n_from[half + 1]), int(volume_from[half + 1])) if half < capacity else (0, 0)
+    for k in range(half + 1):
+        above = capacity - k + 1
+        big, big_volume = (int(n_from[above]), int(volume_from[above])) if above <= capacity else (0, 0)
+        room = (alone - big) * capacity - (large_volume - big_volume)
+        small = int(volume_from[k]) - large_volume
         best = max(best, alone + max(0, -(-(small - room) // capacity)))
     return best
 
@@ -33,130 +46,159 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
 def best_fit(counts: dict[int, int], capacity: int) -> Plan:
     """Best-fit decreasing over groups of equal bins: each length goes to the fullest bins that hold it."""
     groups: dict[int, Counter] = {}  # free room: fillings and how many bins have them
+    rooms: list[int] = []
+
+    def put(room: int, filling: tuple[int, ...], bins: int) -> None:
+        if room not in groups:
+            groups[room] = Counter()
+            insort(rooms, room)
+        groups[room][filling] += bins
+
     for length in sorted(counts, reverse=True):
         left = counts[length]
         while left:
-            room = min((r for r in groups if r >= length), default=None)
-            if room is None:
+            at = bisect_left(rooms, length)
+            if at == len(rooms):
                 fit = capacity // length
                 whole, rest = divmod(left, fit)
                 for copies, bins in ((fit, whole), (rest, 1)):
                     if copies and bins:
-                        groups.setdefault(capacity - copies * length, Counter())[(length,) * copies] += bins
+                        put(capacity - copies * length, (length,) * copies, bins)
                 break
+            room = rooms[at]
             filling, bins = next(iter(groups[room].items()))
             fit = min(room // length, left)
             used = min(bins, left // fit)
             if used == bins:
                 del groups[room][filling]
                 if not groups[room]:
-                    del groups[room]
+                    del groups[room], rooms[at]
             else:
                 groups[room][filling] -= used
-            groups.setdefault(room - fit * length, Counter())[filling + (length,) * fit] += used
+            put(room - fit * length, filling + (length,) * fit, used)
             left -= used * fit
     return [(filling, n) for found in groups.values() for filling, n in found.items()]
 
 
-def dominated(filling: tuple[int, ...], slack: int, free: list[int], held: Counter) -> bool:
-    """True if one free item can stand for one or two of the filling's items and leave no more waste: never worse."""
-    parts = [(x,) for x in filling] + [(x, y) for i, x in enumerate(filling) for y in filling[i + 1 :]]
-    for part in parts:
-        size = sum(part)
-        for x in free:
-            if x > size + slack:
-                continue
-            if x < size or (len(part) == 1 and x == size):
-                break
-            if held[x] - filling.count(x) > 0:
-                return True
-    return False
-
-
-def fillings(room: int, counts: Counter, allowed: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room`` of up to three items that waste at most ``allowed``, least waste first."""
-    free = sorted((k for k, n in counts.items() if n and k <= room), reverse=True)
-    if not free:
-        return [()] if room <= allowed else []
-    have, found = set(free), []
-    for waste in range(min(allowed, room - free[-1]) + 1):
-        target = room - waste
-        if target in have:
-            found.append((target,))
-        for a in free:
-            if 2 * a < target:
-                break
-            b = target - a
-            if b in have and (a != b or counts[a] > 1):
-                found.append((a, b))
-        tried = 0
-        for a in free:
-            if 3 * a < target or tried >= 64 or len(found) >= 4 * MOST_FILLINGS:
-                break
-            for b in free:
-                c = target - a - b
-                if b > a or c > b:
-                    continue
-                if c <= 0 and b < free[-1]:
-                    break
-                tried += 1
-                if c in have and all(counts[x] >= n for x, n in Counter((a, b, c)).items()):
-                    found.append((a, b, c))
-                    break
-        if len(found) >= 4 * MOST_FILLINGS:
-            break
-    kept = [f for f in dict.fromkeys(found) if not dominated(f, room - sum(f), free, counts)]
-    return (kept or found)[:MOST_FILLINGS]
+def _free(counts: dict[int, int]) -> int:
+    """The lengths that are left, as bits."""
+    return sum(1 << k for k, n in counts.items() if n)
+
+
+def dominated(filling: tuple[int, ...], slack: int, free: int, counts: dict[int, int]) -> bool:
+    """True if one free item can stand for some of the filling's items, or for none, and leave no more waste: never worse.
+
+    An item that takes part of the slack, or the place of two or more items of its own sum, can only help: what it
+    displaces fits where it came from. ``free`` has the bits of the lengths that are left.
+    """
+    sums, of_many = 1, 0  # sums of any of the items, and of two or more
+    for x in filling:
+        of_many |= (sums & ~1 | of_many) << x
+        sums |= sums << x
+    reach, width = sums << 1, 1  # sums plus 1 to ``width``
+    while width < slack:
+        step = min(width, slack - width)
+        reach |= reach << step
+        width += step
+    for x in set(filling):
+        if counts[x] == filling.count(x):
+            free &= ~(1 << x)
+    return bool(((reach if slack else 0) | of_many) & free)
+
+
+def fillings(room: int, counts: dict[int, int], allowed: int) -> Iterator[tuple[int, ...]]:
+    """All fillings of ``room`` by items of ``counts`` that waste at most ``allowed``, least waste first, each once."""
+    lengths = sorted((k for k, n in counts.items() if n and k <= room), reverse=True)
+    whole = (1 << room + 1) - 1
+    reach = [1]  # sums that the lengths from each place on can make
+    for k in reversed(lengths):
+        sums, n, step = reach[-1], min(counts[k], room // k), 1
+        while n:
+            step = min(step, n)
+            sums |= sums << step * k & whole
+            n, step = n - step, 2 * step
+        reach.append(sums)
+    reach.reverse()
+
+    def exact(at: int, target: int) -> Iterator[tuple[int, ...]]:
+        if not target:
+            yield ()
+        while at < len(lengths) and target and reach[at] >> target & 1:
+            k = lengths[at]
+            at += 1
+            for n in range(min(counts[k], target // k), 0, -1):
+                if reach[at] >> target - n * k & 1:
+                    for rest in exact(at, target - n * k):
+                        yield (k,) * n + rest
+
+    for waste in range(min(allowed, room) + 1):
+        if reach[0] >> room - waste & 1:
+            yield from exact(0, room - waste)
 
 
 def search(counts: dict[int, int], capacity: int, incumbent: Plan, bound: int, budget: int = NODE_BUDGET) -> Plan:
-    """Depth-first branch and bound: fill the bin of the largest item, prune by the waste that a better plan may have."""
-    volume, most = sum(k * n for k, n in counts.items()), sum(n for _, n in incumbent)
-    best, nodes = incumbent, 0
-    left, chosen, wasted, bins = Counter(counts), [], 0, 0
-    stack: list[tuple[list, tuple | None]] = [([None], None)]
-
-    def options() -> list:
-        length = max(left, default=0)
-        if not length:
-            return []
-        left[length] -= 1
-        allowed = (most - 1) * capacity - volume - wasted
-        own = fillings(capacity - length, left, min(allowed, capacity)) if allowed >= 0 else []
-        left[length] += 1
-        return [(length, *f) for f in own]
-
-    stack = [(options(), None)]
-    while stack and nodes < budget and most > bound:
-        tries, made = stack[-1]
-        if not tries:
+    """Depth-first branch and bound around the largest item left.
+
+    Each undominated filling is tried for as many equal bins as the counts allow, then for a single one, so every plan
+    of such fillings can be reached. A branch ends where the bins so far and the bound of what is left reach the best
+    plan; what is left is packed by best fit, whose plan replaces the best one if it is better.
+    """
+    best, most = incumbent, sum(n for _, n in incumbent)
+    left, chosen, bins, looked_at, seen = dict(counts), [], 0, 0, set()
+    mark = {k: hash((k, 1 << 20)) for k in counts}
+
+    def tries() -> Iterator[tuple[tuple[int, ...], int]]:
+        """Fillings with the largest item left and for how many bins; ends where nothing better can follow."""
+        nonlocal best, most, looked_at
+        state = (sum(mark[k] * n for k, n in left.items()), bins)
+        if state in seen or bins + lower_bound(left, capacity) >= most:
+            return
+        seen.add(state)
+        rest = best_fit(left, capacity)
+        if (total := bins + sum(n for _, n in rest)) < most:
+            most, best = total, chosen + rest
+        length = max(left)
+        others = left | {length: left[length] - 1}
+        volume = sum(k * n for k, n in left.items())
+        allowed = (most - 1 - bins) * capacity - volume
+        free = _free(others)
+        for filling in fillings(capacity - length, others, allowed) if allowed >= 0 else ():
+            looked_at += 1
+            waste = capacity - length - sum(filling)
+            if bins + 1 >= most or looked_at > budget or waste > (most - 1 - bins) * capacity - volume:
+                return
+            if not dominated(filling, waste, free, others):
+                own = (length, *filling)
+                n = min(left[x] // k for x, k in Counter(own).items())
+                yield own, n
+                if n > 1:
+                    yield own, 1
+
+    stack: list[tuple[Iterator, tuple | None]] = [(tries(), None)]
+    while stack and looked_at <= budget and most > bound:
+        options, made = stack[-1]
+        step = next(options, None)
+        if step is None:
             stack.pop()
             if made:
                 filling, n = made
-                left.update(dict.fromkeys(filling, 0))
                 for x in filling:
-                    left[x] += n
-                bins, wasted = bins - n, wasted - n * (capacity - sum(filling))
+                    left[x] = left.get(x, 0) + n
+                bins -= n
                 chosen.pop()
             continue
-        filling = tries.pop(0)
-        need = Counter(filling)
-        n = min(left[x] // k for x, k in need.items())
-        waste = capacity - sum(filling)
-        if waste:
-            n = min(n, ((most - 1) * capacity - volume - wasted) // waste)
-        if n <= 0:
+        filling, n = step
+        if bins + n >= most:
             continue
-        nodes += 1
-        for x, k in need.items():
-            left[x] -= n * k
+        for x in filling:
+            left[x] -= n
             if not left[x]:
                 del left[x]
-        bins, wasted = bins + n, wasted + n * waste
-        chosen.append((filling, n))
-        if not left and bins < most:
+        bins += n
+        chosen.append(step)
+        if not left:
             most, best = bins, list(chosen)
-        stack.append((options() if left and bins < most else [], (filling, n)))
+        stack.append((tries() if left else iter(()), step))
     return best
 
 

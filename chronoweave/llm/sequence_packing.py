@@ -2,7 +2,7 @@
 
 One Arrow pass tokenises and cuts; the histogram of piece lengths (at most as many rows as a sequence has tokens) is
 planned by bin completion; pieces find their slots by their rank among pieces of equal length, which is a count per
-(length, salt) and a rank within it, so no task sees all pieces of a common length.
+(length, salt), summed in two levels, and a rank within it, so no task sees all pieces or all salts of a common length.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ SEPARATOR_ID = 0
 KEPT_UNITS = 400_000
 #: Pieces of one length that share a salt, about.
 SALT_ROWS = 500
+#: Salts of a length that are summed up together before the sums of such parts are.
+PART_SALTS = 1000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _W = common.WHITE_SPACE
 UNITS = regex.compile(f" ?[^{_W}]+|[{_W}]+(?![^{_W}])|[{_W}]")
@@ -144,6 +146,11 @@ def slots(counts: dict[int, int], capacity: int, budget: int = NODE_BUDGET) -> n
     return np.array(sorted(rows), np.int64).reshape(-1, 6)
 
 
+def _sums_before(counts: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
+    """(keys, order, name): the sum of ``n`` over the rows of the keys that come earlier."""
+    return counts.select(*keys, order, (F.sum("n").over(Window.partitionBy(*keys).orderBy(order)) - F.col("n")).alias(name))
+
+
 def pack(docs: DataFrame, path: str | None = None, most: int = SEQUENCE_TOKENS, id_col: str = "doc_id", text_col: str = "text", budget: int = NODE_BUDGET) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for every piece of every document.
 
@@ -158,7 +165,10 @@ def pack(docs: DataFrame, path: str | None = None, most: int = SEQUENCE_TOKENS,
     salts = cut_up.sparkSession.createDataFrame([(k, 1 + n // SALT_ROWS) for k, n in counts.items()], "length long, salts long")  # at most ``most`` rows
     salted = cut_up.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("salts"))).drop("salts")
     by_salt = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    before = by_salt.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
+    parts = by_salt.withColumn("part", F.floor(F.col("salt") / PART_SALTS))
+    before_part = _sums_before(parts.groupBy("length", "part").agg(F.sum("n").alias("n")), ["length"], "part", "ahead")
+    inside = _sums_before(parts, ["length", "part"], "salt", "within")
+    before = inside.join(before_part, ["length", "part"]).select("length", "salt", (F.col("ahead") + F.col("within")).alias("before"))
     own = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1
     ranked = salted.withColumn("rank", own).join(before, ["length", "salt"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("slot"))
 
