@@ -1,7 +1,8 @@
 """Quality rules from compression bands.
 
 Whole texts and fixed chunks of them are compressed with zstandard. A ratio above the band of the text's length means
-repetition, one below it means noise; either rejects the document, as does too large a share of such chunks. Word and
+repetition, one below it means noise; either rejects the document, as does too large a share of it in such chunks. The
+rest after a text's last whole chunk is a chunk too, with the band of its own length. Word and
 line counts come along, with two hard limits on them.
 """
 
@@ -30,7 +31,7 @@ BANDS = (
     (1 << 20, 1.9, 5.0),
 )
 CHUNK_BYTES = 4096
-#: Band of a chunk, and the share of a text's chunks that may lie outside.
+#: Band of a whole chunk, and the share of a text's bytes that chunks outside their bands may hold.
 CHUNK_BAND = (1.7, 2.7)
 CHUNK_SHARE = 0.25
 LEVEL = 3
@@ -39,7 +40,7 @@ REPEAT_PERCENT = 20
 
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
-    "kept boolean, n_bytes long, ratio double, n_chunks long, n_odd_chunks long"
+    "kept boolean, n_bytes long, ratio double, n_chunks long, n_odd_chunks long, odd_bytes long"
 )
 
 
@@ -67,11 +68,24 @@ def repeat_words(word_lists: list[list[bytes]], window: int = 5) -> np.ndarray:
     return common.segment_sums((np.cumsum(edge)[:total] > 0).astype(np.int64), lengths)
 
 
-def band_verdict(n_bytes: np.ndarray, ratio: np.ndarray, n_chunks: np.ndarray, n_odd: np.ndarray) -> np.ndarray:
-    """True where a text lies within the band of its length and few enough of its chunks lie outside theirs."""
+def bands(n_bytes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lowest and highest ratio of texts of these lengths."""
     at, low, high = np.log2(np.maximum(n_bytes, 1)), *zip(*((lo, hi) for _, lo, hi in BANDS), strict=True)
     knots = np.log2([n for n, _, _ in BANDS])
-    return (ratio >= np.interp(at, knots, low)) & (ratio <= np.interp(at, knots, high)) & (n_odd <= CHUNK_SHARE * n_chunks)
+    return np.interp(at, knots, low), np.interp(at, knots, high)
+
+
+def chunk_verdict(n_bytes: np.ndarray, ratio: np.ndarray) -> np.ndarray:
+    """True where a chunk's ratio lies outside its band: that of a whole chunk, or of the length of a last, shorter one."""
+    low, high = bands(n_bytes)
+    whole = n_bytes == CHUNK_BYTES
+    return (ratio < np.where(whole, CHUNK_BAND[0], low)) | (ratio > np.where(whole, CHUNK_BAND[1], high))
+
+
+def band_verdict(n_bytes: np.ndarray, ratio: np.ndarray, odd_bytes: np.ndarray) -> np.ndarray:
+    """True where a text lies within the band of its length and little enough of it is in chunks that lie outside theirs."""
+    low, high = bands(n_bytes)
+    return (ratio >= low) & (ratio <= high) & (odd_bytes <= CHUNK_SHARE * n_bytes)
 
 
 def measure(ids, texts: list) -> dict:
@@ -79,7 +93,8 @@ def measure(ids, texts: list) -> dict:
     press = zstandard.ZstdCompressor(level=LEVEL, write_content_size=True)
     words = [common.word_bytes(t) for t in texts]
     n_words = np.fromiter(map(len, words), np.int64, len(words))
-    out = {k: [] for k in ("word_chars", "n_symbols", "n_dup_lines", "n_bytes", "ratio", "n_chunks", "n_odd_chunks")}
+    out = {k: [] for k in ("word_chars", "n_symbols", "n_dup_lines", "n_bytes", "ratio")}
+    sizes, ratios, n_chunks = [], [], []
     for text, own in zip(texts, words, strict=True):
         text = text or ""
         data = text.encode("utf-8", "surrogatepass")
@@ -89,14 +104,17 @@ def measure(ids, texts: list) -> dict:
         out["n_dup_lines"].append(len(lines) - len(set(lines)))
         out["n_bytes"].append(len(data))
         out["ratio"].append(len(data) / len(press.compress(data)) if data else 0.0)
-        whole = len(data) // CHUNK_BYTES if len(data) > CHUNK_BYTES else 0
-        chunks = [data[i * CHUNK_BYTES : (i + 1) * CHUNK_BYTES] for i in range(whole)]
-        ratios = [len(c) / len(press.compress(c)) for c in chunks]
-        out["n_chunks"].append(whole)
-        out["n_odd_chunks"].append(sum(not CHUNK_BAND[0] <= r <= CHUNK_BAND[1] for r in ratios))
+        chunks = [data[i : i + CHUNK_BYTES] for i in range(0, len(data), CHUNK_BYTES)] if len(data) > CHUNK_BYTES else []
+        n_chunks.append(len(chunks))
+        sizes += map(len, chunks)
+        ratios += [len(c) / len(press.compress(c)) for c in chunks]
+    out["n_chunks"] = np.array(n_chunks, np.int64)
+    odd = chunk_verdict(np.array(sizes, np.int64), np.array(ratios, float))
+    out["n_odd_chunks"] = common.segment_sums(odd.astype(np.int64), out["n_chunks"])
+    out["odd_bytes"] = common.segment_sums(np.where(odd, sizes, 0).astype(np.int64), out["n_chunks"])
     repeated = repeat_words(words)
     failed = (n_words < MIN_WORDS) | (100 * repeated > REPEAT_PERCENT * n_words)
-    good = band_verdict(*(np.array(out[k], float) for k in ("n_bytes", "ratio", "n_chunks", "n_odd_chunks")))
+    good = band_verdict(*(np.array(out[k], float) for k in ("n_bytes", "ratio", "odd_bytes")))
     return out | {"doc_id": ids, "n_words": n_words, "n_repeat_words": repeated, "base_failed": failed, "kept": ~failed & good}
 
 

@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from chronoweave.llm import bin_completion, bpe_codec, language_crf, quality_rules, sequence_packing, simhash_dedup
@@ -57,6 +58,56 @@ def test_bands_reject_repetition_and_noise(spark):
     assert [tuple(r) for r in kept.collect()] == [(1, PROSE, "a")]
 
 
+def brute_verdict(text):
+    """kept by the module's bands, worked out chunk by chunk with an own interpolation."""
+    data = text.encode()
+    press = zstandard.ZstdCompressor(level=quality_rules.LEVEL, write_content_size=True)
+
+    def band(n):
+        knots = quality_rules.BANDS
+        if n <= knots[0][0]:
+            return knots[0][1:]
+        for (a, lo, hi), (b, lo2, hi2) in zip(knots, knots[1:]):
+            if n <= b:
+                x = (np.log2(n) - np.log2(a)) / (np.log2(b) - np.log2(a))
+                return lo + x * (lo2 - lo), hi + x * (hi2 - hi)
+        return knots[-1][1:]
+
+    ratio = lambda d: len(d) / len(press.compress(d))
+    lo, hi = band(len(data))
+    odd = 0
+    if len(data) > quality_rules.CHUNK_BYTES:
+        for i in range(0, len(data), quality_rules.CHUNK_BYTES):
+            own = data[i : i + quality_rules.CHUNK_BYTES]
+            low, high = quality_rules.CHUNK_BAND if len(own) == quality_rules.CHUNK_BYTES else band(len(own))
+            odd += 0 if low <= ratio(own) <= high else len(own)
+    return lo <= ratio(data) <= hi and odd <= quality_rules.CHUNK_SHARE * len(data)
+
+
+def test_verdicts_equal_brute_force():
+    rng = np.random.default_rng(6)
+    vocabulary = ["".join(chr(97 + int(c)) for c in rng.integers(0, 26, rng.integers(2, 10))) for _ in range(900)]
+    prose = lambda n: " ".join(vocabulary[int(min(899, abs(rng.normal()) * 200))] for _ in range(n))
+    noise = lambda n: "".join(chr(int(c)) for c in rng.integers(33, 126, n))
+    texts = [prose(int(n)) for n in rng.integers(10, 3000, 60)] + [prose(600)[:4096] + noise(n) for n in (1, 30, 500, 1500, 4000)] + [prose(900)[:6000] + "ab " * n for n in (1, 200, 2000)] + [noise(5000), "x y " * 3000]
+    got = quality_rules.measure(None, texts)
+    want = [brute_verdict(t) for t in texts]
+    assert [k for k, f in zip(got["kept"], got["base_failed"], strict=True) if not f] == [w for w, f in zip(want, got["base_failed"], strict=True) if not f]
+    assert got["n_chunks"].tolist() == [-(-len(t.encode()) // 4096) if len(t.encode()) > 4096 else 0 for t in texts]
+
+
+def test_a_bad_tail_counts():
+    good = quality_rules.measure(None, ["x" * 4096 + "y" * n for n in (1, 3000)])
+    assert good["n_chunks"].tolist() == [2, 2] and good["odd_bytes"].tolist()[1] == 4096 + 3000
+    assert quality_rules.chunk_verdict(np.array([1500, 1500, 4096]), np.array([1.9, 1.1, 1.1])).tolist() == [False, True, True]
+    assert quality_rules.band_verdict(np.array([6000.0]), np.array([2.2]), np.array([1904.0])).tolist() == [False]
+
+
+def test_quality_of_an_empty_table(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string, kept boolean")
+    assert quality_rules.quality_rules(empty).count() == 0 and quality_rules.keep_good(empty).columns == empty.columns
+
+
 def fingerprint(text):
     words = [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in WORD.findall(text or "")]
     grams = [" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))] if words else []
