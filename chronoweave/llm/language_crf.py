@@ -20,8 +20,10 @@ from . import common
 SAMPLE_DOCS = 400
 SAMPLE_WINDOWS = 4
 WINDOW_WORDS = 24
-#: Languages that can be learned, the most frequent first.
-MOST_LANGUAGES = 64
+#: Windows of more bytes, which hold words of unusual length, aren't drawn; words are never cut.
+WINDOW_BYTES = 16 << 10
+#: Languages that can be learned; the model's size follows their number. More labels are an error.
+MOST_LANGUAGES = 256
 BUCKETS = 1 << 17
 N_GRAMS = (1, 2, 3, 4)
 EPOCHS = 6
@@ -201,11 +203,13 @@ def normal_words(text: str | None) -> list[bytes]:
 def training_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = SAMPLE_DOCS) -> list[tuple[str, list[bytes]]]:
     """(language, words) of SAMPLE_WINDOWS windows at hashed places of about ``most`` documents of each language, chosen by hash.
 
-    At most 2 x ``most`` x MOST_LANGUAGES documents' windows reach the driver, whatever the size of ``docs``; rarer
-    languages than the MOST_LANGUAGES most frequent aren't learned.
+    At most 2 x ``most`` documents' windows of each language reach the driver, whatever the size of ``docs``, each of
+    WINDOW_BYTES at most. More than MOST_LANGUAGES labels are an error.
     """
     labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit(11), F.col(id_col), F.col(text_col)).alias("h"))
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    counts = labelled.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not counts:
         return []
     share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, most / r["count"]))))
@@ -220,7 +224,9 @@ def training_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     rng = np.random.default_rng(h & 0xFFFFFFFF)
                     for _ in range(min(SAMPLE_WINDOWS, -(-len(words) // WINDOW_WORDS))):
                         at = int(rng.integers(0, max(1, len(words) - WINDOW_WORDS + 1)))
-                        rows.append((h, lang, b" ".join(w[:64] for w in words[at : at + WINDOW_WORDS])))
+                        window = b" ".join(words[at : at + WINDOW_WORDS])
+                        if len(window) <= WINDOW_BYTES:
+                            rows.append((h, lang, window))
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.binary()))], names=["h", "lang", "words"])
 
     found = drawn.mapInArrow(windows, "h long, lang string, words binary").orderBy("h", "lang", "words").limit(2 * most * len(counts) * SAMPLE_WINDOWS).collect()
