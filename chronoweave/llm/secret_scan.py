@@ -162,38 +162,83 @@ def candidates(index: DataFrame, rules=RULES) -> DataFrame:
     return gathered.select("key", kinds.alias("kinds")).filter(F.size("kinds") > 0)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once: inside a lambda it is a variable."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(values: Column, zero: Column, add, kind: str) -> Column:
+    """For each of ``values`` (an array of ``kind``) the sum, by ``add``, of those before it and itself; ``zero`` starts it.
+
+    The array is cut into parts of the square root of its size. A fold that appends copies what it has at each step, so
+    it runs over the sums of parts, and over each part from the sum before it; never over the whole array.
+    """
+
+    def append(acc, x):
+        now = add(acc["now"], x)
+        return F.struct(now.alias("now"), F.concat(acc["all"], F.array(now)).alias("all"))
+
+    def fold(items, start):
+        return F.aggregate(items, F.struct(start.cast(kind).alias("now"), F.array().cast(f"array<{kind}>").alias("all")), append, lambda acc: acc["all"])
+
+    def over_parts(parts):
+        sums = F.transform(parts, lambda part: F.aggregate(part, zero.cast(kind), add))
+        starts = F.concat(F.array(zero.cast(kind)), fold(sums, zero))
+        return F.flatten(F.transform(parts, lambda part, i: fold(part, F.get(starts, i))))
+
+    def cut(items):
+        width = F.ceil(F.sqrt(F.size(items))).cast("int")
+        parts = let(width, lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / w).cast("int")), lambda i: F.slice(items, i * w + 1, w)))
+        return F.when(F.size(items) > 0, let(parts, over_parts)).otherwise(F.array().cast(f"array<{kind}>"))
+
+    return let(values, cut)
+
+
+#: A span's place in code points and in bytes of UTF-8, ends exclusive.
+SPAN = "struct<start:int,rank:int,end:int,kind:string,byte_start:int,byte_end:int>"
+_PLACE = "struct<at:int,byte_at:int>"
+
+
 def match_spans(text: Column, rule: Rule, rank: int) -> Column:
-    """array<struct<start, rank, end, kind>> of the rule's matches; code points, end exclusive."""
+    """array of SPAN of the rule's matches, in time that grows little faster than their number."""
     gaps, found = F.split(text, rule.pattern, -1), F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    parts = F.arrays_zip(gaps.alias("gap"), found.alias("match"), F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)).alias("value"))
-    kind = "array<struct<start:int,rank:int,end:int,kind:string>>"
+    long_enough = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else found
+    none = F.array().cast(f"array<{SPAN}>")
+
+    def placed(x):
+        sizes = F.transform(F.arrays_zip(x["gaps"].alias("gap"), x["found"].alias("match")), lambda p: F.struct((F.length(p["gap"]) + F.coalesce(F.length(p["match"]), F.lit(0))).alias("at"), (F.octet_length(p["gap"]) + F.coalesce(F.octet_length(p["match"]), F.lit(0))).alias("byte_at")))
+        ends = running(sizes, F.struct(F.lit(0).alias("at"), F.lit(0).alias("byte_at")), lambda a, v: F.struct((a["at"] + v["at"]).alias("at"), (a["byte_at"] + v["byte_at"]).alias("byte_at")), _PLACE)
+
+        def span(m):
+            end = m["end"]
+            parts = {
+                "start": end["at"] - F.length(m["match"]), "rank": F.lit(rank), "end": end["at"], "kind": F.lit(rule.kind),
+                "byte_start": end["byte_at"] - F.octet_length(m["match"]), "byte_end": end["byte_at"],
+            }
+            return F.struct(*(c.alias(n) for n, c in parts.items()))
 
-    def step(acc, x):
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["match"])
-        one = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(rule.kind).alias("kind")))
-        spans = F.when(F.length(x["value"]) >= rule.least, F.concat(acc["spans"], one)).otherwise(acc["spans"])
-        return F.when(x["match"].isNull(), acc).otherwise(F.struct(end.alias("at"), spans.alias("spans")))
+        zipped = F.filter(F.arrays_zip(x["found"].alias("match"), x["value"].alias("value"), ends.alias("end")), lambda m: F.length(m["value"]) >= rule.least)
+        return F.transform(zipped, span).cast(f"array<{SPAN}>")
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("spans"))
-    spans = F.aggregate(parts, start, step, lambda acc: acc["spans"])
-    return F.when(text.rlike(rule.pattern), spans).otherwise(F.array().cast(kind))
+    spans = let(F.struct(gaps.alias("gaps"), found.alias("found"), long_enough.alias("value")), placed)
+    return F.when(text.rlike(rule.pattern), spans).otherwise(none)
 
 
-def with_spans(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "text", name: str = "__spans") -> DataFrame:
-    """``docs`` and a column ``name``: its secrets, array<struct<start, rank, end, kind>> by start, then rule.
+def with_spans(docs: DataFrame, name: str, rules=RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` and a column ``name``: its secrets, array of SPAN by start, then rule.
 
-    Null and empty texts have none. Repeated rows stay. Other columns pass through; ``__key`` and ``__kinds`` are ours.
+    Null and empty texts have none. Repeated rows stay. All other columns pass through, whatever their names.
     """
-    found = candidates(trigram_index(docs, rules, id_col, text_col), rules).select(F.col("key").alias("__key"), F.col("kinds").alias("__kinds"))
-    joined = docs.withColumn("__key", _key(id_col, text_col)).join(found, "__key", "left")
+    key, kinds = common.free_name(docs, "__key"), common.free_name(docs, "__kinds")
+    found = candidates(trigram_index(docs, rules, id_col, text_col), rules).select(F.col("key").alias(key), F.col("kinds").alias(kinds))
+    joined = docs.withColumn(key, _key(id_col, text_col)).join(found, key, "left")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
+    none = F.array().cast(f"array<{SPAN}>")
     per_rule = []
     for rank, rule in enumerate(rules):
         own = match_spans(text, rule, rank)
-        per_rule.append(F.when(F.array_contains("__kinds", rule.kind), own).otherwise(none) if trigram_query(rule.pattern) else own)
-    return joined.withColumn(name, F.array_sort(F.concat(*per_rule))).drop("__key", "__kinds")
+        per_rule.append(F.when(F.array_contains(kinds, rule.kind), own).otherwise(none) if trigram_query(rule.pattern) else own)
+    return joined.withColumn(name, F.array_sort(F.concat(*per_rule))).drop(key, kinds)
 
 
 def shown(spans: Column) -> Column:
@@ -203,26 +248,40 @@ def shown(spans: Column) -> Column:
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES) -> DataFrame:
     """(doc_id, spans) per row, spans as in with_spans. An empty table gives no rows."""
-    return with_spans(docs, rules, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col("__spans").alias("spans"))
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return with_spans(slim, "spans", rules, "doc_id", "text").select("doc_id", "spans")
+
+
+def redacted(text: Column, spans: Column, mark: str) -> Column:
+    """``text`` with the characters of ``spans`` (by start) replaced by ``mark``, once where spans overlap; spans that touch keep a mark each."""
+
+    def pieces(x):
+        ends = running(F.transform(x["spans"], lambda s: s["byte_end"]), F.lit(0), lambda a, v: F.greatest(a, v), "int")
+
+        def joined(ends):
+            def piece(s, i):
+                before = F.when(i > 0, F.get(ends, i - 1)).otherwise(0)
+                gap = F.substring(x["data"], before + 1, s["byte_start"] - before).cast("string")
+                return F.when(s["byte_start"] >= before, F.concat(gap, F.lit(mark))).otherwise("")
+
+            tail = F.get(ends, F.size(ends) - 1)
+            return F.concat(F.array_join(F.transform(x["spans"], piece), ""), F.substring(x["data"], tail + 1, F.octet_length(x["data"])).cast("string"))
+
+        return let(ends, joined)
+
+    return F.when(F.size(spans) > 0, let(F.struct(text.cast("binary").alias("data"), spans.alias("spans")), pieces)).otherwise(text)
 
 
 def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES, mark: str = MARK, length_col: str | None = None) -> DataFrame:
     """``docs`` with each secret's characters replaced by ``mark`` (overlapping secrets by one); rows and columns stay.
 
-    ``length_col`` names a column that holds the text's length and follows a change.
+    ``length_col`` names a column that holds the text's length and follows a change. Null texts stay null.
     """
-    text = F.col(text_col)
-
-    def step(acc, s):
-        kept = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
-        return F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))).otherwise(F.struct(s["end"].alias("at"), kept.alias("out")))
-
-    done = F.aggregate("__spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    spanned = with_spans(docs, rules, id_col, text_col)
-    out = spanned.withColumn(text_col, F.when(F.size("__spans") > 0, done).otherwise(text))
+    spans = common.free_name(docs, "__spans")
+    out = with_spans(docs, spans, rules, id_col, text_col).withColumn(text_col, redacted(F.col(text_col), F.col(spans), mark))
     if length_col in docs.columns:
-        out = out.withColumn(length_col, F.when(F.size("__spans") > 0, F.length(text_col).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col)))
-    return out.drop("__spans")
+        out = out.withColumn(length_col, F.when(F.size(spans) > 0, F.length(text_col).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col)))
+    return out.drop(spans)
 
 
 def _has_rank(rank: int):
