@@ -33,7 +33,9 @@ def components(links: DataFrame) -> DataFrame:
     links = links.filter("src != dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
     seen = None
     for _ in range(MOST_ROUNDS):
-        links = common.written(_star(_star(links, True), False), "components")
+        last, links = links, common.written(_star(_star(links, True), False), "components")
+        if seen is not None:
+            common.remove(last)  # the round before, read for the last time
         now = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")).alias("sum")).first()
         if seen == now:
             break

@@ -61,8 +61,11 @@ def _block(fp: Column, n_blocks: int, at: int) -> Column:
 def close_links(nodes: DataFrame, distance: int = MAX_DISTANCE, extra: int = EXTRA_BLOCKS, hot: int = HOT_BLOCK) -> DataFrame:
     """Links (src, dst) that connect just the ``nodes`` (node, fp; fp distinct) within ``distance`` differing bits.
 
-    ``distance`` is 2 at most. Hot block values give stars around a shared neighbour instead of all pairs.
+    ``distance`` is 0, 1 or 2; others are an error. Members of hot block values are linked through flips of a bit: at
+    distance 1 to the node that a flip gives, at 2 in stars around a shared neighbour, instead of by all pairs.
     """
+    if distance not in (0, 1, 2):
+        raise ValueError("distance must be 0, 1 or 2")
     n_blocks = distance + extra
     choices = list(combinations(range(n_blocks), extra))
     keys = F.array(*(F.struct(F.lit(i).cast("byte").alias("choice"), F.xxhash64(*(_block(F.col("fp"), n_blocks, b) for b in choice)).alias("value")) for i, choice in enumerate(choices)))
@@ -76,9 +79,15 @@ def close_links(nodes: DataFrame, distance: int = MAX_DISTANCE, extra: int = EXT
         .filter((F.col("node_a") < F.col("node_b")) & (F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= distance))
         .select(F.col("node_a").alias("src"), F.col("node_b").alias("dst"))
     )
+    if distance == 0:  # distinct fingerprints have no links
+        return pairs.distinct()
     many = keyed.filter(F.col("size") > hot).select("node", "fp").distinct()
-    flips = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit((1 << i) - (1 << 64 if i == 63 else 0))) for i in range(64 if distance else 0)))
-    near = many.select("node", "fp", F.explode(flips).alias("near"))
+    flips = F.array(*(F.col("fp").bitwiseXOR(F.lit((1 << i) - (1 << 64 if i == 63 else 0))) for i in range(64)))
+    if distance == 1:
+        near = many.select(F.col("node").alias("node_a"), F.explode(flips).alias("fp"))
+        ends = near.join(many, "fp").filter("node_a < node")
+        return pairs.unionByName(ends.select(F.col("node_a").alias("src"), F.col("node").alias("dst"))).distinct()
+    near = many.select("node", F.explode(F.concat(F.array("fp"), flips)).alias("near"))
     centre = near.groupBy("near").agg(F.min("node").alias("src"), F.count("*").alias("size")).filter("size > 1").select("near", "src")
     stars = near.join(centre, "near").filter("node != src").select("src", F.col("node").alias("dst"))
     return pairs.unionByName(stars).distinct()
@@ -95,10 +104,12 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     spec = "doc_id long, fp long"
     marked = common.map_texts(docs, lambda ids, texts: {"doc_id": ids, "fp": fingerprints(texts, shingle_words)}, spec, id_col, text_col)
     marked = common.written(marked, "simhash-marked")
-    nodes = common.written(marked.groupBy("fp").agg(F.min("doc_id").alias("node")).filter("node IS NOT NULL"), "simhash-nodes")
-    links = common.written(close_links(nodes, distance, hot=hot), "simhash-links")
-    reach = nodes.join(components(links).withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return marked.join(reach, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    counted = common.written(marked.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("rows")), "simhash-nodes")
+    nodes = counted.filter("node IS NOT NULL")
+    links = common.written(close_links(nodes.drop("rows"), distance, hot=hot), "simhash-links")
+    found = components(links).withColumnRenamed("node", "linked")
+    reach = common.written(counted.join(found, F.col("node") == F.col("linked"), "left").select("fp", F.coalesce("component", "node").alias("component_id"), "rows"), "simhash-reach")
+    return common.join_counted(marked, reach, "fp", "rows").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -107,11 +118,12 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     A row that repeats an id counts as the same document, so one of such rows stays. Rows without an id take part
     under a number made of their text, above all usual ids, so they stay only where no row with an id is close.
     """
-    own = F.coalesce(F.col(id_col).cast("long"), F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(text_col), 2))
-    named = docs.withColumn("__own", own)
-    groups = near_duplicate_groups(named, "__own", text_col)
-    first = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("__own")).distinct()
-    return named.join(first, "__own", "left_semi").dropDuplicates(["__own"]).select(*docs.columns)
+    number = F.coalesce(F.col(id_col).cast("long"), F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(text_col), 2))
+    own = common.free_name(docs, "__own")
+    named = docs.withColumn(own, number)
+    groups = near_duplicate_groups(named, own, text_col)
+    first = groups.filter("doc_id = component_id").select(F.col("doc_id").alias(own)).distinct()
+    return named.join(first, own, "left_semi").dropDuplicates([own]).select(*docs.columns)
 
 
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

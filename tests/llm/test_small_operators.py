@@ -12,7 +12,7 @@ import xxhash
 import zstandard
 from pyspark.sql import functions as F
 
-from chronoweave.llm import bin_completion, bpe_codec, language_crf, quality_rules, sequence_packing, simhash_dedup
+from chronoweave.llm import bin_completion, bpe_codec, common, language_crf, quality_rules, sequence_packing, simhash_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 PROSE = "The quick brown fox jumps over the lazy dog while seven wizards quietly examine twelve jars of excellent plum jam. "
@@ -115,7 +115,7 @@ def fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
 
 
-def brute_groups(fps):
+def brute_groups(fps, distance=2):
     parent = {i: i for i in fps}
 
     def root(i):
@@ -125,7 +125,7 @@ def brute_groups(fps):
 
     for i in fps:
         for j in fps:
-            if (fps[i] ^ fps[j]).bit_count() <= 2:
+            if (fps[i] ^ fps[j]).bit_count() <= distance:
                 a, b = sorted((root(i), root(j)))
                 parent[b] = a
     return {i: root(i) for i in fps}
@@ -141,8 +141,9 @@ def test_simhash_groups_equal_brute_force(docs):
             assert r["fingerprint"] == f"{fps[r['doc_id']]:016x}" and r["component_id"] == groups[r["doc_id"]]
 
 
+@pytest.mark.parametrize("distance", [0, 1, 2])
 @pytest.mark.parametrize("hot", [1, 3, 64])
-def test_close_fingerprints_link_in_hot_blocks_too(spark, hot):
+def test_close_fingerprints_link_in_hot_blocks_too(spark, hot, distance):
     rng = np.random.default_rng(hot)
     base = [int(x) for x in rng.integers(0, 1 << 62, 12)]
     fps = {base[0]}
@@ -153,9 +154,17 @@ def test_close_fingerprints_link_in_hot_blocks_too(spark, hot):
             fps.add(b)
     ids = dict(enumerate(sorted(fps)))
     nodes = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in ids.items()], "node long, fp long")
-    links = simhash_dedup.close_links(nodes, hot=hot)
+    links = simhash_dedup.close_links(nodes, distance, hot=hot)
+    if distance < 2:  # then every link is between close nodes
+        assert {(r["src"], r["dst"]) for r in links.collect()} == {(i, j) for i in ids for j in ids if i < j and (ids[i] ^ ids[j]).bit_count() <= distance}
     found = {r["node"]: r["component"] for r in simhash_dedup.components(links).collect()}
-    assert {i: found.get(i, i) for i in ids} == brute_groups(ids)
+    assert {i: found.get(i, i) for i in ids} == brute_groups(ids, distance)
+
+
+@pytest.mark.parametrize("distance", [-1, 3, 9])
+def test_other_distances_are_refused(spark, distance):
+    with pytest.raises(ValueError, match="distance"):
+        simhash_dedup.close_links(spark.createDataFrame([], "node long, fp long"), distance)
 
 
 def test_one_of_each_group_stays(docs):
@@ -165,6 +174,17 @@ def test_one_of_each_group_stays(docs):
     fps = {i: fingerprint(t) for i, t in DOCS if i is not None}
     assert ids == sorted([str(i) for i, g in brute_groups(fps).items() if i == g] + ["None"])
     assert simhash_dedup.keep_one_of_each(docs.limit(0)).count() == 0
+    clash = docs.withColumn("__own", F.lit("mine")).withColumn("__OWN_", F.lit("too"))
+    assert {tuple(r)[-2:] for r in simhash_dedup.keep_one_of_each(clash).collect()} == {("mine", "too")}
+
+
+def test_hot_keys_join_by_broadcast_to_the_same_rows(spark):
+    big = spark.range(1000).select((F.col("id") % 7 * (F.col("id") % 2)).alias("k"), F.col("id").alias("v"))
+    small = big.groupBy("k").agg(F.max("v").alias("top"), F.count("*").alias("n")).filter("k != 3")
+    for how in ("inner", "left"):
+        want = sorted(map(str, big.join(small.drop("n"), "k", how).collect()))
+        for least in (1, 400, 10_000):
+            assert sorted(map(str, common.join_counted(big, small, "k", "n", how, least).collect())) == want
 
 
 def test_packing_is_whole_and_gapless(docs):
