@@ -156,11 +156,14 @@ class BundleReader:
 
 
 def marked(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
-    """(page_id, url, payload, keeper): keeper is the largest page_id with the same payload, if that is another page's."""
+    """(page_id, url, payload, keeper): keeper is the largest page_id with the same payload, if that is another page's.
+
+    Digests are counted before payloads move; the payloads of a very frequent digest, as of empty pages, don't move at all.
+    """
     own = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.encode("html", "UTF-8"), F.lit(b"")).alias("payload"))
     own = own.withColumn("digest", F.sha1("payload"))
-    twice = own.filter(F.length("payload") >= least).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).filter("n > 1").select("digest", "keeper")
-    return own.join(twice, "digest", "left").select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper")).alias("keeper"))
+    twice = own.filter(F.length("payload") >= least).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).filter("n > 1")
+    return common.join_counted(own, common.written(twice, "warc-repeated"), "digest", "n", "left").select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper")).alias("keeper"))
 
 
 def write_bundles(pages: DataFrame, folder: str, least: int = REVISIT_BYTES, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
