@@ -66,7 +66,10 @@ def grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def blocked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` in blocks of at most ``block_bytes`` of text, as a table bucketed by block: a block's later steps don't shuffle texts."""
+    """``docs`` in blocks of at most ``block_bytes`` of text, in files bucketed by block: a block's later steps don't shuffle texts.
+
+    The files are in the shared folder; the catalog's entry, which tells Spark of the buckets, is gone once they are written.
+    """
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(common.crc32_mod(id_col, HELD_OUT[0]) != HELD_OUT[1], F.lit(True)).alias("training"), F.col(text_col).cast("string").alias("text"))
 
@@ -82,8 +85,11 @@ def blocked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", blo
 
     name = f"ppm_blocks_{uuid.uuid4().hex}"
     buckets = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    slim.mapInArrow(assign, BLOCKED).write.bucketBy(buckets, "block").option("compression", "zstd").saveAsTable(name)
-    return spark.table(name)
+    slim.mapInArrow(assign, BLOCKED).write.bucketBy(buckets, "block").option("compression", "zstd").option("path", common.new_path(spark, "ppm-blocks")).saveAsTable(name)
+    found = spark.table(name)
+    found.schema  # resolves the table while its entry is there
+    spark.sql(f"DROP TABLE {name}")  # its files are its own folder's and stay
+    return found
 
 
 def _steps(table: pa.Table):
