@@ -3,6 +3,11 @@
 Values are found by one expression, validated by their own rules (check digits, calendar, ranges) and permuted by a
 keyed Feistel network within their format, so a value has the same pseudonym in every document, a card number stays a
 valid card number of its length, and with the key every change can be undone. Invalid look-alikes stay as they are.
+
+What stays: an IBAN's country and the letters of its bank part, an e-mail's domain and punctuation, a phone number's
+first digit (and that of the exchange in the three-three-four form), and forms that aren't listed in KINDS, such as
+national phone numbers without country prefix and slashed dates in day-month order. The key is a literal of the plan,
+so ``explain`` and the web interface show it: whoever may see these must be allowed to know the key.
 """
 
 from __future__ import annotations
@@ -275,21 +280,22 @@ def pseudonyms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             out = F.when(x["kind"] == name, CHANGES[name](_keyed(key, SHARED.get(name, name)), x["old"], undo)).otherwise(out)
         return _let(out, lambda new: F.struct(new.alias("new"), F.when(new != x["old"], x["kind"]).otherwise(F.lit("")).alias("kind")))
 
-    some = docs.withColumn("__found", F.when(text.rlike(PATTERN), F.transform(F.transform(found, change), changed)))
+    name_found = common.free_name(docs, "__found")
+    some = docs.withColumn(name_found, F.when(text.rlike(PATTERN), F.transform(F.transform(found, change), changed)))
     gaps = F.split(text, PATTERN, -1)
-    pieces = F.transform(F.arrays_zip(gaps.alias("gap"), F.col("__found").alias("x")), lambda p: F.concat(p["gap"], F.coalesce(p["x"]["new"], F.lit(""))))
-    counts = {"n_found": F.coalesce(F.size("__found"), F.lit(0)).cast("long"), "n_changed": _count(lambda x: x["kind"] != "")}
-    counts |= {f"n_{name}": _count(_is(name)) for name, _ in KINDS}
-    out = some.withColumns(counts | {text_col: F.when(F.col("__found").isNotNull(), F.array_join(pieces, "")).otherwise(text)})
-    return out.withColumn("n_found", F.greatest("n_found", F.lit(0).cast("long"))).drop("__found")
+    pieces = F.transform(F.arrays_zip(gaps.alias("gap"), F.col(name_found).alias("x")), lambda p: F.concat(p["gap"], F.coalesce(p["x"]["new"], F.lit(""))))
+    counts = {"n_found": F.coalesce(F.size(name_found), F.lit(0)).cast("long"), "n_changed": _count(name_found, lambda x: x["kind"] != "")}
+    counts |= {f"n_{name}": _count(name_found, _is(name)) for name, _ in KINDS}
+    out = some.withColumns(counts | {text_col: F.when(F.col(name_found).isNotNull(), F.array_join(pieces, "")).otherwise(text)})
+    return out.withColumn("n_found", F.greatest("n_found", F.lit(0).cast("long"))).drop(name_found)
 
 
 def _is(name: str):
     return lambda x: x["kind"] == name
 
 
-def _count(test) -> Column:
-    return F.when(F.col("__found").isNull(), 0).otherwise(F.size(F.filter("__found", test))).cast("long")
+def _count(found: str, test) -> Column:
+    return F.when(F.col(found).isNull(), 0).otherwise(F.size(F.filter(found, test))).cast("long")
 
 
 def op7_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
