@@ -5,7 +5,9 @@ symbols of longer contexts excluded. The trie is a set of DataFrames, one row pe
 probability follows from a row, its parent's and sums over the context, so it is computed level by level with joins and
 windows (a window holds the symbols of one context, 256 at most). Texts lie in blocks in a table bucketed by block:
 each block asks for the distinct grams and words it has, gets an answer for each, and scores its texts. Questions and
-answers travel as packed arrays, a row for each block and bucket of grams and words.
+answers travel as packed arrays in two steps: from a block by ranges of buckets, and from a group of blocks, merged, by
+bucket; answers come back the same way. Blocks a group and buckets a range grow with the square root of their numbers,
+so a row keeps thousands of grams, and bytes follow the input, where rows a (block, bucket) would grow with its square.
 """
 
 from __future__ import annotations
@@ -32,8 +34,8 @@ HELD_OUT = (7, 2)
 START, END = 0, 255
 ALPHABET = 256
 BLOCKED = "block long, doc_id long, training boolean, text string"
-ASKED = "block long, bucket long, grams binary, gram_counts binary, words binary, word_counts binary"
-ANSWERED = "block long, bucket long, is_gram boolean, asked binary, answers binary"
+ASKED = "grams binary, gram_counts binary, words binary, word_counts binary"
+ANSWERED = "is_gram boolean, asked binary, answers binary"
 #: Bytes of text for each bucket of grams and words; buckets grow with the input, so a bucket doesn't.
 BUCKET_BYTES = 16 << 20
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -166,11 +168,27 @@ class Places:
         return found
 
 
-def asked(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
-    """Each block's distinct grams and words with their counts in its training texts, a row a bucket that has any (columns of ASKED); the end token is the empty word."""
+def _rows(keys: tuple[str, str], first: int, ends: list[int], own: np.ndarray, counts: np.ndarray, words, buckets: int) -> pa.Table:
+    """Rows (``keys``, columns of ASKED), the keys being ``first`` and the place in ``ends``: the grams and words of the buckets up to each of ``ends``, where there are any."""
+    at, gram_ends = by_bucket(own, buckets)
+    own, counts = own[at], counts[at]
+    listed, word_ends = words_by_bucket(words, buckets)
+    word_counts = np.fromiter(map(words.__getitem__, listed), np.int64, len(listed))
+    rows, a, c = [], 0, 0
+    for number, end in enumerate(ends):
+        b, d = int(gram_ends[end]), int(word_ends[end])
+        if b > a or d > c:
+            rows.append((first, number, packed(np.diff(own[a:b], prepend=0)), packed(counts[a:b]), packed_words(listed[c:d]), packed(word_counts[c:d])))
+        a, c = b, d
+    names = [*keys, "grams", "gram_counts", "words", "word_counts"]
+    return pa.table([pa.array([r[i] for r in rows], pa.int64() if i < 2 else pa.binary()) for i in range(6)], names=names)
+
+
+def asked(blocks: DataFrame, order: int, buckets: int, width: int) -> DataFrame:
+    """Each block's distinct grams and words with their counts in its training texts, a row for each range of ``width`` buckets that has any (block, part, columns of ASKED); the end token is the empty word."""
+    ends = [min(e, buckets - 1) for e in range(width - 1, buckets + width - 1, width)]
 
     def count(table: pa.Table) -> pa.Table:
-        block = table.column("block")[0].as_py()
         parts, words = [], Counter({b"": 0})
         for _, training, texts in _steps(table):
             keys, lengths = grams(texts, order)
@@ -188,19 +206,53 @@ def asked(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
                     words.update(dict.fromkeys(own, 0))
             if len(parts) >= 16:
                 parts = [_merged(parts)]
-        own, n = _merged(parts)
-        at, ends = by_bucket(own, buckets)
-        own, n = own[at], n[at]
-        listed, word_ends = words_by_bucket(words, buckets)
-        word_n = np.fromiter(map(words.__getitem__, listed), np.int64, len(listed))
-        rows, a, c = [], 0, 0
-        for bucket, (b, d) in enumerate(zip(ends.tolist(), word_ends.tolist(), strict=True)):
-            if b > a or d > c:
-                rows.append((block, bucket, packed(np.diff(own[a:b], prepend=0)), packed(n[a:b]), packed_words(listed[c:d]), packed(word_n[c:d])))
-            a, c = b, d
-        return pa.table([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), *[pa.binary()] * 4), strict=True)], names=[x.split()[0] for x in ASKED.split(", ")])
+        return _rows(("block", "part"), table.column("block")[0].as_py(), ends, *_merged(parts), words, buckets)
+
+    return blocks.groupBy("block").applyInArrow(count, f"block long, part long, {ASKED}")
 
-    return blocks.groupBy("block").applyInArrow(count, ASKED)
+
+def gathered(questions: DataFrame, buckets: int, width: int) -> DataFrame:
+    """The questions of each group of blocks, merged, a row a bucket (team, bucket, columns of ASKED)."""
+
+    def merge(table: pa.Table) -> pa.Table:
+        parts, words = [], Counter()
+        for g, n, w, k in zip(*(table.column(c) for c in ("grams", "gram_counts", "words", "word_counts")), strict=True):
+            parts.append((np.cumsum(unpacked(g.as_py())), unpacked(n.as_py())))
+            if len(parts) >= 64:
+                parts = [_merged(parts)]
+            for word, c in zip(unpacked_words(w.as_py()), unpacked(k.as_py()).tolist(), strict=True):
+                words[word] += c
+        return _rows(("team", "bucket"), table.column("team")[0].as_py(), list(range(buckets)), *_merged(parts), words, buckets)
+
+    return questions.groupBy("team", "part").applyInArrow(merge, f"team long, bucket long, {ASKED}")
+
+
+def spread(questions: DataFrame, answers: DataFrame, width: int) -> DataFrame:
+    """The answers of a group, by ranges of buckets, dealt to its blocks in the order in which each asked (block, columns of ANSWERED)."""
+
+    def deal(asked_of: pa.Table, known: pa.Table) -> pa.Table:
+        keys, values, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.float32)], {}
+        for is_gram, sought, data in zip(*(known.column(n) for n in ("is_gram", "asked", "answers")), strict=True):
+            if is_gram.as_py():
+                keys.append(np.cumsum(unpacked(sought.as_py())))
+                values.append(unpacked(data.as_py(), np.float32))
+            else:
+                counts.update(zip(unpacked_words(sought.as_py()), unpacked(data.as_py()).tolist(), strict=True))
+        keys, values = np.concatenate(keys), np.concatenate(values)
+        order = np.argsort(keys)
+        keys, values = keys[order], values[order]
+        rows = []
+        for block, g, w in zip(asked_of.column("block").to_pylist(), asked_of.column("grams"), asked_of.column("words"), strict=True):
+            if sought := g.as_py():
+                rows.append((block, True, sought, packed(values[np.searchsorted(keys, np.cumsum(unpacked(sought)))])))
+            if sought := w.as_py():
+                own = unpacked_words(sought)
+                rows.append((block, False, sought, packed(np.fromiter(map(counts.__getitem__, own), np.int64, len(own)))))
+        types = (pa.int64(), pa.bool_(), pa.binary(), pa.binary())
+        return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["block", "is_gram", "asked", "answers"])
+
+    back = answers.withColumn("part", F.floor(F.col("bucket") / width)).drop("bucket")
+    return questions.select("team", "part", "block", "grams", "words").groupBy("team", "part").cogroup(back.groupBy("team", "part")).applyInArrow(deal, f"block long, {ANSWERED}")
 
 
 def gram_counts(questions: DataFrame) -> DataFrame:
@@ -219,21 +271,21 @@ def gram_counts(questions: DataFrame) -> DataFrame:
 
 
 def gram_answers(questions: DataFrame, probabilities: DataFrame, buckets: int) -> DataFrame:
-    """For each block and bucket the logarithms of its grams' probabilities, in its order."""
+    """For each group of blocks and bucket the logarithms of its grams' probabilities, in its order."""
 
     def answer(asked_of: pa.Table, known: pa.Table) -> pa.Table:
         gram, value = known.column("gram").to_numpy(), known.column("value").to_numpy()
         at = np.argsort(gram)
         gram, value = gram[at], value[at].astype(np.float32)
         out = [packed(value[np.searchsorted(gram, np.cumsum(unpacked(g.as_py())))]) for g in asked_of.column("grams")]
-        return pa.table({"block": asked_of.column("block"), "bucket": asked_of.column("bucket"), "is_gram": pa.array([True] * len(out), pa.bool_()), "asked": asked_of.column("grams"), "answers": pa.array(out, pa.binary())})
+        return pa.table({"team": asked_of.column("team"), "bucket": asked_of.column("bucket"), "is_gram": pa.array([True] * len(out), pa.bool_()), "asked": asked_of.column("grams"), "answers": pa.array(out, pa.binary())})
 
     keyed = probabilities.select(F.pmod("gram", F.lit(buckets)).alias("bucket"), "gram", F.log10("prob").alias("value"))
-    return questions.select("block", "bucket", "grams").groupBy("bucket").cogroup(keyed.groupBy("bucket")).applyInArrow(answer, ANSWERED)
+    return questions.select("team", "bucket", "grams").groupBy("bucket").cogroup(keyed.groupBy("bucket")).applyInArrow(answer, f"team long, bucket long, {ANSWERED}")
 
 
 def word_answers(questions: DataFrame) -> DataFrame:
-    """For each block and bucket the training counts of its words; the bucket's sum of counts and number of trained words stand in one of its rows."""
+    """For each group of blocks and bucket the training counts of its words; the bucket's sum of counts and number of trained words stand in one of its rows."""
 
     def answer(table: pa.Table) -> pa.Table:
         total: Counter = Counter()
@@ -246,9 +298,9 @@ def word_answers(questions: DataFrame) -> DataFrame:
             out.append(packed(np.fromiter(map(total.__getitem__, own), np.int64, len(own))))
         rest = [0] * (len(out) - 1)
         sums = {"tokens": [sum(total.values()), *rest], "trained": [sum(k > 0 for k in total.values()), *rest]}
-        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "is_gram": pa.array([False] * len(out), pa.bool_()), "asked": table.column("words"), "answers": pa.array(out, pa.binary())} | {k: pa.array(v, pa.int64()) for k, v in sums.items()})
+        return pa.table({"team": table.column("team"), "bucket": table.column("bucket"), "is_gram": pa.array([False] * len(out), pa.bool_()), "asked": table.column("words"), "answers": pa.array(out, pa.binary())} | {k: pa.array(v, pa.int64()) for k, v in sums.items()})
 
-    return questions.select("block", "bucket", "words", "word_counts").groupBy("bucket").applyInArrow(answer, f"{ANSWERED}, tokens long, trained long")
+    return questions.select("team", "bucket", "words", "word_counts").groupBy("bucket").applyInArrow(answer, f"team long, bucket long, {ANSWERED}, tokens long, trained long")
 
 
 def gram_probabilities(counts: DataFrame, order: int) -> DataFrame:
@@ -286,13 +338,15 @@ def ppm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are learned from and scored each; an empty table gives no rows; other columns are ignored.
     """
     blocks = blocked(docs, id_col, text_col, block_bytes)
-    size = blocks.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    size, n_blocks = blocks.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.approx_count_distinct("block")).first()
     buckets = max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES) | 1
-    questions = common.written(asked(blocks, order, buckets), "ppm-asked")
+    width, teams = math.isqrt(buckets), max(1, math.isqrt(n_blocks))
+    by_block = common.written(asked(blocks, order, buckets, width).withColumn("team", F.pmod("block", F.lit(teams))), "ppm-asked")
+    questions = common.written(gathered(by_block, buckets, width), "ppm-gathered")
     counts = common.written(gram_counts(questions), "ppm-counts")
     words = common.written(word_answers(questions), "ppm-words")
     total, distinct = words.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("trained"), F.lit(0))).first()
-    answers = gram_answers(questions, gram_probabilities(counts, order), buckets).unionByName(words.drop("tokens", "trained"))
+    answers = spread(by_block, gram_answers(questions, gram_probabilities(counts, order), buckets).unionByName(words.drop("tokens", "trained")), width)
 
     def score(texts_of: pa.Table, answers_of: pa.Table) -> pa.Table:
         keys, values, words, counts = [], [], [], []

@@ -3,8 +3,10 @@ from collections import Counter
 from zlib import crc32
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from chronoweave.llm import common
 from chronoweave.llm import ppm_score as P
 
 DOCS = [(1, "the cat sat on the mat"), (2, "The cat sat"), (3, None), (4, ""), (5, "abracadabra abracadabra é😀"), (6, "zebra the cat"), (7, "x" * 3000 + " end"), (1, "the cat sat on the mat"), (None, "unnamed the"), (16, "held the out cat")]
@@ -49,13 +51,24 @@ def brute(docs, order):
     return sorted(rows)
 
 
-def test_scores_equal_brute_force(spark):
-    for block_bytes in (1 << 20, 40):
-        got = P.ppm_scores(spark.createDataFrame(DOCS, "doc_id long, text string").withColumn("block", F.lit("clash")), block_bytes=block_bytes, order=3).collect()
-        rows = sorted((str(r["doc_id"]), *list(r)[1:]) for r in got)
-        want = brute(DOCS, 3)
-        assert [r[:5] for r in rows] == [w[:5] for w in want]
-        assert np.allclose([r[5:] for r in rows], [w[5:] for w in want], rtol=1e-5)
+@pytest.mark.parametrize("order, block_bytes", [(5, 1 << 20), (5, 40), (3, 40)])
+def test_scores_equal_brute_force(spark, order, block_bytes):
+    got = P.ppm_scores(spark.createDataFrame(DOCS, "doc_id long, text string").withColumn("block", F.lit("clash")), block_bytes=block_bytes, order=order).collect()
+    rows = sorted((str(r["doc_id"]), *list(r)[1:]) for r in got)
+    want = brute(DOCS, order)
+    assert [r[:5] for r in rows] == [w[:5] for w in want]
+    assert np.allclose([r[5:] for r in rows], [w[5:] for w in want], rtol=1e-5)
+
+
+def test_no_table_is_left_and_blocks_are_in_the_shared_folder(spark):
+    before = spark.catalog.listTables()
+    docs = spark.createDataFrame([(i, f"text number {i} " * 20) for i in range(50)], "doc_id long, text string")
+    blocks = P.blocked(docs, block_bytes=2000)
+    assert blocks.count() == 50 and spark.catalog.listTables() == before
+    bare = lambda path: path.removeprefix("file:").lstrip("/")
+    assert all(bare(f).startswith(bare(common.shared_dir(spark))) for f in blocks.inputFiles())
+    plan = blocks.groupBy("block").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
 
 
 def test_grams_pack_and_places():
