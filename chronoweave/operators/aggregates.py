@@ -137,7 +137,7 @@ def beat_percentile(notes: DataFrame, beat_ms: float = 500.0, on: Sequence[str]
     return by_pitch.groupBy(*on, "beat", F.pmod("pitch", F.lit(12)).alias("pc")).agg(F.round(F.sum("p"), 6).alias("p90"))
 
 
-def chord_scores(notes: DataFrame, beat_ms: float = 2000.0, on: Sequence[str] = ("track_id",)) -> DataFrame:
+def triad_scores(notes: DataFrame, beat_ms: float = 2000.0, on: Sequence[str] = ("track_id",)) -> DataFrame:
     """(*on, beat, root, quality, score): the best of 24 triads for the pitch classes of each beat: coverage of the weight, completeness of the triad."""
     shapes = {"major": (0, 4, 7), "minor": (0, 3, 7)}
     pcs = notes.groupBy(*on, F.floor(F.col("start_ms") / beat_ms).alias("beat"), F.pmod("pitch", F.lit(12)).alias("pc")).agg(F.sum("dur_ms").alias("w"))

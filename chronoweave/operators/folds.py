@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .projections import end_ms
+from .walks import over_groups
 
 
 def islands(rows: DataFrame, on: Sequence[str], reach: float) -> DataFrame:
@@ -22,39 +24,46 @@ def islands(rows: DataFrame, on: Sequence[str], reach: float) -> DataFrame:
 
 
 def anchor_cluster(notes: DataFrame, tol: float = 12.0, on: Sequence[str] = ("track_id",)) -> DataFrame:
-    """(*on, note_id, anchor_ms): a note joins the current cluster if it starts within ``tol`` of the cluster's FIRST start."""
-    cut = islands(notes, on, tol)
-    rows = cut.groupBy(*on, "island").agg(F.array_sort(F.collect_list(F.struct("start_ms", "note_id"))).alias("rows"))
-    state = F.struct(F.lit(None).cast("double").alias("anchor"), F.array().cast("array<struct<note_id:bigint,anchor_ms:double>>").alias("out"))
+    """(*on, note_id, anchor_ms): a note joins the current cluster if it starts within ``tol`` of the cluster's FIRST start.
 
-    def step(acc, x):
-        anchor = F.when(x["start_ms"] - acc["anchor"] <= tol, acc["anchor"]).otherwise(x["start_ms"])
-        return F.struct(anchor.alias("anchor"), F.concat(acc["out"], F.array(F.struct(x["note_id"].alias("note_id"), anchor.alias("anchor_ms")))).alias("out"))
-
-    folded = rows.select(*on, F.aggregate("rows", state, step, lambda a: a["out"]).alias("out"))
-    return folded.select(*on, F.explode("out").alias("x")).select(*on, "x.note_id", "x.anchor_ms")
+    An island without gaps is walked once in order, batch by batch; each step jumps to the end of its cluster.
+    """
+    def solve(g: dict) -> tuple:
+        start = g["start_ms"]
+        anchor, i = np.empty(len(start)), 0
+        while i < len(start):
+            j = i + 1
+            while j < len(start) and start[j] - start[i] <= tol:
+                j += 1
+            anchor[i:j] = start[i]
+            i = j
+        return *(g[k] for k in on), g["note_id"], anchor
+
+    types = dict(notes.dtypes)
+    schema = ", ".join([*(f"{k} {types[k]}" for k in on), "note_id long, anchor_ms double"])
+    return over_groups(islands(notes, on, tol), [*on, "island"], [], ["start_ms", "note_id"], solve, schema)
 
 
 def fold_same_pitch(notes: DataFrame, tol: float = 80.0, ratio: float = 0.75, on: Sequence[str] = ("track_id", "pitch")) -> DataFrame:
     """(*on, note_id, start_ms, end_ms, members): chained clusters of same-pitch notes.
 
     A note joins if it starts within ``tol`` of the cluster's first start and overlaps what the cluster spans by
-    ``ratio`` of the shorter; the span grows. The loudest member, first of ties, gives its id.
+    ``ratio`` of the shorter; the span grows. The loudest member, first of ties, gives its id. One walk an island.
     """
-    cut = islands(notes.withColumn("end_ms", end_ms()), on, tol)
-    rows = cut.groupBy(*on, "island").agg(F.array_sort(F.collect_list(F.struct("start_ms", "note_id", "end_ms", "vel"))).alias("rows"))
-    one = "struct<start_ms:double,end_ms:double,vel:int,note_id:bigint,members:int>"
-    state = F.struct(F.lit(None).cast(one).alias("now"), F.array().cast(f"array<{one}>").alias("out"))
-
-    def step(acc, x):
-        now = acc["now"]
-        both = F.least(now["end_ms"], x["end_ms"]) - F.greatest(now["start_ms"], x["start_ms"])
-        shorter = F.least(now["end_ms"] - now["start_ms"], x["end_ms"] - x["start_ms"])
-        joins = F.coalesce((x["start_ms"] - now["start_ms"] <= tol) & (both >= ratio * shorter), F.lit(False))
-        fresh = F.struct(x["start_ms"].alias("start_ms"), x["end_ms"].alias("end_ms"), x["vel"].alias("vel"), x["note_id"].alias("note_id"), F.lit(1).alias("members"))
-        grown = F.struct(now["start_ms"].alias("start_ms"), F.greatest(now["end_ms"], x["end_ms"]).alias("end_ms"), F.greatest(now["vel"], x["vel"]).alias("vel"), F.when(x["vel"] > now["vel"], x["note_id"]).otherwise(now["note_id"]).alias("note_id"), (now["members"] + 1).alias("members"))
-        done = F.when(joins | now.isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(now)))
-        return F.struct(F.when(joins, grown).otherwise(fresh).alias("now"), done.alias("out"))
-
-    folded = rows.select(*on, F.aggregate("rows", state, step, lambda a: F.concat(a["out"], F.array(a["now"]))).alias("out"))
-    return folded.select(*on, F.explode("out").alias("x")).select(*on, "x.note_id", "x.start_ms", "x.end_ms", "x.members")
+    def solve(g: dict) -> tuple:
+        start, end, vel, ids = g["start_ms"], g["end_ms"], g["vel"], g["note_id"]
+        out: list[list] = []  # place of the first, end, place of the loudest, members
+        for i in range(len(start)):
+            if out:
+                first, reach, loud, _ = now = out[-1]
+                both = min(reach, end[i]) - max(start[first], start[i])
+                if start[i] - start[first] <= tol and both >= ratio * min(reach - start[first], end[i] - start[i]):
+                    now[1], now[2], now[3] = max(reach, end[i]), i if vel[i] > vel[loud] else loud, now[3] + 1
+                    continue
+            out.append([i, end[i], i, 1])
+        first, reach, loud, members = (np.array(x) for x in zip(*out, strict=True))
+        return *(g[k][first] for k in on), ids[loud], start[first], reach, members
+
+    types = dict(notes.dtypes)
+    schema = ", ".join([*(f"{k} {types[k]}" for k in on), "note_id long, start_ms double, end_ms double, members int"])
+    return over_groups(islands(notes.withColumn("end_ms", end_ms()), on, tol), [*on, "island"], ["end_ms", "vel"], ["start_ms", "note_id"], solve, schema)

@@ -7,44 +7,14 @@ tasks; only rows that depend on each other without any gap stay together.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .folds import islands
+from ..functions import scalars as S
+from .folds import anchor_cluster, islands
 from .projections import end_ms
-
-
-def over_groups(df: DataFrame, keys: Sequence[str], columns: Sequence[str], order: Sequence[str], solve: Callable[[dict], tuple], schema: str) -> DataFrame:
-    """``solve`` of each group of ``keys``: it gets ``columns`` as arrays in the given order and gives the arrays of ``schema``."""
-    keys, columns = list(keys), list(dict.fromkeys([*columns, *order]))
-    own = [c for c in columns if c not in keys]
-    dealt = df.select(*keys, *own).repartition(*keys).sortWithinPartitions(*keys, *order)
-    names = df.sparkSession.createDataFrame([], schema).columns
-
-    def solved(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
-        arrays = {c: rows[c].to_numpy() for c in [*keys, *own]}
-        found = [solve({c: a[s:e] for c, a in arrays.items()}) for s, e in zip(starts, [*starts[1:], len(rows)], strict=True)]
-        return pd.DataFrame({n: np.concatenate([f[i] for f in found]) for i, n in enumerate(names)})
-
-    def run(batches):
-        held = None
-        for batch in batches:
-            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            if not len(rows):
-                continue
-            k = rows[keys].to_numpy()
-            starts = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]).any(axis=1)])
-            held = rows.iloc[starts[-1] :]
-            if starts[-1]:
-                yield solved(rows.iloc[: starts[-1]], starts[:-1])
-        if held is not None:
-            yield solved(held, np.zeros(1, np.int64))
-
-    return dealt.mapInPandas(run, schema)
+from .walks import over_groups
 
 
 def nms(events: DataFrame, near: float = 20.0, overlap: float = 0.85) -> DataFrame:
@@ -52,18 +22,21 @@ def nms(events: DataFrame, near: float = 20.0, overlap: float = 0.85) -> DataFra
 
     In order of falling confidence, length, then start and id, an event that no survivor suppresses survives. A survivor
     suppresses events that start within ``near`` and share ``overlap`` of the longer's length. ``kept_by`` is the
-    survivor's id, its own for a survivor.
+    survivor's id, its own for a survivor, so what a survivor absorbed is a group of it. Only events that start within
+    ``near`` can meet: each survivor looks at that window of the sorted starts, not at its whole island.
     """
 
     def solve(g: dict) -> tuple:
-        order = np.lexsort((g["note_id"], g["start_ms"], -g["dur_ms"], -g["confidence"]))
-        a, d, ids = g["start_ms"][order], g["dur_ms"][order], g["note_id"][order]
-        owner = np.full(len(a), -1, np.int64)
-        for i in range(len(a)):
+        start, d, ids = g["start_ms"], g["dur_ms"], g["note_id"]  # in order of start
+        end, owner = start + d, np.full(len(start), -1, np.int64)
+        first, last = np.searchsorted(start, start - near, side="left"), np.searchsorted(start, start + near, side="right")
+        for i in np.lexsort((ids, start, -d, -g["confidence"])):
             if owner[i] < 0:
-                both = np.minimum(a + d, a[i] + d[i]) - np.maximum(a, a[i])
-                hit = (owner < 0) & (np.abs(a - a[i]) <= near) & (both >= overlap * np.maximum(d, d[i]))
-                owner[hit], owner[i] = ids[i], ids[i]
+                w = slice(first[i], last[i])
+                both = np.minimum(end[w], end[i]) - np.maximum(start[w], start[i])
+                hit = (owner[w] < 0) & (both >= overlap * np.maximum(d[w], d[i]))
+                owner[w][hit] = ids[i]
+                owner[i] = ids[i]
         return ids, owner
 
     return over_groups(islands(events, ["track_id", "pitch"], near), ["track_id", "pitch", "island"], ["dur_ms", "confidence"], ["start_ms", "note_id"], solve, "note_id long, kept_by long")
@@ -160,6 +133,97 @@ def event_pairing(events: DataFrame, dangling: float = 100.0) -> DataFrame:
     return events.withColumn("next", following).filter("on").select("channel", "pitch", "vel", F.col("at_ms").alias("start_ms"), F.coalesce(F.col("next") - F.col("at_ms"), F.lit(dangling)).alias("dur_ms"))
 
 
+def event_pairing_sustained(events: DataFrame, dangling: float = 100.0) -> DataFrame:
+    """(channel, pitch, vel, start_ms, dur_ms) from events (channel, pitch, at_ms, seq, kind, vel) of kinds on, off, down and up.
+
+    The first event of its key after an on ends a note; an off while the channel's pedal is down only holds it, until
+    the pedal goes up or the key is struck again. Notes without an end last ``dangling``, those without length go.
+    Pedal state runs over a channel, the rest over its keys: windows only.
+    """
+    channel, key = Window.partitionBy("channel").orderBy("at_ms", "seq"), Window.partitionBy("channel", "pitch").orderBy("at_ms", "seq")
+    later = (1, Window.unboundedFollowing)
+    seen = events.withColumns({
+        "down": F.coalesce(F.last(F.when(F.col("kind").isin("down", "up"), F.col("kind") == "down"), ignorenulls=True).over(channel), F.lit(False)),
+        "next_up": F.min(F.when(F.col("kind") == "up", F.col("at_ms"))).over(channel.rowsBetween(*later)),
+    }).filter(F.col("kind").isin("on", "off"))
+    held_to = F.least("next_up", F.min(F.when(F.col("kind") == "on", F.col("at_ms"))).over(key.rowsBetween(*later)))
+    own_end = F.when((F.col("kind") == "on") | ~F.col("down"), F.col("at_ms")).otherwise(held_to)
+    ends = seen.withColumn("own_end", own_end).withColumns({"end": F.lead("own_end").over(key)})
+    notes = ends.filter("kind = 'on'").select("channel", "pitch", "vel", F.col("at_ms").alias("start_ms"), F.coalesce(F.col("end") - F.col("at_ms"), F.lit(dangling)).alias("dur_ms"))
+    return notes.filter("dur_ms > 0")
+
+
+def humanize_groups(notes: DataFrame, beat: float = 500.0, gap: float = 420.0, timing: float = 12.0, least_vel: int = 1, most_vel: int = 127) -> DataFrame:
+    """(note_id, start_ms, vel): each onset group moves as one by a reproducible offset and velocity step, drawn from an integer signature.
+
+    Strong beats and ends of phrases move less. A group stays a millisecond behind the place of the one before and
+    ahead of the next one's, so places flow through a track: its groups are one walk.
+    """
+    clusters = anchor_cluster(notes).join(notes, ["track_id", "note_id"])
+    groups = clusters.groupBy("track_id", "anchor_ms").agg(F.sum("pitch").alias("pitches"), F.count("*").alias("n"), F.max(end_ms()).alias("end_ms"))
+    following = F.lead("anchor_ms").over(Window.partitionBy("track_id").orderBy("anchor_ms"))
+    phase = F.col("anchor_ms") % beat
+    strong = F.least(phase, F.abs(beat - phase)) <= 18.0
+    anchored = strong | F.col("next").isNull() | (F.col("next") - F.col("end_ms") >= gap)
+    signature = ((F.col("track_id") + 1) * 1000003 + S.half_even(F.col("anchor_ms") * 10).cast("long") * 9176 + F.col("pitches") * 131 + F.col("n") * 37).bitwiseAND(F.lit(0x7FFFFFFF))
+
+    def unit(x: Column) -> Column:
+        return F.shiftright(x * 1103515245 + 12345, 16).bitwiseAND(F.lit(0x7FFF)) / 16383.5 - 1.0
+
+    known = groups.withColumn("next", following).withColumns({"limit": F.least(F.lit(timing), F.when(strong, 3.0).when(anchored, 4.0).otherwise(12.0)), "vel_limit": F.when(anchored, 2).otherwise(6), "signature": signature})
+    drawn = known.withColumns({"offset": F.round(unit(F.col("signature")) * F.col("limit"), 3), "delta": S.half_even(unit(F.col("signature").bitwiseXOR(F.lit(0x5BD1E995))) * F.col("vel_limit")).cast("int")})
+
+    def solve(g: dict) -> tuple:
+        anchor, ahead, offset = g["anchor_ms"], g["next"], g["offset"]
+        placed, last = np.empty(len(anchor)), -1.0
+        for i in range(len(anchor)):
+            at = max(0.0, anchor[i] + offset[i])
+            if last >= 0:
+                at = max(last + 1.0, at)
+            if not np.isnan(ahead[i]):
+                at = min(ahead[i] - 1.0, at)
+                if at >= ahead[i]:
+                    at = anchor[i]
+            placed[i] = last = anchor[i] if at < 0 else at
+        return g["track_id"], anchor, placed - anchor, g["delta"]
+
+    moved = over_groups(drawn, ["track_id"], ["next", "offset", "delta"], ["anchor_ms"], solve, "track_id long, anchor_ms double, moved double, delta int")
+    out = clusters.join(moved, ["track_id", "anchor_ms"])
+    return out.select("note_id", F.greatest(F.lit(0.0), F.col("start_ms") + F.col("moved")).alias("start_ms"), F.least(F.greatest(F.col("vel") + F.col("delta"), F.lit(least_vel)), F.lit(most_vel)).alias("vel"))
+
+
+def melodic_lines(notes: DataFrame, gap: float = 420.0, early: float = 600.0, leap: int = 12) -> DataFrame:
+    """(note_id, line) for notes that sound alone in their onset cluster: each continues the nearest open line in pitch and time; a chord ends all lines.
+
+    A line is named by its first note and open while its last note began within ``gap`` of the latest. Chords and
+    silences longer than ``gap`` end all lines and cut a track, so it is walked in parts.
+    """
+    clusters = anchor_cluster(notes).join(notes, ["track_id", "note_id"])
+    size = Window.partitionBy("track_id", "anchor_ms")
+    w = Window.partitionBy("track_id").orderBy("anchor_ms", "note_id")
+    sized = clusters.withColumn("n", F.count("*").over(size))
+    reached = F.max(end_ms()).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.when((F.col("n") > 1) | F.coalesce(F.col("start_ms") - reached > gap, F.lit(True)), 1).otherwise(0)
+    parts = sized.withColumn("part", F.sum(fresh).over(w)).filter("n = 1").withColumn("end_ms", end_ms())
+
+    def solve(g: dict) -> tuple:
+        start, end, pitch, ids = g["start_ms"], g["end_ms"], g["pitch"], g["note_id"]
+        lines, out = [], np.empty(len(ids), np.int64)  # [place of the last note, name]
+        for i in range(len(ids)):
+            costs = [(abs(int(pitch[i]) - int(pitch[k])) * 20 + abs(start[i] - end[k]), at) for at, (k, _) in enumerate(lines) if -early <= start[i] - end[k] <= gap and abs(int(pitch[i]) - int(pitch[k])) <= leap]
+            if costs:
+                line = lines[min(costs)[1]]
+                line[0] = i
+            else:
+                line = [i, ids[i]]
+                lines.append(line)
+            out[i] = line[1]
+            lines = [x for x in lines if start[i] - start[x[0]] <= gap]
+        return ids, out
+
+    return over_groups(parts, ["track_id", "part"], ["end_ms", "pitch"], ["start_ms", "note_id"], solve, "note_id long, line long")
+
+
 def merge_gaps(events: DataFrame, most: float = 20.0) -> DataFrame:
     """(track_id, pitch, start_ms, end_ms, n): same-pitch notes joined while the next starts within ``most`` of the latest end."""
     w = Window.partitionBy("track_id", "pitch").orderBy("start_ms", "note_id")

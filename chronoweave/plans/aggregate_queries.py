@@ -137,8 +137,8 @@ k AS (SELECT t AS root, m AS quality, list_transform(s, lambda x: (x + t) % 12)
 s AS (SELECT track_id, beat, root, quality, round(0.7::DOUBLE * sum(CASE WHEN list_contains(tones, pc) THEN w ELSE 0 END) / sum(w) + 0.1::DOUBLE * count(*) FILTER (list_contains(tones, pc)), 6) AS score FROM p, k GROUP BY 1, 2, 3, 4),
 b AS (SELECT *, row_number() OVER (PARTITION BY track_id, beat ORDER BY score DESC, root, quality) AS r FROM s)
 SELECT track_id, beat, CAST(root AS INTEGER) AS root, quality, score FROM b WHERE r = 1""")
-def chord_scores(spark, sf):
-    return A.chord_scores(notes(spark, sf, 8))
+def triad_scores(spark, sf):
+    return A.triad_scores(notes(spark, sf, 8))
 
 
 @query("""WITH {N}, o AS (SELECT DISTINCT track_id, CAST(floor(start_ms / 24.0) AS BIGINT) AS b FROM n), z AS (SELECT track_id, count(*) AS c FROM o GROUP BY 1),

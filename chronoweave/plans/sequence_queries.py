@@ -40,7 +40,7 @@ def voice_tracking(spark, sf):
 
 
 @query()
-def viterbi_harmony(spark, sf):
+def viterbi_four_states(spark, sf):
     beats = notes(spark, sf).groupBy("track_id", F.floor(F.col("start_ms") / 500.0).alias("beat")).agg(*(F.round(F.sum(F.when(F.pmod("pitch", F.lit(4)) == k, F.col("vel"))) / 127.0, 6).alias(f"s{k}") for k in range(4)))
     return Q.viterbi(beats.select("track_id", "beat", F.array(*(F.coalesce(f"s{k}", F.lit(0.0)) for k in range(4))).alias("scores")), 4)
 

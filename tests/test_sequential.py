@@ -2,10 +2,13 @@
 
 import itertools
 import random
+import time
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from chronoweave.operators import aggregates, changes, folds, intervals, sequential
+from chronoweave.operators import aggregates, changes, folds, intervals, sequential, walks
 from chronoweave.operators.registry import Registry
 
 SCHEMA = "track_id long, note_id long, pitch int, vel int, start_ms double, dur_ms double, ntype int, confidence double"
@@ -149,3 +152,61 @@ def test_registry():
     r.unregister("nms")
     with pytest.raises(KeyError):
         r.get("nms")
+
+
+def test_melodic_lines_equal_naive(spark):
+    rng = np.random.default_rng(12)
+    rows, at = [], 0.0
+    for i in range(300):
+        at += float(rng.choice([0.0, 5.0, 60.0, 150.0, 400.0, 900.0], p=[0.1, 0.1, 0.3, 0.3, 0.15, 0.05]))
+        rows.append((i % 2, i, int(rng.integers(40, 80)), 80, at, float(rng.integers(20, 400)), 0))
+    notes = spark.createDataFrame(rows, "track_id long, note_id long, pitch int, vel int, start_ms double, dur_ms double, ntype int")
+    got = {r["note_id"]: r["line"] for r in sequential.melodic_lines(notes).collect()}
+    want = {}
+    for track in (0, 1):
+        own = sorted((r for r in rows if r[0] == track), key=lambda r: (r[4], r[1]))
+        groups = []
+        for r in own:
+            if groups and r[4] - groups[-1][0][4] <= 12:
+                groups[-1].append(r)
+            else:
+                groups.append([r])
+        active = []
+        for g in groups:
+            if len(g) != 1:
+                active = []
+                continue
+            n = g[0]
+            choices = [(abs(n[2] - x[-1][2]) * 20 + abs(n[4] - x[-1][4] - x[-1][5]), k) for k, x in enumerate(active) if -600 <= n[4] - x[-1][4] - x[-1][5] <= 420 and abs(n[2] - x[-1][2]) <= 12]
+            if choices:
+                line = active[min(choices)[1]]
+                line.append(n)
+            else:
+                line = [n]
+                active.append(line)
+            want[n[1]] = line[0][1]
+            active = [x for x in active if n[4] - x[-1][4] <= 420]
+    assert got == want and len(set(want.values())) > 20
+
+
+def test_walks_go_over_batches(spark):
+    """Groups longer than a batch, and batches of many groups, come out whole and in order."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = spark.range(200).select((F.col("id") % 50 * (F.col("id") % 3 % 2)).alias("k"), F.col("id").alias("v"))
+        got = walks.over_groups(df, ["k"], ["v"], ["v"], lambda g: (g["k"][:1], np.array([len(g["v"])]), np.array([",".join(map(str, g["v"]))])), "k long, n long, s string")
+        want = df.groupBy("k").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("v")), ",").alias("s"))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_one_dense_key_is_walked_once(spark):
+    """A key without gaps is one island; the work must follow its rows, not their square."""
+    n = 200_000
+    notes = spark.range(n).select(F.lit(0).cast("long").alias("track_id"), F.col("id").alias("note_id"), F.lit(60).alias("pitch"), (F.col("id") % 127).cast("int").alias("vel"), (F.col("id") * 0.5).alias("start_ms"), F.lit(3.0).alias("dur_ms"), F.lit(0).alias("ntype"), (F.col("id") % 100 / 100.0).alias("confidence"))
+    began = time.perf_counter()
+    assert folds.anchor_cluster(notes).select("anchor_ms").distinct().count() == n // 25
+    assert folds.fold_same_pitch(notes).agg(F.sum("members")).first()[0] == n
+    assert sequential.nms(notes).count() == n
+    assert time.perf_counter() - began < 90
