@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from .projections import end_ms
+from .runs import running_sums
 
 #: The steps of the major and the natural minor scale.
 MAJOR, MINOR = (0, 2, 4, 5, 7, 9, 11), (0, 2, 3, 5, 7, 8, 10)
@@ -18,18 +19,18 @@ def bounds(notes: DataFrame, on: Sequence[str] = ("track_id",)) -> DataFrame:
     return notes.groupBy(*on).agg(F.min("start_ms").alias("start_ms"), F.max(end_ms()).alias("end_ms"))
 
 
-def concurrency(notes: DataFrame, on: Sequence[str] = ("track_id",)) -> DataFrame:
-    """(*on, at, active): how many notes sound from each boundary on. Ends come before starts, so touching notes don't add up."""
+def concurrency(notes: DataFrame, on: Sequence[str] = ("track_id",), width: float = 60_000.0) -> DataFrame:
+    """(*on, at, active): how many notes sound from each boundary on. Ends come before starts, so touching notes don't add up. Sums run in buckets of ``width``."""
     steps = notes.filter("dur_ms > 0").select(*on, F.explode(F.array(F.struct(F.col("start_ms").alias("at"), F.lit(1).alias("d")), F.struct(end_ms().alias("at"), F.lit(-1).alias("d")))).alias("x"))
     summed = steps.groupBy(*on, F.col("x.at").alias("at")).agg(F.sum("x.d").alias("d"))
-    return summed.select(*on, "at", F.sum("d").over(Window.partitionBy(*on).orderBy("at")).alias("active"))
+    return running_sums(summed, on, "at", (), {"active": F.col("d")}, width).drop("d")
 
 
 def peak_concurrency(notes: DataFrame, on: Sequence[str] = ("track_id",)) -> DataFrame:
     return concurrency(notes, on).groupBy(*on).agg(F.max("active").alias("peak"))
 
 
-def sweep_regions(a: DataFrame, b: DataFrame, on: Sequence[str] = ("track_id",)) -> DataFrame:
+def sweep_regions(a: DataFrame, b: DataFrame, on: Sequence[str] = ("track_id",), width: float = 60_000.0) -> DataFrame:
     """(*on, start_ms, end_ms): maximal times in which both sides sound, by a sweep over their boundaries."""
     steps = None
     for df, side in ((a, "a"), (b, "b")):
@@ -37,7 +38,8 @@ def sweep_regions(a: DataFrame, b: DataFrame, on: Sequence[str] = ("track_id",))
         own = df.filter("dur_ms > 0").select(*on, x.alias("x")).select(*on, "x.at", *(F.when(F.lit(side == s), F.col("x.d")).otherwise(0).alias(s) for s in "ab"))
         steps = own if steps is None else steps.unionByName(own)
     w = Window.partitionBy(*on).orderBy("at")
-    active = steps.groupBy(*on, "at").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).select(*on, "at", ((F.sum("a").over(w) > 0) & (F.sum("b").over(w) > 0)).alias("both"), F.lead("at").over(w).alias("next"))
+    summed = running_sums(steps.groupBy(*on, "at").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), on, "at", (), {"on_a": F.col("a"), "on_b": F.col("b")}, width)
+    active = summed.select(*on, "at", ((F.col("on_a") > 0) & (F.col("on_b") > 0)).alias("both"), F.lead("at").over(w).alias("next"))
     runs = active.withColumn("fresh", F.when(F.col("both") & ~F.coalesce(F.lag("both").over(w), F.lit(False)), 1).otherwise(0)).withColumn("run", F.sum("fresh").over(w))
     return runs.filter("both").groupBy(*on, "run").agg(F.min("at").alias("start_ms"), F.max("next").alias("end_ms")).drop("run")
 

@@ -9,10 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import islands
 from .projections import end_ms
+from .runs import carried, running_sums
+from .walks import over_groups
 
 
 def _renamed(df: DataFrame, suffix: str, keep: Sequence[str]) -> DataFrame:
@@ -41,11 +45,11 @@ def overlap_pairs(a: DataFrame, b: DataFrame, width: float, on: Sequence[str] =
     return range_join(left, right, ("start_ms_a", "end_ms_a"), ("start_ms_b", "end_ms_b"), width, on, strict)
 
 
-def overlap_count(a: DataFrame, b: DataFrame, on: Sequence[str] = ()) -> DataFrame:
+def overlap_count(a: DataFrame, b: DataFrame, on: Sequence[str] = (), width: float = 60_000.0) -> DataFrame:
     """(*on, pairs): how many pairs overlap strictly, without making them.
 
     For non-empty intervals that is the sum over a of (b starting before its end) less (b ending by its start), so one
-    ordered pass over boundary events counts them; memory and output don't grow with the pairs.
+    ordered pass over boundary events, in buckets of ``width``, counts them; memory and output don't grow with the pairs.
     """
     events = None
     for df, side in ((a, "a"), (b, "b")):
@@ -55,8 +59,8 @@ def overlap_count(a: DataFrame, b: DataFrame, on: Sequence[str] = ()) -> DataFra
             order = 1 if side == "a" else 0 if kind == "end" else 2
             row = own.select(*on, at.alias("at"), F.lit(order).alias("ord"), F.lit(side + kind).alias("kind"))
             events = row if events is None else events.unionByName(row)
-    w = Window.partitionBy(*on).orderBy("at", "ord")
-    before = events.withColumns({"starts": F.count_if(F.col("kind") == "bstart").over(w), "ends": F.count_if(F.col("kind") == "bend").over(w)})
+    counts = {n: F.when(F.col("kind") == k, 1).otherwise(0) for n, k in (("starts", "bstart"), ("ends", "bend"))}
+    before = running_sums(events, on, "at", ("ord",), counts, width)
     signed = F.when(F.col("kind") == "aend", F.col("starts")).when(F.col("kind") == "astart", -F.col("ends")).otherwise(0)
     return before.groupBy(*on).agg(F.sum(signed).alias("pairs"))
 
@@ -85,33 +89,57 @@ def best_match(a: DataFrame, b: DataFrame, tol: float = 35.0, rel: float = 0.25)
     return band_matches(a, b, tol, rel).groupBy("note_id_a").agg(best.alias("note_id_b"))
 
 
-def asof(left: DataFrame, right: DataFrame, at: str, on: Sequence[str], values: Sequence[str], first_if_none: bool = False) -> DataFrame:
+def best_match_once(a: DataFrame, b: DataFrame, tol: float = 35.0, rel: float = 0.25) -> DataFrame:
+    """(note_id_a, note_id_b): as ``best_match``, but each row of ``b`` is used once: rows of ``a`` choose in order of start, then id, among what is left.
+
+    Choices are made within islands of one pitch across whose gaps nothing can match.
+    """
+    both = a.select("pitch", "start_ms", "dur_ms", "note_id", F.lit(0).alias("side")).unionByName(b.select("pitch", "start_ms", "dur_ms", "note_id", F.lit(1).alias("side")))
+
+    def solve(g: dict) -> tuple:
+        x, y = np.flatnonzero(g["side"] == 0), np.flatnonzero(g["side"] == 1)
+        start, dur, ids, free, pairs = g["start_ms"], g["dur_ms"], g["note_id"], np.ones(len(y), bool), []
+        low = 0
+        for i in x:
+            while low < len(y) and start[y[low]] < start[i] - tol:
+                low += 1
+            best, k = None, low
+            while k < len(y) and start[y[k]] <= start[i] + tol:
+                away = abs(dur[y[k]] - dur[i])
+                if free[k] and away <= max(tol, rel * dur[i]) and (best is None or (abs(start[y[k]] - start[i]), away, ids[y[k]]) < best[0]):
+                    best = (abs(start[y[k]] - start[i]), away, ids[y[k]]), k
+                k += 1
+            if best:
+                free[best[1]] = False
+                pairs.append((ids[i], best[0][2]))
+        found = np.array(pairs, np.int64).reshape(-1, 2)
+        return found[:, 0], found[:, 1]
+
+    return over_groups(islands(both, ["pitch"], tol), ["pitch", "island"], ["dur_ms", "side"], ["start_ms", "note_id"], solve, "note_id_a long, note_id_b long")
+
+
+def asof(left: DataFrame, right: DataFrame, at: str, on: Sequence[str], values: Sequence[str], first_if_none: bool = False, width: float = 60_000.0) -> DataFrame:
     """``left`` with the ``values`` of the latest right row whose ``at`` isn't after its own (ties: right first); with ``first_if_none`` else the earliest right row's.
 
-    A union and a running window over each key; no pairs are made.
+    A union and running values over each key in buckets of ``width``, so a hot key is many tasks; no pairs are made.
+    ``at`` is a number.
     """
     value = F.struct(F.col(at), *values)
     l = left.withColumns({"__side": F.lit(1), "__value": F.lit(None).cast(right.select(value.alias("v")).schema[0].dataType)})
     r = right.select(*on, F.col(at), F.lit(0).alias("__side"), value.alias("__value"))
-    both = l.unionByName(r, allowMissingColumns=True)
-    w = Window.partitionBy(*on).orderBy(at, "__side")
-    found = F.last("__value", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    done = carried(l.unionByName(r, allowMissingColumns=True), on, at, ("__side",), "__value", "__found", width).filter("__side = 1")
     if first_if_none:
-        found = F.coalesce(found, F.min("__value").over(Window.partitionBy(*on)))
-    done = both.withColumn("__found", found).filter("__side = 1")
+        first = right.groupBy(*on).agg(F.min(value).alias("__first"))
+        done = done.join(first, list(on), "left").withColumn("__found", F.coalesce("__found", "__first"))
     return done.select(*left.columns, *(F.col("__found")[v].alias(v) for v in values))
 
 
-def asof_nearest(left: DataFrame, right: DataFrame, at: str, on: Sequence[str], to: str = "nearest") -> DataFrame:
-    """``left`` with the nearest right ``at`` of its key; the earlier wins a tie, null if the key has none."""
+def asof_nearest(left: DataFrame, right: DataFrame, at: str, on: Sequence[str], to: str = "nearest", width: float = 60_000.0) -> DataFrame:
+    """``left`` with the nearest right ``at`` of its key; the earlier wins a tie, null if the key has none. Running values in buckets of ``width``, as in ``asof``."""
     l = left.withColumns({"__side": F.lit(1), "__at": F.lit(None).cast("double")})
     r = right.select(*on, F.col(at), F.lit(0).alias("__side"), F.col(at).alias("__at"))
-    w = Window.partitionBy(*on).orderBy(at, "__side")
-    both = l.unionByName(r, allowMissingColumns=True).withColumns({
-        "__before": F.last("__at", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-        # from the other end: a frame that only grows is one pass, one that shrinks isn't
-        "__after": F.last("__at", ignorenulls=True).over(Window.partitionBy(*on).orderBy(F.desc(at), "__side").rowsBetween(Window.unboundedPreceding, 0)),
-    })
+    both = carried(l.unionByName(r, allowMissingColumns=True), on, at, ("__side",), "__at", "__before", width)
+    both = carried(both, on, at, ("__side",), "__at", "__after", width, backward=True)
     nearer = F.when(F.col("__before").isNull(), F.col("__after")).when(F.col("__after").isNull(), F.col("__before")).when(F.col(at) - F.col("__before") <= F.col("__after") - F.col(at), F.col("__before")).otherwise(F.col("__after"))
     return both.filter("__side = 1").select(*left.columns, nearer.alias(to))
 
@@ -223,7 +251,10 @@ def clip_projection(notes: DataFrame, clips: DataFrame, width: float, shortest:
 
 
 def interval_override(automatic: DataFrame, manual: DataFrame, width: float, on: Sequence[str] = ("track_id",)) -> DataFrame:
-    """(*on, start_ms, end_ms, label): manual intervals, and what they leave of the automatic ones. Manual ones of a key must not overlap."""
+    """(*on, start_ms, end_ms, label): manual intervals, and what they leave of the automatic ones. Manual ones of a key that overlap are an error."""
+    reached = F.max("end_ms").over(Window.partitionBy(*on).orderBy("start_ms", "end_ms").rowsBetween(Window.unboundedPreceding, -1))
+    apart = F.when(F.coalesce(F.col("start_ms") >= reached, F.lit(True)), F.lit(True)).otherwise(F.raise_error(F.lit("manual intervals overlap")).cast("boolean"))
+    manual = manual.withColumn("__apart", apart).filter("__apart").drop("__apart")
     m = manual.select(*on, F.col("start_ms").alias("m_start"), F.col("end_ms").alias("m_end"))
     a = automatic.select(*on, "start_ms", "end_ms", "label")
     hits = range_join(a, m, ("start_ms", "end_ms"), ("m_start", "m_end"), width, on, (F.col("start_ms") < F.col("m_end")) & (F.col("m_start") < F.col("end_ms")))

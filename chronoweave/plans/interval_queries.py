@@ -56,9 +56,10 @@ def best_draft_match(spark, sf):
 l AS (SELECT l_orderkey, l_linenumber, l_suppkey AS k, l_shipdate AS t FROM lineitem)
 SELECT l_orderkey, l_linenumber, coalesce(s.seg, f.seg) AS seg FROM l ASOF LEFT JOIN s ON l.k = s.k AND l.t >= s.t LEFT JOIN f ON l.k = f.k""")
 def asof_tempo(spark, sf):
-    segments = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("k"), F.col("o_orderdate").alias("at")).agg(F.max("o_orderkey").alias("seg"))
-    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("k"), F.col("l_shipdate").alias("at"))
-    return I.asof(lines, segments, "at", ["k"], ["seg"], first_if_none=True).select("l_orderkey", "l_linenumber", "seg")
+    seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1e6
+    segments = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("k"), seconds("o_orderdate").alias("at")).agg(F.max("o_orderkey").alias("seg"))
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("k"), seconds("l_shipdate").alias("at"))
+    return I.asof(lines, segments, "at", ["k"], ["seg"], first_if_none=True, width=90 * 86400.0).select("l_orderkey", "l_linenumber", "seg")
 
 
 @query("""WITH {N8}, t AS (SELECT * FROM n WHERE ntype = 3), c AS (SELECT a.note_id, t.start_ms AS nearest,
@@ -114,6 +115,11 @@ def chord_lookup(spark, sf):
     return I.chord_lookup(n, windows)
 
 
+@query()
+def best_draft_match_once(spark, sf):
+    return I.best_match_once(*_ab(spark, sf))
+
+
 @query(f"""WITH {{N8}} SELECT a.note_id, round(sum((least(a.start_ms + a.dur_ms, b.start_ms + b.dur_ms) - greatest(a.start_ms, b.start_ms)) / nullif(a.dur_ms, 0)), 6) AS contamination
 FROM n a JOIN n b ON a.track_id = b.track_id AND a.pitch <> b.pitch AND {_PAIRS} GROUP BY 1""")
 def contamination(spark, sf):

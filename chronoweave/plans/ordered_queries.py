@@ -158,5 +158,5 @@ lead(pitch, 1) OVER w AS p1, lead(pitch, 2) OVER w AS p2, lead(pitch, 3) OVER w
 SELECT note_id, 'legato' AS pattern FROM r WHERE gap BETWEEN -20 AND 20 UNION ALL SELECT note_id, 'staccato' FROM r WHERE dur_ms < 0.5 * ioi
 UNION ALL SELECT note_id, 'accent' FROM r WHERE vel > mean + 30 UNION ALL SELECT note_id, 'flam' FROM r WHERE p1 = pitch AND ioi <= 45
 UNION ALL SELECT note_id, 'roll' FROM r WHERE p1 = pitch AND p2 = pitch AND p3 = pitch AND t3 <= 500""")
-def pattern_detectors(spark, sf):
+def pattern_basic(spark, sf):
     return O.pattern_detect(notes(spark, sf, 8))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chronoweave.operators import aggregates, changes, folds, intervals, sequential, walks
+from chronoweave.operators import aggregates, changes, folds, intervals, runs, sequential, walks
 from chronoweave.operators.registry import Registry
 
 SCHEMA = "track_id long, note_id long, pitch int, vel int, start_ms double, dur_ms double, ntype int, confidence double"
@@ -210,3 +210,35 @@ def test_one_dense_key_is_walked_once(spark):
     assert folds.fold_same_pitch(notes).agg(F.sum("members")).first()[0] == n
     assert sequential.nms(notes).count() == n
     assert time.perf_counter() - began < 90
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_best_match_once_equals_naive(spark, seed):
+    rows = random_notes(seed, 160)
+    a, b = [r for r in rows if r[1] % 2 == 0], [r for r in rows if r[1] % 2]
+    got = sorted(tuple(r) for r in intervals.best_match_once(frame(spark, a), frame(spark, b)).collect())
+    free, want = set(b), []
+    for x in sorted(a, key=lambda r: (r[4], r[1])):
+        near = [(abs(y[4] - x[4]), abs(y[5] - x[5]), y[1], y) for y in free if y[2] == x[2] and abs(y[4] - x[4]) <= 35 and abs(y[5] - x[5]) <= max(35, 0.25 * x[5])]
+        if near:
+            free.remove(min(near)[3])
+            want.append((x[1], min(near)[2]))
+    assert got == sorted(want) and len(want) > 10
+
+
+def test_running_values_do_not_depend_on_buckets(spark):
+    rows = [(r[0], r[1], r[4], r[3] if r[3] % 3 else None) for r in random_notes(5, 300)] + [(None, 900, 5.0, 7), (None, 901, 800.0, None)]
+    df = spark.createDataFrame(rows, "k long, id long, at double, v int")
+    for back in (False, True):
+        wants = {str(sorted(map(str, runs.carried(df, ("k",), "at", ("id",), "v", "last", width, back).collect()))) for width in (1.0, 37.0, 1e9)}
+        assert len(wants) == 1
+    sums = {str(sorted(map(str, runs.running_sums(df, ("k",), "at", ("id",), {"s": F.coalesce("v", F.lit(0))}, width).collect()))) for width in (1.0, 37.0, 1e9)}
+    assert len(sums) == 1
+
+
+def test_overlapping_overrides_are_an_error(spark):
+    spans = "track_id long, start_ms double, end_ms double, label string"
+    automatic = spark.createDataFrame([(1, 0.0, 100.0, "a")], spans)
+    manual = spark.createDataFrame([(1, 10.0, 30.0, "m"), (1, 20.0, 40.0, "n")], spans)
+    with pytest.raises(Exception, match="manual intervals overlap"):
+        intervals.interval_override(automatic, manual, 50.0).collect()
