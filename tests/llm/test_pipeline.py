@@ -2,11 +2,13 @@
 
 import numpy as np
 import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
 from test_small_operators import brute_groups, fingerprint
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from chronoweave.llm import language_crf, quality_rules, secret_scan
+from chronoweave.llm import common, language_crf, quality_rules, secret_scan
 
 
 def test_pipeline_equals_its_stages(spark, tmp_path):
@@ -32,3 +34,27 @@ def test_pipeline_equals_its_stages(spark, tmp_path):
     ends = np.array([r["offset"] + r["length"] for r in got])
     assert ends.max() <= 2048
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "quality_rules", "simhash_dedup", "secret_scan", "best_fit_packing"]
+
+
+def test_empty_documents_and_extra_columns(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0).withColumns({"__own": F.lit(1), "spans": F.lit("x"), "block": F.lit(2)})
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, str(tmp_path)).columns == docs.columns, name
+
+
+class OnCluster:
+    """A session as a cluster has it, without a shared folder."""
+
+    class conf:  # noqa: N801
+        get = staticmethod(lambda key, default=None: default)
+
+    class sparkContext:  # noqa: N801
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+
+def test_no_local_folder_on_a_cluster():
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_dir(OnCluster)

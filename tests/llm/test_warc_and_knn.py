@@ -5,7 +5,7 @@ import io
 import numpy as np
 from pyspark.sql import functions as F
 
-from chronoweave.llm import voronoi_knn, warc_bundles as W
+from chronoweave.llm import common, voronoi_knn, warc_bundles as W
 
 PAGES = [(1, "http://a/ b", "<p>é</p>"), (2, None, "<p>é</p>"), (3, "u", None), (4, "u", ""), (5, "u", "unique"), (5, "u", "unique"), (None, "u", "lost"), (7, "u", "x" * 400_000)]
 
@@ -27,7 +27,18 @@ def test_pages_come_back_from_archives(spark, tmp_path):
         keeper = max(ids) if ids else None
         assert r["record_type"] == ("response" if r["page_id"] == keeper else "revisit") and r["refers_to"] == (None if r["page_id"] == keeper else keeper)
         assert r["payload"] == (data if r["record_type"] == "response" else None)
-    assert W.write_bundles(pages.limit(0), folder).count() == 0
+    empty = W.write_bundles(pages.limit(0), folder)
+    assert empty.count() == 0 and W.read_records(empty, folder).count() == 0
+
+
+def test_a_very_frequent_payload_gives_the_same_records(spark, tmp_path, monkeypatch):
+    pages = spark.createDataFrame([(i, "u", "" if i % 3 == 0 else "twin" if i % 3 == 1 else f"page {i}") for i in range(90)], "page_id long, url string, html string")
+    found = []
+    for least in (1, 10_000):
+        monkeypatch.setattr(common.join_counted, "__defaults__", ("inner", least))
+        rows = W.read_records(W.write_bundles(pages, f"file://{tmp_path}/{least}"), f"file://{tmp_path}/{least}").collect()
+        found.append(sorted((r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in rows))
+    assert found[0] == found[1] and len(found[0]) == 90 and sum(r[1] == "response" for r in found[0]) == 32
 
 
 def test_frames_are_independent_and_damage_is_seen():
