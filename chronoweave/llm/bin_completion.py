@@ -10,11 +10,16 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 
 #: Fillings looked at before the best plan so far is taken; the search's only limit.
 NODE_BUDGET = 3000
+#: Levels of the search whose enumeration is kept; others begin anew and skip what they gave. A memory bound.
+KEPT_LEVELS = 32
+#: What is left is packed by best fit where it has few lengths, and else at every so many levels: it takes ten times as long as the rest of a level.
+FEW_LENGTHS, BEST_FIT_EVERY = 128, 16
 
 Plan = list[tuple[tuple[int, ...], int]]
 
@@ -25,22 +30,17 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     For each k up to half a bin: items above capacity - k are alone among those of k and more, and what the other
     large ones leave free must hold the rest of these.
     """
-    number = np.zeros(capacity + 1, object)
+    number = np.zeros(capacity + 2, np.int64)
     for length, n in counts.items():
         number[length] += n
-    sizes = np.arange(capacity + 1, dtype=object) * number
+    n_from, volume_from = (np.cumsum(x[::-1])[::-1] for x in (number, np.arange(capacity + 2) * number))  # items of k and more
     half = capacity // 2
-    n_from = np.cumsum(number[::-1])[::-1]  # items of k and more
-    volume_from = np.cumsum(sizes[::-1])[::-1]
-    best = -(-int(volume_from[0]) // capacity)
-    alone, large_volume = (int(n_from[half + 1]), int(volume_from[half + 1])) if half < capacity else (0, 0)
-    for k in range(half + 1):
-        above = capacity - k + 1
-        big, big_volume = (int(n_from[above]), int(volume_from[above])) if above <= capacity else (0, 0)
-        room = (alone - big) * capacity - (large_volume - big_volume)
-        small = int(volume_from[k]) - large_volume
-        best = max(best, alone + max(0, -(-(small - room) // capacity)))
-    return best
+    alone, large_volume = n_from[half + 1], volume_from[half + 1]
+    k = np.arange(half + 1)
+    big, big_volume = n_from[capacity - k + 1], volume_from[capacity - k + 1]
+    room = (alone - big) * capacity - (large_volume - big_volume)
+    small = volume_from[k] - large_volume
+    return int(max(-(-volume_from[0] // capacity), (alone + np.maximum(0, -((room - small) // capacity))).max()))
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> Plan:
@@ -147,16 +147,18 @@ def search(counts: dict[int, int], capacity: int, incumbent: Plan, bound: int, b
     left, chosen, bins, looked_at, seen = dict(counts), [], 0, 0, set()
     mark = {k: hash((k, 1 << 20)) for k in counts}
 
-    def tries() -> Iterator[tuple[tuple[int, ...], int]]:
-        """Fillings with the largest item left and for how many bins; ends where nothing better can follow."""
+    def tries(first: bool) -> Iterator[tuple[tuple[int, ...], int]]:
+        """Fillings with the largest item left and for how many bins; ends where nothing better can follow. ``first``: not a level that begins anew."""
         nonlocal best, most, looked_at
-        state = (sum(mark[k] * n for k, n in left.items()), bins)
-        if state in seen or bins + lower_bound(left, capacity) >= most:
-            return
-        seen.add(state)
-        rest = best_fit(left, capacity)
-        if (total := bins + sum(n for _, n in rest)) < most:
-            most, best = total, chosen + rest
+        if first:
+            state = (sum(mark[k] * n for k, n in left.items()), bins)
+            if state in seen or bins + lower_bound(left, capacity) >= most:
+                return
+            seen.add(state)
+            if len(left) <= FEW_LENGTHS or len(seen) % BEST_FIT_EVERY == 1:
+                rest = best_fit(left, capacity)
+                if (total := bins + sum(n for _, n in rest)) < most:
+                    most, best = total, chosen + rest
         length = max(left)
         others = left | {length: left[length] - 1}
         volume = sum(k * n for k, n in left.items())
@@ -174,14 +176,18 @@ def search(counts: dict[int, int], capacity: int, incumbent: Plan, bound: int, b
                 if n > 1:
                     yield own, 1
 
-    stack: list[tuple[Iterator, tuple | None]] = [(tries(), None)]
+    # each level: its enumeration, or None where it isn't kept; how many steps it gave; the step that led to it
+    stack: list[list] = [[tries(True), 0, None]]
     while stack and looked_at <= budget and most > bound:
-        options, made = stack[-1]
-        step = next(options, None)
+        level = stack[-1]
+        if level[0] is None:
+            level[0] = islice(tries(False), level[1], None)
+        step = next(level[0], None)
+        level[1] += 1
         if step is None:
             stack.pop()
-            if made:
-                filling, n = made
+            if level[2]:
+                filling, n = level[2]
                 for x in filling:
                     left[x] = left.get(x, 0) + n
                 bins -= n
@@ -198,7 +204,9 @@ def search(counts: dict[int, int], capacity: int, incumbent: Plan, bound: int, b
         chosen.append(step)
         if not left:
             most, best = bins, list(chosen)
-        stack.append((tries() if left else iter(()), step))
+        stack.append([tries(True) if left else iter(()), 0, step])
+        if len(stack) > KEPT_LEVELS:
+            stack[-KEPT_LEVELS - 1][0] = None
     return best
 
 
