@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from .intervals import range_join
+from .sequential import nms
 
 #: Longest spans, in frames, of severe and review fragments and of those that count for density.
 SEVERE, REVIEW, DENSITY = 6, 8, 11
@@ -107,3 +108,28 @@ def clean_suppress(flagged: DataFrame, evidence: DataFrame) -> DataFrame:
     )
     weak = (F.round(F.col("peak"), 9) < STRONG_ONSET) & (F.round(F.col("peak") - F.col("around"), 9) < WEAK_PROMINENCE) & (F.round(F.col("support"), 9) < LEAST_SUPPORT)
     return flagged.join(sums.filter(weak).select("note_id", F.lit(True).alias("hidden")), "note_id", "left").withColumn("hidden", F.coalesce("hidden", F.lit(False)))
+
+
+def cleanup(events: DataFrame, evidence: DataFrame, profile: str = "clean", frame_ms: float = 10.0) -> DataFrame:
+    """(note_id, status, by): every event with what the clean-up made of it: ``duplicate`` or ``suppressed`` by another, ``hidden``, or ``kept``.
+
+    Exact duplicates go to the smallest id; the rest pass suppression by confidence, flags and, in profile ``clean``,
+    hiding. Profile ``raw`` only removes duplicates, ``balanced`` doesn't hide. The audit has a row an event.
+    """
+    if profile not in ("raw", "balanced", "clean"):
+        raise ValueError(f"unknown profile {profile}")
+    first = F.min("note_id").over(Window.partitionBy("track_id", "pitch", "start_frame", "end_frame", "confidence"))
+    marked = events.withColumn("first", first)
+    twins = marked.filter("first != note_id").select("note_id", F.lit("duplicate").alias("status"), F.col("first").alias("by"))
+    alive = marked.filter("first = note_id").drop("first")
+    if profile == "raw":
+        return twins.unionByName(alive.select("note_id", F.lit("kept").alias("status"), F.lit(None).cast("long").alias("by")))
+    timed = alive.withColumns({"start_ms": F.col("start_frame") * frame_ms, "dur_ms": (F.col("end_frame") - F.col("start_frame")) * frame_ms})
+    judged = nms(timed, 2 * frame_ms)
+    lost = judged.filter("kept_by != note_id").select("note_id", F.lit("suppressed").alias("status"), F.col("kept_by").alias("by"))
+    left = alive.join(judged.filter("kept_by = note_id").select("note_id"), "note_id", "left_semi")
+    none = F.lit(None).cast("long").alias("by")
+    if profile == "balanced":
+        return twins.unionByName(lost).unionByName(left.select("note_id", F.lit("kept").alias("status"), none))
+    hidden = clean_suppress(fragment_flags(left), evidence)
+    return twins.unionByName(lost).unionByName(hidden.select("note_id", F.when(F.col("hidden"), "hidden").otherwise("kept").alias("status"), none))

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .folds import islands
 from .intervals import overlap_pairs, range_join
+from .walks import over_groups
 
 #: The passes of ``reconcile``: key, whether the new velocity counts, whether the key must be unique on both sides.
 PASSES = (
@@ -116,3 +119,123 @@ def fragment_metrics(estimates: DataFrame, references: DataFrame, assigned: Data
     refs = references.join(per, "note_id", "left").groupBy(*on).agg(F.count("*").alias("references"), F.count("parts").alias("matched"), F.count_if(F.col("parts") > 1).alias("split"))
     ests = estimates.groupBy(*on).agg(F.count("*").alias("estimates"))
     return refs.join(ests, list(on), "left").select(*on, F.coalesce("estimates", F.lit(0)).alias("estimates"), "references", "matched", "split", F.round(F.col("split") / F.greatest(F.lit(1), "matched"), 6).alias("split_rate"))
+
+
+def join_dim(rows: DataFrame, dim: DataFrame, key: str, dim_key: str, fields: Sequence[str], most: int = 100_000) -> DataFrame:
+    """``rows`` with ``fields`` of their row in a dimension, null where there is none. The dimension is broadcast if it has ``most`` rows at most, which is checked."""
+    own = dim.select(F.col(dim_key).alias("__key"), *fields)
+    small = own.limit(most + 1).count() <= most
+    return rows.join(F.broadcast(own) if small else own, F.col(key) == F.col("__key"), "left").drop("__key")
+
+
+def candidate_overlap(old: DataFrame, new: DataFrame, on: Sequence[str] = ("track_id",), iou: float = 0.35, onset: float = 35.0, share: float = 0.20) -> DataFrame:
+    """(*on, n_old, n_new, matched, score): how much of two sets of notes is the same: equal ids first, then the rest one to one by pitch and time.
+
+    In order of start, then id, an old note takes the free new note of its pitch of highest overlap, then nearest
+    start, that overlaps by ``iou`` or starts within the tolerance. ``score`` is matched over the larger side. Notes
+    of one pitch are cut where neither overlap nor tolerance reaches across.
+    """
+    keys = list(on)
+    same = old.select(*keys, "note_id").join(new.select(*keys, "note_id"), [*keys, "note_id"])
+    left, right = (df.join(same, [*keys, "note_id"], "left_anti").select(*keys, "pitch", "note_id", "start_ms", "dur_ms", F.lit(i).alias("side")) for i, df in enumerate((old, new)))
+    w = Window.partitionBy(*keys, "pitch").orderBy("start_ms", "note_id")
+    # a note reaches as far as its end, or the tolerance that its length allows
+    reach = F.col("start_ms") + F.greatest(F.lit(onset), F.col("dur_ms"))
+    rows = left.unionByName(right)
+    cut = rows.withColumn("fresh", F.when(F.col("start_ms") <= F.max(reach).over(w.rowsBetween(Window.unboundedPreceding, -1)), 0).otherwise(1)).withColumn("part", F.sum("fresh").over(w))
+
+    def solve(g: dict) -> tuple:
+        start, end, ids = g["start_ms"], g["start_ms"] + g["dur_ms"], g["note_id"]
+        news = np.flatnonzero(g["side"] == 1)
+        free, matched = np.ones(len(news), bool), 0
+        for i in np.flatnonzero(g["side"] == 0):
+            if not len(news):
+                break
+            both = np.maximum(0.0, np.minimum(end[i], end[news]) - np.maximum(start[i], start[news]))
+            union = np.maximum(end[i], end[news]) - np.minimum(start[i], start[news])
+            ratio = np.divide(both, union, out=np.zeros(len(news)), where=union > 0)
+            away = np.abs(start[i] - start[news])
+            good = np.flatnonzero(free & ((ratio >= iou) | (away <= np.maximum(onset, share * np.minimum(end[i] - start[i], end[news] - start[news])))))
+            if len(good):
+                free[min(good, key=lambda k: (-ratio[k], away[k], ids[news[k]]))] = False
+                matched += 1
+        return *(g[k][:1] for k in keys), np.array([matched])
+
+    types = dict(old.dtypes)
+    by_shape = over_groups(cut, [*keys, "pitch", "part"], ["dur_ms", "side"], ["start_ms", "note_id"], solve, ", ".join([*(f"{k} {types[k]}" for k in keys), "matched long"]))
+    matched = by_shape.unionByName(same.select(*keys, F.lit(1).cast("long").alias("matched"))).groupBy(*keys).agg(F.sum("matched").alias("matched"))
+    sizes = old.groupBy(*keys).agg(F.count("*").alias("n_old")).join(new.groupBy(*keys).agg(F.count("*").alias("n_new")), keys, "full").fillna(0)
+    out = sizes.join(matched, keys, "left").fillna(0)
+    return out.withColumn("score", F.when((F.col("n_old") == 0) | (F.col("n_new") == 0), 0.0).otherwise(F.round(F.col("matched") / F.greatest("n_old", "n_new"), 9)))
+
+
+def beam_select(options: DataFrame, on: Sequence[str], width: int = 8) -> DataFrame:
+    """(*on, option_id): the best set of options of a key, no two with one ``conflict``, found by a beam of ``width`` sets.
+
+    Options come by falling confidence, then id; each set goes on without and with it; the ``width`` sets of highest
+    sum stay, earlier ones first among equal.
+    """
+    keys = list(on)
+
+    def solve(g: dict) -> tuple:
+        states = [(0.0, (), frozenset())]
+        for i in np.lexsort((g["option_id"], -g["confidence"])):
+            grown = [(s + g["confidence"][i], chosen + (i,), held | {g["conflict"][i]}) for s, chosen, held in states if g["conflict"][i] not in held]
+            states = sorted(states + grown, key=lambda x: -x[0])[:width]
+        best = np.array(states[0][1], np.int64)
+        return *(g[k][best] for k in keys), g["option_id"][best]
+
+    types = dict(options.dtypes)
+    return over_groups(options, keys, ["confidence", "conflict"], ["option_id"], solve, ", ".join([*(f"{k} {types[k]}" for k in keys), "option_id long"]))
+
+
+def commit_plan(routes: DataFrame, candidates: DataFrame, tracks: DataFrame, notes: DataFrame, rejected: DataFrame, applied: DataFrame, tol: float = 35.0, rel: float = 0.25) -> DataFrame:
+    """(candidate_id, track_id, status) of each route: what a commit makes of it.
+
+    In this order: ``invalid`` if its candidate is rejected, ``satisfied`` if it was applied before, ``orphaned`` if
+    its candidate or track (track_id, low, high) is gone, ``invalid`` if the track can't play the pitch, ``satisfied``
+    if the track has a note like it already (same pitch, start within ``tol``, length within ``tol`` or ``rel``), else
+    ``created``. Notes meet candidates in a band join on track and pitch.
+    """
+    known = candidates.select("candidate_id", "pitch", "start_ms", "dur_ms")
+    met = routes.join(known, "candidate_id", "left").join(tracks, "track_id", "left")
+    for rows, flag, keys in ((rejected, "is_rejected", ["candidate_id"]), (applied, "is_applied", ["candidate_id", "track_id"])):
+        met = met.join(rows.select(*keys).distinct().withColumn(flag, F.lit(True)), keys, "left")
+    asked = met.filter(F.col("pitch").isNotNull() & F.col("low").isNotNull()).select("candidate_id", "track_id", "pitch", F.col("start_ms").alias("c_start"), F.col("dur_ms").alias("c_dur"), (F.col("start_ms") - tol).alias("c_lo"), (F.col("start_ms") + tol).alias("c_hi"))
+    there = notes.select("track_id", "pitch", F.col("start_ms").alias("n_start"), F.col("dur_ms").alias("n_dur"))
+    like = range_join(asked, there, ("c_lo", "c_hi"), ("n_start", "n_start"), 2 * tol, ("track_id", "pitch"), F.abs(F.col("n_dur") - F.col("c_dur")) <= F.greatest(F.lit(tol), rel * F.col("c_dur")))
+    met = met.join(like.select("candidate_id", "track_id").distinct().withColumn("is_there", F.lit(True)), ["candidate_id", "track_id"], "left")
+    status = (
+        F.when(F.col("is_rejected"), "invalid").when(F.col("is_applied"), "satisfied").when(F.col("pitch").isNull() | F.col("low").isNull(), "orphaned")
+        .when(~F.col("pitch").between(F.col("low"), F.col("high")), "invalid").when(F.col("is_there"), "satisfied").otherwise("created")
+    )
+    return met.select("candidate_id", "track_id", status.alias("status"))
+
+
+def region_replace(current: DataFrame, incoming: DataFrame, a: float, b: float, tol: float = 35.0, rel: float = 0.25, on: Sequence[str] = ("track_id",)) -> DataFrame:
+    """(*on, note_id, status): what stays and comes when the rows that start in [a, b) are replaced.
+
+    ``current`` has ``reviewed``: such rows, and those outside, are ``kept`` or ``protected``; the rest are ``removed``.
+    ``incoming`` rows in the region are added by start, pitch, id unless they are like a row that stays or one already
+    added (same pitch, start within ``tol``, length within ``tol`` or ``rel``): ``added`` or ``skipped``. The order
+    matters within islands of a pitch alone.
+    """
+    keys = list(on)
+    inside = (F.col("start_ms") >= a) & (F.col("start_ms") < b)
+    judged = current.withColumn("status", F.when(~inside, "kept").when(F.col("reviewed"), "protected").otherwise("removed"))
+    stays = judged.filter("status != 'removed'").select(*keys, "pitch", "start_ms", "dur_ms", "note_id", F.lit(0).alias("side"))
+    rows = stays.unionByName(incoming.filter(inside).select(*keys, "pitch", "start_ms", "dur_ms", "note_id", F.lit(1).alias("side")))
+
+    def solve(g: dict) -> tuple:
+        start, dur, side = g["start_ms"], g["dur_ms"], g["side"]
+        there = side == 0
+        first, last = np.searchsorted(start, start - tol, side="left"), np.searchsorted(start, start + tol, side="right")
+        for i in np.flatnonzero(side == 1):
+            w = slice(first[i], last[i])
+            there[i] = not (there[w] & (np.abs(dur[w] - dur[i]) <= np.maximum(tol, rel * dur[i]))).any()
+        new = side == 1
+        return *(g[k][new] for k in keys), g["note_id"][new], there[new]
+
+    types = dict(current.dtypes)
+    walked = over_groups(islands(rows, [*keys, "pitch"], tol), [*keys, "pitch", "island"], ["dur_ms", "side"], ["start_ms", "note_id"], solve, ", ".join([*(f"{k} {types[k]}" for k in keys), "note_id long, taken boolean"]))
+    return judged.select(*keys, "note_id", "status").unionByName(walked.select(*keys, "note_id", F.when(F.col("taken"), "added").otherwise("skipped").alias("status")))

@@ -25,3 +25,10 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
         return fn
 
     return put
+
+
+def also(name: str, other: str) -> None:
+    """Registers the query ``name``, and its SQL, under ``other`` too."""
+    QUERIES[other] = QUERIES[name]
+    if name in ORACLES:
+        ORACLES[other] = ORACLES[name]

@@ -50,3 +50,11 @@ def clean_suppress(spark, sf):
     events = _events(spark, sf)
     evidence = events.groupBy("track_id", "pitch", F.col("start_frame").alias("frame")).agg((F.max(F.col("note_id") % 97) / 97.0).alias("frame_value"), (F.max(F.col("note_id") % 89) / 120.0).alias("onset_value"))
     return C.clean_suppress(C.fragment_flags(events), evidence).select("note_id", "hidden")
+
+
+@query()
+def cleanup_pipeline(spark, sf):
+    events = _events(spark, sf)
+    evidence = events.groupBy("track_id", "pitch", F.col("start_frame").alias("frame")).agg((F.max(F.col("note_id") % 97) / 97.0).alias("frame_value"), (F.max(F.col("note_id") % 89) / 120.0).alias("onset_value"))
+    twins = events.filter("note_id % 6 = 0").withColumn("note_id", F.col("note_id") + 1_000_000_000)
+    return C.cleanup(events.unionByName(twins), evidence)

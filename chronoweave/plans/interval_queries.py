@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..notes import notes
 from ..operators import intervals as I
 from ..tables import table
-from .base import query
+from .base import also, query
 
 _PAIRS = "a.start_ms < b.start_ms + b.dur_ms AND b.start_ms < a.start_ms + a.dur_ms"
 
@@ -70,17 +70,6 @@ def asof_nearest(spark, sf):
     return I.asof_nearest(n.filter("ntype != 3"), n.filter("ntype = 3"), "start_ms", ["track_id"]).select("note_id", "nearest")
 
 
-@query("""WITH {N}, e AS (SELECT note_id, start_ms AS edge FROM n WHERE track_id = 0 UNION ALL SELECT note_id, start_ms + dur_ms FROM n WHERE track_id = 0),
-t AS (SELECT CAST(1 AS INTEGER) AS kind_rank, start_ms AS target_ms FROM n WHERE track_id = 1 UNION ALL SELECT CAST(0 AS INTEGER), start_ms FROM n WHERE track_id = 2),
-r AS (SELECT note_id, target_ms, target_ms - edge AS shift, row_number() OVER (PARTITION BY note_id ORDER BY kind_rank, abs(target_ms - edge), target_ms - edge, target_ms) AS r
-FROM e JOIN t ON target_ms BETWEEN edge - 200.0 AND edge + 200.0)
-SELECT note_id, target_ms, shift FROM r WHERE r = 1""")
-def snap_nearest(spark, sf):
-    n = notes(spark, sf)
-    targets = n.filter("track_id IN (1, 2)").select(F.when(F.col("track_id") == 2, 0).otherwise(1).alias("kind_rank"), F.col("start_ms").alias("target_ms"))
-    return I.snap_nearest(n.filter("track_id = 0"), targets, 200.0)
-
-
 @query(f"""WITH {_AB}, m AS (SELECT a.note_id AS note_id_a, b.note_id AS note_id_b, row_number() OVER (PARTITION BY a.note_id ORDER BY
 greatest(a.start_ms, b.start_ms) - least(a.start_ms + a.dur_ms, b.start_ms + b.dur_ms), abs(a.start_ms - b.start_ms), b.note_id) AS r
 FROM a JOIN b ON a.pitch = b.pitch AND {_PAIRS}) SELECT note_id_a, note_id_b FROM m WHERE r = 1""")
@@ -88,17 +77,6 @@ def fragment_assign(spark, sf):
     return I.fragment_assign(*_ab(spark, sf), 400.0)
 
 
-@query("""WITH {N}, z AS (SELECT p_partkey AS zone_id, 36 + p_size % 30 AS low_pitch, 36 + p_size % 30 + p_size % 7 AS high_pitch,
-CAST(p_partkey % 100 AS INTEGER) AS low_vel, CAST(p_partkey % 100 + 30 AS INTEGER) AS high_vel, 36 + p_size AS root FROM part WHERE p_partkey <= 200),
-m AS (SELECT note_id, zone_id, row_number() OVER (PARTITION BY note_id ORDER BY abs(pitch - root), abs(vel - (low_vel + high_vel) / 2.0), zone_id) AS r
-FROM n JOIN z ON pitch BETWEEN low_pitch AND high_pitch AND vel BETWEEN low_vel AND high_vel) SELECT note_id, zone_id FROM m WHERE r = 1""")
-def zone_lookup(spark, sf):
-    z = table(spark, sf, "part").filter("p_partkey <= 200").selectExpr(
-        "p_partkey AS zone_id", "36 + p_size % 30 AS low_pitch", "36 + p_size % 30 + p_size % 7 AS high_pitch", "CAST(p_partkey % 100 AS INT) AS low_vel", "CAST(p_partkey % 100 + 30 AS INT) AS high_vel", "36 + p_size AS root"
-    )
-    return I.zone_lookup(notes(spark, sf), z)
-
-
 @query("""WITH {N}, w AS (SELECT note_id, vel, start_ms, start_ms + dur_ms AS end_ms,
 unnest(range(CAST(floor(start_ms / 500.0) AS BIGINT), CAST(greatest(floor(start_ms / 500.0), ceil((start_ms + dur_ms) / 500.0) - 1) AS BIGINT) + 1)) AS "window" FROM n)
 SELECT note_id, "window", vel / 127.0::DOUBLE * least(1.0, (least(end_ms, ("window" + 1) * 500.0::DOUBLE) - greatest(start_ms, "window" * 500.0::DOUBLE)) / 500.0::DOUBLE) AS weight FROM w""")
@@ -139,31 +117,6 @@ def guidance_join(spark, sf):
 _CLIPS = "SELECT DISTINCT track_id, k AS clip_id, k * 3000.0::DOUBLE + 100 AS c_start, k * 3000.0::DOUBLE + 2600 AS c_end, k * 3000.0::DOUBLE AS content_start_ms, k * 3000.0::DOUBLE + 3500 AS content_end_ms, 40.0::DOUBLE AS off FROM n, range(5) r(k)"
 
 
-@query(f"""WITH {{N}}, c AS ({_CLIPS}), p AS (SELECT n.track_id, clip_id, note_id, pitch, vel, greatest(start_ms + off, c_start) AS a, least(start_ms + dur_ms + off, c_end) AS b, ntype
-FROM n JOIN c ON n.track_id = c.track_id AND start_ms >= content_start_ms AND start_ms < content_end_ms)
-SELECT track_id, clip_id, note_id, pitch, vel, a AS start_ms, b - a AS dur_ms, ntype FROM p WHERE b - a >= 1""")
-def clip_projection(spark, sf):
-    n = notes(spark, sf)
-    base = n.select("track_id").distinct().withColumn("clip_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))))
-    at = F.col("clip_id") * 3000.0
-    clips = base.select("track_id", "clip_id", (at + 100).alias("start_ms"), (at + 2600).alias("end_ms"), at.alias("content_start_ms"), (at + 3500).alias("content_end_ms"), F.lit(40.0).alias("time_offset_ms"))
-    return I.clip_projection(n, clips, 3000.0)
-
-
-@query("""WITH {N}, a AS (SELECT track_id, k * 1000.0::DOUBLE AS s, k * 1000.0::DOUBLE + 1000 AS e FROM (SELECT DISTINCT track_id FROM n), range(6) r(k)),
-m AS (SELECT track_id, 500.0::DOUBLE + track_id % 7 * 300 AS s, 500.0::DOUBLE + track_id % 7 * 300 + 900 AS e FROM (SELECT DISTINCT track_id FROM n) WHERE track_id % 3 = 0)
-SELECT track_id, s AS start_ms, e AS end_ms, 'manual' AS label FROM m
-UNION ALL SELECT a.track_id, a.s, a.e, 'auto' FROM a WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.track_id = a.track_id AND m.s < a.e AND a.s < m.e)
-UNION ALL SELECT a.track_id, a.s, m.s, 'auto' FROM a JOIN m ON m.track_id = a.track_id AND m.s < a.e AND a.s < m.e WHERE a.s < m.s
-UNION ALL SELECT a.track_id, m.e, a.e, 'auto' FROM a JOIN m ON m.track_id = a.track_id AND m.s < a.e AND a.s < m.e WHERE m.e < a.e""")
-def interval_override(spark, sf):
-    tracks = notes(spark, sf).select("track_id").distinct()
-    automatic = tracks.select("track_id", F.explode(F.array(*(F.lit(k * 1000.0) for k in range(6)))).alias("start_ms")).select("track_id", "start_ms", (F.col("start_ms") + 1000).alias("end_ms"), F.lit("auto").alias("label"))
-    own = 500.0 + F.col("track_id") % 7 * 300
-    manual = tracks.filter("track_id % 3 = 0").select("track_id", own.alias("start_ms"), (own + 900).alias("end_ms"), F.lit("manual").alias("label"))
-    return I.interval_override(automatic, manual, 1000.0)
-
-
 @query("""WITH {N}, a AS (SELECT *, row_number() OVER (PARTITION BY pitch, ntype ORDER BY note_id) AS r FROM n),
 b AS (SELECT pitch, ntype, CAST(127 - vel AS INTEGER) AS vel_b, row_number() OVER (PARTITION BY pitch, ntype ORDER BY note_id) AS r FROM n WHERE note_id % 3 = 0)
 SELECT track_id, note_id, a.pitch, vel, start_ms, dur_ms, a.ntype, coalesce(vel_b, vel) AS vel_b FROM a LEFT JOIN b ON a.pitch = b.pitch AND a.ntype = b.ntype AND a.r = b.r""")
@@ -187,15 +140,12 @@ def orphan_routes(spark, sf):
     return table(spark, sf, "lineitem").select("l_partkey").join(table(spark, sf, "part").filter("p_size > 10"), F.col("l_partkey") == F.col("p_partkey"), "left_anti").distinct()
 
 
-# The same operators as snap_nearest, zone_lookup, clip_projection and interval_override over all rows and the whole timeline.
-
-
 @query("""WITH {N}, e AS (SELECT track_id, note_id, start_ms AS edge FROM n UNION ALL SELECT track_id, note_id, start_ms + dur_ms FROM n),
 t AS (SELECT track_id, note_id AS target_id, CAST(CASE WHEN ntype = 3 THEN 0 ELSE 1 END AS INTEGER) AS kind_rank, start_ms AS target_ms FROM n),
 r AS (SELECT note_id, target_ms, target_ms - edge AS shift, row_number() OVER (PARTITION BY note_id ORDER BY kind_rank, abs(target_ms - edge), target_ms - edge, target_ms) AS r
 FROM e JOIN t ON e.track_id = t.track_id AND note_id <> target_id AND target_ms BETWEEN edge - 200.0 AND edge + 200.0)
 SELECT note_id, target_ms, shift FROM r WHERE r = 1""")
-def snap_nearest_whole(spark, sf):
+def snap_nearest(spark, sf):
     n = notes(spark, sf)
     targets = n.select("track_id", F.col("note_id").alias("target_id"), F.when(F.col("ntype") == 3, 0).otherwise(1).alias("kind_rank"), F.col("start_ms").alias("target_ms"))
     return I.snap_nearest_within(n, targets, 200.0, (0, 1))
@@ -206,7 +156,7 @@ CAST(p_partkey % 100 AS INTEGER) AS low_vel, CAST(p_partkey % 100 + 30 AS INTEGE
 k AS (SELECT DISTINCT pitch, vel FROM n),
 m AS (SELECT pitch, vel, zone_id, row_number() OVER (PARTITION BY pitch, vel ORDER BY abs(pitch - root), abs(vel - (low_vel + high_vel) / 2.0), zone_id) AS r
 FROM k JOIN z ON pitch BETWEEN low_pitch AND high_pitch AND vel BETWEEN low_vel AND high_vel) SELECT note_id, zone_id FROM n JOIN m USING (pitch, vel) WHERE r = 1""")
-def zone_lookup_whole(spark, sf):
+def zone_lookup(spark, sf):
     z = table(spark, sf, "part").selectExpr(
         "p_partkey AS zone_id", "36 + p_size % 30 AS low_pitch", "36 + p_size % 30 + p_size % 7 AS high_pitch", "CAST(p_partkey % 100 AS INT) AS low_vel", "CAST(p_partkey % 100 + 30 AS INT) AS high_vel", "36 + p_size AS root"
     )
@@ -227,7 +177,7 @@ k * 3000.0::DOUBLE AS content_start_ms, k * 3000.0::DOUBLE + 3500 AS content_end
 p AS (SELECT n.track_id, clip_id, note_id, pitch, vel, greatest(start_ms + off, c_start) AS a, least(start_ms + dur_ms + off, c_end) AS b, ntype
 FROM n JOIN c ON n.track_id = c.track_id AND start_ms >= content_start_ms AND start_ms < content_end_ms)
 SELECT track_id, clip_id, note_id, pitch, vel, a AS start_ms, b - a AS dur_ms, ntype FROM p WHERE b - a >= 1""")
-def clip_projection_whole(spark, sf):
+def clip_projection(spark, sf):
     n = notes(spark, sf)
     at = F.col("k") * 3000.0
     clips = _slots(n, 3000.0).select("track_id", F.col("k").alias("clip_id"), (at + 100).alias("start_ms"), (at + 2600).alias("end_ms"), at.alias("content_start_ms"), (at + 3500).alias("content_end_ms"), F.lit(40.0).alias("time_offset_ms"))
@@ -240,10 +190,15 @@ SELECT track_id, s AS start_ms, e AS end_ms, 'manual' AS label FROM m
 UNION ALL SELECT a.track_id, a.s, a.e, 'auto' FROM a WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.track_id = a.track_id AND m.s < a.e AND a.s < m.e)
 UNION ALL SELECT a.track_id, a.s, m.s, 'auto' FROM a JOIN m ON m.track_id = a.track_id AND m.s < a.e AND a.s < m.e WHERE a.s < m.s
 UNION ALL SELECT a.track_id, m.e, a.e, 'auto' FROM a JOIN m ON m.track_id = a.track_id AND m.s < a.e AND a.s < m.e WHERE m.e < a.e""")
-def interval_override_whole(spark, sf):
+def interval_override(spark, sf):
     n = notes(spark, sf)
     at = F.col("k") * 1000.0
     automatic = _slots(n, 1000.0).select("track_id", at.alias("start_ms"), (at + 1000).alias("end_ms"), F.lit("auto").alias("label"))
     own = 500.0 + F.col("track_id") % 7 * 300
     manual = n.select("track_id").distinct().filter("track_id % 3 = 0").select("track_id", own.alias("start_ms"), (own + 900).alias("end_ms"), F.lit("manual").alias("label"))
     return I.interval_override(automatic, manual, 1000.0)
+
+
+#: Their other names.
+for _name in ("snap_nearest", "zone_lookup", "clip_projection", "interval_override"):
+    also(_name, f"{_name}_whole")

@@ -109,7 +109,7 @@ def scalar_rules(spark, sf):
     return notes(spark, sf).select("note_id", S.note_name(F.col("pitch")).alias("name"), S.ticks(s).alias("tick"), S.frames(s, 44100).alias("frame"), S.beat_strength(s, 500.0).alias("strength"))
 
 
-@query("""SELECT conv_id, turn, CAST(len(regexp_extract_all(text, '[\\p{L}\\p{Nd}]+(?:[''’][\\p{L}]+)*')) AS INTEGER) AS n_tokens FROM conversations""")
+@query("""SELECT conv_id, turn, CAST(len(regexp_extract_all(text, '[぀-ヿ㐀-鿿가-힯]|[\\p{L}\\p{Nd}]+(?:[''’][\\p{L}]+)*')) AS INTEGER) AS n_tokens FROM conversations""")
 def lyric_tokens(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", F.size(S.lyric_tokens(F.col("text"))).alias("n_tokens"))
 

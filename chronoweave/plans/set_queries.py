@@ -9,20 +9,13 @@ from ..operators import changes as C
 from ..operators import rules as R
 from ..operators import sets as D
 from ..tables import table
-from .base import query
+from .base import also, query
 
 _K = "CAST(round_even(start_ms * 1000, 0) AS BIGINT) AS start_us, CAST(round_even(dur_ms * 1000, 0) AS BIGINT) AS dur_us, pitch, vel, ntype"
 
 
-@query("SELECT l_suppkey AS k, l_quantity AS v FROM lineitem WHERE l_suppkey < 3 UNION ALL SELECT p_partkey, CAST(p_size AS DOUBLE) FROM part WHERE p_partkey < 50")
-def union_tracks(spark, sf):
-    a = table(spark, sf, "lineitem").filter("l_suppkey < 3").select(F.col("l_suppkey").alias("k"), F.col("l_quantity").alias("v"))
-    return a.unionByName(table(spark, sf, "part").filter("p_partkey < 50").select(F.col("p_partkey").alias("k"), F.col("p_size").cast("double").alias("v")))
-
-
 @query("SELECT l_suppkey AS k, l_quantity AS v FROM lineitem UNION ALL SELECT p_partkey, CAST(p_size AS DOUBLE) FROM part")
-def union_tracks_whole(spark, sf):
-    """``union_tracks`` over all rows."""
+def union_tracks(spark, sf):
     a = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("k"), F.col("l_quantity").alias("v"))
     return a.unionByName(table(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").cast("double").alias("v")))
 
@@ -104,3 +97,8 @@ def changeset_apply(spark, sf):
         .unionByName(rows.filter("idx % 50 = 11").select("track_id", F.lit("insert").alias("op"), "idx", F.explode(F.array(F.struct(F.lit(0).alias("seq"), made(60, 64).alias("after")), F.struct(F.lit(1).alias("seq"), made(62, 65).alias("after")))).alias("x")).select("track_id", "op", "idx", "x.seq", F.lit(None).cast("struct<pitch:int,vel:int>").alias("before"), "x.after"))
     )
     return C.apply(rows, ops, ["pitch", "vel"])
+
+
+#: Their other names.
+for _name in ("union_tracks",):
+    also(_name, f"{_name}_whole")
