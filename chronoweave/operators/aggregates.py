@@ -151,10 +151,15 @@ def triad_scores(notes: DataFrame, beat_ms: float = 2000.0, on: Sequence[str] =
 
 
 def pairwise_tracks(notes: DataFrame, bucket_ms: float = 24.0) -> DataFrame:
-    """(a, b, shared, ratio): tracks that share onset buckets, with the share of the smaller one's buckets. Pairs meet on buckets, never as all tracks by all."""
+    """(a, b, shared, ratio, registers): tracks that share onset buckets, with the share of the smaller one's buckets and of the smaller pitch range that both cover.
+
+    Pairs meet on buckets, never as all tracks by all; tracks of one bucket do meet as pairs.
+    """
     onsets = notes.select("track_id", F.floor(F.col("start_ms") / bucket_ms).alias("bucket")).distinct()
-    sizes = onsets.groupBy("track_id").agg(F.count("*").alias("n"))
+    ranges = notes.groupBy("track_id").agg(F.min("pitch").alias("lo"), F.max("pitch").alias("hi"))
+    sizes = onsets.groupBy("track_id").agg(F.count("*").alias("n")).join(ranges, "track_id")
     a, b = onsets.withColumnRenamed("track_id", "a"), onsets.withColumnRenamed("track_id", "b")
     shared = a.join(b, "bucket").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
-    out = shared.join(sizes.select(F.col("track_id").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("track_id").alias("b"), F.col("n").alias("nb")), "b")
-    return out.select("a", "b", "shared", F.round(F.col("shared") / F.least("na", "nb"), 6).alias("ratio"))
+    out = shared.join(sizes.toDF("a", "na", "lo_a", "hi_a"), "a").join(sizes.toDF("b", "nb", "lo_b", "hi_b"), "b")
+    both = F.greatest(F.lit(0), F.least("hi_a", "hi_b") - F.greatest("lo_a", "lo_b")) / F.greatest(F.lit(1), F.least(F.col("hi_a") - F.col("lo_a"), F.col("hi_b") - F.col("lo_b")))
+    return out.select("a", "b", "shared", F.round(F.col("shared") / F.least("na", "nb"), 6).alias("ratio"), F.round(both, 6).alias("registers"))

@@ -239,3 +239,46 @@ def region_replace(current: DataFrame, incoming: DataFrame, a: float, b: float,
     types = dict(current.dtypes)
     walked = over_groups(islands(rows, [*keys, "pitch"], tol), [*keys, "pitch", "island"], ["dur_ms", "side"], ["start_ms", "note_id"], solve, ", ".join([*(f"{k} {types[k]}" for k in keys), "note_id long, taken boolean"]))
     return judged.select(*keys, "note_id", "status").unionByName(walked.select(*keys, "note_id", F.when(F.col("taken"), "added").otherwise("skipped").alias("status")))
+
+
+def lyric_align(tokens: DataFrame, notes: DataFrame, mode: str = "syllabic", beat_ms: float = 500.0, on: str = "track_id") -> DataFrame:
+    """(track_id, token_id, note_id, notes, relation, confidence): tokens (token_id, time) set on notes in order, never going back.
+
+    A timed token takes the nearest note that is still free, the earlier of two; one without a time the note at its
+    share of the whole, or the next free one. ``spoken`` lets tokens share a note; ``melismatic`` and ``legato`` spread
+    a token over the notes up to the next one, four or two at most. Confidence falls with the distance in time. The
+    cursor flows through a key, which is one group; keys without notes give no rows.
+    """
+    if mode not in ("syllabic", "spoken", "melismatic", "legato"):
+        raise ValueError(f"unknown mode {mode}")
+    none = F.lit(None).cast("double")
+    rows = notes.select(on, F.col("note_id").alias("id"), "start_ms", F.col("pitch").cast("double").alias("pitch"), F.lit(0).alias("side")).unionByName(tokens.select(on, F.col("token_id").alias("id"), F.col("time").cast("double").alias("start_ms"), none.alias("pitch"), F.lit(1).alias("side")))
+    limit, tol = {"melismatic": 4, "legato": 2}.get(mode, 1), max(55.0, beat_ms * 0.25)
+
+    def solve(g: dict) -> tuple:
+        own, asked = np.flatnonzero(g["side"] == 0), np.flatnonzero(g["side"] == 1)
+        own = own[np.lexsort((-g["pitch"][own], g["start_ms"][own]))]
+        starts, times = g["start_ms"][own], g["start_ms"][asked]
+        n, k = len(own), len(asked)
+        if not n or not k:
+            return g[on][:0], g["id"][:0], g["id"][:0], np.zeros(0, np.int32), np.zeros(0, object), np.zeros(0)
+        cursor, anchors = 0, []
+        for i, t in enumerate(times):
+            if np.isnan(t):
+                at = max(cursor, round(i * (n - 1) / max(1, k - 1)))
+            else:
+                at = cursor + int(np.searchsorted(starts[cursor:], t))
+                if at == n or (at > cursor and t - starts[at - 1] <= starts[at] - t):
+                    at -= 1
+                at = cursor + int(np.searchsorted(starts[cursor:], starts[at]))  # the first of equal starts
+            at = min(n - 1, at)
+            anchors.append(at)
+            cursor = at if mode == "spoken" else min(n - 1, at + 1)
+        ends = [*anchors[1:], n]
+        counts = [max(1, min(e, a + limit) - a) if limit > 1 and e > a + 1 else 1 for a, e in zip(anchors, ends, strict=True)]
+        shared = [mode == "spoken" and i > 0 and anchors[i] == anchors[i - 1] for i in range(k)]
+        relation = np.array(["melisma" if c > 1 else "shared_note" if s else "syllabic" for c, s in zip(counts, shared, strict=True)], object)
+        away = np.where(np.isnan(times), tol * 0.55, np.abs(starts[anchors] - np.nan_to_num(times)))
+        return g[on][asked], g["id"][asked], g["id"][own][anchors], np.array(counts, np.int32), relation, np.round(np.clip(np.exp(-away / tol), 0.15, 1.0), 6)
+
+    return over_groups(rows, [on], ["start_ms", "pitch"], ["side", "id"], solve, f"{on} long, token_id long, note_id long, notes int, relation string, confidence double")

@@ -141,8 +141,8 @@ def triad_scores(spark, sf):
     return A.triad_scores(notes(spark, sf, 8))
 
 
-@query("""WITH {N}, o AS (SELECT DISTINCT track_id, CAST(floor(start_ms / 24.0) AS BIGINT) AS b FROM n), z AS (SELECT track_id, count(*) AS c FROM o GROUP BY 1),
+@query("""WITH {N}, o AS (SELECT DISTINCT track_id, CAST(floor(start_ms / 24.0) AS BIGINT) AS b FROM n), z AS (SELECT track_id, count(*) AS c, any_value(lo) AS lo, any_value(hi) AS hi FROM o JOIN (SELECT track_id, min(pitch) AS lo, max(pitch) AS hi FROM n GROUP BY 1) USING (track_id) GROUP BY 1),
 s AS (SELECT x.track_id AS a, y.track_id AS b, count(*) AS shared FROM o x JOIN o y ON x.b = y.b AND x.track_id < y.track_id GROUP BY 1, 2)
-SELECT a, s.b, shared, round(shared / least(p.c, q.c)::DOUBLE, 6) AS ratio FROM s JOIN z p ON a = p.track_id JOIN z q ON s.b = q.track_id""")
+SELECT a, s.b, shared, round(shared / least(p.c, q.c)::DOUBLE, 6) AS ratio, round(greatest(0, least(p.hi, q.hi) - greatest(p.lo, q.lo)) / greatest(1, least(p.hi - p.lo, q.hi - q.lo))::DOUBLE, 6) AS registers FROM s JOIN z p ON a = p.track_id JOIN z q ON s.b = q.track_id""")
 def pairwise_tracks(spark, sf):
     return A.pairwise_tracks(notes(spark, sf))

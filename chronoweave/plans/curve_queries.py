@@ -96,3 +96,10 @@ def region_replace(spark, sf):
     n = notes(spark, sf)
     incoming = n.filter("note_id % 2 = 0").withColumns({"note_id": F.col("note_id") + 1_000_000_000, "start_ms": F.col("start_ms") + F.col("note_id") % 3 * 20.0})
     return M.region_replace(n.withColumn("reviewed", F.col("note_id") % 4 == 0), incoming, 5000.0, 15000.0)
+
+
+@query()
+def lyric_align(spark, sf):
+    n = notes(spark, sf)
+    tokens = n.filter("note_id % 4 = 1").select("track_id", F.col("note_id").alias("token_id"), F.when(F.col("note_id") % 3 != 0, F.col("start_ms") + F.col("note_id") % 7 * 10 - 30).alias("time"))
+    return M.lyric_align(tokens, n.filter("note_id % 2 = 0"), "melismatic")

@@ -1,5 +1,6 @@
 """Operators whose result depends on order, without SQL, against naive versions."""
 
+import math
 import random
 
 import numpy as np
@@ -143,3 +144,34 @@ def test_cleanup_has_a_row_an_event_and_agrees_with_its_steps(spark):
     assert {s for s, _ in ((x["status"], 0) for x in cleanup.cleanup(events, evidence, "raw").collect())} == {"duplicate", "kept"}
     with pytest.raises(ValueError, match="profile"):
         cleanup.cleanup(events, evidence, "other")
+
+
+@pytest.mark.parametrize("mode", ["syllabic", "spoken", "melismatic", "legato"])
+def test_lyric_align(spark, mode):
+    r = random.Random(3)
+    notes = [(k, i, r.randrange(50, 60), float(r.randrange(0, 40)) * 50, 100.0) for k in range(2) for i in range(k * 100, k * 100 + 25)]
+    tokens = [(k, i, float(r.randrange(0, 2000)) if r.random() < 0.7 else None) for k in range(3) for i in range(k * 100, k * 100 + 18)]
+    got = {}
+    for x in matching.lyric_align(spark.createDataFrame(tokens, "track_id long, token_id long, time double"), spark.createDataFrame(notes, NOTES), mode).collect():
+        got[x["token_id"]] = (x["note_id"], x["notes"], x["relation"], x["confidence"])
+    want = {}
+    for k in range(2):
+        own = sorted((x for x in notes if x[0] == k), key=lambda x: (x[3], -x[2], x[1]))
+        asked = sorted((x for x in tokens if x[0] == k), key=lambda x: x[1])
+        cursor, anchors = 0, []
+        for i, (_, _, t) in enumerate(asked):
+            if t is None:
+                at = max(cursor, round(i * (len(own) - 1) / (len(asked) - 1)))
+            else:
+                at = min(range(cursor, len(own)), key=lambda j: (abs(own[j][3] - t), j))
+            at = min(len(own) - 1, at)
+            anchors.append(at)
+            cursor = at if mode == "spoken" else min(len(own) - 1, at + 1)
+        for i, (_, token, t) in enumerate(asked):
+            a, e = anchors[i], anchors[i + 1] if i + 1 < len(anchors) else len(own)
+            limit = {"melismatic": 4, "legato": 2}.get(mode, 1)
+            count = max(1, min(e, a + limit) - a) if limit > 1 and e > a + 1 else 1
+            relation = "melisma" if count > 1 else "shared_note" if mode == "spoken" and i and a == anchors[i - 1] else "syllabic"
+            away = 125 * 0.55 if t is None else abs(own[a][3] - t)
+            want[token] = (own[a][1], count, relation, round(max(0.15, min(1.0, math.exp(-away / 125))), 6))
+    assert got == want and len(got) == 36
