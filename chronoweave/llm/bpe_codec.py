@@ -113,7 +113,7 @@ class WordMerges:
             if part in self.special:
                 out.append(self.special[part])
             elif part:
-                out.extend(self.pattern.findall(part.lower()) if PLAIN.fullmatch(part) else self.by_file(part))
+                out.extend(self.pattern.findall(part.lower()) if part.isascii() or PLAIN.fullmatch(part) else self.by_file(part))
         return out
 
     def by_file(self, part: str) -> list[str]:
