@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, conversation_repair, language_crf, periodic_runs, pii_pseudonyms, ppm_score, quality_rules, secret_scan, sequence_packing, simhash_dedup, voronoi_knn, warc_bundles
+from . import bpe_codec, conversation_repair, language_crf, periodic_runs, pii_pseudonyms, ppm_score, quality_rules, secret_scan, sequence_packing, simhash_dedup, suffix_dedup, voronoi_knn, warc_bundles
 
 QUERIES = {
     "op1_warc_bundles": warc_bundles.op1_warc_bundles,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_language_crf": language_crf.op8_language_crf,
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_bpe_codec": bpe_codec.op10_bpe_codec,
+    "op11_suffix_dedup": suffix_dedup.op11_suffix_dedup,
     "op12_periodic_runs": periodic_runs.op12_periodic_runs,
     "op13_conversation_repair": conversation_repair.op13_conversation_repair,
 }

@@ -58,6 +58,38 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def blocked(slim: DataFrame, label: str, block_bytes: int) -> DataFrame:
+    """``slim`` (its last column is ``text``) as (block, row, ...) in files bucketed by block: a block's later steps don't shuffle texts.
+
+    A block holds at most ``block_bytes`` of text, or one longer text; ``row`` numbers its rows. Buckets grow with the
+    text, so that none holds more than a few blocks. The files are in the shared folder; the catalog's entry, which
+    tells Spark of the buckets, is gone once they are written.
+    """
+    spark, at = slim.sparkSession, len(slim.columns) - 1
+    size = slim.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+
+    def assign(batches):
+        block, held, row = 0, block_bytes + 1, 0
+        for batch in batches:
+            for part in steps(batch, at):
+                own = part.column(at).nbytes
+                if held + own > block_bytes:
+                    block, held, row = uuid.uuid4().int >> 65, 0, 0
+                held += own
+                n = part.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(np.arange(row, row + n, dtype=np.int32)), *part.columns], names=["block", "row", *part.schema.names])
+                row += n
+
+    schema = ", ".join(["block long", "row int", *(f"{n} {t}" for n, t in slim.dtypes)])
+    name = f"blocks_{uuid.uuid4().hex}"
+    buckets = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), size // block_bytes)
+    slim.mapInArrow(assign, schema).write.bucketBy(buckets, "block").option("compression", "zstd").option("path", new_path(spark, label)).saveAsTable(name)
+    found = spark.table(name)
+    found.schema  # resolves the table while its entry is there
+    spark.sql(f"DROP TABLE {name}")  # its files are its own folder's and stay
+    return found
+
+
 def remove(df: DataFrame) -> None:
     """Deletes the files that ``df``, a result of ``written``, reads."""
     jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
