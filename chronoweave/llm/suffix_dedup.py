@@ -13,7 +13,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -192,7 +192,7 @@ def _found(gathered: DataFrame, window: int, size: int, batch_bytes: int, shard_
 
 
 def _found_by_window(gathered: DataFrame, window: int) -> DataFrame:
-    """The same for keys of many contexts: their windows are counted by digest, each a row, so no task holds a key."""
+    """The same for keys of many contexts: their windows are counted by digest, each a row, so no task holds a key. Then each context's neighbours are one stretch."""
 
     def windows(batches):
         for batch in batches:
@@ -204,8 +204,11 @@ def _found_by_window(gathered: DataFrame, window: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([x] * len(at), pa.int64()) for x in (key, digest, n)] + [pa.array(at, pa.int64()), pa.array([hashed(view[i : i + window]) for i in at], pa.binary())], names=["key", "digest", "n", "a", "own"])
 
     rows = common.written(gathered.mapInArrow(windows, "key long, digest long, n long, a long, own binary"), "suffix-windows")
-    twice = rows.groupBy("own").agg(F.sum("n").alias("n")).filter("n > 1").select("own")
-    return rows.join(twice, "own", "left_semi").select("key", "digest", "a", F.col("a").alias("b"))
+    twice = rows.groupBy("own").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).filter("n > 1").select("own", "rows")
+    found = common.join_counted(rows, common.written(twice, "suffix-twice"), "own", "rows")
+    context = Window.partitionBy("key", "digest")
+    stretch = F.col("a") - F.row_number().over(context.orderBy("a"))
+    return found.select("key", "digest", "a", stretch.alias("stretch")).groupBy("key", "digest", "stretch").agg(F.min("a").alias("a"), F.max("a").alias("b")).drop("stretch")
 
 
 def _gathered(blocks: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
