@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
 from collections.abc import Sequence
 
 import numpy as np
@@ -124,34 +125,32 @@ def predictive_clusters(fragments: DataFrame, gap: float, pitch: int, on: Sequen
 
 
 def free_slot(wanted: DataFrame, occupied: DataFrame, on: Sequence[str] = ("track_id",)) -> DataFrame:
-    """(*on, clip_id, start_ms): each wanted clip (clip_id, start_ms, dur_ms) moved, if it overlaps, to the nearest free place beside the occupied ones.
+    """(*on, clip_id, start_ms): each wanted clip (clip_id, start_ms, dur_ms) at the place nearest to its own where it overlaps no occupied one.
 
-    ``occupied`` (start_ms, end_ms) don't overlap within a key. Free places lie left (not before zero) or right of the
-    clip that is overlapped, each as near as its length allows; the smaller distance wins, ties the smaller start.
+    ``occupied`` (start_ms, end_ms) don't overlap within a key; what they leave free from zero on are gaps, the last
+    without end. Clips are placed apart from each other, ties go to the smaller start, and clips without length stay.
+    Clips come by falling length and meet the gaps that hold them in one sorted list, so the nearest is a search.
     """
     rows = occupied.select(*on, F.lit(-1).cast("long").alias("clip_id"), "start_ms", (F.col("end_ms") - F.col("start_ms")).alias("dur_ms")).unionByName(wanted.select(*on, F.col("clip_id").cast("long"), F.greatest(F.lit(0.0), "start_ms").alias("start_ms"), F.greatest(F.lit(0.0), "dur_ms").alias("dur_ms")))
-    key = on[0]
 
     def solve(g: dict) -> tuple:
-        taken, asked = np.flatnonzero(g["clip_id"] < 0), np.flatnonzero(g["clip_id"] >= 0)
-        low = g["start_ms"][taken]
-        high = low + g["dur_ms"][taken]
-        room_left = low - np.r_[-np.inf, high[:-1]] if len(low) else low  # free room before each occupied one
-        if len(low):
-            room_left[0] = low[0]
-        out = g["start_ms"][asked].copy()
-        for i, k in enumerate(asked):
-            start, length = g["start_ms"][k], g["dur_ms"][k]
-            at = int(np.searchsorted(low, start + length, side="left"))
-            hit = next((j for j in (at - 1, at) if 0 <= j < len(low) and low[j] < start + length and start < high[j]), None)
-            if hit is None or length <= 0:
-                continue
-            right = next((high[j] for j in range(hit, len(low)) if j + 1 == len(low) or high[j] + length <= low[j + 1]))
-            left = next((low[j] - length for j in range(hit, -1, -1) if room_left[j] >= length), None)
-            out[i] = min([(abs(right - start), right)] + ([(abs(left - start), left)] if left is not None and left >= 0 else []))[1]
-        return g[key][asked], g["clip_id"][asked], out
-
-    return over_groups(rows, on, ["clip_id", "dur_ms"], ["start_ms", "clip_id"], solve, f"{key} long, clip_id long, start_ms double")
+        there = g["clip_id"] < 0
+        start, length = g["start_ms"], g["dur_ms"]
+        gap_low, gap_high = np.r_[0.0, (start + length)[there]], np.r_[start[there], np.inf]
+        by_size = np.argsort(gap_low - gap_high, kind="stable").tolist()
+        out, lows, highs, taken = start.copy(), [], {}, 0
+        for i in sorted(np.flatnonzero(~there & (length > 0)).tolist(), key=lambda i: -length[i]):
+            while taken < len(by_size) and gap_high[k := by_size[taken]] - gap_low[k] >= length[i]:
+                insort(lows, gap_low[k])
+                highs[gap_low[k]] = gap_high[k]
+                taken += 1
+            at = bisect_right(lows, start[i])
+            places = (min(max(start[i], low), highs[low] - length[i]) for low in lows[max(0, at - 1) : at + 1])
+            out[i] = min(places, key=lambda x: (abs(x - start[i]), x))
+        return *(g[k][~there] for k in on), g["clip_id"][~there], out[~there]
+
+    types = dict(wanted.dtypes)
+    return over_groups(rows, on, ["clip_id", "dur_ms"], ["start_ms", "clip_id"], solve, ", ".join([*(f"{k} {types[k]}" for k in on), "clip_id long, start_ms double"]))
 
 
 def clip_controls(controls: DataFrame, clips: DataFrame, width: float) -> DataFrame:

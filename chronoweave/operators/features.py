@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .aggregates import MAJOR, MINOR
 from .folds import anchor_cluster
 from .projections import end_ms
+from .walks import join_keys
 
 #: Scores are rounded to so many places before they are ranked.
 PLACES = 9
@@ -23,7 +24,7 @@ def song_features(notes: DataFrame, beat_ms: float = 500.0, on: Sequence[str] =
         F.round(F.avg("pitch"), PLACES).alias("mean_pitch"), F.round(F.count("*") / F.greatest(F.lit(1.0), F.max(end_ms()) / max(1.0, beat_ms)), 6).alias("density"), F.round(F.avg("dur_ms"), PLACES).alias("mean_dur"),
         F.round(F.avg(F.when(F.col("dur_ms") <= beat_ms * 0.35, 1.0).otherwise(0.0)), 6).alias("short"), F.round(F.count_distinct("pitch") / F.count("*"), 6).alias("variety"), (F.max("pitch") - F.min("pitch")).alias("pitch_span"),
     )
-    return own.join(many, list(on))
+    return join_keys(own, many, on)
 
 
 def key_confidence(notes: DataFrame, least_notes: int = 5, gate: float = 0.72, on: Sequence[str] = ("track_id",)) -> DataFrame:
@@ -88,7 +89,7 @@ def techniques(notes: DataFrame, beat: float = 500.0, on: Sequence[str] = ("trac
     """
     w = Window.partitionBy(*on).orderBy("start_ms", "pitch", "note_id")
     nxt = {f"{c}{i}": F.lead(c, i).over(w) for c in ("start_ms", "pitch") for i in (1, 2, 3)}
-    rows = notes.join(upper_median(notes, "vel", on), list(on)).withColumns(nxt)
+    rows = join_keys(notes, upper_median(notes, "vel", on), on).withColumns(nxt)
     family = lambda *names: F.col("family").isin(*names)
     more = F.col("start_ms1").isNotNull()
     gap, ioi = F.coalesce(F.col("start_ms1") - end_ms(), F.lit(beat)), F.coalesce(F.col("start_ms1") - F.col("start_ms"), F.lit(beat))

@@ -11,6 +11,7 @@ from .aggregates import MAJOR, MINOR
 from .folds import anchor_cluster
 from .intervals import range_join
 from .projections import end_ms
+from .walks import join_keys
 
 #: The chord qualities with their tones above the root, in the order of ties.
 QUALITIES = {
@@ -34,7 +35,6 @@ WINDOW_QUALITIES = {
     "minor": (0, 3, 7),
     "diminished": (0, 3, 6),
     "sus4": (0, 5, 7),
-    "sus2": (0, 2, 7),
 }
 #: Weights of the sources, and thresholds of a decision.
 SOURCES = {"audio": 0.55, "candidates": 0.20, "notes": 0.25}
@@ -54,7 +54,7 @@ def harmony_windows(notes: DataFrame, tol: float = 12.0, width: float = 500.0, o
     sounding = notes.select(*on, "pitch", "start_ms", end_ms().alias("end_ms")).filter("end_ms > start_ms")
     pairs = range_join(probes, sounding, ("probe", "probe"), ("start_ms", "end_ms"), width, on, F.col("end_ms") > F.col("probe"))
     held = pairs.groupBy(*on, F.col("anchor_ms").alias("start_ms")).agg(F.array_sort(F.collect_set(F.pmod("pitch", F.lit(12)))).alias("pcs"), F.pmod(F.min("pitch"), F.lit(12)).alias("bass"))
-    full = anchors.join(held, [*on, "start_ms"], "left").withColumn("pcs", F.coalesce("pcs", F.array().cast("array<int>")))
+    full = join_keys(anchors, held, [*on, "start_ms"], "left").withColumn("pcs", F.coalesce("pcs", F.array().cast("array<int>")))
     shapes = F.array(*(F.struct(F.lit(q).alias("quality"), F.array(*map(F.lit, own)).alias("tones")) for q, own in WINDOW_QUALITIES.items()))
     roots = F.concat(F.array("bass"), F.array_remove("pcs", F.col("bass")))
 
@@ -67,7 +67,7 @@ def harmony_windows(notes: DataFrame, tol: float = 12.0, width: float = 500.0, o
 
 def chord_classify(notes: DataFrame, tol: float = 12.0, on: Sequence[str] = ("track_id",)) -> DataFrame:
     """(*on, anchor_ms, n, triad): ``major`` or ``minor`` for onset clusters of three notes or more that hold such a triad, major first."""
-    clustered = anchor_cluster(notes, tol, on).join(notes.select(*on, "note_id", "pitch"), [*on, "note_id"])
+    clustered = join_keys(anchor_cluster(notes, tol, on), notes.select(*on, "note_id", "pitch"), [*on, "note_id"])
     groups = clustered.groupBy(*on, "anchor_ms").agg(F.count("*").alias("n"), F.collect_set(F.pmod("pitch", F.lit(12))).alias("pcs"))
 
     def holds(third):

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .folds import islands
 from .projections import end_ms
 from .runs import carried, running_sums
-from .walks import over_groups
+from .walks import join_keys, over_groups
 
 
 def _renamed(df: DataFrame, suffix: str, keep: Sequence[str]) -> DataFrame:
@@ -33,7 +33,7 @@ def range_join(a: DataFrame, b: DataFrame, a_span: tuple[str, str], b_span: tupl
     left = _dealt(a, F.col(a_span[0]), F.col(a_span[1]), width, "a")
     right = _dealt(b, F.col(b_span[0]), F.col(b_span[1]), width, "b")
     own = (F.col("__bucket") == F.greatest("__first_a", "__first_b")) & (F.col(a_span[0]) <= F.col(b_span[1])) & (F.col(b_span[0]) <= F.col(a_span[1]))
-    found = left.join(right, [*on, "__bucket"]).filter(own)
+    found = join_keys(left, right, [*on, "__bucket"]).filter(own)
     return (found if condition is None else found.filter(condition)).drop("__bucket", "__first_a", "__first_b")
 
 

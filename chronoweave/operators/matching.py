@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from .folds import islands
 from .intervals import overlap_pairs, range_join
-from .walks import over_groups
+from .walks import join_keys, over_groups
 
 #: The passes of ``reconcile``: key, whether the new velocity counts, whether the key must be unique on both sides.
 PASSES = (
@@ -136,8 +136,8 @@ def candidate_overlap(old: DataFrame, new: DataFrame, on: Sequence[str] = ("trac
     of one pitch are cut where neither overlap nor tolerance reaches across.
     """
     keys = list(on)
-    same = old.select(*keys, "note_id").join(new.select(*keys, "note_id"), [*keys, "note_id"])
-    left, right = (df.join(same, [*keys, "note_id"], "left_anti").select(*keys, "pitch", "note_id", "start_ms", "dur_ms", F.lit(i).alias("side")) for i, df in enumerate((old, new)))
+    same = join_keys(old.select(*keys, "note_id"), new.select(*keys, "note_id"), [*keys, "note_id"])
+    left, right = (join_keys(df, same, [*keys, "note_id"], "left_anti").select(*keys, "pitch", "note_id", "start_ms", "dur_ms", F.lit(i).alias("side")) for i, df in enumerate((old, new)))
     w = Window.partitionBy(*keys, "pitch").orderBy("start_ms", "note_id")
     # a note reaches as far as its end, or the tolerance that its length allows
     reach = F.col("start_ms") + F.greatest(F.lit(onset), F.col("dur_ms"))
@@ -147,25 +147,29 @@ def candidate_overlap(old: DataFrame, new: DataFrame, on: Sequence[str] = ("trac
     def solve(g: dict) -> tuple:
         start, end, ids = g["start_ms"], g["start_ms"] + g["dur_ms"], g["note_id"]
         news = np.flatnonzero(g["side"] == 1)
-        free, matched = np.ones(len(news), bool), 0
-        for i in np.flatnonzero(g["side"] == 0):
-            if not len(news):
-                break
-            both = np.maximum(0.0, np.minimum(end[i], end[news]) - np.maximum(start[i], start[news]))
-            union = np.maximum(end[i], end[news]) - np.minimum(start[i], start[news])
-            ratio = np.divide(both, union, out=np.zeros(len(news)), where=union > 0)
-            away = np.abs(start[i] - start[news])
-            good = np.flatnonzero(free & ((ratio >= iou) | (away <= np.maximum(onset, share * np.minimum(end[i] - start[i], end[news] - start[news])))))
+        free, matched, longest = np.ones(len(news), bool), 0, (end - start)[news].max(initial=0.0)
+        olds = np.flatnonzero(g["side"] == 0)
+        tol = np.maximum(onset, share * (end - start))
+        first = np.searchsorted(start[news], start[olds] - tol[olds] - longest)  # of those that may reach so far
+        last = np.searchsorted(start[news], end[olds] + tol[olds], side="right")
+        for i, lo, hi in zip(olds, first, last, strict=True):
+            w = news[lo:hi]
+            both = np.maximum(0.0, np.minimum(end[i], end[w]) - np.maximum(start[i], start[w]))
+            union = np.maximum(end[i], end[w]) - np.minimum(start[i], start[w])
+            ratio = np.divide(both, union, out=np.zeros(len(w)), where=union > 0)
+            away = np.abs(start[i] - start[w])
+            good = np.flatnonzero(free[lo:hi] & ((ratio >= iou) | (away <= np.maximum(onset, share * np.minimum(end[i] - start[i], end[w] - start[w])))))
             if len(good):
-                free[min(good, key=lambda k: (-ratio[k], away[k], ids[news[k]]))] = False
+                free[lo + good[np.lexsort((ids[w[good]], away[good], -ratio[good]))[0]]] = False
                 matched += 1
         return *(g[k][:1] for k in keys), np.array([matched])
 
     types = dict(old.dtypes)
     by_shape = over_groups(cut, [*keys, "pitch", "part"], ["dur_ms", "side"], ["start_ms", "note_id"], solve, ", ".join([*(f"{k} {types[k]}" for k in keys), "matched long"]))
     matched = by_shape.unionByName(same.select(*keys, F.lit(1).cast("long").alias("matched"))).groupBy(*keys).agg(F.sum("matched").alias("matched"))
-    sizes = old.groupBy(*keys).agg(F.count("*").alias("n_old")).join(new.groupBy(*keys).agg(F.count("*").alias("n_new")), keys, "full").fillna(0)
-    out = sizes.join(matched, keys, "left").fillna(0)
+    sides = old.select(*keys, F.lit(1).alias("o"), F.lit(0).alias("n")).unionByName(new.select(*keys, F.lit(0).alias("o"), F.lit(1).alias("n")))
+    sizes = sides.groupBy(*keys).agg(F.sum("o").alias("n_old"), F.sum("n").alias("n_new"))
+    out = join_keys(sizes, matched, keys, "left").withColumn("matched", F.coalesce("matched", F.lit(0)))
     return out.withColumn("score", F.when((F.col("n_old") == 0) | (F.col("n_new") == 0), 0.0).otherwise(F.round(F.col("matched") / F.greatest("n_old", "n_new"), 9)))
 
 
@@ -244,10 +248,10 @@ def region_replace(current: DataFrame, incoming: DataFrame, a: float, b: float,
 def lyric_align(tokens: DataFrame, notes: DataFrame, mode: str = "syllabic", beat_ms: float = 500.0, on: str = "track_id") -> DataFrame:
     """(track_id, token_id, note_id, notes, relation, confidence): tokens (token_id, time) set on notes in order, never going back.
 
-    A timed token takes the nearest note that is still free, the earlier of two; one without a time the note at its
-    share of the whole, or the next free one. ``spoken`` lets tokens share a note; ``melismatic`` and ``legato`` spread
-    a token over the notes up to the next one, four or two at most. Confidence falls with the distance in time. The
-    cursor flows through a key, which is one group; keys without notes give no rows.
+    A timed token goes to the nearest note, the earlier of two; one without a time to the note at its share of the
+    whole; but never before the note after that of the token before (``spoken``: before that note itself). ``melismatic``
+    and ``legato`` spread a token over the notes up to the next one, four or two at most. Confidence falls with the
+    distance in time. A key is one group, worked on as arrays; keys without notes give no rows, as do rows without id.
     """
     if mode not in ("syllabic", "spoken", "melismatic", "legato"):
         raise ValueError(f"unknown mode {mode}")
@@ -256,29 +260,26 @@ def lyric_align(tokens: DataFrame, notes: DataFrame, mode: str = "syllabic", bea
     limit, tol = {"melismatic": 4, "legato": 2}.get(mode, 1), max(55.0, beat_ms * 0.25)
 
     def solve(g: dict) -> tuple:
-        own, asked = np.flatnonzero(g["side"] == 0), np.flatnonzero(g["side"] == 1)
-        own = own[np.lexsort((-g["pitch"][own], g["start_ms"][own]))]
-        starts, times = g["start_ms"][own], g["start_ms"][asked]
-        n, k = len(own), len(asked)
-        if not n or not k:
+        own, asked = np.flatnonzero((g["side"] == 0) & ~np.isnan(g["start_ms"])), np.flatnonzero(g["side"] == 1)
+        own = own[np.lexsort((-np.nan_to_num(g["pitch"][own]), g["start_ms"][own]))]
+        starts, times, number = g["start_ms"][own], g["start_ms"][asked], np.arange(len(asked))
+        n = len(own)
+        if not n or not len(asked):
             return g[on][:0], g["id"][:0], g["id"][:0], np.zeros(0, np.int32), np.zeros(0, object), np.zeros(0)
-        cursor, anchors = 0, []
-        for i, t in enumerate(times):
-            if np.isnan(t):
-                at = max(cursor, round(i * (n - 1) / max(1, k - 1)))
-            else:
-                at = cursor + int(np.searchsorted(starts[cursor:], t))
-                if at == n or (at > cursor and t - starts[at - 1] <= starts[at] - t):
-                    at -= 1
-                at = cursor + int(np.searchsorted(starts[cursor:], starts[at]))  # the first of equal starts
-            at = min(n - 1, at)
-            anchors.append(at)
-            cursor = at if mode == "spoken" else min(n - 1, at + 1)
-        ends = [*anchors[1:], n]
-        counts = [max(1, min(e, a + limit) - a) if limit > 1 and e > a + 1 else 1 for a, e in zip(anchors, ends, strict=True)]
-        shared = [mode == "spoken" and i > 0 and anchors[i] == anchors[i - 1] for i in range(k)]
-        relation = np.array(["melisma" if c > 1 else "shared_note" if s else "syllabic" for c, s in zip(counts, shared, strict=True)], object)
+        # Where each token would go alone: its share of the notes, or the nearest start, the first of equal ones.
+        share = np.rint(number * (n - 1) / max(1, len(asked) - 1)).astype(np.int64)
+        after = np.searchsorted(starts, np.nan_to_num(times))
+        low, high = np.maximum(after - 1, 0), np.minimum(after, n - 1)
+        nearest = np.where((after == n) | ((after > 0) & (times - starts[low] <= starts[high] - times)), low, high)
+        alone = np.where(np.isnan(times), share, np.searchsorted(starts, starts[nearest]))
+        # A token goes no further back than the one before, or than the note after that one's: a running maximum.
+        step = 0 if mode == "spoken" else 1
+        anchors = np.minimum(n - 1, np.maximum.accumulate(alone - step * number) + step * number)
+        room = np.minimum(np.r_[anchors[1:], n] - anchors, limit)
+        notes_of = np.maximum(1, room)
+        shared = np.r_[False, anchors[1:] == anchors[:-1]] & (mode == "spoken")
+        relation = np.where(notes_of > 1, "melisma", np.where(shared, "shared_note", "syllabic")).astype(object)
         away = np.where(np.isnan(times), tol * 0.55, np.abs(starts[anchors] - np.nan_to_num(times)))
-        return g[on][asked], g["id"][asked], g["id"][own][anchors], np.array(counts, np.int32), relation, np.round(np.clip(np.exp(-away / tol), 0.15, 1.0), 6)
+        return g[on][asked], g["id"][asked], g["id"][own][anchors], notes_of.astype(np.int32), relation, np.round(np.clip(np.exp(-away / tol), 0.15, 1.0), 6)
 
-    return over_groups(rows, [on], ["start_ms", "pitch"], ["side", "id"], solve, f"{on} long, token_id long, note_id long, notes int, relation string, confidence double")
+    return over_groups(rows, [on], ["start_ms", "pitch"], ["side", "id"], solve, f"{on} {dict(notes.dtypes)[on]}, token_id long, note_id long, notes int, relation string, confidence double", nullable=["start_ms", "pitch"])

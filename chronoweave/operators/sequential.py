@@ -7,6 +7,8 @@ tasks; only rows that depend on each other without any gap stay together.
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from .folds import anchor_cluster, islands
 from .projections import end_ms
-from .walks import over_groups
+from .walks import join_keys, over_groups
 
 
 def nms(events: DataFrame, near: float = 20.0, overlap: float = 0.85) -> DataFrame:
@@ -153,52 +155,58 @@ def event_pairing_sustained(events: DataFrame, dangling: float = 100.0) -> DataF
     return notes.filter("dur_ms > 0")
 
 
+#: Fixed values of the signature that offsets are drawn from.
+SIGNATURE = {"track": 1000003, "tenths": 9176, "pitches": 131, "members": 37, "velocity": 0x5BD1E995}
+DRAW = (1103515245, 12345)
+
+
 def humanize_groups(notes: DataFrame, beat: float = 500.0, gap: float = 420.0, timing: float = 12.0, least_vel: int = 1, most_vel: int = 127) -> DataFrame:
     """(note_id, start_ms, vel): each onset group moves as one by a reproducible offset and velocity step, drawn from an integer signature.
 
     Strong beats and ends of phrases move less. A group stays a millisecond behind the place of the one before and
-    ahead of the next one's, so places flow through a track: its groups are one walk.
+    ahead of the next one's anchor: counted from its number in the track, its place is the one before, clamped between
+    two bounds of its own. The bounds are expressions; only the clamps run over a track.
     """
-    clusters = anchor_cluster(notes).join(notes, ["track_id", "note_id"])
+    clusters = join_keys(anchor_cluster(notes), notes, ["track_id", "note_id"])
     groups = clusters.groupBy("track_id", "anchor_ms").agg(F.sum("pitch").alias("pitches"), F.count("*").alias("n"), F.max(end_ms()).alias("end_ms"))
-    following = F.lead("anchor_ms").over(Window.partitionBy("track_id").orderBy("anchor_ms"))
+    order = Window.partitionBy("track_id").orderBy("anchor_ms")
+    known = groups.withColumns({"next": F.lead("anchor_ms").over(order), "number": F.row_number().over(order).cast("double")})
     phase = F.col("anchor_ms") % beat
     strong = F.least(phase, F.abs(beat - phase)) <= 18.0
-    anchored = strong | F.col("next").isNull() | (F.col("next") - F.col("end_ms") >= gap)
-    signature = ((F.col("track_id") + 1) * 1000003 + S.half_even(F.col("anchor_ms") * 10).cast("long") * 9176 + F.col("pitches") * 131 + F.col("n") * 37).bitwiseAND(F.lit(0x7FFFFFFF))
+    ends = F.col("next").isNull() | (F.col("next") - F.col("end_ms") >= gap)
+    signature = F.pmod(F.col("track_id") + 1, F.lit(1 << 31)) * SIGNATURE["track"] + S.half_even(F.col("anchor_ms") * 10).cast("long") * SIGNATURE["tenths"] + F.col("pitches") * SIGNATURE["pitches"] + F.col("n") * SIGNATURE["members"]
 
     def unit(x: Column) -> Column:
-        return F.shiftright(x * 1103515245 + 12345, 16).bitwiseAND(F.lit(0x7FFF)) / 16383.5 - 1.0
-
-    known = groups.withColumn("next", following).withColumns({"limit": F.least(F.lit(timing), F.when(strong, 3.0).when(anchored, 4.0).otherwise(12.0)), "vel_limit": F.when(anchored, 2).otherwise(6), "signature": signature})
-    drawn = known.withColumns({"offset": F.round(unit(F.col("signature")) * F.col("limit"), 3), "delta": S.half_even(unit(F.col("signature").bitwiseXOR(F.lit(0x5BD1E995))) * F.col("vel_limit")).cast("int")})
+        return F.shiftright(x * DRAW[0] + DRAW[1], 16).bitwiseAND(F.lit(0x7FFF)) / 16383.5 - 1.0
+
+    known = known.withColumn("signature", F.coalesce(signature, F.lit(0)).bitwiseAND(F.lit(0x7FFFFFFF)))
+    offset = F.round(unit(F.col("signature")) * F.least(F.lit(timing), F.when(strong, 3.0).when(ends, 4.0).otherwise(12.0)), 3)
+    delta = S.half_even(unit(F.col("signature").bitwiseXOR(F.lit(SIGNATURE["velocity"]))) * F.when(strong | ends, 2).otherwise(6)).cast("int")
+    high = F.coalesce(F.col("next") - 1, F.lit(float("inf")))
+    stuck = high < 0  # no room ahead of the next: the group stays
+    bounds = known.withColumns({
+        "low": F.when(stuck, F.col("anchor_ms")).otherwise(F.greatest(F.lit(0.0), F.col("anchor_ms") + offset)) - F.col("number"),
+        "high": F.when(stuck, F.col("anchor_ms")).otherwise(high) - F.col("number"),
+        "delta": delta,
+    })
 
     def solve(g: dict) -> tuple:
-        anchor, ahead, offset = g["anchor_ms"], g["next"], g["offset"]
-        placed, last = np.empty(len(anchor)), -1.0
-        for i in range(len(anchor)):
-            at = max(0.0, anchor[i] + offset[i])
-            if last >= 0:
-                at = max(last + 1.0, at)
-            if not np.isnan(ahead[i]):
-                at = min(ahead[i] - 1.0, at)
-                if at >= ahead[i]:
-                    at = anchor[i]
-            placed[i] = last = anchor[i] if at < 0 else at
-        return g["track_id"], anchor, placed - anchor, g["delta"]
-
-    moved = over_groups(drawn, ["track_id"], ["next", "offset", "delta"], ["anchor_ms"], solve, "track_id long, anchor_ms double, moved double, delta int")
-    out = clusters.join(moved, ["track_id", "anchor_ms"])
+        clamped = accumulate(zip(g["low"].tolist(), g["high"].tolist(), strict=True), lambda at, own: min(own[1], max(own[0], at)), initial=float("-inf"))
+        return g["track_id"], g["anchor_ms"], np.array(list(clamped)[1:]) + g["number"] - g["anchor_ms"], g["delta"]
+
+    moved = over_groups(bounds, ["track_id"], ["low", "high", "number", "delta"], ["anchor_ms"], solve, "track_id long, anchor_ms double, moved double, delta int")
+    out = join_keys(clusters, moved, ["track_id", "anchor_ms"])
     return out.select("note_id", F.greatest(F.lit(0.0), F.col("start_ms") + F.col("moved")).alias("start_ms"), F.least(F.greatest(F.col("vel") + F.col("delta"), F.lit(least_vel)), F.lit(most_vel)).alias("vel"))
 
 
 def melodic_lines(notes: DataFrame, gap: float = 420.0, early: float = 600.0, leap: int = 12) -> DataFrame:
-    """(note_id, line) for notes that sound alone in their onset cluster: each continues the nearest open line in pitch and time; a chord ends all lines.
+    """(note_id, line) for notes that sound alone in their onset cluster: each follows the note nearest in pitch and time that nothing follows yet.
 
-    A line is named by its first note and open while its last note began within ``gap`` of the latest. Chords and
-    silences longer than ``gap`` end all lines and cut a track, so it is walked in parts.
+    A note may be followed while it began within ``gap`` of the latest but one, from ``early`` before its end to
+    ``gap`` after it, within ``leap`` in pitch; of equal choices the line that began first goes on. A line is named by
+    its first note. Chords and silences longer than ``gap`` end all lines and cut a track, so it is walked in parts.
     """
-    clusters = anchor_cluster(notes).join(notes, ["track_id", "note_id"])
+    clusters = join_keys(anchor_cluster(notes), notes, ["track_id", "note_id"])
     size = Window.partitionBy("track_id", "anchor_ms")
     w = Window.partitionBy("track_id").orderBy("anchor_ms", "note_id")
     sized = clusters.withColumn("n", F.count("*").over(size))
@@ -207,19 +215,17 @@ def melodic_lines(notes: DataFrame, gap: float = 420.0, early: float = 600.0, le
     parts = sized.withColumn("part", F.sum(fresh).over(w)).filter("n = 1").withColumn("end_ms", end_ms())
 
     def solve(g: dict) -> tuple:
-        start, end, pitch, ids = g["start_ms"], g["end_ms"], g["pitch"], g["note_id"]
-        lines, out = [], np.empty(len(ids), np.int64)  # [place of the last note, name]
-        for i in range(len(ids)):
-            costs = [(abs(int(pitch[i]) - int(pitch[k])) * 20 + abs(start[i] - end[k]), at) for at, (k, _) in enumerate(lines) if -early <= start[i] - end[k] <= gap and abs(int(pitch[i]) - int(pitch[k])) <= leap]
-            if costs:
-                line = lines[min(costs)[1]]
-                line[0] = i
-            else:
-                line = [i, ids[i]]
-                lines.append(line)
-            out[i] = line[1]
-            lines = [x for x in lines if start[i] - start[x[0]] <= gap]
-        return ids, out
+        start, end, pitch = g["start_ms"], g["end_ms"], g["pitch"].astype(float)
+        since = np.searchsorted(start, np.r_[start[:1], start[:-1]] - gap)  # the first that may be followed
+        root, free = np.arange(len(start)), np.ones(len(start), bool)
+        for i in range(1, len(start)):
+            w = np.arange(since[i], i)
+            pause, step = start[i] - end[w], np.abs(pitch[i] - pitch[w])
+            w = w[fits := free[w] & (pause >= -early) & (pause <= gap) & (step <= leap)]
+            if len(w):
+                before = w[np.lexsort((root[w], (step * 20 + np.abs(pause))[fits]))[0]]
+                root[i], free[before] = root[before], False
+        return g["note_id"], g["note_id"][root]
 
     return over_groups(parts, ["track_id", "part"], ["end_ms", "pitch"], ["start_ms", "note_id"], solve, "note_id long, line long")
 

@@ -3,43 +3,95 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
-def over_groups(df: DataFrame, keys: Sequence[str], columns: Sequence[str], order: Sequence[str], solve: Callable[[dict], tuple], schema: str) -> DataFrame:
-    """``solve`` of each group of ``keys``: it gets ``columns`` as arrays in the given order and gives the arrays of ``schema``."""
+def same_keys(left: dict[str, Column], right: dict[str, Column]) -> Column:
+    """Equality of keys in which null equals null."""
+    return reduce(lambda a, b: a & b, (left[k].eqNullSafe(right[k]) for k in left))
+
+
+def join_keys(rows: DataFrame, other: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``other`` on ``on``, where null keys are keys too; the columns of ``rows``, then the others of ``other``."""
+    names = {k: f"__key_{i}" for i, k in enumerate(on)}
+    right = other.select(*(F.col(k).alias(n) for k, n in names.items()), *(c for c in other.columns if c not in names))
+    return rows.join(right, same_keys({k: F.col(k) for k in on}, {k: F.col(n) for k, n in names.items()}), how).drop(*names.values())
+
+
+def _changes(column: pa.Array) -> np.ndarray:
+    """Where a key differs from the one before; null equals null, and NaN equals NaN."""
+    valid = column.is_valid().to_numpy(zero_copy_only=False)
+    if pa.types.is_floating(column.type):
+        values = pc.fill_null(column, 0.0).cast(pa.float64()).to_numpy(zero_copy_only=False)
+        values = np.where(values == 0, 0.0, values).view(np.int64)
+    else:
+        values = (pc.fill_null(column, pa.scalar("" if pa.types.is_string(column.type) else 0).cast(column.type)) if column.null_count else column).to_numpy(zero_copy_only=False)
+    return (values[1:] != values[:-1]) | (valid[1:] != valid[:-1])
+
+
+def _plain(column: pa.Array) -> np.ndarray:
+    """A column as an array: whole numbers stay whole, as objects where some are null."""
+    if column.null_count and not pa.types.is_floating(column.type):
+        out = np.empty(len(column), object)
+        out[:] = column.to_pylist()
+        return out
+    return column.to_numpy(zero_copy_only=False)
+
+
+def over_groups(df: DataFrame, keys: Sequence[str], columns: Sequence[str], order: Sequence[str], solve: Callable[[dict], tuple], schema: str, nullable: Sequence[str] = ()) -> DataFrame:
+    """``solve`` of each group of ``keys``: it gets ``columns`` as arrays in the given order and gives the arrays of ``schema``.
+
+    Null keys are keys. Rows without a value in one of the other columns take no part, but for the columns that are
+    ``nullable``: there a missing float is NaN and anything else None. Whole numbers never pass through floats.
+    """
     keys, columns = list(keys), list(dict.fromkeys([*columns, *order]))
     own = [c for c in columns if c not in keys]
-    dealt = df.select(*keys, *own).repartition(*keys).sortWithinPartitions(*keys, *order)
-    names = df.sparkSession.createDataFrame([], schema).columns
+    needed = [c for c in own if c not in nullable]
+    dealt = df.select(*keys, *own).dropna(subset=needed) if needed else df.select(*keys, *own)
+    dealt = dealt.repartition(*keys).sortWithinPartitions(*keys, *order)
+    target = df.sparkSession.createDataFrame([], schema).schema
+    kinds = to_arrow_schema(target)
 
-    def solved(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
-        arrays = {c: rows[c].to_numpy() for c in [*keys, *own]}
-        found = [solve({c: a[s:e] for c, a in arrays.items()}) for s, e in zip(starts, [*starts[1:], len(rows)], strict=True)]
-        return pd.DataFrame({n: np.concatenate([f[i] for f in found]) for i, n in enumerate(names)})
+    def solved(groups: list[dict]) -> pa.RecordBatch:
+        found = [solve(g) for g in groups]
+        arrays = [np.concatenate([f[i] for f in found]) for i in range(len(kinds))]
+        return pa.RecordBatch.from_arrays([pa.array(a, f.type, from_pandas=True) for a, f in zip(arrays, kinds, strict=True)], schema=kinds)
 
     def run(batches):
-        held: list[pd.DataFrame] = []  # the rows of the group that may go on in the next batch
+        held: list[dict] = []  # the parts of the group that may go on in the next batch
+
+        def joined() -> dict:
+            return {c: np.concatenate([h[c] for h in held]) for c in held[0]} if len(held) > 1 else held[0]
+
+        last = None  # the keys of the row before, as a row
         for batch in batches:
-            if not len(batch):
+            if not batch.num_rows:
                 continue
-            k = batch[keys].to_numpy()
-            starts = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]).any(axis=1)])
-            if held and (held[-1][keys].to_numpy()[-1] != k[0]).any():
-                yield solved(pd.concat(held, ignore_index=True), np.zeros(1, np.int64))
-                held = []
-            if len(starts) > 1:
-                if held:
-                    yield solved(pd.concat([*held, batch.iloc[: starts[1]]], ignore_index=True), np.zeros(1, np.int64))
-                    starts = starts[1:]
-                if len(starts) > 1:
-                    yield solved(batch.iloc[starts[0] : starts[-1]], starts[:-1] - starts[0])
+            key = batch.select(keys)
+            starts = np.flatnonzero(np.r_[True, reduce(np.logical_or, (_changes(key.column(i)) for i in range(len(keys))))] if len(keys) else np.arange(batch.num_rows) == 0)
+            arrays = {c: _plain(batch.column(c)) for c in batch.schema.names}
+            parts = [{c: a[s:e] for c, a in arrays.items()} for s, e in zip(starts, [*starts[1:], batch.num_rows], strict=True)]
+            both = pa.Table.from_batches([last, key.slice(0, 1)]).combine_chunks() if last is not None else None
+            goes_on = both is not None and not any(_changes(both.column(i).combine_chunks()).any() for i in range(len(keys)))
+            done = []
+            if held and not goes_on:
+                done.append(joined())
                 held = []
-            held.append(batch.iloc[starts[-1] :])
+            held.append(parts[0])
+            if len(parts) > 1:
+                done += [joined(), *parts[1:-1]]
+                held = [parts[-1]]
+            if done:
+                yield solved(done)
+            last = key.slice(batch.num_rows - 1, 1)
         if held:
-            yield solved(pd.concat(held, ignore_index=True), np.zeros(1, np.int64))
+            yield solved([joined()])
 
-    return dealt.mapInPandas(run, schema)
+    return dealt.mapInArrow(run, target)

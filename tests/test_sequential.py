@@ -9,7 +9,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronoweave.operators import aggregates, changes, folds, intervals, runs, sequential, walks
-from chronoweave.operators.registry import Registry
 
 SCHEMA = "track_id long, note_id long, pitch int, vel int, start_ms double, dur_ms double, ntype int, confidence double"
 
@@ -143,17 +142,6 @@ def test_change_sets_are_all_or_nothing(spark):
         changes.apply(rows, bad, ["pitch"]).collect()
 
 
-def test_registry():
-    r = Registry()
-    r.register("Nms", sequential.nms)
-    assert r.get("NMS") is sequential.nms and r.names() == ["nms"]
-    with pytest.raises(ValueError):
-        r.register("nms", sequential.viterbi)
-    r.unregister("nms")
-    with pytest.raises(KeyError):
-        r.get("nms")
-
-
 def test_melodic_lines_equal_naive(spark):
     rng = np.random.default_rng(12)
     rows, at = [], 0.0
