@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -22,6 +22,8 @@ SAMPLE_WINDOWS = 4
 WINDOW_WORDS = 24
 #: Windows of more bytes, which hold words of unusual length, aren't drawn; words are never cut.
 WINDOW_BYTES = 16 << 10
+#: Bytes of all windows of the sample; usual text stays far below.
+SAMPLE_BYTES = 128 << 20
 #: Languages that can be learned; the model's size follows their number. More labels are an error.
 MOST_LANGUAGES = 256
 BUCKETS = 1 << 17
@@ -204,7 +206,8 @@ def training_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """(language, words) of SAMPLE_WINDOWS windows at hashed places of about ``most`` documents of each language, chosen by hash.
 
     At most 2 x ``most`` documents' windows of each language reach the driver, whatever the size of ``docs``, each of
-    WINDOW_BYTES at most. More than MOST_LANGUAGES labels are an error.
+    WINDOW_BYTES and all of SAMPLE_BYTES at most, of which each language has its share. More than MOST_LANGUAGES labels
+    are an error.
     """
     labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit(11), F.col(id_col), F.col(text_col)).alias("h"))
     counts = labelled.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
@@ -229,7 +232,9 @@ def training_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                             rows.append((h, lang, window))
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.binary()))], names=["h", "lang", "words"])
 
-    found = drawn.mapInArrow(windows, "h long, lang string, words binary").orderBy("h", "lang", "words").limit(2 * most * len(counts) * SAMPLE_WINDOWS).collect()
+    size = F.sum(F.length("words")).over(Window.partitionBy("lang").orderBy("h", "words"))  # over the sample alone
+    cut = drawn.mapInArrow(windows, "h long, lang string, words binary").withColumn("size", size).filter(F.col("size") <= SAMPLE_BYTES // len(counts))
+    found = cut.orderBy("h", "lang", "words").limit(2 * most * len(counts) * SAMPLE_WINDOWS).collect()
     return [(r["lang"], bytes(r["words"]).split()) for r in found]
 
 

@@ -13,7 +13,6 @@ so a row keeps thousands of grams, and bytes follow the input, where rows a (blo
 from __future__ import annotations
 
 import math
-import uuid
 import zlib
 from collections import Counter
 
@@ -33,7 +32,6 @@ HELD_OUT = (7, 2)
 #: Symbols that aren't part of a text's UTF-8: before its start, and after its end.
 START, END = 0, 255
 ALPHABET = 256
-BLOCKED = "block long, doc_id long, training boolean, text string"
 ASKED = "grams binary, gram_counts binary, words binary, word_counts binary"
 ANSWERED = "is_gram boolean, asked binary, answers binary"
 #: Bytes of text for each bucket of grams and words; buckets grow with the input, so a bucket doesn't.
@@ -68,30 +66,10 @@ def grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def blocked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` in blocks of at most ``block_bytes`` of text, in files bucketed by block: a block's later steps don't shuffle texts.
-
-    The files are in the shared folder; the catalog's entry, which tells Spark of the buckets, is gone once they are written.
-    """
-    spark = docs.sparkSession
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(common.crc32_mod(id_col, HELD_OUT[0]) != HELD_OUT[1], F.lit(True)).alias("training"), F.col(text_col).cast("string").alias("text"))
-
-    def assign(batches):
-        block, held = 0, block_bytes + 1
-        for batch in batches:
-            for part in common.steps(batch, 2):
-                size = part.column(2).nbytes
-                if held + size > block_bytes:
-                    block, held = uuid.uuid4().int >> 65, 0
-                held += size
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, block)), *part.columns], names=["block", "doc_id", "training", "text"])
-
-    name = f"ppm_blocks_{uuid.uuid4().hex}"
-    buckets = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    slim.mapInArrow(assign, BLOCKED).write.bucketBy(buckets, "block").option("compression", "zstd").option("path", common.new_path(spark, "ppm-blocks")).saveAsTable(name)
-    found = spark.table(name)
-    found.schema  # resolves the table while its entry is there
-    spark.sql(f"DROP TABLE {name}")  # its files are its own folder's and stay
-    return found
+    """``docs`` as (block, doc_id, training, text) in files bucketed by block, whose number grows with the text."""
+    training = F.coalesce(common.crc32_mod(id_col, HELD_OUT[0]) != HELD_OUT[1], F.lit(True))
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), training.alias("training"), F.col(text_col).cast("string").alias("text"))
+    return common.blocked(slim, "ppm-blocks", block_bytes).drop("row")
 
 
 def _steps(table: pa.Table):

@@ -99,16 +99,22 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased. A null, empty or blank text has fingerprint
     zero and is linked like any other. Repeated rows keep a row each; ids that repeat with other texts join those
     texts' groups only through their fingerprints. An empty table gives no rows; other columns are ignored. Rows whose
-    id is null keep their fingerprint and get the component of the other rows, or null if none has an id.
+    id is null link others like any row; they get the component of the rows with ids, or null if none has one.
     """
     spec = "doc_id long, fp long"
     marked = common.map_texts(docs, lambda ids, texts: {"doc_id": ids, "fp": fingerprints(texts, shingle_words)}, spec, id_col, text_col)
-    marked = common.written(marked, "simhash-marked")
-    counted = common.written(marked.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("rows")), "simhash-nodes")
-    nodes = counted.filter("node IS NOT NULL")
-    links = common.written(close_links(nodes.drop("rows"), distance, hot=hot), "simhash-links")
-    found = components(links).withColumnRenamed("node", "linked")
-    reach = common.written(counted.join(found, F.col("node") == F.col("linked"), "left").select("fp", F.coalesce("component", "node").alias("component_id"), "rows"), "simhash-reach")
+    return grouped(common.written(marked, "simhash-marked"), distance, hot)
+
+
+def grouped(marked: DataFrame, distance: int = MAX_DISTANCE, hot: int = HOT_BLOCK) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for rows (doc_id, fp), as near_duplicate_groups has them."""
+    counted = common.written(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")), "simhash-nodes")
+    links = common.written(close_links(counted.select(F.col("fp").alias("node"), "fp"), distance, hot=hot), "simhash-links")
+    found = components(links).withColumnRenamed("node", "fp")
+    placed = common.written(counted.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp")), "simhash-placed")
+    lowest = placed.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("nodes"))
+    reach = common.join_counted(placed, common.written(lowest, "simhash-lowest"), "component", "nodes").select("fp", "component_id", "rows")
+    reach = common.written(reach, "simhash-reach")
     return common.join_counted(marked, reach, "fp", "rows").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -106,3 +106,12 @@ def test_empty_table_long_text_and_clashing_columns(spark):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [*range(1, 60), 100]
     nothing = L.identify_languages(docs.withColumn("lang", F.lit(None).cast("string"))).collect()
     assert {r["lang_pred"] for r in nothing} == {"und"}
+
+
+def test_bytes_of_the_sample_are_bounded(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "xy"[i % 2] + ("abcdefgh"[i % 8] * 30 + " ") * 40, "xy"[i % 2]) for i in range(60)], "doc_id long, text string, lang string")
+    whole = L.training_windows(docs)
+    monkeypatch.setattr(L, "SAMPLE_BYTES", 20_000)
+    few = L.training_windows(docs)
+    assert 0 < len(few) < len(whole) and {y for y, _ in few} == {"x", "y"}
+    assert all(sum(len(b" ".join(ws)) for y, ws in few if y == lang) <= 10_000 for lang in "xy")

@@ -161,6 +161,14 @@ def test_close_fingerprints_link_in_hot_blocks_too(spark, hot, distance):
     assert {i: found.get(i, i) for i in ids} == brute_groups(ids, distance)
 
 
+@pytest.mark.parametrize("middle", [None, 7])
+def test_rows_without_id_link_others(spark, middle):
+    """A chain of two-bit steps holds through a row without an id; what has none at all stays without."""
+    marked = spark.createDataFrame([(1, 0b0011), (middle, 0), (2, 0b1100), (None, 1 << 40), (None, -1), (9, (1 << 40) + 7 * (1 << 50))], "doc_id long, fp long")
+    got = {(r["doc_id"], int(r["fingerprint"], 16)): r["component_id"] for r in simhash_dedup.grouped(marked).collect()}
+    assert got == {(1, 3): 1, (middle, 0): 1, (2, 12): 1, (None, 1 << 40): 1, (None, (1 << 64) - 1): None, (9, (1 << 40) + 7 * (1 << 50)): 9}
+
+
 @pytest.mark.parametrize("distance", [-1, 3, 9])
 def test_other_distances_are_refused(spark, distance):
     with pytest.raises(ValueError, match="distance"):
