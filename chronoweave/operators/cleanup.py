@@ -6,12 +6,17 @@ events is counted, not paired: per pitch, those that began early enough less tho
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..shared import written
 from .intervals import range_join
 from .sequential import nms
+from .walks import join_keys, over_groups
 
 #: Longest spans, in frames, of severe and review fragments and of those that count for density.
 SEVERE, REVIEW, DENSITY = 6, 8, 11
@@ -19,6 +24,9 @@ SEVERE, REVIEW, DENSITY = 6, 8, 11
 SEQUENCE_GAP, SEQUENCE_PITCH, FLICKER_GAP, FLICKER_PITCH, CHORD_RADIUS = 8, 12, 1, 2, 2
 #: What hides a severe fragment: confidence, frame support and onset below these.
 LEAST_CONFIDENCE, LEAST_SUPPORT, STRONG_ONSET, WEAK_PROMINENCE = 0.30, 0.35, 0.5, 0.10
+#: Longest gap, in frames, over which events merge, frames of evidence around a start, and the frame value that goes on
+#: (at least 0.18, or 0.80 of the threshold of frames, 0.3).
+MERGE_GAP, AROUND, CONTINUITY = 2, 3, max(0.18, 0.80 * 0.3)
 
 
 def frame_events(notes: DataFrame, frame_ms: float = 10.0) -> DataFrame:
@@ -110,26 +118,111 @@ def clean_suppress(flagged: DataFrame, evidence: DataFrame) -> DataFrame:
     return flagged.join(sums.filter(weak).select("note_id", F.lit(True).alias("hidden")), "note_id", "left").withColumn("hidden", F.coalesce("hidden", F.lit(False)))
 
 
+def event_evidence(events: DataFrame, evidence: DataFrame) -> DataFrame:
+    """``events`` with what the evidence around their start says, from three frames before it to three after.
+
+    ``peak`` is the onset within a frame, ``prominence`` by how much it exceeds the median of the two frames beyond on
+    either side, ``attack`` by how much the frame value of the first two frames exceeds the median of the three before;
+    ``still_0`` to ``still_2`` are the least frame values from the last frame of a note that ended so many frames
+    before, to the second of this one. Frames without a row of ``evidence`` are zero, those before the first don't count.
+    """
+    around = events.select("track_id", "pitch", "note_id", F.explode(F.sequence(F.lit(-AROUND), F.lit(AROUND))).alias("d"), "start_frame").withColumn("frame", F.col("start_frame") + F.col("d")).filter("frame >= 0")
+    met = join_keys(around, evidence.select("track_id", "pitch", "frame", "frame_value", "onset_value"), ["track_id", "pitch", "frame"], "left").fillna(0.0, ["frame_value", "onset_value"])
+    d, frame, onset = F.col("d"), F.col("frame_value"), F.col("onset_value")
+    above = lambda top, base: F.round(F.greatest(F.lit(0.0), top - F.coalesce(base, F.lit(0.0))), 9)
+    peak = F.max(F.when(F.abs(d) <= 1, onset))
+    sums = met.groupBy("note_id").agg(
+        F.round(peak, 9).alias("peak"), above(peak, F.median(F.when(F.abs(d) > 1, onset))).alias("prominence"), above(F.max(F.when(d.isin(0, 1), frame)), F.median(F.when(d < 0, frame))).alias("attack"),
+        *(F.round(F.min(F.when(d.between(-g - 1, 1), frame)), 9).alias(f"still_{g}") for g in range(MERGE_GAP + 1)),
+    )
+    return events.join(sums, "note_id")
+
+
+def merged_into(events: DataFrame, evidence: DataFrame, continuity: float = CONTINUITY) -> DataFrame:
+    """(note_id, first_id): the first event of the one that each event is merged into, its own where it isn't.
+
+    Events of a pitch are taken by start, end and id. One goes on what is before it if it begins 0 to 2 frames after
+    its latest end, the frame evidence between them doesn't fall below ``continuity``, no short neighbour of another
+    pitch spans the gap, and it is no attack of its own: its onset is weak and lower than that of the first, its frame
+    value doesn't rise, no chord begins with it and it doesn't go on a regular repetition. Only rows without a gap
+    before them depend on each other; those are walked.
+    """
+    known = event_evidence(events, evidence).join(chord_supported(events), "note_id")
+    key = ["track_id", "pitch"]
+    attacks = Window.partitionBy(*key).orderBy("start_frame")
+    distinct = events.select(*key, "start_frame").distinct()
+    before = F.col("start_frame") - F.lag("start_frame").over(attacks)
+    sides = (F.lag("start_frame").over(attacks) - F.lag("start_frame", 2).over(attacks), F.lead("start_frame").over(attacks) - F.col("start_frame"))
+    timed = distinct.withColumns({"before": before, "earlier": sides[0], "after": sides[1]})
+    near = lambda c: F.coalesce(F.abs(F.col(c) - F.col("before")) <= F.greatest(F.lit(1), S.half_even(F.col("before") * 0.20)), F.lit(False))
+    known = join_keys(known, timed.select(*key, "start_frame", (near("earlier") | near("after")).alias("regular")), [*key, "start_frame"])
+    short = events.join(pitch_flicker(events), "note_id", "left_semi")
+    spans = short.select("track_id", F.explode(F.array(*(F.col("pitch") + k for k in range(-FLICKER_PITCH, FLICKER_PITCH + 1) if k))).alias("pitch"), F.col("start_frame").alias("f_from"), F.col("end_frame").alias("f_to"))
+    asked = events.select(*key, "note_id", (F.col("start_frame") - MERGE_GAP - FLICKER_GAP).alias("low"), (F.col("start_frame") + FLICKER_GAP).alias("high"))
+    reach = range_join(asked, spans, ("low", "high"), ("f_from", "f_to"), 64, tuple(key)).groupBy("note_id").agg(F.max("f_to").alias("spanned"))
+    known = known.join(reach, "note_id", "left").withColumn("spanned", F.coalesce("spanned", F.lit(-1)))
+    may = (F.col("prominence") < WEAK_PROMINENCE) & (F.col("attack") < WEAK_PROMINENCE) & ~F.col("supported") & ~F.col("regular")
+    order = Window.partitionBy(*key).orderBy("start_frame", "end_frame", "note_id")
+    reached = F.max("end_frame").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.when(may & F.coalesce(F.col("start_frame") - reached <= MERGE_GAP, F.lit(False)), 0).otherwise(1)
+    cut = known.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(order))
+    stills = [f"still_{g}" for g in range(MERGE_GAP + 1)]
+
+    def solve(g: dict) -> tuple:
+        start, end, peak, spanned, ids = g["start_frame"], g["end_frame"], g["peak"], g["spanned"], g["note_id"]
+        first, reach, out = 0, end[0], np.zeros(len(ids), np.int64)
+        for i in range(1, len(ids)):
+            gap = start[i] - reach
+            weaker = peak[i] == 0 or peak[i] < peak[first]
+            if 0 <= gap <= MERGE_GAP and weaker and g[stills[gap]][i] >= continuity and spanned[i] < reach - FLICKER_GAP:
+                reach = max(reach, end[i])
+            else:
+                first, reach = i, end[i]
+            out[i] = first
+        return ids, ids[out]
+
+    return over_groups(cut, [*key, "run"], ["peak", "spanned", *stills], ["start_frame", "end_frame", "note_id"], solve, "note_id long, first_id long")
+
+
+def merge_same_pitch(events: DataFrame, evidence: DataFrame, continuity: float = CONTINUITY) -> DataFrame:
+    """(track_id, note_id, pitch, confidence, start_frame, end_frame, members): ``events`` as merged_into joins them, under the id of their first, with the highest confidence."""
+    return _joined(events, merged_into(events, evidence, continuity))
+
+
+def _joined(events: DataFrame, firsts: DataFrame) -> DataFrame:
+    own = events.join(firsts, "note_id")
+    return own.groupBy("track_id", F.col("first_id").alias("note_id"), "pitch").agg(F.max("confidence").alias("confidence"), F.min("start_frame").alias("start_frame"), F.max("end_frame").alias("end_frame"), F.count("*").alias("members"))
+
+
 def cleanup(events: DataFrame, evidence: DataFrame, profile: str = "clean", frame_ms: float = 10.0) -> DataFrame:
-    """(note_id, status, by): every event with what the clean-up made of it: ``duplicate`` or ``suppressed`` by another, ``hidden``, or ``kept``.
+    """(note_id, status, by): every event with what the clean-up made of it, and by which event.
 
-    Exact duplicates go to the smallest id; the rest pass suppression by confidence, flags and, in profile ``clean``,
-    hiding. Profile ``raw`` only removes duplicates, ``balanced`` doesn't hide. The audit has a row an event.
+    In six steps: an event without length, or with a pitch or confidence out of range, or a missing value, is
+    ``invalid``; exact copies are ``duplicate`` of the smallest id; ``suppressed`` go to a more confident one of their
+    pitch, ``merged`` ones into what they go on; the rest get flags, and in profile ``clean`` weak severe fragments are
+    ``hidden``; all else is ``kept``. Profile ``raw`` takes the first two steps, ``balanced`` hides nothing. The audit
+    has a row an event.
     """
     if profile not in ("raw", "balanced", "clean"):
         raise ValueError(f"unknown profile {profile}")
+    sound = F.coalesce((F.col("start_frame") >= 0) & (F.col("end_frame") > F.col("start_frame")) & F.col("pitch").between(0, 127) & F.col("confidence").between(0, 1), F.lit(False))
+    none = F.lit(None).cast("long").alias("by")
+    audit = [events.filter(~sound).select("note_id", F.lit("invalid").alias("status"), none)]
     first = F.min("note_id").over(Window.partitionBy("track_id", "pitch", "start_frame", "end_frame", "confidence"))
-    marked = events.withColumn("first", first)
-    twins = marked.filter("first != note_id").select("note_id", F.lit("duplicate").alias("status"), F.col("first").alias("by"))
+    marked = events.filter(sound).withColumn("first", first)
+    audit.append(marked.filter("first != note_id").select("note_id", F.lit("duplicate").alias("status"), F.col("first").alias("by")))
     alive = marked.filter("first = note_id").drop("first")
-    if profile == "raw":
-        return twins.unionByName(alive.select("note_id", F.lit("kept").alias("status"), F.lit(None).cast("long").alias("by")))
-    timed = alive.withColumns({"start_ms": F.col("start_frame") * frame_ms, "dur_ms": (F.col("end_frame") - F.col("start_frame")) * frame_ms})
-    judged = nms(timed, 2 * frame_ms)
-    lost = judged.filter("kept_by != note_id").select("note_id", F.lit("suppressed").alias("status"), F.col("kept_by").alias("by"))
-    left = alive.join(judged.filter("kept_by = note_id").select("note_id"), "note_id", "left_semi")
-    none = F.lit(None).cast("long").alias("by")
-    if profile == "balanced":
-        return twins.unionByName(lost).unionByName(left.select("note_id", F.lit("kept").alias("status"), none))
-    hidden = clean_suppress(fragment_flags(left), evidence)
-    return twins.unionByName(lost).unionByName(hidden.select("note_id", F.when(F.col("hidden"), "hidden").otherwise("kept").alias("status"), none))
+    if profile != "raw":
+        timed = alive.withColumns({"start_ms": F.col("start_frame") * frame_ms, "dur_ms": (F.col("end_frame") - F.col("start_frame")) * frame_ms})
+        judged = written(nms(timed, 2 * frame_ms), "cleanup-judged")
+        audit.append(judged.filter("kept_by != note_id").select("note_id", F.lit("suppressed").alias("status"), F.col("kept_by").alias("by")))
+        left = written(alive.join(judged.filter("kept_by = note_id").select("note_id"), "note_id", "left_semi"), "cleanup-left")
+        joined = written(merged_into(left, evidence), "cleanup-merged")
+        audit.append(joined.filter("first_id != note_id").select("note_id", F.lit("merged").alias("status"), F.col("first_id").alias("by")))
+        alive = written(_joined(left, joined).drop("members"), "cleanup-alive")
+    status = F.lit("kept")
+    if profile == "clean":
+        alive = clean_suppress(fragment_flags(alive), evidence)
+        status = F.when(F.col("hidden"), "hidden").otherwise("kept")
+    audit.append(alive.select("note_id", status.alias("status"), none))
+    return reduce(DataFrame.unionByName, audit)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..notes import notes
+from ..notes import notes, notes_sql
 from ..operators import cleanup as C
+from ..shared import written
 from .base import query
 
 #: Notes of eight tracks as frame events ``e``.
@@ -58,3 +59,39 @@ def cleanup_pipeline(spark, sf):
     evidence = events.groupBy("track_id", "pitch", F.col("start_frame").alias("frame")).agg((F.max(F.col("note_id") % 97) / 97.0).alias("frame_value"), (F.max(F.col("note_id") % 89) / 120.0).alias("onset_value"))
     twins = events.filter("note_id % 6 = 0").withColumn("note_id", F.col("note_id") + 1_000_000_000)
     return C.cleanup(events.unionByName(twins), evidence)
+
+
+#: Evidence that goes on two frames after each event, and weak onsets.
+_DENSE = """ex AS (SELECT track_id, pitch, note_id, unnest(range(s, t + 2)) AS frame, s FROM e),
+dv AS (SELECT track_id, pitch, frame, max(0.3::DOUBLE + note_id % 7 / 100.0::DOUBLE) AS fv, max(CASE WHEN frame = s THEN note_id % 11 / 60.0::DOUBLE ELSE 0 END) AS ov FROM ex GROUP BY 1, 2, 3)"""
+
+
+def _dense(events):
+    frames = events.select("track_id", "pitch", "note_id", F.explode(F.sequence("start_frame", F.col("end_frame") + 1)).alias("frame"), "start_frame")
+    return frames.groupBy("track_id", "pitch", "frame").agg(F.max(0.3 + F.col("note_id") % 7 / 100.0).alias("frame_value"), F.max(F.when(F.col("frame") == F.col("start_frame"), F.col("note_id") % 11 / 60.0).otherwise(0.0)).alias("onset_value"))
+
+
+#: 64 tracks of two pitches, so that events of a pitch follow each other closely and chords are few.
+_E64 = _E.replace("{N8}", notes_sql(64)).replace("note_id, pitch,", "note_id, 48 + 12 * (pitch % 2) AS pitch,")
+
+
+@query(f"""WITH RECURSIVE {_E64}, {_DENSE}, {_FLICK}, {_CHORD},
+ar AS (SELECT note_id, track_id, pitch, s, unnest(range(-3, 4)) AS d FROM e),
+mt AS (SELECT ar.note_id, d, coalesce(fv, 0) AS fv, coalesce(ov, 0) AS ov FROM ar LEFT JOIN dv ON dv.track_id = ar.track_id AND dv.pitch = ar.pitch AND dv.frame = ar.s + d WHERE ar.s + d >= 0),
+sm AS (SELECT note_id, round(max(CASE WHEN abs(d) <= 1 THEN ov END), 9) AS peak, round(greatest(0, max(CASE WHEN abs(d) <= 1 THEN ov END) - coalesce(median(CASE WHEN abs(d) > 1 THEN ov END), 0)), 9) AS prominence,
+round(greatest(0, max(CASE WHEN d IN (0, 1) THEN fv END) - coalesce(median(CASE WHEN d < 0 THEN fv END), 0)), 9) AS attack,
+[round(min(CASE WHEN d BETWEEN -1 AND 1 THEN fv END), 9), round(min(CASE WHEN d BETWEEN -2 AND 1 THEN fv END), 9), round(min(CASE WHEN d BETWEEN -3 AND 1 THEN fv END), 9)] AS still FROM mt GROUP BY 1),
+ak AS (SELECT DISTINCT track_id, pitch, s FROM e),
+ai AS (SELECT *, s - lag(s) OVER w AS b, lag(s) OVER w - lag(s, 2) OVER w AS p, lead(s) OVER w - s AS f FROM ak WINDOW w AS (PARTITION BY track_id, pitch ORDER BY s)),
+rg AS (SELECT track_id, pitch, s, coalesce(abs(p - b) <= greatest(1, round_even(b * 0.2::DOUBLE, 0)), false) OR coalesce(abs(f - b) <= greatest(1, round_even(b * 0.2::DOUBLE, 0)), false) AS regular FROM ai),
+sp AS (SELECT a.note_id, max(b.t) AS spanned FROM e a JOIN e b ON a.track_id = b.track_id AND abs(a.pitch - b.pitch) BETWEEN 1 AND 2 AND b.s <= a.s + 1 AND b.t >= a.s - 3 JOIN fl ON fl.note_id = b.note_id GROUP BY 1),
+k AS (SELECT e.*, peak, still, coalesce(spanned, -1) AS spanned, prominence < 0.1 AND attack < 0.1 AND NOT ch.y AND NOT regular AS may, row_number() OVER (PARTITION BY e.track_id, e.pitch ORDER BY e.s, e.t, e.note_id) AS i
+FROM e JOIN sm USING (note_id) JOIN ch USING (note_id) JOIN rg ON rg.track_id = e.track_id AND rg.pitch = e.pitch AND rg.s = e.s LEFT JOIN sp ON sp.note_id = e.note_id),
+f AS (SELECT track_id, pitch, i, note_id, s, t, confidence, note_id AS first_id, t AS reach, peak AS top FROM k WHERE i = 1 UNION ALL
+SELECT track_id, pitch, i, note_id, s, t, confidence, CASE WHEN goes THEN was ELSE note_id END, CASE WHEN goes THEN greatest(reach, t) ELSE t END, CASE WHEN goes THEN top ELSE peak END FROM (
+SELECT k.track_id, k.pitch, k.i, k.note_id, k.s, k.t, k.confidence, k.peak, f.first_id AS was, f.reach, f.top,
+k.may AND k.s - f.reach BETWEEN 0 AND 2 AND (k.peak = 0 OR k.peak < f.top) AND k.still[k.s - f.reach + 1] >= 0.24 AND k.spanned < f.reach - 1 AS goes FROM f JOIN k ON k.track_id = f.track_id AND k.pitch = f.pitch AND k.i = f.i + 1))
+SELECT track_id, first_id AS note_id, pitch, max(confidence) AS confidence, min(s) AS start_frame, max(t) AS end_frame, count(*) AS members FROM f GROUP BY 1, 2, 3""")
+def merge_gaps_evidence(spark, sf):
+    events = written(C.frame_events(notes(spark, sf, 64).withColumns({"confidence": F.col("note_id") % 100 / 100.0, "pitch": 48 + 12 * (F.col("pitch") % 2)})), "merge-events")
+    return C.merge_same_pitch(events, _dense(events))

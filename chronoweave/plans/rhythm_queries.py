@@ -65,6 +65,6 @@ def eval_match(spark, sf):
 
 @query()
 def note_matching_full(spark, sf):
-    n = notes(spark, sf, 8).withColumn("vel_b", (F.col("vel") + F.col("note_id") % 2).cast("int") % 8).withColumns({"vel": F.col("vel") % 8, "pitch": F.col("pitch") % 6})
+    n = notes(spark, sf, 8).withColumn("vel_b", (F.floor(F.col("note_id") / 2) % 3).cast("int")).withColumns({"vel": F.col("vel") % 2, "pitch": F.col("pitch") % 6})
     early, late = n.filter("note_id % 2 = 0"), n.filter("note_id % 2 = 1")
     return B.match_notes(early, late, 60.0, 60.0, identity=("pitch", "ntype", "vel", "vel_b"))
