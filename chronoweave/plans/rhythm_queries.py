@@ -1,4 +1,4 @@
-"""Queries over boundary decoding and maximum matchings."""
+"""Queries over boundary decoding, maximum matchings, guide voices and clusters."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..notes import notes
 from ..operators import bipartite as B
+from ..operators import clustering as K
+from ..operators import guides as G
 from ..operators import rhythm as R
 from .base import query
 
@@ -68,3 +70,26 @@ def note_matching_full(spark, sf):
     n = notes(spark, sf, 8).withColumn("vel_b", (F.floor(F.col("note_id") / 2) % 3).cast("int")).withColumns({"vel": F.col("vel") % 2, "pitch": F.col("pitch") % 6})
     early, late = n.filter("note_id % 2 = 0"), n.filter("note_id % 2 = 1")
     return B.match_notes(early, late, 60.0, 60.0, identity=("pitch", "ntype", "vel", "vel_b"))
+
+
+@query()
+def path_beam(spark, sf):
+    return G.continuity_path(notes(spark, sf, 8).withColumn("confidence", F.col("note_id") * 7 % 101 / 100.0))
+
+
+@query()
+def guide_voices(spark, sf):
+    return G.guide_voices(notes(spark, sf, 8).withColumn("confidence", F.col("note_id") * 7 % 101 / 100.0))
+
+
+@query()
+def cluster_complete_link(spark, sf):
+    """Groups are a track's notes in two seconds, with means of pitch, velocity and length as features."""
+    n = notes(spark, sf, 64)
+    at = F.floor(F.col("start_ms") / 2000.0)
+    groups = n.groupBy("track_id", at.alias("slot"), F.when(F.col("pitch") < 60, "low").otherwise("high").alias("role")).agg(
+        F.count("*").alias("samples"), F.array(F.round(F.avg("pitch") / 6, 6), F.round(F.avg("vel") / 16, 6), F.round(F.avg("dur_ms") / 40, 6)).alias("features"),
+        F.min("start_ms").alias("start_ms"), F.max(F.col("start_ms") + F.col("dur_ms")).alias("end_ms"),
+    )
+    groups = groups.select(F.col("track_id").alias("song"), F.concat_ws("-", "slot", "role").alias("group_id"), "features", F.least(F.lit(1.0), F.col("samples") / 6.0).alias("reliability"), "samples", F.col("samples").alias("members"), "role", "start_ms", "end_ms")
+    return K.timbre_clusters(groups)
