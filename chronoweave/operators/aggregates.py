@@ -19,8 +19,8 @@ def bounds(notes: DataFrame, on: Sequence[str] = ("track_id",)) -> DataFrame:
     return notes.groupBy(*on).agg(F.min("start_ms").alias("start_ms"), F.max(end_ms()).alias("end_ms"))
 
 
-def concurrency(notes: DataFrame, on: Sequence[str] = ("track_id",), width: float = 60_000.0) -> DataFrame:
-    """(*on, at, active): how many notes sound from each boundary on. Ends come before starts, so touching notes don't add up. Sums run in buckets of ``width``."""
+def concurrency(notes: DataFrame, on: Sequence[str] = ("track_id",), width: float | None = None) -> DataFrame:
+    """(*on, at, active): how many notes sound from each boundary on. Ends come before starts, so touching notes don't add up."""
     steps = notes.filter("dur_ms > 0").select(*on, F.explode(F.array(F.struct(F.col("start_ms").alias("at"), F.lit(1).alias("d")), F.struct(end_ms().alias("at"), F.lit(-1).alias("d")))).alias("x"))
     summed = steps.groupBy(*on, F.col("x.at").alias("at")).agg(F.sum("x.d").alias("d"))
     return running_sums(summed, on, "at", (), {"active": F.col("d")}, width).drop("d")
@@ -30,7 +30,7 @@ def peak_concurrency(notes: DataFrame, on: Sequence[str] = ("track_id",)) -> Dat
     return concurrency(notes, on).groupBy(*on).agg(F.max("active").alias("peak"))
 
 
-def sweep_regions(a: DataFrame, b: DataFrame, on: Sequence[str] = ("track_id",), width: float = 60_000.0) -> DataFrame:
+def sweep_regions(a: DataFrame, b: DataFrame, on: Sequence[str] = ("track_id",), width: float | None = None) -> DataFrame:
     """(*on, start_ms, end_ms): maximal times in which both sides sound, by a sweep over their boundaries."""
     steps = None
     for df, side in ((a, "a"), (b, "b")):

@@ -1,7 +1,7 @@
 """Order-dependent folds over a key's rows.
 
 Keys are cut at gaps first: where the distance to everything before is larger than the fold's reach, its state starts
-anew, so the fold runs over (key, island) and a hot key is many small groups. Islands are found by windows.
+anew, so the fold runs over (key, island) and a hot key is many small groups.
 """
 
 from __future__ import annotations
@@ -9,20 +9,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .projections import end_ms
+from .runs import islands
 from .walks import over_groups
 
 
-def islands(rows: DataFrame, on: Sequence[str], reach: float) -> DataFrame:
-    """``island``: a new one starts where a row is more than ``reach`` after the one before."""
-    w = Window.partitionBy(*on).orderBy("start_ms", "note_id")
-    fresh = F.when(F.col("start_ms") - F.lag("start_ms").over(w) <= reach, 0).otherwise(1)
-    return rows.withColumn("__fresh", fresh).withColumn("island", F.sum("__fresh").over(w)).drop("__fresh")
-
-
 def anchor_cluster(notes: DataFrame, tol: float = 12.0, on: Sequence[str] = ("track_id",)) -> DataFrame:
     """(*on, note_id, anchor_ms): a note joins the current cluster if it starts within ``tol`` of the cluster's FIRST start.
 

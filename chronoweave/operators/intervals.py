@@ -45,11 +45,11 @@ def overlap_pairs(a: DataFrame, b: DataFrame, width: float, on: Sequence[str] =
     return range_join(left, right, ("start_ms_a", "end_ms_a"), ("start_ms_b", "end_ms_b"), width, on, strict)
 
 
-def overlap_count(a: DataFrame, b: DataFrame, on: Sequence[str] = (), width: float = 60_000.0) -> DataFrame:
+def overlap_count(a: DataFrame, b: DataFrame, on: Sequence[str] = (), width: float | None = None) -> DataFrame:
     """(*on, pairs): how many pairs overlap strictly, without making them.
 
     For non-empty intervals that is the sum over a of (b starting before its end) less (b ending by its start), so one
-    ordered pass over boundary events, in buckets of ``width``, counts them; memory and output don't grow with the pairs.
+    ordered pass over boundary events counts them; memory and output don't grow with the pairs.
     """
     events = None
     for df, side in ((a, "a"), (b, "b")):
@@ -118,28 +118,27 @@ def best_match_once(a: DataFrame, b: DataFrame, tol: float = 35.0, rel: float =
     return over_groups(islands(both, ["pitch"], tol), ["pitch", "island"], ["dur_ms", "side"], ["start_ms", "note_id"], solve, "note_id_a long, note_id_b long")
 
 
-def asof(left: DataFrame, right: DataFrame, at: str, on: Sequence[str], values: Sequence[str], first_if_none: bool = False, width: float = 60_000.0) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, at: str, on: Sequence[str], values: Sequence[str], first_if_none: bool = False, width: float | None = None) -> DataFrame:
     """``left`` with the ``values`` of the latest right row whose ``at`` isn't after its own (ties: right first); with ``first_if_none`` else the earliest right row's.
 
-    A union and running values over each key in buckets of ``width``, so a hot key is many tasks; no pairs are made.
+    A union and running values over each key; a large key, or ``width``, cuts it into time buckets. No pairs are made.
     ``at`` is a number.
     """
     value = F.struct(F.col(at), *values)
     l = left.withColumns({"__side": F.lit(1), "__value": F.lit(None).cast(right.select(value.alias("v")).schema[0].dataType)})
     r = right.select(*on, F.col(at), F.lit(0).alias("__side"), value.alias("__value"))
-    done = carried(l.unionByName(r, allowMissingColumns=True), on, at, ("__side",), "__value", "__found", width).filter("__side = 1")
+    done = carried(l.unionByName(r, allowMissingColumns=True), on, at, ("__side",), "__value", "__found", width=width).filter("__side = 1")
     if first_if_none:
         first = right.groupBy(*on).agg(F.min(value).alias("__first"))
-        done = done.join(first, list(on), "left").withColumn("__found", F.coalesce("__found", "__first"))
+        done = join_keys(done, first, on, "left").withColumn("__found", F.coalesce("__found", "__first"))
     return done.select(*left.columns, *(F.col("__found")[v].alias(v) for v in values))
 
 
-def asof_nearest(left: DataFrame, right: DataFrame, at: str, on: Sequence[str], to: str = "nearest", width: float = 60_000.0) -> DataFrame:
-    """``left`` with the nearest right ``at`` of its key; the earlier wins a tie, null if the key has none. Running values in buckets of ``width``, as in ``asof``."""
+def asof_nearest(left: DataFrame, right: DataFrame, at: str, on: Sequence[str], to: str = "nearest", width: float | None = None) -> DataFrame:
+    """``left`` with the nearest right ``at`` of its key; the earlier wins a tie, null if the key has none. Running values as in ``asof``, both ways in one deal."""
     l = left.withColumns({"__side": F.lit(1), "__at": F.lit(None).cast("double")})
     r = right.select(*on, F.col(at), F.lit(0).alias("__side"), F.col(at).alias("__at"))
-    both = carried(l.unionByName(r, allowMissingColumns=True), on, at, ("__side",), "__at", "__before", width)
-    both = carried(both, on, at, ("__side",), "__at", "__after", width, backward=True)
+    both = carried(l.unionByName(r, allowMissingColumns=True), on, at, ("__side",), "__at", "__before", "__after", width)
     nearer = F.when(F.col("__before").isNull(), F.col("__after")).when(F.col("__after").isNull(), F.col("__before")).when(F.col(at) - F.col("__before") <= F.col("__after") - F.col(at), F.col("__before")).otherwise(F.col("__after"))
     return both.filter("__side = 1").select(*left.columns, nearer.alias(to))
 

@@ -214,14 +214,38 @@ def test_best_match_once_equals_naive(spark, seed):
     assert got == sorted(want) and len(want) > 10
 
 
+WIDTHS = (None, 1.0, 37.0, 1e9)
+
+
 def test_running_values_do_not_depend_on_buckets(spark):
     rows = [(r[0], r[1], r[4], r[3] if r[3] % 3 else None) for r in random_notes(5, 300)] + [(None, 900, 5.0, 7), (None, 901, 800.0, None)]
     df = spark.createDataFrame(rows, "k long, id long, at double, v int")
-    for back in (False, True):
-        wants = {str(sorted(map(str, runs.carried(df, ("k",), "at", ("id",), "v", "last", width, back).collect()))) for width in (1.0, 37.0, 1e9)}
-        assert len(wants) == 1
-    sums = {str(sorted(map(str, runs.running_sums(df, ("k",), "at", ("id",), {"s": F.coalesce("v", F.lit(0))}, width).collect()))) for width in (1.0, 37.0, 1e9)}
-    assert len(sums) == 1
+    same = lambda fn: len({str(sorted(map(str, fn(width).collect()))) for width in WIDTHS}) == 1
+    assert same(lambda w: runs.carried(df, ("k",), "at", ("id",), "v", "last", width=w))
+    assert same(lambda w: runs.carried(df, ("k",), "at", ("id",), "v", "last", "first", w))
+    assert same(lambda w: runs.running_sums(df, ("k",), "at", ("id",), {"s": F.coalesce("v", F.lit(0))}, w))
+    assert same(lambda w: runs.islands(df, ("k",), 3.0, "at", ("id",), w))
+
+
+def test_large_keys_are_cut_by_themselves(spark, monkeypatch):
+    monkeypatch.setattr(runs, "SMALL_BYTES", 0)
+    df = spark.range(4000).selectExpr("IF(id < 3000, 1, id) AS k", "id", "id * 2.0D AS at")
+    assert runs.bucket_width(df, ("k",), "at", 5000) is None
+    width = runs.bucket_width(df, ("k",), "at", 500)
+    assert df.filter("k = 1").groupBy(F.floor(F.col("at") / width)).count().agg(F.max("count")).first()[0] <= 501
+    assert runs.bucket_width(df.withColumn("at", F.lit(1.0)), ("k",), "at", 500) is None
+
+
+
+def test_a_dense_key_is_many_tasks(spark):
+    """The rows of one key are sorted in as many tasks as there are buckets with rows."""
+    df = spark.range(200_000).selectExpr("0L AS k", "id AS note_id", "id * 1.0D AS at")
+    tasks = lambda w: runs.running_sums(df, ("k",), "at", ("note_id",), {"s": F.lit(1)}, w).filter("s > 0").withColumn("task", F.spark_partition_id()).select("task").distinct().count()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert tasks(None) == 1 and tasks(2000.0) > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def test_overlapping_overrides_are_an_error(spark):
