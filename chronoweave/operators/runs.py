@@ -17,7 +17,7 @@ from .walks import join_keys
 #: Rows of a key that one task sorts.
 ROWS_A_BUCKET = 2_000_000
 #: Bytes, as Spark estimates them, below which an input isn't counted: no key of it can be that large.
-SMALL_BYTES = 16 << 20
+SMALL_BYTES = 64 << 20
 
 
 def bucket_width(rows: DataFrame, on: Sequence[str], at: str, most: int = ROWS_A_BUCKET) -> float | None:
