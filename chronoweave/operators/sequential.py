@@ -25,7 +25,8 @@ def nms(events: DataFrame, near: float = 20.0, overlap: float = 0.85) -> DataFra
     In order of falling confidence, length, then start and id, an event that no survivor suppresses survives. A survivor
     suppresses events that start within ``near`` and share ``overlap`` of the longer's length. ``kept_by`` is the
     survivor's id, its own for a survivor, so what a survivor absorbed is a group of it. Only events that start within
-    ``near`` can meet: each survivor looks at that window of the sorted starts, not at its whole island.
+    ``near`` can meet: those without such a neighbour survive at once, without Python, and among the rest each survivor
+    looks at that window of the sorted starts, not at its whole island. Events that lack a value take no part.
     """
 
     def solve(g: dict) -> tuple:
@@ -41,7 +42,13 @@ def nms(events: DataFrame, near: float = 20.0, overlap: float = 0.85) -> DataFra
                 owner[i] = ids[i]
         return ids, owner
 
-    return over_groups(islands(events, ["track_id", "pitch"], near), ["track_id", "pitch", "island"], ["dur_ms", "confidence"], ["start_ms", "note_id"], solve, "note_id long, kept_by long")
+    w = Window.partitionBy("track_id", "pitch").orderBy("start_ms", "note_id")
+    far = lambda gap: F.coalesce(gap > near, F.lit(True))
+    sound = events.select("track_id", "pitch", "note_id", "start_ms", "dur_ms", "confidence").dropna(subset=["start_ms", "dur_ms", "confidence"])
+    alone = far(F.col("start_ms") - F.lag("start_ms").over(w)) & far(F.lead("start_ms").over(w) - F.col("start_ms"))
+    marked = sound.withColumn("alone", alone)
+    walked = over_groups(islands(marked.filter("NOT alone"), ["track_id", "pitch"], near), ["track_id", "pitch", "island"], ["dur_ms", "confidence"], ["start_ms", "note_id"], solve, "note_id long, kept_by long")
+    return walked.unionByName(marked.filter("alone").select("note_id", F.col("note_id").alias("kept_by")))
 
 
 def note_matching(a: DataFrame, b: DataFrame, tol: float = 50.0) -> DataFrame:
