@@ -1,4 +1,4 @@
-"""Queries over changes of colour and budgets."""
+"""Queries over changes of colour, budgets and reviews."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..notes import notes
 from ..operators import phrases as P
+from ..operators import reviews as V
 from .base import query
 
 
@@ -34,3 +35,18 @@ def budgeted_select(spark, sf):
     both = own.filter("note_id % 3 > 0").withColumn("j", F.explode(F.array(F.lit(0), F.lit(1))))
     options = both.select("track_id", "place", "phrase", (2 + F.col("j") * 3 + F.col("note_id") % 5).cast("int").alias("ntype"), F.round(0.6 + (F.col("note_id") * 7 + F.col("j") * 31) % 41 / 100.0, 6).alias("confidence"), ((F.col("note_id") + F.col("j")) % 4 > 0).alias("verified"))
     return P.budgeted_select(options, changes=2)
+
+
+@query()
+def review_recovery(spark, sf):
+    """Reviews are a track's notes in two seconds; the new analysis moves the seconds and some notes and gives all new ids."""
+    n = notes(spark, sf, 32)
+
+    def spans(rows, shift: float, name: str):
+        own = rows.withColumn(name, (F.floor((F.col("start_ms") + shift) / 2000.0)).cast("long"))
+        return own.groupBy("track_id", name).agg(F.min("start_ms").alias("start_ms"), F.max(F.col("start_ms") + F.col("dur_ms")).alias("end_ms")), own.select("track_id", name, "note_id", "pitch", "start_ms", "dur_ms")
+
+    moved = n.withColumns({"note_id": F.col("note_id") + 1_000_000_000, "start_ms": F.col("start_ms") + F.col("note_id") % 5, "pitch": F.when(F.col("note_id") % 11 == 0, F.col("pitch") + 1).otherwise(F.col("pitch"))}).filter("note_id % 13 != 0")
+    reviews, old = spans(n, 0.0, "review_id")
+    targets, new = spans(moved, 300.0, "span_id")
+    return V.recover_reviews(reviews, targets, old, new)
