@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from . import intervals as I
-from .walks import over_groups
+from .walks import join_keys, over_groups
 
 
 def envelope_slopes(points: DataFrame, on: Sequence[str] = ("track_id",)) -> DataFrame:
@@ -101,7 +101,7 @@ def onset_refine(notes: DataFrame, evidence: DataFrame, frame_ms: float = 10.0,
     """
     centre = F.ceil(F.col("start_ms") / frame_ms)
     near = notes.select("track_id", "note_id", "pitch", "start_ms", F.explode(F.sequence(centre - radius, centre + radius)).alias("frame"))
-    met = near.join(evidence, ["track_id", "pitch", "frame"], "left").groupBy("note_id").agg(F.any_value("start_ms").alias("raw"), F.max(F.struct(F.coalesce("value", F.lit(0.0)).alias("value"), (-F.col("frame")).alias("back"))).alias("best"))
+    met = join_keys(near, evidence, ["track_id", "pitch", "frame"], "left").groupBy("note_id").agg(F.any_value("start_ms").alias("raw"), F.max(F.struct(F.coalesce("value", F.lit(0.0)).alias("value"), (-F.col("frame")).alias("back"))).alias("best"))
     moved = -F.col("best.back") * frame_ms
     good = (F.col("best.value") >= least) & (F.abs(moved - F.col("raw")) <= most_shift)
     return met.select("note_id", F.when(good, moved).otherwise(F.col("raw")).alias("start_ms"), F.col("best.value").alias("support"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..notes import notes
+from ..operators import alignment as L
 from ..operators import bipartite as B
 from ..operators import clustering as K
 from ..operators import guides as G
@@ -93,3 +94,12 @@ def cluster_complete_link(spark, sf):
     )
     groups = groups.select(F.col("track_id").alias("song"), F.concat_ws("-", "slot", "role").alias("group_id"), "features", F.least(F.lit(1.0), F.col("samples") / 6.0).alias("reliability"), "samples", F.col("samples").alias("members"), "role", "start_ms", "end_ms")
     return K.timbre_clusters(groups)
+
+
+@query()
+def rhythm_align(spark, sf):
+    n = notes(spark, sf, 8).withColumn("confidence", F.col("note_id") * 7 % 101 / 100.0)
+    tempo = [(t, a, b, c) for t in range(8) for a, b, c in ((100.0, 90.0, 0.0), (5000.0, 120.0, 7.35), (12000.0, 140.0, 21.35), (20000.0, 75.0, 40.0))]
+    segments = spark.createDataFrame(tempo, "track_id long, start_ms double, bpm double, beat_at_start double")
+    evidence = n.groupBy("track_id", "pitch", (F.floor(F.col("start_ms") / 10) + F.col("note_id") % 5 - 2).alias("frame")).agg((F.max(F.col("note_id") % 97) / 97.0).alias("value"))
+    return L.rhythm_align(n, segments, evidence)
