@@ -7,6 +7,7 @@ tasks; only rows that depend on each other without any gap stay together.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from itertools import accumulate
 
 import numpy as np
@@ -263,3 +264,36 @@ def instance_limit(notes: DataFrame, most: int = 2, release: float = 30.0) -> Da
     reached = F.max(end_ms()).over(w.rowsBetween(Window.unboundedPreceding, -1))
     runs = notes.withColumns({"end_ms": end_ms(), "__f": F.when(F.col("start_ms") < reached, 0).otherwise(1)}).withColumn("run", F.sum("__f").over(w))
     return over_groups(runs, ["track_id", "pitch", "run"], ["end_ms"], ["start_ms", "note_id"], solve, "note_id long, end_ms double, cut boolean")
+
+
+def instance_plan(notes: DataFrame, release: float = 30.0, on: Sequence[str] = ("group_id", "scope_id")) -> DataFrame:
+    """(note_id, accepted, end_ms, cut): what sounds of each note where the notes of a key share a limit.
+
+    ``notes`` has ``most`` (a null or a limit of 0 or less is none) and ``newest``: a note over the limit is refused if
+    ``newest`` holds, else it takes the place of the oldest, which ends within ``release`` and no longer counts. Notes
+    come by start, then id; one without group has no limit. A key is cut where nothing sounds.
+    """
+    limited = F.coalesce(F.col("most") > 0, F.lit(False)) & F.col(on[0]).isNotNull()
+    sound = notes.dropna(subset=["start_ms", "dur_ms"]).withColumn("end_ms", F.col("start_ms") + F.greatest(F.lit(0.0), F.col("dur_ms")))
+    free = sound.filter(~limited).select("note_id", F.lit(True).alias("accepted"), "end_ms", F.lit(False).alias("cut"))
+    w = Window.partitionBy(*on).orderBy("start_ms", "note_id")
+    reached = F.max("end_ms").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    parts = sound.filter(limited).withColumn("fresh", F.when(F.col("start_ms") < reached, 0).otherwise(1)).withColumn("part", F.sum("fresh").over(w))
+
+    def solve(g: dict) -> tuple:
+        start, end, most = g["start_ms"], g["end_ms"].copy(), g["most"]
+        accepted, cut, live = np.ones(len(start), bool), np.zeros(len(start), bool), []
+        for i in range(len(start)):
+            live = [k for k in live if end[k] > start[i]]
+            over = len(live) - int(most[i]) + 1
+            if over > 0 and g["newest"][i]:
+                accepted[i], end[i] = False, start[i]
+                continue
+            for k in live[: max(0, over)]:  # in order of start
+                if start[i] + release < end[k]:
+                    end[k], cut[k] = start[i] + release, True
+            live = [*live[max(0, over) :], i]
+        return g["note_id"], accepted, end, cut
+
+    walked = over_groups(parts.withColumn("newest", F.coalesce("newest", F.lit(False))), [*on, "part"], ["end_ms", "most", "newest"], ["start_ms", "note_id"], solve, "note_id long, accepted boolean, end_ms double, cut boolean")
+    return free.unionByName(walked)

@@ -65,3 +65,10 @@ def merge_gaps(spark, sf):
 @query()
 def instance_limit(spark, sf):
     return Q.instance_limit(notes(spark, sf, 8).withColumn("track_id", F.lit(0).cast("long")))
+
+
+@query()
+def instance_plan(spark, sf):
+    """Tracks are groups and pitches scopes; some groups refuse new notes, some have no limit."""
+    n = notes(spark, sf, 8).withColumns({"pitch": F.col("pitch") % 4, "dur_ms": F.col("dur_ms") * 4})
+    return Q.instance_plan(n.select("note_id", F.col("track_id").alias("group_id"), F.col("pitch").alias("scope_id"), "start_ms", "dur_ms", (F.col("track_id") % 4).alias("most"), (F.col("track_id") % 3 == 1).alias("newest")))
