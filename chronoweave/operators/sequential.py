@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from .folds import anchor_cluster, islands
 from .projections import end_ms
+from .runs import carried
 from .walks import join_keys, over_groups
 
 
@@ -148,15 +149,15 @@ def event_pairing_sustained(events: DataFrame, dangling: float = 100.0) -> DataF
 
     The first event of its key after an on ends a note; an off while the channel's pedal is down only holds it, until
     the pedal goes up or the key is struck again. Notes without an end last ``dangling``, those without length go.
-    Pedal state runs over a channel, the rest over its keys: windows only.
+    Pedal state runs over a channel both ways, the rest over its keys. What comes later is read from the other end:
+    Spark computes a frame that ends in unbounded following anew for each row.
     """
-    channel, key = Window.partitionBy("channel").orderBy("at_ms", "seq"), Window.partitionBy("channel", "pitch").orderBy("at_ms", "seq")
-    later = (1, Window.unboundedFollowing)
-    seen = events.withColumns({
-        "down": F.coalesce(F.last(F.when(F.col("kind").isin("down", "up"), F.col("kind") == "down"), ignorenulls=True).over(channel), F.lit(False)),
-        "next_up": F.min(F.when(F.col("kind") == "up", F.col("at_ms"))).over(channel.rowsBetween(*later)),
-    }).filter(F.col("kind").isin("on", "off"))
-    held_to = F.least("next_up", F.min(F.when(F.col("kind") == "on", F.col("at_ms"))).over(key.rowsBetween(*later)))
+    keys = ["channel", "pitch"]
+    key, back = Window.partitionBy(*keys).orderBy("at_ms", "seq"), Window.partitionBy(*keys).orderBy(F.desc("at_ms"), F.desc("seq"))
+    moved = events.withColumns({"__down": F.when(F.col("kind").isin("down", "up"), F.col("kind") == "down"), "__up": F.when(F.col("kind") == "up", F.col("at_ms")), "__turned": -F.col("seq")})
+    held = carried(moved, ["channel"], "at_ms", ("seq",), "__down", "down")
+    seen = carried(held, ["channel"], "at_ms", ("__turned",), "__up", after="next_up").withColumn("down", F.coalesce("down", F.lit(False))).filter(F.col("kind").isin("on", "off"))
+    held_to = F.least("next_up", F.last(F.when(F.col("kind") == "on", F.col("at_ms")), ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)))
     own_end = F.when((F.col("kind") == "on") | ~F.col("down"), F.col("at_ms")).otherwise(held_to)
     ends = seen.withColumn("own_end", own_end).withColumns({"end": F.lead("own_end").over(key)})
     notes = ends.filter("kind = 'on'").select("channel", "pitch", "vel", F.col("at_ms").alias("start_ms"), F.coalesce(F.col("end") - F.col("at_ms"), F.lit(dangling)).alias("dur_ms"))
