@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from chronoweave.operators import sequential
+from chronoweave.operators import intervals, sequential
 
 
 def plan(df):
@@ -40,3 +40,12 @@ def test_sustained_pairs_are_read_from_the_other_end(spark, r):
     df = sequential.event_pairing_sustained(spark.createDataFrame(events, "channel long, pitch int, at_ms double, seq long, kind string, vel int"))
     assert sorted(map(tuple, df.collect())) == sorted(want)
     assert "unboundedfollowing" not in plan(df).lower()
+
+
+def test_intervals_without_length_overlap_what_holds_them(spark, r):
+    rows = lambda n: [(r.randrange(2), float(r.randrange(12)), float(r.choice([0, 0, 1, 3]))) for _ in range(n)]
+    a, b = rows(60), rows(60)
+    want = {k: sum(x[0] == y[0] == k and x[1] < y[1] + y[2] and y[1] < x[1] + x[2] for x in a for y in b) for k in (0, 1)}
+    frame = lambda x: spark.createDataFrame(x, "track_id int, start_ms double, dur_ms double")
+    for width in (None, 4.0):
+        assert {x.track_id: x.pairs for x in intervals.overlap_count(frame(a), frame(b), ["track_id"], width).collect()} == want
