@@ -49,3 +49,16 @@ def test_intervals_without_length_overlap_what_holds_them(spark, r):
     frame = lambda x: spark.createDataFrame(x, "track_id int, start_ms double, dur_ms double")
     for width in (None, 4.0):
         assert {x.track_id: x.pairs for x in intervals.overlap_count(frame(a), frame(b), ["track_id"], width).collect()} == want
+
+
+def test_chords_are_found_without_pairs(spark, r):
+    notes = [(i, 40 + r.randrange(12), float(r.randrange(300))) for i in range(80)]
+    windows = [(float(r.randrange(300)), [r.randrange(12)]) for _ in range(40)]
+    want = {}
+    for i, pitch, start in notes:
+        near = [w for w in windows if start - 12 <= w[0] <= start + 12]
+        if near:
+            want[i] = (min(near)[0], pitch % 12 not in min(near)[1])
+    df = intervals.chord_lookup(spark.createDataFrame(notes, "note_id long, pitch int, start_ms double"), spark.createDataFrame(windows, "window_ms double, pitch_classes array<int>"))
+    assert {x.note_id: (x.window_ms, x.non_chord) for x in df.collect()} == want and len(want) > 40
+    assert "Join" not in plan(df)
