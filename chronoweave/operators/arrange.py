@@ -129,28 +129,36 @@ def free_slot(wanted: DataFrame, occupied: DataFrame, on: Sequence[str] = ("trac
 
     ``occupied`` (start_ms, end_ms) don't overlap within a key; what they leave free from zero on are gaps, the last
     without end. Clips are placed apart from each other, ties go to the smaller start, and clips without length stay.
-    Clips come by falling length and meet the gaps that hold them in one sorted list, so the nearest is a search.
+    Clips come by falling length and meet the gaps that hold them in one sorted list, so the nearest is a search. Ends
+    and sums are compared as they are, never differences made of them: a clip that just fits is not lost to rounding.
     """
-    rows = occupied.select(*on, F.lit(-1).cast("long").alias("clip_id"), "start_ms", (F.col("end_ms") - F.col("start_ms")).alias("dur_ms")).unionByName(wanted.select(*on, F.col("clip_id").cast("long"), F.greatest(F.lit(0.0), "start_ms").alias("start_ms"), F.greatest(F.lit(0.0), "dur_ms").alias("dur_ms")))
+    rows = occupied.select(*on, F.lit(-1).cast("long").alias("clip_id"), "start_ms", "end_ms", F.lit(0.0).alias("dur_ms")).unionByName(
+        wanted.select(*on, F.col("clip_id").cast("long"), F.greatest(F.lit(0.0), "start_ms").alias("start_ms"), F.greatest(F.lit(0.0), "dur_ms").alias("dur_ms")).withColumn("end_ms", F.col("start_ms") + F.col("dur_ms"))
+    )
 
     def solve(g: dict) -> tuple:
         there = g["clip_id"] < 0
-        start, length = g["start_ms"], g["dur_ms"]
-        gap_low, gap_high = np.r_[0.0, (start + length)[there]], np.r_[start[there], np.inf]
-        by_size = np.argsort(gap_low - gap_high, kind="stable").tolist()
-        out, lows, highs, taken = start.copy(), [], {}, 0
+        start, end, length = (g[c] for c in ("start_ms", "end_ms", "dur_ms"))
+        low, high = np.r_[0.0, end[there]], np.r_[start[there], np.inf]  # gap k ends where interval k starts
+        slack = 4 * np.spacing(end.max())
+        by_size = np.argsort(low - high, kind="stable").tolist()
+        last = np.searchsorted(start[there], end) - 1  # of the intervals that start before the clip ends
+        out, roomy, taken = start.copy(), [], 0
         for i in sorted(np.flatnonzero(~there & (length > 0)).tolist(), key=lambda i: -length[i]):
-            while taken < len(by_size) and gap_high[k := by_size[taken]] - gap_low[k] >= length[i]:
-                insort(lows, gap_low[k])
-                highs[gap_low[k]] = gap_high[k]
+            long = length[i]
+            while taken < len(by_size) and high[k := by_size[taken]] - low[k] >= long - slack:
+                insort(roomy, k)
                 taken += 1
-            at = bisect_right(lows, start[i])
-            places = (min(max(start[i], low), highs[low] - length[i]) for low in lows[max(0, at - 1) : at + 1])
-            out[i] = min(places, key=lambda x: (abs(x - start[i]), x))
+            if last[i] < 0 or low[last[i] + 1] <= start[i]:
+                continue
+            at = bisect_right(roomy, last[i])
+            right = next(low[roomy[j]] for j in range(at, len(roomy)) if low[roomy[j]] + long <= high[roomy[j]])
+            left = next((high[roomy[j]] - long for j in range(at - 1, -1, -1) if high[roomy[j]] - low[roomy[j]] >= long), None)
+            out[i] = left if left is not None and left >= 0 and abs(left - start[i]) <= abs(right - start[i]) else right
         return *(g[k][~there] for k in on), g["clip_id"][~there], out[~there]
 
     types = dict(wanted.dtypes)
-    return over_groups(rows, on, ["clip_id", "dur_ms"], ["start_ms", "clip_id"], solve, ", ".join([*(f"{k} {types[k]}" for k in on), "clip_id long, start_ms double"]))
+    return over_groups(rows, on, ["clip_id", "end_ms", "dur_ms"], ["start_ms", "clip_id"], solve, ", ".join([*(f"{k} {types[k]}" for k in on), "clip_id long, start_ms double"]))
 
 
 def clip_controls(controls: DataFrame, clips: DataFrame, width: float) -> DataFrame:

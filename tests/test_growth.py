@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from chronoweave.operators import intervals, sequential
+from chronoweave.operators import arrange, intervals, sequential
 
 
 def plan(df):
@@ -62,3 +62,27 @@ def test_chords_are_found_without_pairs(spark, r):
     df = intervals.chord_lookup(spark.createDataFrame(notes, "note_id long, pitch int, start_ms double"), spark.createDataFrame(windows, "window_ms double, pitch_classes array<int>"))
     assert {x.note_id: (x.window_ms, x.non_chord) for x in df.collect()} == want and len(want) > 40
     assert "Join" not in plan(df)
+
+
+def test_clips_that_just_fit_keep_their_place(spark, r):
+    """By the rule of the query's SQL, on lengths that fill a gap but for rounding."""
+    wanted, occupied, want = [], [], {}
+    for t in range(300):
+        at, own = round(r.random() * 5, 2), []
+        for _ in range(5):
+            end = at + round(1 + r.random() * 5, 2)
+            own.append((at, end))
+            at = end + round(r.random() * 5, 2)
+        i = r.randrange(4)
+        for start, d in ((own[i][1], own[i + 1][0] - own[i][1]), (own[i][0] + 0.5, round(own[i + 1][0] - own[i][1], 2))):
+            hits = [k for k, (lo, hi) in enumerate(own) if lo < start + d and start < hi and d > 0]
+            place, c = start, len(wanted)
+            if hits:
+                right = min(hi for k, (lo, hi) in enumerate(own) if k >= hits[-1] and (k == 4 or hi + d <= own[k + 1][0]))
+                left = [lo - d for k, (lo, hi) in enumerate(own) if k <= hits[-1] and lo - (own[k - 1][1] if k else 0) >= d]
+                place = max(left) if left and max(left) >= 0 and abs(max(left) - start) <= abs(right - start) else right
+            wanted.append((t, c, start, d))
+            want[c] = place
+        occupied += [(t, lo, hi) for lo, hi in own]
+    df = arrange.free_slot(spark.createDataFrame(wanted, "track_id long, clip_id long, start_ms double, dur_ms double"), spark.createDataFrame(occupied, "track_id long, start_ms double, end_ms double"))
+    assert {x.clip_id: x.start_ms for x in df.collect()} == want
