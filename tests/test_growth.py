@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chronoweave.operators import arrange, intervals, sequential
+from chronoweave.operators import arrange, blocks, intervals, sequential
+from chronoweave.plans import catalog
 
 
 def plan(df):
@@ -86,3 +88,22 @@ def test_clips_that_just_fit_keep_their_place(spark, r):
         occupied += [(t, lo, hi) for lo, hi in own]
     df = arrange.free_slot(spark.createDataFrame(wanted, "track_id long, clip_id long, start_ms double, dur_ms double"), spark.createDataFrame(occupied, "track_id long, start_ms double, end_ms double"))
     assert {x.clip_id: x.start_ms for x in df.collect()} == want
+
+
+@pytest.mark.parametrize("tracks", [3, 1000])
+def test_tracks_meet_in_blocks(spark, r, tracks):
+    rows = sorted({(r.randrange(2), r.randrange(12), r.choice([0, 1, 2, 2000, 9000, 9001])) for _ in range(90)})
+    sets = {}
+    for k, t, b in rows:
+        sets.setdefault((k, t), set()).add(b)
+    want = sorted((k, a, b, len(x & y), min(len(x), len(y))) for (k, a), x in sets.items() for (m, b), y in sets.items() if k == m and a < b and x & y)
+    onsets = spark.createDataFrame(rows, "song long, track_id long, bucket long")
+    facts = onsets.groupBy("song", "track_id").agg(F.count("*").alias("n"))
+    df = blocks.shared_pairs(onsets, facts, ["song"], lambda p: (p["a"], p["b"], p["shared"], np.minimum(*p["n"])), "a long, b long, shared long, least double", tracks)
+    assert sorted(map(tuple, df.collect())) == want
+
+
+def test_track_pairs_are_not_shuffled(spark):
+    for name in ("pairwise_tracks", "suggestions_topn"):
+        text = plan(catalog.QUERIES[name](spark, "/root/testdata/sf0.001"))
+        assert "FlatMapGroupsInArrow" in text and not any("bucket#" in x and "Inner" in x for x in text.splitlines())
