@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from . import aggregates as A
 from . import intervals as I
+from .blocks import shared_pairs
 from .projections import end_ms
 from .sequential import over_groups
 
@@ -204,17 +205,19 @@ def effect_rules(notes: DataFrame, levels: Sequence[float] = (0.0, 15.0, 30.0, 4
 def suggestions(notes: DataFrame, top: int = 3, on: str = "song") -> DataFrame:
     """(song, place, code, priority): the ``top`` suggestions of each song: many low tracks, rhythms that coincide in one register, bass off the drums.
 
-    Tracks meet on onset buckets of 24 ms, never all with all; only tracks whose mean pitch differs by less than an
-    octave count as one register.
+    Tracks meet block by block, in products of their onset buckets of 24 ms; only tracks whose mean pitch differs by
+    less than an octave count as one register. A block's pairs leave one number.
     """
     tracks = notes.groupBy(on, "track_id").agg(F.avg("pitch").alias("mean"), F.countDistinct(F.floor(F.col("start_ms") / 24.0)).alias("onsets"))
     low = tracks.filter("mean < 58").groupBy(on).agg(F.count("*").alias("n")).filter("n >= 3").select(on, F.lit("low_tracks").alias("code"), F.col("n").cast("double").alias("priority"))
     onsets = notes.select(on, "track_id", F.floor(F.col("start_ms") / 24.0).alias("bucket")).distinct()
-    a, b = onsets.withColumnRenamed("track_id", "a"), onsets.withColumnRenamed("track_id", "b")
-    shared = a.join(b, [on, "bucket"]).filter("a < b").groupBy(on, "a", "b").agg(F.count("*").alias("shared"))
-    of = lambda side: tracks.select(on, F.col("track_id").alias(side), F.col("mean").alias(f"mean_{side}"), F.col("onsets").alias(f"onsets_{side}"))
-    close = shared.join(of("a"), [on, "a"]).join(of("b"), [on, "b"]).filter(F.abs(F.col("mean_a") - F.col("mean_b")) < 12)
-    rhythm = close.groupBy(on).agg(F.round(F.max(F.col("shared") / F.least("onsets_a", "onsets_b")), 6).alias("priority")).filter("priority > 0").select(on, F.lit("rhythm_overlap").alias("code"), "priority")
+
+    def finish(p: dict) -> tuple:
+        near = np.abs(np.subtract(*p["mean"])) < 12
+        return (np.max(p["shared"] / np.minimum(*p["onsets"]), where=near, initial=0.0, keepdims=True),)
+
+    close = shared_pairs(onsets, tracks, [on], finish, "ratio double")
+    rhythm = close.groupBy(on).agg(F.round(F.max("ratio"), 6).alias("priority")).filter("priority > 0").select(on, F.lit("rhythm_overlap").alias("code"), "priority")
     drums = notes.filter("ntype = 99").select(on, F.floor(F.col("start_ms") / 45.0).alias("bucket")).distinct()
     bass = notes.filter("ntype != 99 AND pitch < 48").select(on, F.explode(F.array(*(F.floor(F.col("start_ms") / 45.0) + d for d in (-1, 0, 1)))).alias("bucket"), "note_id")
     met = bass.join(drums, [on, "bucket"], "left_semi").select(on, "note_id").distinct().groupBy(on).agg(F.count("*").alias("met"))
