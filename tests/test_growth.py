@@ -107,3 +107,12 @@ def test_track_pairs_are_not_shuffled(spark):
     for name in ("pairwise_tracks", "suggestions_topn"):
         text = plan(catalog.QUERIES[name](spark, "/root/testdata/sf0.001"))
         assert "FlatMapGroupsInArrow" in text and not any("bucket#" in x and "Inner" in x for x in text.splitlines())
+
+
+def test_zones_of_equal_ranges_are_one_before_they_are_exploded(spark):
+    zones = spark.range(20_000).selectExpr("id AS zone_id", "40 + id % 2 AS low_pitch", "60 + id % 2 AS high_pitch", "0 AS low_vel", "127 AS high_vel", "50 AS root")
+    notes = spark.createDataFrame([(1, 40, 64), (2, 61, 64), (3, 50, 0), (4, 62, 1)], "note_id long, pitch long, vel int")
+    df = intervals.zone_lookup(notes, zones)
+    assert {x.note_id: x.zone_id for x in df.collect()} == {1: 0, 2: 1, 3: 0}
+    text = plan(df)
+    assert text.index("functions=[min(zone_id") > text.index("Generate explode")
