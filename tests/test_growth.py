@@ -116,3 +116,22 @@ def test_zones_of_equal_ranges_are_one_before_they_are_exploded(spark):
     assert {x.note_id: x.zone_id for x in df.collect()} == {1: 0, 2: 1, 3: 0}
     text = plan(df)
     assert text.index("functions=[min(zone_id") > text.index("Generate explode")
+
+
+def test_contamination_by_running_sums(spark, r):
+    notes = [(r.randrange(2), i, r.choice([60, 61, 62]), round(r.random() * 40, 2), r.choice([0.0, 0.01, 0.3, 7.25, 20.0, -1.5])) for i in range(150)]
+    notes += [(0, 900 + i, 60 + i % 2, 5.0, d) for i, d in enumerate([0.0, 0.0, 2.0, 2.0])]
+    want = {}
+    for t, i, p, s, d in notes:
+        met = [min(s + d, u + e) - max(s, u) for t2, _, q, u, e in notes if t == t2 and p != q and s < u + e and u < s + d]
+        if met:
+            want[i] = sum(x / d for x in met) if d else None
+    df = intervals.contamination(spark.createDataFrame(notes, "track_id long, note_id long, pitch int, start_ms double, dur_ms double"), 10.0)
+    got = {x.note_id: x.contamination for x in df.collect()}
+    assert got.keys() == want.keys() and None in want.values()
+    assert all(got[k] is v if v is None else got[k] == pytest.approx(v, abs=2e-6) for k, v in want.items())
+
+
+def test_contamination_makes_no_pairs_of_notes(spark):
+    text = plan(catalog.QUERIES["contamination"](spark, "/root/testdata/sf0.001"))
+    assert text.count("Window [") >= 2 and "decimal" in text
