@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chronoweave.operators import arrange, blocks, intervals, sequential
+from chronoweave.operators import arrange, blocks, intervals, sequential, walks
 from chronoweave.plans import catalog
 
 
@@ -135,3 +135,15 @@ def test_contamination_by_running_sums(spark, r):
 def test_contamination_makes_no_pairs_of_notes(spark):
     text = plan(catalog.QUERIES["contamination"](spark, "/root/testdata/sf0.001"))
     assert text.count("Window [") >= 2 and "decimal" in text
+
+
+def test_a_held_group_takes_its_own_columns_once(spark):
+    """A group of several batches: keys are one value, and no column holds the batches that it came in."""
+
+    def solve(g):
+        assert np.array_equal(g["at"], np.arange(len(g["at"]))) and set(g["key"].tolist()) == {g["key"][0]}
+        return g["key"][:1], np.array([len(g["at"])]), np.array([g["key"].strides[0]]), np.array([g["at"].base is None])
+
+    rows = spark.range(90_000).selectExpr("id % 2 AS key", "id DIV 2 AS at")
+    found = walks.over_groups(rows, ["key"], [], ["at"], solve, "key long, n long, stride long, own boolean").collect()
+    assert sorted(map(tuple, found)) == [(k, 45_000, 0, True) for k in (0, 1)]
