@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chronoweave.operators import arrange, blocks, intervals, sequential, walks
+from chronoweave.operators import arrange, blocks, intervals, runs, sequential, walks
 from chronoweave.plans import catalog
 
 
@@ -147,3 +147,9 @@ def test_a_held_group_takes_its_own_columns_once(spark):
     rows = spark.range(90_000).selectExpr("id % 2 AS key", "id DIV 2 AS at")
     found = walks.over_groups(rows, ["key"], [], ["at"], solve, "key long, n long, stride long, own boolean").collect()
     assert sorted(map(tuple, found)) == [(k, 45_000, 0, True) for k in (0, 1)]
+
+
+def test_tasks_of_snapping_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(runs, "ROWS_A_TASK", 1000)
+    text = plan(catalog.QUERIES["snap_nearest"](spark, "/root/testdata/sf0.001"))
+    assert "REPARTITION_BY_NUM" in text and text.count("Exchange hashpartitioning(track_id") == 1
