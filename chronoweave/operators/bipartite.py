@@ -1,13 +1,14 @@
 """Maximum matchings of two sets of notes under two tolerances at once.
 
 With one tolerance, pairing along the line is as good as any matching; with two, an early note may have to give its
-partner away. Notes of one identity are cut where no start reaches across, and each part is matched by shortest
-augmenting paths. Partners are looked up in sorted starts, so a part keeps no list of pairs.
+partner away. Notes of one identity are cut where no start reaches across, and each part is matched by augmenting
+paths. Partners are looked up in cells of starts and ranks of ends, among those that a round has not reached yet, so
+neither time nor memory follows the pairs in reach.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -18,53 +19,169 @@ from .projections import end_ms
 from .walks import over_groups
 
 
-def maximum_matching(partners: list[np.ndarray], n_right: int) -> np.ndarray:
-    """For each left row the right row that it is matched with, or -1: as many pairs as any matching.
+#: Pairs that are looked at together.
+PAIRS = 1 << 20
+#: What the sweep before the augmenting paths looks at: right rows of a cell, cells of a left row.
+LOOKED_AT, CELLS = 8, 64
+Look = Callable[[np.ndarray, np.ndarray], Iterator[tuple[np.ndarray, np.ndarray]]]
+
+
+def augmented(look: Look, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """``left``, the right row of each left one or -1, made a maximum matching; ``right`` is its inverse, and both are changed.
 
-    Rounds of breadth-first layers from free left rows, each followed by vertex-disjoint shortest paths through the
-    layers: rounds grow with the root of the rows.
+    A round grows trees from all free left rows at once, a layer at a time. A right row belongs to the first tree that
+    reaches it, and a tree stops where it has a free one; so paths of different trees have no row in common, and all
+    are turned over together. A round that reaches no free row ends it. ``look`` gives, in parts, the pairs of some
+    left rows with those right rows that still are true in an array, which is kept up to date between parts.
     """
+    mix = np.random.default_rng(0)
+    while True:
+        parent, tree = np.full(len(right), -1, np.int64), np.full(len(left), -1, np.int64)
+        fresh, grown = np.ones(len(right), bool), np.zeros(len(left), bool)
+        front, ends = np.flatnonzero(left < 0), []
+        tree[front] = front
+        while len(front):
+            new = []
+            for i, j in look(front, fresh):
+                order = mix.permutation(len(j))  # so that rows of equal reach share what they reach
+                parent[j[order]] = i[order]
+                j = np.flatnonzero(np.bincount(j, minlength=len(right))) if len(j) > len(right) // 8 else np.unique(j)
+                fresh[j] = False
+                new.append(j)
+            reached = np.concatenate(new) if new else front[:0]
+            free = reached[right[reached] < 0]
+            roots, at = np.unique(tree[parent[free]], return_index=True)
+            ends.append(free[at])
+            grown[roots] = True
+            held = reached[right[reached] >= 0]
+            front = right[held]
+            tree[front] = tree[parent[held]]
+            front = front[~grown[tree[front]]]
+        j = np.concatenate(ends) if ends else np.zeros(0, np.int64)
+        if not len(j):
+            return left
+        while len(j):
+            i = parent[j]
+            before = left[i]
+            left[i], right[j] = j, i
+            j = before[before >= 0]
+
+
+def maximum_matching(partners: list[np.ndarray], n_right: int) -> np.ndarray:
+    """For each left row the right row that it is matched with, or -1: as many pairs as any matching."""
     left, right = np.full(len(partners), -1, np.int64), np.full(n_right, -1, np.int64)
     for i, own in enumerate(partners):  # what is free along the line first
         free = own[right[own] < 0] if len(own) else own
         if len(free):
             left[i], right[free[0]] = free[0], i
-    while True:
-        layer = np.full(len(partners), -1, np.int64)
-        front = np.flatnonzero(left < 0)
-        layer[front], depth, ends = 0, 0, False
-        while len(front) and not ends:
-            reached = []
-            for i in front.tolist():
-                back = right[partners[i]]
-                ends |= bool((back < 0).any())
-                back = back[back >= 0]
-                new = back[layer[back] < 0]
-                layer[new] = depth + 1
-                reached.append(new)
-            front, depth = np.concatenate(reached) if reached else front[:0], depth + 1
-        if not ends:
-            return left
-        at = np.zeros(len(partners), np.int64)
-        for start in np.flatnonzero(left < 0).tolist():
-            path = [start]
-            while path:
-                i = path[-1]
-                if at[i] == len(partners[i]):
-                    layer[i] = -1  # leads nowhere in this round
-                    path.pop()
-                    continue
-                j = int(partners[i][at[i]])
-                at[i] += 1
-                k = int(right[j])
-                if k < 0:
-                    while path:  # turn the path over
-                        i = path.pop()
-                        before = int(left[i])
-                        left[i], right[j] = j, i
-                        j = before
-                elif layer[k] == layer[i] + 1:
-                    path.append(k)
+
+    def look(front, fresh):
+        i, j = np.repeat(front, [len(partners[x]) for x in front]), np.concatenate([partners[x] for x in front])
+        yield i[fresh[j]], j[fresh[j]]
+
+    return augmented(look, left, right)
+
+
+def line_matching(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """maximum_matching of left rows whose partners are the right rows from ``low`` to before ``high``, where neither falls."""
+    left, j = np.full(len(low), -1, np.int64), 0
+    for i, (x, y) in enumerate(zip(low.tolist(), high.tolist(), strict=True)):
+        j = max(j, x)
+        if j < y:
+            left[i] = j
+            j += 1
+    return left
+
+
+def swept(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray], start_tol: float, end_tol: np.ndarray, width: float) -> np.ndarray:
+    """A large matching of boxes, not a maximum one: each left row takes the earliest free right row that LOOKED_AT ones a cell of ends, for so many cells, show."""
+    (xs, xe), (ys, ye) = x, y
+    cells: dict[int, list[int]] = {}
+    for j, c in enumerate(np.floor(ye / width).tolist()):
+        cells.setdefault(c, []).append(j)
+    heads, taken, out = dict.fromkeys(cells, 0), bytearray(len(ys)), np.full(len(xs), -1, np.int64)
+    ys, ye = ys.tolist(), ye.tolist()
+    for i, (s, e, t) in enumerate(zip(xs.tolist(), xe.tolist(), end_tol.tolist(), strict=True)):
+        best, early, late = -1, s - start_tol, s + start_tol
+        c, stop = (e - t) // width, (e + t) // width
+        if stop - c > CELLS:
+            c, stop = e // width - CELLS // 2, e // width + CELLS // 2
+        while c <= stop:
+            own = cells.get(c)
+            if own is not None:
+                k = heads[c]
+                while k < len(own) and (taken[own[k]] or ys[own[k]] < early):
+                    k += 1
+                heads[c] = k
+                for j in own[k : k + LOOKED_AT]:
+                    if ys[j] > late:
+                        break
+                    if not taken[j] and e - t <= ye[j] <= e + t:
+                        late, best = ys[j], j
+                        break
+            c += 1
+        if best >= 0:
+            taken[best], out[i] = 1, best
+    return out
+
+
+def box_matching(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray], start_tol: float, end_tol: np.ndarray) -> np.ndarray:
+    """maximum_matching of left and right rows, each starts and ends, whose starts lie within ``start_tol`` and ends within that of the left row.
+
+    Both sides come by start. Pairing along the line leaves little to the augmenting paths.
+    """
+    (xs, xe), (ys, ye) = x, y
+    left, right = np.full(len(xs), -1, np.int64), np.full(len(ys), -1, np.int64)
+    if not len(xs) or not len(ys):
+        return left
+    wide, high = max(start_tol, 1e-6), max(float(end_tol.min()), 1e-6)
+
+    def fits(i, j):
+        gap = np.abs(ys[j] - xs[i])
+        return (gap <= start_tol + 1e-9) & (gap.round(6) <= start_tol) & (np.abs(ye[j] - xe[i]).round(6) <= end_tol[i])
+
+    first_guess = swept(x, y, start_tol, end_tol, high / 2)
+    i = np.flatnonzero(first_guess >= 0)
+    i = i[fits(i, first_guess[i])]
+    left[i], right[first_guess[i]] = first_guess[i], i
+
+    kinds, cell = np.unique(np.floor(ys / wide), return_inverse=True)
+    by_end = np.argsort(ye, kind="stable")
+    rank = np.empty(len(ye), np.int64)
+    rank[by_end] = np.arange(len(ye))
+    places = cell * len(ye) + rank
+    order = np.argsort(places)
+    first, last = np.searchsorted(kinds, np.floor((xs - start_tol - 1e-6) / wide)), np.searchsorted(kinds, np.floor((xs + start_tol + 1e-6) / wide), side="right")
+    low, top = np.searchsorted(ye[by_end], xe - end_tol - 1e-6), np.searchsorted(ye[by_end], xe + end_tol + 1e-6, side="right")
+
+    open_, there, seen, spent = order, places[order], None, 0
+
+    def look(front, fresh):
+        nonlocal open_, there, seen, spent
+        if fresh is not seen:
+            open_, there, seen, spent = order, places[order], fresh, 0
+        if len(front) > 64:
+            front = np.concatenate([front[k::64] for k in range(64)])  # so that the first parts reach far
+        at, most = 0, 16
+        while at < len(front):
+            if spent > len(open_) // 8:  # rows already reached cost as much as leaving them out
+                open_ = open_[fresh[open_]]
+                there, spent = places[open_], 0
+            i = front[at : at + most]
+            in_cell = first[i] + np.arange((last[i] - first[i]).max(initial=0))[:, None]
+            begin, stop = (np.searchsorted(there, in_cell * len(ye) + bound[i]) for bound in (low, top))
+            n = np.where(in_cell < last[i], stop - begin, 0)
+            take = max(1, int(np.searchsorted(np.cumsum(n.sum(axis=0)), PAIRS, side="right")))
+            n, begin, who = n[:, :take].ravel(), begin[:, :take].ravel(), np.tile(i[:take], len(n))
+            who, j = np.repeat(who, n), open_[np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            new = fresh[j]
+            spent += len(j) - int(new.sum())
+            who, j = who[new], j[new]
+            hit = fits(who, j)
+            at, most = at + take, 2 * most
+            yield who[hit], j[hit]
+
+    return augmented(look, left, right)
 
 
 def match_notes(a: DataFrame, b: DataFrame, start_tol: float, end_tol: float | None = None, end_ratio: float = 0.0, identity: Sequence[str] = ("pitch",)) -> DataFrame:
@@ -72,7 +189,7 @@ def match_notes(a: DataFrame, b: DataFrame, start_tol: float, end_tol: float | N
 
     With ``end_tol`` their ends lie within it, or ``end_ratio`` of the length of the row of ``a``, too. Null identities
     match each other; rows without start or length match nothing. The number of pairs of each identity doesn't depend
-    on the order of rows; which of equal matchings is taken follows start, then id.
+    on the order of rows; which of equal matchings is taken follows from starts, ends and the order of ids alone.
     """
     keys = list(identity)
     side = lambda df, i: df.select(*keys, "note_id", "start_ms", "dur_ms", F.lit(i).alias("side")).dropna(subset=["start_ms", "dur_ms"])
@@ -81,16 +198,12 @@ def match_notes(a: DataFrame, b: DataFrame, start_tol: float, end_tol: float | N
     def solve(g: dict) -> tuple:
         own, other = np.flatnonzero(g["side"] == 0), np.flatnonzero(g["side"] == 1)
         starts, ends = g["start_ms"], g["start_ms"] + g["dur_ms"]
-        low = np.searchsorted(starts[other], starts[own] - start_tol - 1e-9)
-        high = np.searchsorted(starts[other], starts[own] + start_tol + 1e-9, side="right")
-        partners = []
-        for i, x, y in zip(own.tolist(), low.tolist(), high.tolist(), strict=True):
-            near = np.arange(x, y)
-            fits = np.abs(starts[other[near]] - starts[i]).round(6) <= start_tol
-            if end_tol is not None:
-                fits &= np.abs(ends[other[near]] - ends[i]).round(6) <= max(end_tol, end_ratio * g["dur_ms"][i])
-            partners.append(near[fits])
-        left = maximum_matching(partners, len(other))
+        if end_tol is None:
+            low = np.searchsorted(starts[other], starts[own] - start_tol - 1e-9)
+            high = np.searchsorted(starts[other], starts[own] + start_tol + 1e-9, side="right")
+            left = line_matching(low, high)
+        else:
+            left = box_matching((starts[own], ends[own]), (starts[other], ends[other]), start_tol, np.maximum(end_tol, end_ratio * g["dur_ms"][own]))
         hit = left >= 0
         return *(g[k][own[hit]] for k in keys), g["note_id"][own[hit]], g["note_id"][other[left[hit]]]
 

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -140,3 +141,36 @@ def test_evaluation_counts(spark):
         assert row["onset_f1"] == round(2 * row["onset_matched"] / (len(x) + len(y)), 6)
     only = B.evaluate(spark.createDataFrame(a, NOTES), spark.createDataFrame([], NOTES)).agg(F.sum("onset_matched"), F.sum("n_reference")).first()
     assert tuple(only) == (0, 60) and Counter(x[0] for x in a)[1] > 0
+
+
+def boxes(r, n, reach, whole):
+    start = np.sort(r.integers(0, reach, n).astype(float) if whole else r.random(n) * reach)
+    return start, start + r.exponential(20, n).round(1)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_boxes_are_matched_as_their_pairs_would_be(seed, monkeypatch):
+    monkeypatch.setattr(B, "LOOKED_AT", 1 + seed % 2)  # more is left to the augmenting paths
+    r = np.random.default_rng(seed)
+    for k in range(40):
+        x, y = (boxes(r, n, 200, k % 2) for n in r.integers(0, 80, 2))
+        end_tol = np.maximum(6.0, (k % 3) * 0.1 * (x[1] - x[0]))
+        near = (np.abs(x[0][:, None] - y[0]).round(6) <= 8) & (np.abs(x[1][:, None] - y[1]).round(6) <= end_tol[:, None])
+        got = B.box_matching(x, y, 8.0, end_tol)
+        hit = np.flatnonzero(got >= 0)
+        assert near[hit, got[hit]].all() and len(set(got[hit].tolist())) == len(hit)
+        assert len(hit) == (B.maximum_matching([np.flatnonzero(own) for own in near], len(y[0])) >= 0).sum()
+    low, high = np.sort(r.integers(0, 50, (2, 40)))
+    high = np.maximum(low, high)
+    assert (B.line_matching(low, high) >= 0).sum() == (B.maximum_matching([np.arange(a, b) for a, b in zip(low, high, strict=True)], 50) >= 0).sum()
+
+
+def test_rows_in_reach_of_all_make_no_list_of_pairs():
+    """400,000,000 pairs are in reach; each takes eight bytes in a list."""
+    r, n = np.random.default_rng(1), 20_000
+    x, y = (boxes(r, n, 10, False) for _ in range(2))
+    tracemalloc.start()
+    assert (B.box_matching(x, y, 10.0, np.full(n, 300.0)) >= 0).all()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 200 << 20
