@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from bisect import insort
 from collections.abc import Sequence
+from heapq import heapify, heappop, heappush, heappushpop
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -16,16 +16,25 @@ CHANGE, LEAST_MEMBERS, COHESION, SURE = 0.28, 2, 0.68, 0.35
 #: Suggestions and changes a phrase, notes between changes, and the confidence of a change.
 SUGGESTIONS, CHANGES, NOTES_BETWEEN, CONFIDENT = 3, 3, 2, 0.85
 PLACES = 9
+#: Ranges of splits to begin with, and what bounds and sums may differ by for their order.
+PARTS, SLACK = 16, 1e-8
 
 
 def running_medians(values: np.ndarray) -> np.ndarray:
     """The median of each column over the first row, the first two, and so on."""
     out = np.empty(values.shape)
     for c in range(values.shape[1]):
-        held: list[float] = []
+        low: list[float] = []  # negated: the smaller half, and one more where rows are odd
+        high: list[float] = []
+        medians = []
         for i, x in enumerate(values[:, c].tolist()):
-            insort(held, x)
-            out[i, c] = held[i // 2] if i % 2 == 0 else (held[i // 2] + held[i // 2 + 1]) / 2
+            if i % 2 == 0:
+                heappush(low, -heappushpop(high, x))
+                medians.append(-low[0])
+            else:
+                heappush(high, -heappushpop(low, -x))
+                medians.append((high[0] - low[0]) / 2)
+        out[:, c] = medians
     return out
 
 
@@ -35,12 +44,21 @@ def alike(a: np.ndarray, a_sure: np.ndarray, b: np.ndarray, b_sure: np.ndarray)
     return np.clip((1.0 - np.sqrt((apart**2).mean(axis=-1))) * np.minimum(a_sure, b_sure), 0.0, 1.0)
 
 
+def _most_alike(values: np.ndarray, sure: np.ndarray, centres: np.ndarray, centres_sure: np.ndarray) -> np.ndarray:
+    """No less than how alike each row is to any of ``centres``."""
+    low, high = centres.min(axis=0), centres.max(axis=0)
+    apart = np.maximum(0.0, np.maximum(low - values, values - high))
+    apart = np.minimum(1.0, apart / np.maximum(1.0, np.maximum(np.abs(values), np.maximum(np.abs(low), np.abs(high)))))
+    return np.clip((1.0 - np.sqrt((apart**2).mean(axis=-1))) * np.minimum(sure, centres_sure.max()), 0.0, 1.0)
+
+
 def change_point(start: np.ndarray, values: np.ndarray, sure: np.ndarray) -> float | None:
     """The time between two members at which the colour changes most, or None.
 
     Each side stands for itself by the medians of its values; they come from both ends, so every split costs a step.
-    The change can't be more than what the medians say, so how alike the sides are within is worked out from the
-    largest such change downwards, and only until none can beat the best.
+    How alike a side is within takes a look at all of it. For a range of neighbouring splits, whose medians hardly
+    differ, one such look says how large the change can be at most; ranges are cut in order of that, down to single
+    splits, and only until none can beat the best.
     """
     n = len(start)
     at = np.arange(LEAST_MEMBERS, n - LEAST_MEMBERS + 1)
@@ -52,9 +70,34 @@ def change_point(start: np.ndarray, values: np.ndarray, sure: np.ndarray) -> flo
     most = (1.0 - alike(left, left_sure, right, right_sure)) * np.minimum(left_sure, right_sure)
     middle = (start[at - 1] + start[at]) * 0.5
     best = None
-    for k in np.argsort(-most, kind="stable").tolist():
-        if round(float(most[k]), PLACES) < (CHANGE if best is None else best[0]):
+
+    def bounded(splits: np.ndarray) -> list[tuple[float, int, np.ndarray]]:
+        """Those of some splits, in order, that may be a change, with the largest that it can be; SLACK covers the order of sums."""
+        splits = splits[most[splits] + SLACK >= CHANGE]
+        if not len(splits):
+            return []
+        if len(splits) == 1:
+            return [(-float(most[splits[0]]), int(splits[0]), splits)]
+        first, last = at[splits[0]], at[splits[-1]]
+        before = np.cumsum(_most_alike(values[:last], sure[:last], left[splits], left_sure[splits]))[at[splits] - 1] / at[splits]
+        after = np.cumsum(_most_alike(values[first:], sure[first:], right[splits], right_sure[splits])[::-1])[n - at[splits] - 1] / (n - at[splits])
+        own = np.minimum(before, after)
+        change = most[splits] * own
+        may = (own + SLACK >= COHESION) & (change + SLACK >= CHANGE)
+        return [(-float(change[may].max()), int(splits[0]), splits[may])] if may.any() else []
+
+    ranges = [found for part in np.array_split(np.arange(len(at)), min(PARTS, len(at))) for found in bounded(part)]
+    heapify(ranges)
+    while ranges:
+        bound, _, splits = heappop(ranges)
+        if best is not None and SLACK - bound < best[0]:
             break
+        if len(splits) > 1:
+            for part in np.array_split(splits, min(4, len(splits))):
+                for found in bounded(part):
+                    heappush(ranges, found)
+            continue
+        k = splits[0]
         own = [alike(values[a:b], sure[a:b], side, side_sure).mean() for a, b, side, side_sure in ((0, at[k], left[k], left_sure[k]), (at[k], n, right[k], right_sure[k]))]
         change = round(float(most[k] * min(own)), PLACES)
         if min(own) >= COHESION and change >= CHANGE:

@@ -46,6 +46,20 @@ def test_running_medians():
     assert np.array_equal(P.running_medians(x), np.array([np.median(x[: i + 1], axis=0) for i in range(30)]))
 
 
+@pytest.mark.parametrize("least", [0.4, 0.8])
+def test_few_splits_of_a_large_group_are_looked_at(monkeypatch, least):
+    """Before, each split whose medians differ was a look at all members, as many as there are where no side is alike enough."""
+    r, n = np.random.default_rng(2), 600
+    start = np.sort(r.integers(0, 3000, n).astype(float))
+    values = np.stack([np.where(start >= 1500, 6.0, 0.0) + r.integers(1, 128, n) / 127, r.exponential(0.1, n).round(3)], 1)
+    sure = least + r.integers(0, 20, n) / 100
+    want, looks, alike, bound = every_split(start.tolist(), values.tolist(), sure.tolist()), [], P.alike, P._most_alike
+    monkeypatch.setattr(P, "alike", lambda *x: looks.append(1) or alike(*x))
+    monkeypatch.setattr(P, "_most_alike", lambda *x: looks.append(1) or bound(*x))
+    assert P.change_point(start, values, sure) == want and (want is None) == (least == 0.4)
+    assert len(looks) < n / 2
+
+
 MEMBERS = "group_id long, note_id long, start_ms double, pitch int, features array<double>, reliability double"
 
 
