@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..shared import written
-from .intervals import range_join
+from .runs import running_maxima
 from .sequential import nms
 from .walks import join_keys, over_groups
 
@@ -39,14 +39,19 @@ def frame_events(notes: DataFrame, frame_ms: float = 10.0) -> DataFrame:
 def sequence_support(events: DataFrame, gap: int = SEQUENCE_GAP, pitch: int = SEQUENCE_PITCH) -> DataFrame:
     """(note_id, supported): another event within ``pitch`` semitones comes within ``gap`` frames of this one's span.
 
-    Each event is dealt to the pitches that it supports; one running count a pitch then answers all.
+    Events of a pitch and frame are counted, and the counts dealt to the pitches that they support, where they are
+    summed before they leave their task; one running count a pitch then answers all.
     """
     near = F.explode(F.sequence(F.col("pitch") - pitch, F.col("pitch") + pitch))
-    dealt = events.select("track_id", near.alias("pitch"), "start_frame", "end_frame")
+
+    def dealt(at: str) -> DataFrame:
+        counts = events.select("track_id", "pitch", F.col(at).alias("at")).repartition("track_id", "at").groupBy("track_id", "pitch", "at").agg(F.count("*").alias("n"))
+        return counts.select("track_id", near.alias("pitch"), "at", "n").groupBy("track_id", "pitch", "at").agg(F.sum("n").alias("n"))
+
     none = F.lit(None).cast("long")
     # at equal frames a start still counts for the question after it, an end doesn't yet for the one before it
-    starts = dealt.select("track_id", "pitch", F.col("start_frame").alias("at"), F.lit(0).alias("ord"), F.lit(1).alias("d"), none.alias("note_id"))
-    ends = dealt.select("track_id", "pitch", F.col("end_frame").alias("at"), F.lit(2).alias("ord"), F.lit(-1).alias("d"), none.alias("note_id"))
+    starts = dealt("start_frame").select("track_id", "pitch", "at", F.lit(0).alias("ord"), F.col("n").alias("d"), none.alias("note_id"))
+    ends = dealt("end_frame").select("track_id", "pitch", "at", F.lit(2).alias("ord"), (-F.col("n")).alias("d"), none.alias("note_id"))
     begun = events.select("track_id", "pitch", (F.col("end_frame") + gap).alias("at"), F.lit(1).alias("ord"), F.lit(0).alias("d"), F.col("note_id"))
     gone = events.select("track_id", "pitch", (F.col("start_frame") - gap).alias("at"), F.lit(1).alias("ord"), F.lit(0).alias("d"), F.col("note_id"))
     w = Window.partitionBy("track_id", "pitch").orderBy("at", "ord")
@@ -55,18 +60,35 @@ def sequence_support(events: DataFrame, gap: int = SEQUENCE_GAP, pitch: int = SE
     return asked.unionByName(less).groupBy("note_id").agg((F.sum("n") > 1).alias("supported"))  # itself is one
 
 
-def pitch_flicker(events: DataFrame, gap: int = FLICKER_GAP, pitch: int = FLICKER_PITCH, longest: int = REVIEW, width: int = 64) -> DataFrame:
-    """(note_id) of short events with a neighbour, one or ``pitch`` semitones away and two frames longer at least, within ``gap`` frames."""
-    span = F.col("end_frame") - F.col("start_frame")
-    short = events.filter(span <= longest).select("track_id", "note_id", F.explode(F.array(*(F.col("pitch") + d for d in range(-pitch, pitch + 1) if d))).alias("pitch"), (F.col("start_frame") - gap).alias("low"), (F.col("end_frame") + gap).alias("high"), span.alias("span"))
-    other = events.select("track_id", "pitch", F.col("start_frame").alias("from"), F.col("end_frame").alias("to"))
-    return range_join(short, other, ("low", "high"), ("from", "to"), width, ("track_id", "pitch"), F.col("to") - F.col("from") >= F.col("span") + 2).select("note_id").distinct()
+def pitch_flicker(events: DataFrame, gap: int = FLICKER_GAP, pitch: int = FLICKER_PITCH, longest: int = REVIEW, width: float | None = None) -> DataFrame:
+    """(note_id) of short events with a neighbour, one or ``pitch`` semitones away and two frames longer at least, within ``gap`` frames.
+
+    Of the neighbours long enough that begin in time, the one that ends last tells; that is a running maximum for each
+    length of a short event. Lengths are not negative; ``width`` forces buckets of time.
+    """
+    span, none = F.col("end_frame") - F.col("start_frame"), F.lit(None).cast("long")
+    short = events.filter(span <= longest).select("track_id", F.explode(F.array(*(F.col("pitch") + d for d in range(-pitch, pitch + 1) if d))).alias("pitch"), (F.col("end_frame") + gap).alias("at"), F.lit(1).alias("ord"), "note_id", (F.col("start_frame") - gap).alias("low"), span.alias("span"), none.alias("to"))
+    other = events.filter(span >= 2).select("track_id", "pitch", F.col("start_frame").alias("at"), F.lit(0).alias("ord"), none.alias("note_id"), none.alias("low"), span.alias("span"), F.col("end_frame").alias("to"))
+    ends = {f"end_{n}": F.when(F.col("span") >= n + 2, F.col("to")) for n in range(longest + 1)}
+    met = running_maxima(short.unionByName(other), ["track_id", "pitch"], "at", ["ord"], ends, width).filter("ord = 1")
+    return met.filter(reduce(lambda a, n: a | ((F.col("span") == n) & (F.col(f"end_{n}") >= F.col("low"))), range(longest + 1), F.lit(False))).select("note_id").distinct()
 
 
 def chord_supported(events: DataFrame, radius: int = CHORD_RADIUS) -> DataFrame:
-    """(note_id, supported): an event of another pitch starts within ``radius`` frames."""
+    """(note_id, supported): an event of another pitch starts within ``radius`` frames; frames look around, not events."""
     w = Window.partitionBy("track_id").orderBy("start_frame").rangeBetween(-radius, radius)
-    return events.select("note_id", (F.min("pitch").over(w) != F.max("pitch").over(w)).alias("supported"))
+    frames = events.groupBy("track_id", "start_frame").agg(F.min("pitch").alias("low"), F.max("pitch").alias("high"))
+    known = frames.select("track_id", "start_frame", (F.min("low").over(w) != F.max("high").over(w)).alias("supported"))
+    return join_keys(events.select("track_id", "start_frame", "note_id"), known, ["track_id", "start_frame"]).select("note_id", "supported")
+
+
+def spanned_by(events: DataFrame, spans: DataFrame, width: float | None = None) -> DataFrame:
+    """(note_id, spanned): the latest end of ``spans`` (track_id, pitch, f_from, f_to) of an event's pitch that reach what lies about its start, where there is one; a running maximum."""
+    none = F.lit(None).cast("long")
+    asked = events.select("track_id", "pitch", (F.col("start_frame") + FLICKER_GAP).alias("at"), F.lit(1).alias("ord"), "note_id", (F.col("start_frame") - MERGE_GAP - FLICKER_GAP).alias("low"), none.alias("to"))
+    given = spans.select("track_id", "pitch", F.col("f_from").alias("at"), F.lit(0).alias("ord"), none.alias("note_id"), none.alias("low"), F.col("f_to").alias("to"))
+    met = running_maxima(asked.unionByName(given), ["track_id", "pitch"], "at", ["ord"], {"spanned": F.col("to")}, width)
+    return met.filter("ord = 1 AND spanned >= low").select("note_id", "spanned")
 
 
 def regular_repeats(events: DataFrame, ratio: float = 0.20, least: int = 1) -> DataFrame:
@@ -158,8 +180,7 @@ def merged_into(events: DataFrame, evidence: DataFrame, continuity: float = CONT
     known = join_keys(known, timed.select(*key, "start_frame", (near("earlier") | near("after")).alias("regular")), [*key, "start_frame"])
     short = events.join(pitch_flicker(events), "note_id", "left_semi")
     spans = short.select("track_id", F.explode(F.array(*(F.col("pitch") + k for k in range(-FLICKER_PITCH, FLICKER_PITCH + 1) if k))).alias("pitch"), F.col("start_frame").alias("f_from"), F.col("end_frame").alias("f_to"))
-    asked = events.select(*key, "note_id", (F.col("start_frame") - MERGE_GAP - FLICKER_GAP).alias("low"), (F.col("start_frame") + FLICKER_GAP).alias("high"))
-    reach = range_join(asked, spans, ("low", "high"), ("f_from", "f_to"), 64, tuple(key)).groupBy("note_id").agg(F.max("f_to").alias("spanned"))
+    reach = spanned_by(events, spans)
     known = known.join(reach, "note_id", "left").withColumn("spanned", F.coalesce("spanned", F.lit(-1)))
     may = (F.col("prominence") < WEAK_PROMINENCE) & (F.col("attack") < WEAK_PROMINENCE) & ~F.col("supported") & ~F.col("regular")
     order = Window.partitionBy(*key).orderBy("start_frame", "end_frame", "note_id")

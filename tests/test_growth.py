@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chronoweave.operators import arrange, blocks, intervals, runs, sequential, walks
+from chronoweave.operators import arrange, blocks, cleanup, intervals, runs, sequential, walks
 from chronoweave.plans import catalog
 
 
@@ -153,3 +153,23 @@ def test_tasks_of_snapping_follow_the_rows(spark, monkeypatch):
     monkeypatch.setattr(runs, "ROWS_A_TASK", 1000)
     text = plan(catalog.QUERIES["snap_nearest"](spark, "/root/testdata/sf0.001"))
     assert "REPARTITION_BY_NUM" in text and text.count("Exchange hashpartitioning(track_id") == 1
+
+
+def test_neighbours_are_running_maxima_not_pairs(spark):
+    r = random.Random(5)
+    rows = [(r.randrange(2), i, 60 + r.randrange(5), s, s + r.choice([1, 2, 3, 7, 9, 12])) for i, s in enumerate(r.randrange(120) for _ in range(150))]
+    events = spark.createDataFrame(rows, "track_id long, note_id long, pitch int, start_frame long, end_frame long")
+    flicker = {a[1] for a in rows for b in rows if a[0] == b[0] and 1 <= abs(a[2] - b[2]) <= 2 and a[4] - a[3] <= 8 and b[4] - b[3] >= a[4] - a[3] + 2 and b[3] <= a[4] + 1 and b[4] >= a[3] - 1}
+    spans = [(t, p, s, e) for t, _, p, s, e in rows[:60]]
+    spanned = {a[1]: max(own) for a in rows if (own := [e for t, p, s, e in spans if (t, p) == (a[0], a[2]) and s <= a[3] + 1 and e >= a[3] - 3])}
+    chord = {a[1]: any(a[0] == b[0] and a[2] != b[2] and abs(a[3] - b[3]) <= 2 for b in rows) for a in rows}
+    for width in (None, 7.0):
+        df = cleanup.pitch_flicker(events, width=width)
+        assert {x.note_id for x in df.collect()} == flicker and 0 < len(flicker) < len(rows)
+        reach = cleanup.spanned_by(events, spark.createDataFrame(spans, "track_id long, pitch int, f_from long, f_to long"), width)
+        assert {x.note_id: x.spanned for x in reach.collect()} == spanned
+    assert "Join" not in plan(cleanup.pitch_flicker(events))
+    known = cleanup.chord_supported(events)
+    assert {x.note_id: x.supported for x in known.collect()} == chord
+    text = plan(known)
+    assert text.index("Window [") < text.rindex("HashAggregate")  # of frames, below the window
