@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..notes import notes
 from ..operators import cleanup as C
 from ..operators import recovery as R
-from ..shared import written
+from ..operators.runs import dealt
 from .base import query
 
 #: Each note that a seventh of the ids leave out strikes three times, five frames apart and three long.
@@ -34,10 +34,12 @@ SELECT track_id, pitch, s AS start_frame, s + span AS end_frame, round(greatest(
 def dense_run_recovery(spark, sf):
     n = notes(spark, sf)
     events = C.frame_events(n.filter("note_id % 4 = 1").withColumn("confidence", F.lit(1.0)))
-    struck = n.filter("note_id % 7 != 0").select("track_id", "pitch", "note_id", F.floor(F.col("start_ms") / 10.0).alias("s"), F.explode(F.sequence(F.lit(0), F.lit(8))).alias("x")).withColumns({"j": F.floor(F.col("x") / 3), "k": F.col("x") % 3})
+    kept = n.filter("note_id % 7 != 0").select("track_id", "pitch", "note_id", F.floor(F.col("start_ms") / 10.0).alias("s"))
+    # dealt by pitch as notes, a ninth of the rows, and by so many tasks as their evidence needs
+    struck = dealt(kept, ["track_id", "pitch"], 9 * kept.count()).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(8)))).withColumns({"j": F.floor(F.col("x") / 3), "k": F.col("x") % 3})
     values = F.max(0.5 + F.col("note_id") % 5 / 10.0).alias("frame_value"), F.max(F.when(F.col("k") == 0, 0.7 + F.col("note_id") % 3 / 10.0).otherwise(0.1)).alias("onset_value")
     evidence = struck.groupBy("track_id", "pitch", (F.col("s") + 5 * F.col("j") + F.col("k")).alias("frame")).agg(*values)
-    return R.recover_dense(written(evidence, "dense-evidence"), events)
+    return R.recover_dense(evidence, events)
 
 
 @query("""WITH {N8}, o AS (SELECT *, start_ms + dur_ms AS end_ms, row_number() OVER (PARTITION BY track_id ORDER BY start_ms, note_id) AS i FROM n),

@@ -112,3 +112,27 @@ def test_crowding_note_by_note(spark, most):
 def test_a_dense_key_is_swept_in_bounded_time(spark):
     n = spark.range(20_000).selectExpr("0L AS track_id", "id AS note_id", "CAST(id % 90 AS int) AS pitch", "id * 1.0D AS start_ms", "500.0D AS dur_ms")
     assert R.crowding(n).filter("dense").count() > 19_000
+
+
+def test_starts_are_not_multiplied_by_the_frames_after_them(spark):
+    rows = spark.createDataFrame([(1, 60, f, 0.7, 0.9 if k == 0 else 0.1) for s in (5, 9, 13) for k, f in enumerate(range(s, s + 3))], EVIDENCE)
+    found = R.recover_dense(rows, spark.createDataFrame([], EVENTS), longest=1_000_000)
+    assert "generate" not in found._jdf.queryExecution().executedPlan().toString().lower()
+    assert sorted(tuple(x)[2:4] for x in found.collect()) == [(5, 8), (9, 12), (13, 16)]
+
+
+@pytest.mark.parametrize(("thr", "longest"), [(0.0, 4), (0.0, 9), (0.3, 3), (0.3, 9)])
+def test_frames_without_a_row_are_weak_only_below_the_threshold(spark, thr, longest):
+    r, frame, onset, at = random.Random(longest), {}, {}, 0
+    while at < 900:
+        at += r.choice((2, 4, 4, 4, 5, 6, 20))
+        for p in r.sample((60, 61, 70), r.randrange(1, 4)):
+            onset[p, at] = r.choice((0.7, 0.9, 0.1))
+            for k in range(9):
+                if r.random() < 0.6:
+                    frame[p, at + k] = r.choice((-0.1, 0.2, 0.8, 0.9))
+    rows = [(None, p, f, frame.get((p, f)), onset.get((p, f))) for p, f in {*frame, *onset}]
+    found = R.recover_dense(spark.createDataFrame(rows, EVIDENCE).repartition(3), spark.createDataFrame([], EVENTS), frame_threshold=thr, longest=longest).collect()
+    supported = [tuple(x)[1:] for x in found if (x["confidence"] - 0.55 * onset[x["pitch"], x["start_frame"]]) / 0.45 > 0.38 - 1e-6]  # the least support of plain()
+    want = plain(frame, onset, [], longest, thr)
+    assert sorted(supported) == want and len(want) > 5
