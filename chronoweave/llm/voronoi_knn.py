@@ -2,15 +2,17 @@
 
 Vectors are grouped by their nearest pivot and packed into blocks of a group. From small summaries of the groups
 (radius, norms, the distances of the members nearest to the pivot) follow, for each block of queries, a score that its
-k-th result reaches at least and the score that no member of a group can exceed; the query block goes only to groups
-that can reach the former, once for each of a group's data blocks. Blocks are solved by matrix products, and results
-of all groups meet in a top-k a query.
+k-th result reaches at least and the score that no member of a group can exceed; the query block meets only groups
+that can reach the former. Data blocks are dealt to bins, and a query block is sent once to each bin that holds any of
+its groups, where matrix products with one block after the other raise what a result must reach. Results of all bins
+meet in a top-k a query.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +32,18 @@ PART_BLOCKS = 1024
 #: Rows of a block of data and of queries.
 DATA_ROWS = 4096
 QUERY_ROWS = 512
+#: Bytes of the data of one bin, and of the queries of one part: a task holds one of each.
+BIN_BYTES = 32 << 20
+PART_BYTES = 64 << 20
+#: Bins a core at least, if there are so many blocks, and shuffle partitions a cell: hashes leave few cells in one task.
+BINS_CORE = 4
+SPREAD = 4
 SCALE = 256
 TOP = 5
 EVERY = 50
-#: Integers that a double holds exactly.
+#: Integers that a double, and a float, hold exactly.
 EXACT = 1 << 53
+EXACT_FLOAT = 1 << 24
 #: Quantised components are smaller than this; larger ones are an error.
 MOST_COMPONENT = 1 << 62
 BLOCK = "dim int, g int, salt long, ids binary, rows binary, wide boolean, radius double, low2 double, high2 double, near array<struct<away:double,norm2:double,id:long>>"
@@ -120,6 +129,8 @@ def blocks_of(vectors: DataFrame, pivots: dict[int, np.ndarray], rows: int, keep
         order = np.argsort(away, kind="stable")
         first = order[np.sort(np.unique(ids[order], return_index=True)[1])][:keep]
         near = [{"away": float(away[i]), "norm2": float(norm2[i]), "id": int(ids[i])} for i in first]
+        by_id = np.argsort(ids, kind="stable")
+        x, ids = x[by_id], ids[by_id]
         wide = bool(np.abs(x).max() >= 1 << 15)
         row = (dim, g, salt, ids.tobytes(), x.astype(np.int64 if wide else np.int16).tobytes(), wide, float(away.max()), float(norm2.min()), float(norm2.max()), near)
         return pa.table([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=fields)
@@ -176,39 +187,109 @@ def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def best_of_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query's row, id, score) of each query's ``k`` best other ids in one block; an id's best vector counts."""
-    order = np.argsort(ids, kind="stable")
-    ids, starts = np.unique(ids[order], return_index=True)
-    score = np.maximum.reduceat(products(q, x[order]), starts, axis=1)
+class Block:
+    """Vectors of one length by id; ``most`` is their largest component."""
+
+    def __init__(self, ids, rows, wide: bool, dim: int):
+        self.ids = np.frombuffer(ids, np.int64)
+        self.rows = np.frombuffer(rows, np.int64 if wide else np.int16).reshape(-1, dim)
+        self.most = max(abs(int(self.rows.max(initial=0))), abs(int(self.rows.min(initial=0))))
+        #: Where an id's vectors begin, if any id has several.
+        self.starts = None
+        if (self.ids[1:] == self.ids[:-1]).any():
+            self.starts = np.flatnonzero(np.r_[True, self.ids[1:] != self.ids[:-1]])
+        self._floats = None
+
+    @property
+    def names(self) -> np.ndarray:
+        return self.ids if self.starts is None else self.ids[self.starts]
+
+    def floats(self) -> np.ndarray:
+        if self._floats is None:
+            self._floats = self.rows.astype(np.float32)
+        return self._floats
+
+
+def _scores(q: Block, x: Block) -> np.ndarray:
+    """Exact scores of the vectors of ``q`` and the ids of ``x``, of which the best vector counts: floats where these hold them."""
+    if q.most * x.most * q.rows.shape[1] < EXACT_FLOAT:
+        score = q.floats() @ x.floats().T
+    else:
+        score = products(q.rows.astype(np.int64), x.rows.astype(np.int64))
+    return score if x.starts is None else np.maximum.reduceat(score, x.starts, axis=1)
+
+
+def best_of_block(q: Block, x: Block, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query's row, id, score) of other ids in ``x`` that reach ``least`` of the query: each query's ``k`` best are among them; an id's best vector counts."""
+    score, ids = _scores(q, x), x.names
     if score.dtype == object:
-        rows = [(i, int(d), s) for i, own in enumerate(score) for s, d in heapq.nsmallest(k, ((-s, d) for s, d in zip(own, ids, strict=True) if d != q_ids[i] and s >= least))]
+        rows = [(i, int(d), s) for i, own in enumerate(score) for s, d in heapq.nsmallest(k, ((-s, d) for s, d in zip(own, ids, strict=True) if d != q.ids[i] and s >= int(least[i])))]
         if any(abs(s) >= 1 << 63 for _, _, s in rows):
             raise OverflowError("an inner product among the best of a block doesn't fit a long")
         return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), np.array([-r[2] for r in rows], np.int64)
-    low = np.iinfo(np.int64).min  # below every score: these are under 2^63 in size
-    score[q_ids[:, None] == ids[None, :]] = low
-    n = min(k, len(ids))
-    edge = np.partition(score, len(ids) - n, axis=1)[:, len(ids) - n]
-    a, b = np.nonzero((score >= np.maximum(edge, low + 1)[:, None]) & (score >= least))
-    own = score[a, b]
+    whole = score.dtype == np.int64
+    at = np.minimum(np.searchsorted(ids, q.ids), len(ids) - 1)
+    same = np.flatnonzero(ids[at] == q.ids)
+    score[same, at[same]] = np.iinfo(np.int64).min if whole else -np.inf  # below every score: these are under 2^63 in size
+    floor = least if whole else np.clip(least, -2 * EXACT_FLOAT, 2 * EXACT_FLOAT).astype(np.float32)
+    a, b = np.nonzero(score >= floor[:, None])
+    many = np.flatnonzero(np.bincount(a, minlength=len(q.ids)) > 8 * k)
+    if len(many):  # nothing is known of what these reach
+        floor = floor.copy()
+        floor[many] = np.maximum(floor[many], np.partition(score[many], len(ids) - k, axis=1)[:, len(ids) - k])
+        a, b = np.nonzero(score >= floor[:, None])
+    own = score[a, b].astype(np.int64)
     order = np.lexsort((ids[b], -own, a))  # ties beyond the k-th go by id, so few rows remain a query
     a, b, own = a[order], b[order], own[order]
-    some = np.arange(len(a)) - np.searchsorted(a, a) < n
+    some = np.arange(len(a)) - np.searchsorted(a, a) < k
     return a[some], ids[b[some]], own[some]
 
 
-def voronoi_top_k(queries: DataFrame, data: DataFrame, k: int = TOP, query_rows: int = QUERY_ROWS, data_rows: int = DATA_ROWS, pivots: dict | None = None) -> DataFrame:
+def best_of_blocks(q: Block, blocks: list[Block], k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``best_of_block``, the ``k`` best over ``blocks``: what one has found is what the next must reach."""
+    low = np.iinfo(np.int64).min + 1
+    floor = np.full(len(q.ids), low if least == -np.inf else min(max(math.floor(least), low), (1 << 63) - 1), np.int64)
+    best = tuple(np.zeros(0, np.int64) for _ in range(3))
+    for x in blocks:
+        more = best_of_block(q, x, k, floor)
+        if not len(more[0]):
+            continue
+        a, d, s = (np.concatenate(z) for z in zip(best, more, strict=True))
+        order = np.lexsort((-s, d, a))
+        a, d, s = a[order], d[order], s[order]
+        first = np.r_[True, (a[1:] != a[:-1]) | (d[1:] != d[:-1])]  # an id's best vector
+        a, d, s = a[first], d[first], s[first]
+        order = np.lexsort((d, -s, a))
+        a, d, s = a[order], d[order], s[order]
+        place = np.arange(len(a)) - np.searchsorted(a, a)
+        best = a[place < k], d[place < k], s[place < k]
+        full = place == k - 1
+        floor[a[full]] = np.maximum(floor[a[full]], s[full])
+    return best
+
+
+def _bins(blocks: DataFrame, most_bytes: int) -> tuple[int, int]:
+    """(how many hold ``most_bytes`` each on average, how many blocks there are)."""
+    size, count = blocks.agg(F.coalesce(F.sum(F.octet_length("rows") + F.octet_length("ids")), F.lit(0)), F.count("*")).first()
+    return max(1, math.ceil(size / most_bytes)), count
+
+
+def voronoi_top_k(queries: DataFrame, data: DataFrame, k: int = TOP, query_rows: int = QUERY_ROWS, data_rows: int = DATA_ROWS, pivots: dict | None = None, bins: int | None = None, parts: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query the ``k`` rows of ``data`` of highest inner product, ties to smaller ids.
 
     Both are (vec_id, v) as of ``quantised``: equal rows count once, vectors meet only those of their length. A row
     with the query's id isn't its result; fewer than ``k`` others give fewer rows; no queries or data give none. An id
     with several vectors is a query, and a candidate, with each; as a candidate its best score counts once. A score
-    that doesn't fit a long, where it is among the best of a block, is an error.
+    that doesn't fit a long, where it is among the best of a block, is an error. ``bins`` and ``parts`` follow the
+    bytes of the data and of the queries; data are sent once a part and queries once a bin at most.
     """
     pivots = pivots_of(data) if pivots is None else pivots
     found = blocks_of(data, pivots, data_rows, k + 1)
     asked = blocks_of(queries, pivots, query_rows, 0)
+    if bins is None:
+        by_size, count = _bins(found, BIN_BYTES)
+        bins = max(by_size, min(count, BINS_CORE * data.sparkSession.sparkContext.defaultParallelism))
+    parts = _bins(asked, PART_BYTES)[0] if parts is None else parts
     several = F.col("dim").isin([dim for dim, own in pivots.items() if len(own) > 1])
     own = found.filter(several).withColumn("part", F.floor(F.col("salt") / PART_BLOCKS))
     near = _nearest_ids(_nearest_ids(own, ["dim", "g", "part"], k + 1), ["dim", "g"], k + 1)
@@ -221,38 +302,40 @@ def voronoi_top_k(queries: DataFrame, data: DataFrame, k: int = TOP, query_rows:
     def routed(batches):
         pivots, groups = shared.value
         for batch in batches:
-            cols = batch.select(["dim", "g", "radius", "low2", "high2"]).to_pydict()
-            at, to, floors = [], [], []
+            cols = batch.to_pydict()
+            to, floors = [], []
             for i, (dim, g) in enumerate(zip(cols["dim"], cols["g"], strict=True)):
                 floor, own = reachable(pivots[dim][g], cols["radius"][i], cols["low2"][i], cols["high2"][i], groups[dim], pivots[dim], k) if dim in groups else (-np.inf, [0])
-                at += [i] * len(own)
-                to += own
-                floors += [floor] * len(own)
-            taken = batch.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [taken.column("dim"), pa.array(to, pa.int32()), pa.array(floors, pa.float64()), *(taken.column(n) for n in ("g", "salt", "ids", "rows", "wide"))],
-                names=["dim", "g", "least", "q_g", "q_salt", "q_ids", "q_rows", "q_wide"],
-            )
-
-    sent = asked.mapInArrow(routed, "dim int, g int, least double, q_g int, q_salt long, q_ids binary, q_rows binary, q_wide boolean")
-    salts = found.groupBy("dim", "g").agg(F.collect_list("salt").alias("salts"))  # numbers of a group's blocks
-    dealt = sent.join(salts, ["dim", "g"]).withColumn("salt", F.explode("salts")).drop("salts")
-    pairs = found.select("dim", "g", "salt", "ids", "rows", "wide").join(dealt, ["dim", "g", "salt"])
-
-    def solved(batches):
-        for batch in batches:
-            for row in range(batch.num_rows):
-                dim, ids, rows, wide, least, q_g, q_salt, q_ids, q_rows, q_wide = (batch.column(n)[row].as_py() for n in ("dim", "ids", "rows", "wide", "least", "q_g", "q_salt", "q_ids", "q_rows", "q_wide"))
-                x, q = (np.frombuffer(r, np.int64 if w else np.int16).reshape(-1, dim).astype(np.int64) for r, w in ((rows, wide), (q_rows, q_wide)))
-                q_ids = np.frombuffer(q_ids, np.int64)
-                place, vec_id, score = best_of_block(q_ids, q, np.frombuffer(ids, np.int64), x, k, least)
-                n = len(place)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(v, t) for v, t in ((np.full(n, dim), pa.int32()), (np.full(n, q_g), pa.int32()), (np.full(n, q_salt), pa.int64()), (place, pa.int32()), (q_ids[place], pa.int64()), (vec_id, pa.int64()), (score, pa.int64()))],
-                    names=["dim", "q_g", "q_salt", "place", "query_id", "vec_id", "score"],
-                )
-
-    near = pairs.mapInArrow(solved, "dim int, q_g int, q_salt long, place int, query_id long, vec_id long, score long")
+                to.append(own)
+                floors.append(floor)
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("dim", "g", "salt")), pa.array(floors, pa.float64()), pa.array(to, pa.list_(pa.int32()))], names=["dim", "q_g", "q_salt", "least", "to"])
+
+    # Numbers alone say where a query block goes; its vectors follow once a bin. Sizes of what is sent can't be told
+    # from the files it comes from, so no join here may be a broadcast.
+    dealt = found.withColumn("bin", F.pmod(F.xxhash64("dim", "g", "salt"), F.lit(bins)))
+    sent = asked.select("dim", "g", "salt", "radius", "low2", "high2").mapInArrow(routed, "dim int, q_g int, q_salt long, least double, to array<int>")
+    sent = sent.select("dim", "q_g", "q_salt", "least", F.explode("to").alias("g")).hint("merge").join(dealt.select("dim", "g", "bin").distinct(), ["dim", "g"])
+    sent = sent.groupBy("dim", "q_g", "q_salt", "bin").agg(F.first("least").alias("least"), F.collect_list("g").alias("to"))
+    vectors = asked.select("dim", F.col("g").alias("q_g"), F.col("salt").alias("q_salt"), "ids", "rows", "wide")
+    part = F.pmod(F.xxhash64("dim", "q_g", "q_salt"), F.lit(parts))
+    left = sent.hint("merge").join(vectors, ["dim", "q_g", "q_salt"]).withColumn("cell", F.col("bin") * parts + part).drop("bin")
+    right = dealt.select("dim", "g", "ids", "rows", "wide", F.explode(F.sequence(F.col("bin") * parts, F.col("bin") * parts + parts - 1)).alias("cell"))
+    target = pa.schema([("dim", pa.int32()), ("q_g", pa.int32()), ("q_salt", pa.int64()), ("place", pa.int32()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+
+    def solved(asked: pa.Table, held: pa.Table) -> pa.Table:
+        made, done = lambda t, i: Block(t.column("ids")[i].as_buffer(), t.column("rows")[i].as_buffer(), t.column("wide")[i].as_py(), t.column("dim")[i].as_py()), []
+        blocks = defaultdict(list)
+        for i, key in enumerate(zip(held.column("dim").to_pylist(), held.column("g").to_pylist(), strict=True)):
+            blocks[key].append(made(held, i))
+        for i, (dim, g, salt, least, to) in enumerate(zip(*(asked.column(n).to_pylist() for n in ("dim", "q_g", "q_salt", "least", "to")), strict=True)):
+            q = made(asked, i)
+            place, vec_id, score = best_of_blocks(q, [x for to_g in sorted(to, key=lambda x: x != g) for x in blocks[dim, to_g]], k, least)
+            n = len(place)
+            done.append(pa.table([pa.array(v, t) for v, t in zip((np.full(n, dim), np.full(n, g), np.full(n, salt), place, q.ids[place], vec_id, score), target.types, strict=True)], schema=target))
+        return pa.concat_tables(done) if done else target.empty_table()
+
+    cells = SPREAD * bins * parts
+    near = left.repartition(cells, "cell").groupBy("cell").cogroup(right.repartition(cells, "cell").groupBy("cell")).applyInArrow(solved, "dim int, q_g int, q_salt long, place int, query_id long, vec_id long, score long")
     query = ["dim", "q_g", "q_salt", "place", "query_id"]  # a query vector's own key: its block and its place there
     best = near.groupBy(*query, "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy(*query).orderBy(F.desc("score"), "vec_id")).cast("int")

@@ -86,3 +86,33 @@ def test_far_groups_are_left_out():
     assert to == [1] and floor < 1e6
     floor, to = V.reachable(pivots[1], 1.0, 999.0**2, 1001.0**2, [groups[0] | {"near": groups[0]["near"][:3]}], pivots, 5)
     assert to == [0] and floor == -math.inf
+
+
+def test_what_is_sent_to_bins_is_never_broadcast(spark):
+    """The size of routed query blocks can't be told from the small files they come from."""
+    rows = near_rows(400, 6, 4)
+    data = V.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).cache()
+    pivots = {6: np.array([[512.0 * i] * 6 for i in range(5)])}
+    df = V.voronoi_top_k(data.filter("vec_id % 50 = 0"), data, pivots=pivots, query_rows=2, data_rows=20)
+    assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
+    for how in ({"bins": 1, "parts": 1}, {"bins": 3, "parts": 2}, {}):
+        assert found(spark, rows, pivots=pivots, query_rows=2, data_rows=20, **how) == brute(rows)
+
+
+def test_best_over_blocks_keeps_ties_and_best_vectors_of_ids():
+    rng = np.random.default_rng(5)
+    made = lambda ids, x: V.Block(ids.tobytes(), x.tobytes(), True, x.shape[1])
+    for size in (3, 1 << 20, 1 << 40):  # floats, doubles and objects
+        q, x, ids = rng.integers(-3, 4, (6, 2)), rng.integers(-3, 4, (90, 2)), np.sort(rng.integers(0, 40, 90))
+        x = x * np.where(np.arange(90) % 9 == 0, size, 1)[:, None]
+        cut = rng.permutation(90)
+        blocks = [made(ids[c], x[c]) for c in (np.sort(part) for part in np.array_split(cut, 5))]
+        want = []
+        for i in range(6):
+            best = {}
+            for d, v in zip(ids.tolist(), x.tolist(), strict=True):
+                if d != i:
+                    s = sum(a * b for a, b in zip(q[i].tolist(), v, strict=True))
+                    best[d] = max(best.get(d, s), s)
+            want += [(i, d, s) for d, s in sorted(best.items(), key=lambda z: (-z[1], z[0]))[:5]]
+        assert list(zip(*(z.tolist() for z in V.best_of_blocks(made(np.arange(6), q), blocks, 5, -np.inf)), strict=True)) == want
