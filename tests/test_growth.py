@@ -1,6 +1,7 @@
 """Operators whose work once grew faster than their input: results by brute force, and the step that grew."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -103,6 +104,39 @@ def test_tracks_meet_in_blocks(spark, r, tracks):
     assert sorted(map(tuple, df.collect())) == want
 
 
+def test_copies_of_tracks_do_not_follow_their_number(spark):
+    """A track is sent once a block, so many tracks are few blocks."""
+    onsets = spark.range(60_000).selectExpr("id AS track_id", "id AS bucket")
+    df = blocks.shared_pairs(onsets, onsets.selectExpr("track_id", "1 AS n"), [], lambda p: (p["a"],), "a long")
+    (last,) = re.findall(r"explode\(sequence\(0, (\d+)", df._jdf.queryExecution().analyzed().toString())
+    assert 1 <= int(last) <= 8
+
+
+def test_tiles_of_a_block_meet_once(spark, r, monkeypatch):
+    solve = blocks.shared_pairs
+    rows = sorted({(r.randrange(40), r.choice([0, 1, 2, 2000, 9000, 9001])) for _ in range(120)})
+    sets = {}
+    for t, b in rows:
+        sets.setdefault(t, set()).add(b)
+    want = sorted((a, b, len(x & y)) for a, x in sets.items() for b, y in sets.items() if a < b and x & y)
+    onsets = spark.createDataFrame(rows, "track_id long, bucket long")
+    monkeypatch.setattr(blocks, "TILE", 7)
+
+    def shared(p):
+        return p["a"], p["b"], p["shared"]
+
+    for tracks in (100, 13):
+        df = solve(onsets, onsets.groupBy("track_id").agg(F.count("*").alias("n")), [], shared, "a long, b long, shared long", tracks)
+        assert sorted(map(tuple, df.collect())) == want
+
+
+def test_rounding_is_that_of_spark(spark):
+    values = [a / b for b in (1, 3, 7, 65, 128, 640, 1080, 12800) for a in range(-40, 3 * b, max(1, b // 90))] + [float("nan"), 0.0, 5e-7, 4.9999999e-7, 0.1234565, 0.12345649999999999]
+    want = [x[0] for x in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").orderBy("i").select(F.round("v", 6)).collect()]
+    got = blocks.rounded(np.array(values))
+    assert all(a == b or a != a and b != b for a, b in zip(got.tolist(), want, strict=True))
+
+
 def test_track_pairs_are_not_shuffled(spark):
     for name in ("pairwise_tracks", "suggestions_topn"):
         text = plan(catalog.QUERIES[name](spark, "/root/testdata/sf0.001"))
