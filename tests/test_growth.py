@@ -130,6 +130,23 @@ def test_tiles_of_a_block_meet_once(spark, r, monkeypatch):
         assert sorted(map(tuple, df.collect())) == want
 
 
+def test_counts_and_products_agree(monkeypatch):
+    rng = np.random.default_rng(3)
+
+    def side(n, most):
+        own = [np.sort(rng.choice(2500, rng.integers(0, most), replace=False)) for _ in range(n)]
+        row, code = np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in own]), np.concatenate([*own, np.zeros(0, int)]).astype(np.int32)
+        order = np.argsort(code, kind="stable")
+        return own, (n, row[order], code[order])
+
+    for most in (1, 2, 40, 2400):
+        (a, x), (b, y) = side(20, most), side(30, most)
+        want = [[len(np.intersect1d(p, q)) for q in b] for p in a]
+        for hits in (0, 1 << 40):
+            monkeypatch.setattr(blocks, "HITS", hits)
+            assert blocks._counts(x, y).tolist() == want
+
+
 def test_rounding_is_that_of_spark(spark):
     values = [a / b for b in (1, 3, 7, 65, 128, 640, 1080, 12800) for a in range(-40, 3 * b, max(1, b // 90))] + [float("nan"), 0.0, 5e-7, 4.9999999e-7, 0.1234565, 0.12345649999999999]
     want = [x[0] for x in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").orderBy("i").select(F.round("v", 6)).collect()]
